@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, quality_rules, sharding, simhash
+from . import classifier, html_text, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
+    "op8_html_text": op8_html_text,
     "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
