@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts of the operators define it: \x20 and \x09-\x0D.
@@ -52,3 +52,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """df with the place of each row, from 0, in the given order of columns, and all_rows.
+
+    Rows are spread over range partitions, each numbers its own, and the partitions' counts give the offsets: no task sees more than a
+    range. The order should be total up to rows that are alike, else a hot key isn't split.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_part").count()  # as many rows as there are partitions: one task may sum them up, and they may be broadcast
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"), F.sum("count").over(Window.partitionBy()).alias("all_rows"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html_text, quality_rules, sharding, simhash
+from . import classifier, html_text, mixing, quality_rules, sharding, simhash
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", F.col("_words").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "_copies")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,

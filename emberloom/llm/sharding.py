@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import ranked, whole_text
 
 BITS = 8
 
@@ -82,16 +82,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataF
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), name_step(F.col("source"), bits).alias("_s"), name_step(F.col("lang"), bits).alias("_l"))
     flat = flat.select("doc_id", "size", "text_crc32", hilbert_index([F.col("_s"), F.col("_l"), size_step(F.col("size"), bits)], bits).alias("curve"))
     order = ["curve", "text_crc32", "doc_id", "size"]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = stored(flat.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shard-ranges")
-    # as many rows as there are partitions, so one task may sum them up
-    counts = ranged.groupBy("part").count()
-    offsets = counts.select("part", (F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"), F.sum("count").over(Window.partitionBy()).alias("all_rows"))
-    rank = F.coalesce(F.col("before"), F.lit(0)) + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    ranked = ranged.join(F.broadcast(offsets), "part").withColumn("rank", rank)
-    ranked = ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div all_rows as int)"))
+    placed = ranked(flat, order).withColumn("shard", F.expr(f"cast(rank * {shards} div all_rows as int)"))
     slot = F.expr(f"rank - (cast(shard as bigint) * all_rows + {shards} - 1) div {shards}")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
