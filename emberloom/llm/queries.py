@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html_text, mixing, quality_rules, sharding, simhash
+from . import chat, classifier, html_text, mixing, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_replies(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -44,5 +48,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op8_html_text": op8_html_text,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_chat_quotes": op10_chat_quotes,
 }
 ORACLES: dict[str, str] = {}
