@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, html_text, mixing, quality_rules, sharding, simhash
+from . import chat, classifier, html_text, mixing, pieces, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_pieces": op7_pieces,
     "op8_html_text": op8_html_text,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_quotes": op10_chat_quotes,
