@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD, stored, whole_text, words_of
+from .common import SPACE_CHARS, WORD, whole_text, words_of
 
 FEATURES = ("log_words", "mean_word", "symbols", "upper", "pipes", "distinct_words", "same_next", "dup_lines", "bangs", "digits", "words_a_line", "stops")
 #: The model is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
@@ -17,30 +17,35 @@ MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of every whole text; what is counted in nothing is 0. Only the text is looked at."""
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t")).withColumn("w", words_of(F.col("t")))
-    t, w = F.col("t"), F.col("w")
-    at = at.withColumns({"n": F.size(w), "c": F.length(F.translate(t, SPACE_CHARS, "")), "l": F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))})
-    n, c, lines = F.col("n"), F.col("c"), F.col("l")
+def features() -> Column:
+    """The features of the whole text, in the order of FEATURES; what is counted in nothing is 0. Only the text is looked at."""
+    t = whole_text()
+    # bound once by one-element arrays, so that words and lines aren't split again for every feature
+    parts = F.struct(words_of(t).alias("w"), F.length(F.translate(t, SPACE_CHARS, "")).alias("c"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("l"))
     share = lambda x, of: F.when(of > 0, x.cast("double") / of).otherwise(F.lit(0.0))
     without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    same = F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i + 1) == x, F.lit(False))))
-    return at.select(
-        "doc_id",
-        F.log1p(n.cast("double")).alias("log_words"),
-        share(c, n).alias("mean_word"),
-        share(without("#*$%&<>"), c).alias("symbols"),
-        share(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), c).alias("upper"),
-        share(without("|"), n).alias("pipes"),
-        share(F.size(F.array_distinct(w)), n).alias("distinct_words"),
-        share(same, n).alias("same_next"),
-        share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)).alias("dup_lines"),
-        share(without("!"), n).alias("bangs"),
-        share(without("0123456789"), c).alias("digits"),
-        F.log1p(share(n, F.size(lines))).alias("words_a_line"),
-        share(without(".?"), n).alias("stops"),
-    )
+
+    def all_of(p: Column) -> Column:
+        w, c, lines = p["w"], p["c"], p["l"]
+        n = F.size(w)
+        same = F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i + 1) == x, F.lit(False))))
+        found = (
+            F.log1p(n.cast("double")),
+            share(c, n),
+            share(without("#*$%&<>"), c),
+            share(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), c),
+            share(without("|"), n),
+            share(F.size(F.array_distinct(w)), n),
+            share(same, n),
+            share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
+            share(without("!"), n),
+            share(without("0123456789"), c),
+            F.log1p(share(n, F.size(lines))),
+            share(without(".?"), n),
+        )
+        return F.array(*found)
+
+    return F.element_at(F.transform(F.array(parts), all_of), 1)
 
 
 @dataclass
@@ -157,25 +162,29 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Additive:
-    """A model of labels.quality from rows that aren't held out. The sample that comes to the driver is bounded by max_rows times the features."""
-    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_rows).select("quality", *FEATURES).toPandas()
-    return fit(sample[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), sample["quality"].to_numpy(float))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Additive:
+    """A model of labels.quality from rows that aren't held out. The sample, its ids and then its features, is bounded by max_rows, wherever it goes."""
+    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null").filter(~held_out())
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
+    ids = docs.sparkSession.createDataFrame(drawn.astype({"doc_id": "int64", "quality": "int32"}), "doc_id long, quality int")
+    texts = docs.join(F.broadcast(ids.withColumnsRenamed({"doc_id": "_d"})), F.col("doc_id") == F.col("_d"))
+    sample = texts.select("quality", features().alias("f")).orderBy(F.xxhash64("f"), "f").limit(max_rows).toPandas()
+    return fit(np.stack(sample["f"]) if len(sample) else np.zeros((0, len(FEATURES))), sample["quality"].to_numpy(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row.
+    """docs with held_out, score and predicted; columns of these names are replaced.
 
-    Texts may be null or empty: they get the score of features that are all 0. Repeated rows are scored alike; without labels of both
-    kinds every score is the prior (0.5 when there are none).
+    One pass without a shuffle. Texts may be null or empty: they get the score of features that are all 0. Repeated rows are scored alike; without
+    labels of both kinds every score is the prior (0.5 when there are none).
     """
-    measured = stored(features(docs), "features")
-    model = train(measured, labels, max_rows)
+    model = train(docs, labels, max_rows)
 
     @F.pandas_udf("double")
-    def scored(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
+    def scored(f: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(f)) if len(f) else [], dtype=float)
 
-    out = measured.select("doc_id", held_out().alias("held_out"), scored(*FEATURES).alias("score"))
+    carried = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    out = docs.select(*carried, held_out().alias("held_out"), scored(features()).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

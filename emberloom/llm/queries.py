@@ -46,7 +46,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

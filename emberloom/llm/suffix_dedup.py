@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -222,8 +222,8 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(base, found): base has d, tie and the text's bytes t of every row of docs, found for each (d, tie) the windows that start earlier elsewhere, as flat pairs.
+def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(base, found): base has d, tie and the text's bytes t of every row of docs (and other columns in rest), found for each (d, tie) the windows that start earlier elsewhere, as flat pairs.
 
     tie is -1 where an earlier document has the same whole text. The steps:
 
@@ -249,9 +249,10 @@ def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ties = keys.join(torn, "d").select("d", "sha", prefix.alias("odd"))
     odd = stored(copies.unionAll(ties).groupBy("d", "sha").agg(F.min("odd").alias("odd")), "odd-texts")
     sha = F.unhex(F.sha2(F.col("t"), 256))
-    base = docs.select(d.alias("d"), text.alias("t"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []
+    base = docs.select(d.alias("d"), text.alias("t"), *rest)
     told = bounded_broadcast(odd.withColumnsRenamed({"d": "_d", "sha": "_sha"}))
-    base = base.join(told, (F.col("d") == F.col("_d")) & (sha == F.col("_sha")), "left").select("d", F.coalesce("odd", F.lit(0)).cast("long").alias("tie"), "t")
+    base = base.join(told, (F.col("d") == F.col("_d")) & (sha == F.col("_sha")), "left").select("d", F.coalesce("odd", F.lit(0)).cast("long").alias("tie"), "t", *["rest"][: len(rest)])
     own = base.filter("tie >= 0")
     often = own.select("t").mapInArrow(anchor_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     runs = own.select("d", "tie", "t").mapInArrow(anchor_rows, "h long, c long, d long, tie long, start int, run int")
@@ -292,24 +293,44 @@ def dedup(docs: DataFrame, text: str = "clean") -> DataFrame:
     different texts under one doc_id in that of their hash; rows alike are the same document and come out alike. An empty table gives no rows. `text` names
     the column of the remaining bytes, which may begin or end inside a character; None leaves it out.
     """
-    base, found = marks(docs)
     schema = T.StructType([T.StructField("d", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if text:
         schema = schema.add(text, T.BinaryType())
 
+    def one(t: bytes, spans: list[tuple[int, int]]) -> tuple:
+        kept = cut_text(t, spans)
+        return (len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(schema) - 1]
+
+    base, found = marks(docs)
+    out = base.join(found, "d", "left").select("d", "tie", "t", "marks").mapInArrow(per_document(one, schema.names, [pa.int64()] * 3 + [pa.string(), pa.binary()][: len(schema) - 4]), schema)
+    return out.select(F.when(F.col("d") == LAST, F.lit(None)).otherwise(F.col("d")).cast("long").alias("doc_id"), *schema.names[1:])
+
+
+def per_document(one: Callable[[bytes, list[tuple[int, int]]], tuple], names: list[str], kinds: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: what `one` makes of the text and its removed spans, after the columns but the last three, which are tie, t and marks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                rows = []
-                for d, tie, t, m in zip(*(x.to_pylist() for x in b.slice(at, 256).columns), strict=True):
+                part = b.slice(at, 256)
+                made = []
+                for tie, t, m in zip(*(part.column(k).to_pylist() for k in range(b.num_columns - 3, b.num_columns)), strict=True):
                     if tie < 0:
                         spans = [(0, len(t))] if len(t) >= LENGTH else []
                     else:
                         spans = removed_spans([x for y in m or [] if y["tie"] == tie for x in y["spans"]], len(t))
-                    kept = cut_text(t, spans)
-                    rows.append((d, len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(schema)])
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)], schema.names)
+                    made.append(one(t, spans))
+                front = [part.column(k) for k in range(b.num_columns - 3)]
+                back = [pa.array(x, k) for x, k in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*front, *back], names)
 
-    out = base.join(found, "d", "left").select("d", "tie", "t", "marks").mapInArrow(run, schema)
-    return out.select(F.when(F.col("d") == LAST, F.lit(None)).otherwise(F.col("d")).cast("long").alias("doc_id"), *schema.names[1:])
+    return run
+
+
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """docs with what stays of their texts; characters that lost some of their bytes go as a whole, a null text becomes empty. All rows stay."""
+    others = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("text", T.StringType())])
+    base, found = marks(docs, others)
+    out = base.join(found, "d", "left").select(*[F.col(f"rest.`{c}`") for c in others], "tie", "t", "marks")
+    return out.mapInArrow(per_document(lambda t, spans: (cut_text(t, spans).decode(errors="ignore"),), schema.names, [pa.string()]), schema)
