@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,20 +17,23 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
+digest = xxhash.xxh32_intdigest
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: A merge candidate is skipped with this probability; words of a document are drawn in one of so many ways.
 DROPOUT, VARIANTS, SEED = 0.1, 4, 17
-#: Segmentations that a worker keeps; it forgets all when there are more, and works them out again.
-KEPT = 300_000
+#: Segmentations that a worker keeps in each of two generations. When the young one is full it becomes the old one, and what is used of that is young
+#: again; the rest is forgotten and worked out anew if it comes up.
+KEPT = 400_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces with their ids and the scores that order merges; raw gives what each id says, spelt the ids of the 256 bytes."""
+    """Pieces with their ids and ranks, the best score first; raw gives what each id says, spelt the ids of the 256 bytes."""
 
     ids: dict[str, int]
-    scores: dict[str, float]
+    ranks: dict[str, int]
     raw: tuple[bytes, ...]
     spelt: tuple[int, ...]
 
@@ -51,7 +55,8 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
         else:
             ids[piece], scores[piece] = i, sp.get_score(i)
             raw.append(piece.replace(BLANK, " ").encode())
-    return Vocabulary(ids, scores, tuple(raw), tuple(spelt))
+    order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
+    return Vocabulary(ids, {p: order[s] for p, s in scores.items()}, tuple(raw), tuple(spelt))
 
 
 def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
@@ -59,30 +64,42 @@ def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
 
     The hash is of the key and of what is merged where, so that the same unit under the same key is always cut alike.
     """
-    n, scores, low = len(unit), v.scores, int(dropout * (1 << 32))
-    parts: list[str | None] = list(unit)
+    n, ranks, low = len(unit), v.ranks, int(dropout * (1 << 32))
+    parts = list(unit)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda = [(-scores[both], i, i + 1, both) for i in range(n - 1) if (both := unit[i : i + 2]) in scores]
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    # an entry is rank and place in one number
+    agenda = [r << shift | i for i in range(n - 1) if (r := ranks.get(unit[i : i + 2])) is not None]
     heapq.heapify(agenda)
+    own = digest(unit, key) if low else 0
     while agenda:
-        _, i, j, both = heapq.heappop(agenda)
-        if parts[i] is None or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
+        entry = heapq.heappop(agenda)
+        i = entry & mask
+        j = after[i]
+        if j >= n or not parts[i]:
+            continue
+        both = parts[i] + parts[j]
+        if ranks.get(both) != entry >> shift:
             continue
-        if low and xxhash.xxh32_intdigest(f"{i} {both} {unit}" if n < 256 else f"{i} {both}", key) < low:
+        if low and digest(both, own + i * 0x9E3779B1 & 0xFFFFFFFF) < low:
             continue
-        parts[i], parts[j] = both, None
+        parts[i], parts[j] = both, ""
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (more := both + parts[k]) in scores:
-                heapq.heappush(agenda, (-scores[more], i, k, more))
-        if (h := before[i]) >= 0 and (more := parts[h] + both) in scores:
-            heapq.heappush(agenda, (-scores[more], h, i, more))
+            if (r := ranks.get(both + parts[k])) is not None:
+                heapq.heappush(agenda, r << shift | i)
+        if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + both)) is not None:
+            heapq.heappush(agenda, r << shift | h)
     out: list[int] = []
     for p in parts:
-        if p is not None:
+        if p:
             got = v.ids.get(p)
-            out.extend([v.spelt[b] for b in p.encode()] if got is None else (got,))
+            if got is None:
+                out.extend([v.spelt[b] for b in p.encode()])
+            else:
+                out.append(got)
     return out
 
 
@@ -95,18 +112,22 @@ class Encoder:
 
     def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, kept: int = KEPT):
         self.v, self.dropout, self.seed, self.variants, self.kept = vocabulary(model), dropout, seed, variants if dropout else 1, kept
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.count = 0
         self.mark = np.asarray([self.v.spelt[b] for b in BLANK.encode()], np.int32).tobytes()
 
     def missing(self, unit: str, variant: int) -> bytes:
-        got = np.asarray(merge(unit, self.v, self.dropout, self.seed * 1000 + variant), np.int32).tobytes()
+        got = self.old[variant].get(unit)
+        if got is None:
+            got = array("i", merge(unit, self.v, self.dropout, self.seed * 1000 + variant)).tobytes()
         if len(unit) <= 64:
             if self.count >= self.kept:
-                for d in self.known:
+                self.old = [d.copy() for d in self.young]
+                for d in self.young:
                     d.clear()
                 self.count = 0
-            self.known[variant][unit] = got
+            self.young[variant][unit] = got
             self.count += 1
         return got
 
@@ -115,7 +136,7 @@ class Encoder:
         if not text:
             return np.zeros(0, np.int32)
         variant = xxhash.xxh32_intdigest(str(doc_key), self.seed) % self.variants
-        get, missing = self.known[variant].get, self.missing
+        get, missing = self.young[variant].get, self.missing
         out = []
         for k, span in enumerate(text.split(BLANK)):
             out.append(self.mark if k else b"")
