@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,10 +61,11 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return best
 
 
-@F.pandas_udf("double")
-def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+def token_set_ratio_column(a: Column, b: Column) -> Column:
+    """The ratio of two columns, in Arrow batches; the one place where Python looks at rows."""
 
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-def either(*conditions: Column) -> Column:
-    return reduce(lambda x, y: x | y, conditions)
+    return ratio(a, b)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import near_pairs
-from ..functions.text import none_if_empty, token_set_ratio_udf
+from ..functions.text import none_if_empty, token_set_ratio_column
 from ..schema import COMPATIBLE, OTHER_TIER, RADIUS_M, SOURCE_TIER
 from .normalize import lookup
 
@@ -59,7 +59,7 @@ def candidates(events: DataFrame, most: int = CANDIDATES) -> DataFrame:
     # radii outside the table fall to the next larger cell, the distance is checked on the true one
     cell = F.lit(radii[-1])
     for r in sorted(radii, reverse=True):
-        cell = F.when(reach <= r, F.lit(r)).otherwise(cell)
+        cell = F.when(F.col("reach") <= r, F.lit(r)).otherwise(cell)
     e = events.select("id", "lat", "lon", F.col("occurred_at").alias("t"), reach.alias("reach")).withColumn("cell", cell)
     met = near_pairs(e, e, "c_", F.col("cell"), radii, WINDOW_S, WINDOW_S).filter((F.col("distance_m") <= F.col("reach")) & (F.col("id") != F.col("c_id")))
     met = met.filter((F.col("reach") > F.col("c_reach")) | ((F.col("reach") == F.col("c_reach")) & (F.col("id") > F.col("c_id"))))
@@ -79,7 +79,7 @@ def parents(events: DataFrame, text_rule: bool = True, most: int = CANDIDATES) -
     same = F.coalesce(F.col("actors") == F.col("c_actors"), F.lit(False))
     if text_rule:
         open_ = ~same & (F.col("text") != "") & (F.col("c_text") != "")
-        met = met.withColumn("same", same).withColumn("score", F.when(open_, token_set_ratio_udf(F.when(open_, F.col("text")), F.when(open_, F.col("c_text")))))
+        met = met.withColumn("same", same).withColumn("score", F.when(open_, token_set_ratio_column(F.when(open_, F.col("text")), F.when(open_, F.col("c_text")))))
         met = met.filter(F.col("same") | (F.col("score") > TEXT_OVER))
     else:
         met = met.filter(same)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.gazetteer import ACTORS, COUNTRIES, WEAPONS
-from ..functions.text import longest_prefix, none_if_empty, token_set_ratio_udf
+from ..functions.text import longest_prefix, none_if_empty, token_set_ratio_column
 from ..schema import STRIKES
 
 EVIDENCE, GAZETTEER_CONFIDENCE, FUZZY_LEAST = 60, 0.85, 88.0
@@ -60,7 +60,7 @@ def canonical_actors(names: DataFrame, vocabulary: DataFrame, least: float = FUZ
     left = told.filter("alias is null").select("name", F.explode(pairs_of).alias("letters"))
     right = vocabulary.select(F.col("name").alias("known"), F.explode(pairs_of).alias("letters"))
     scored = left.join(right, "letters").select("name", "known").distinct()
-    scored = scored.withColumn("score", token_set_ratio_udf("name", "known")).filter(F.col("score") >= least)
+    scored = scored.withColumn("score", token_set_ratio_column("name", "known")).filter(F.col("score") >= least)
     best = scored.groupBy("name").agg(F.min_by("known", F.struct(-F.col("score"), F.col("known"))).alias("fuzzy"))
     return told.join(best, "name", "left").select("name", F.coalesce("alias", "fuzzy").alias("canonical"))
 
