@@ -182,9 +182,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     model = train(docs, labels, max_rows)
 
     @F.pandas_udf("double")
-    def scored(f: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(f)) if len(f) else [], dtype=float)
+    def scored(*columns: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
 
     carried = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    out = docs.select(*carried, held_out().alias("held_out"), scored(features()).alias("score"))
+    # a column for each feature: the array is used many times, so it is worked out once, before the function's arguments are
+    out = docs.select(*carried, held_out().alias("held_out"), features().alias("_f"))
+    out = out.withColumn("score", scored(*[F.element_at("_f", k + 1) for k in range(len(FEATURES))])).drop("_f")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
