@@ -186,7 +186,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
 
     carried = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    # a column for each feature: the array is used many times, so it is worked out once, before the function's arguments are
-    out = docs.select(*carried, held_out().alias("held_out"), features().alias("_f"))
+    # one row for one: the explode keeps the features a column of their own, which no filter on the score brings into the function's arguments
+    out = docs.select(*carried, held_out().alias("held_out"), F.explode(F.array(features())).alias("_f"))
     out = out.withColumn("score", scored(*[F.element_at("_f", k + 1) for k in range(len(FEATURES))])).drop("_f")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
