@@ -26,16 +26,64 @@ DROPOUT, VARIANTS, SEED = 0.1, 4, 17
 #: Segmentations that a worker keeps in each of two generations. When the young one is full it becomes the old one, and what is used of that is young
 #: again; the rest is forgotten and worked out anew if it comes up.
 KEPT = 400_000
+#: Units up to this length are merged side by side, longer ones, and those with characters that have no piece, one by one.
+SHORT, NEVER = 32, 1 << 62
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces with their ids and ranks, the best score first; raw gives what each id says, spelt the ids of the 256 bytes."""
+    """Pieces with their ids; pairs gives for two ids, as one number, what they merge to: its rank, the best score first, and its id, as one number.
+
+    raw gives what each id says, spelt the ids of the 256 bytes.
+    """
 
     ids: dict[str, int]
-    ranks: dict[str, int]
+    pairs: dict[int, int]
     raw: tuple[bytes, ...]
     spelt: tuple[int, ...]
+    characters: np.ndarray
+    slots: np.ndarray
+    values: np.ndarray
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """pairs for arrays of ids, NEVER without one: a table by hash, the next slots for what collides."""
+        key = np.where((a < 0) | (b < 0), -2, a << 16 | b)
+        at = slot_of(key)
+        found = np.full(key.shape, NEVER, np.int64)
+        hit = self.slots[at] == key
+        found[hit] = self.values[at[hit]]
+        open_ = np.nonzero(~hit & (self.slots[at] >= 0))
+        while len(open_[0]):
+            k = key[open_]
+            at[open_] = (at[open_] + 1) & (SLOTS - 1)
+            s = self.slots[at[open_]]
+            good = s == k
+            which = tuple(x[good] for x in open_)
+            found[which] = self.values[at[which]]
+            more = ~good & (s >= 0)
+            open_ = tuple(x[more] for x in open_)
+        return found
+
+
+def slot_of(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slots_of(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """pairs as a hash table with open addressing."""
+    slots, values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
+    keys, left = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    at = slot_of(keys)
+    while len(keys):
+        # of the keys at a free slot one takes it, the others go on
+        free = slots[at] < 0
+        slots[at[free]] = keys[free]
+        won = slots[at] == keys
+        values[at[won]] = left[won]
+        keys, left, at = keys[~won], left[~won], (at[~won] + 1) & (SLOTS - 1)
+    return slots, values
 
 
 @lru_cache(maxsize=4)
@@ -55,8 +103,15 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
         else:
             ids[piece], scores[piece] = i, sp.get_score(i)
             raw.append(piece.replace(BLANK, " ").encode())
-    order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
-    return Vocabulary(ids, {p: order[s] for p, s in scores.items()}, tuple(raw), tuple(spelt))
+    if len(raw) > 1 << 16:
+        raise ValueError("a vocabulary of 65,536 pieces at most")
+    order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True), 1)}
+    pairs = {ids[a] << 16 | ids[b]: order[scores[p]] << 16 | i for p, i in ids.items() for k in range(1, len(p)) if (a := p[:k]) in ids and (b := p[k:]) in ids}
+    characters = np.full(0x110000, -1, np.int32)
+    for p, i in ids.items():
+        if len(p) == 1:
+            characters[ord(p)] = i
+    return Vocabulary(ids, pairs, tuple(raw), tuple(spelt), characters, *slots_of(pairs))
 
 
 def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
@@ -64,45 +119,103 @@ def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
 
     The hash is of the key and of what is merged where, so that the same unit under the same key is always cut alike.
     """
-    n, ranks, low = len(unit), v.ranks, int(dropout * (1 << 32))
-    parts = list(unit)
+    n, pairs, raw, low = len(unit), v.pairs, v.raw, int(dropout * (1 << 32))
+    own = digest(unit, key) if low else 0
+    # pieces by their ids; a character without a piece has none and never merges
+    parts = [v.ids.get(c, -1) for c in unit]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     shift = n.bit_length()
     mask = (1 << shift) - 1
     # an entry is rank and place in one number
-    agenda = [r << shift | i for i in range(n - 1) if (r := ranks.get(unit[i : i + 2])) is not None]
+    agenda = [p >> 16 << shift | i for i in range(n - 1) if (p := pairs.get(parts[i] << 16 | parts[i + 1]))]
     heapq.heapify(agenda)
-    own = digest(unit, key) if low else 0
     while agenda:
         entry = heapq.heappop(agenda)
         i = entry & mask
         j = after[i]
-        if j >= n or not parts[i]:
+        if j >= n or parts[i] is None:
             continue
-        both = parts[i] + parts[j]
-        if ranks.get(both) != entry >> shift:
+        p = pairs.get(parts[i] << 16 | parts[j])
+        if p is None or p >> 16 != entry >> shift:
             continue
-        if low and digest(both, own + i * 0x9E3779B1 & 0xFFFFFFFF) < low:
+        both = p & 0xFFFF
+        if low and digest(raw[both], own + i * 0x9E3779B1 & 0xFFFFFFFF) < low:
             continue
-        parts[i], parts[j] = both, ""
+        parts[i], parts[j] = both, None
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (r := ranks.get(both + parts[k])) is not None:
-                heapq.heappush(agenda, r << shift | i)
-        if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + both)) is not None:
-            heapq.heappush(agenda, r << shift | h)
+            if p := pairs.get(both << 16 | parts[k]):
+                heapq.heappush(agenda, p >> 16 << shift | i)
+        if (h := before[i]) >= 0 and (p := pairs.get(parts[h] << 16 | both)):
+            heapq.heappush(agenda, p >> 16 << shift | h)
     out: list[int] = []
-    for p in parts:
-        if p:
-            got = v.ids.get(p)
-            if got is None:
-                out.extend([v.spelt[b] for b in p.encode()])
+    for i, p in enumerate(parts):
+        if p is not None:
+            if p < 0:
+                out.extend([v.spelt[b] for b in unit[i].encode()])
             else:
-                out.append(got)
+                out.append(p)
     return out
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers."""
+    x = (x ^ x >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return x ^ x >> np.uint32(16)
+
+
+def merge_many(units: list[str], keys: list[int], v: Vocabulary, dropout: float) -> list[bytes]:
+    """Ids of short units whose characters all have pieces, side by side: a row of pieces and a row of candidates for each, the best candidate of every row at a time."""
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    wide = int(lengths.max())
+    column = np.arange(wide)
+    inside = column < lengths[:, None]
+    parts = np.full((len(units), wide), -1, np.int64)
+    parts[inside] = v.characters[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+    agenda = np.full((len(units), wide), NEVER, np.int64)
+    agenda[:, :-1] = v.find(parts[:, :-1], parts[:, 1:])
+    own = np.fromiter(map(digest, units, keys), np.uint32, len(units)) if dropout else np.zeros(len(units), np.uint32)
+    low = np.uint64(dropout * (1 << 32))
+    rows = np.arange(len(units))
+    left = lengths.copy()
+    done = parts.copy()
+    while len(rows):
+        i = agenda.argmin(1)
+        r = np.arange(len(rows))
+        best = agenda[r, i]
+        on = best != NEVER
+        if not on.all():
+            done[rows[~on]] = parts[~on]
+            rows, parts, agenda, i, best = rows[on], parts[on], agenda[on], i[on], best[on]
+            r = r[: len(rows)]
+            if not len(rows):
+                break
+        both = best & 0xFFFF
+        skipped = mixed(own[rows] + i.astype(np.uint32) * np.uint32(0x9E3779B1) ^ both.astype(np.uint32) * np.uint32(0x85EBCA77)) < low
+        agenda[r[skipped], i[skipped]] = NEVER
+        m = r[~skipped]
+        if len(m):
+            i, both = i[m], both[m]
+            # what follows moves up by one
+            p, a = parts[m], agenda[m]
+            p[:, :-1] = np.where(column[:-1] > i[:, None], p[:, 1:], p[:, :-1])
+            a[:, :-1] = np.where(column[:-1] >= i[:, None], a[:, 1:], a[:, :-1])
+            left[rows[m]] -= 1
+            p[column >= left[rows[m]][:, None]] = -1
+            a[column >= left[rows[m]][:, None] - 1] = NEVER
+            k = np.arange(len(m))
+            p[k, i] = both
+            after = np.minimum(i + 1, wide - 1)
+            a[k, i] = np.where(i + 1 < left[rows[m]], v.find(both, p[k, after]), NEVER)
+            h = np.flatnonzero(i > 0)
+            a[h, i[h] - 1] = v.find(p[h, i[h] - 1], both[h])
+            parts[m], agenda[m] = p, a
+    ids = done.astype(np.int32)
+    return [ids[k, :n].tobytes() for k, n in enumerate(left.tolist())]
+
+
 #: Merges never cross from a word to the blanks before the next one, nor a line feed, which has no piece.
 UNIT = re.compile(rf"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
 
@@ -114,13 +227,11 @@ class Encoder:
         self.v, self.dropout, self.seed, self.variants, self.kept = vocabulary(model), dropout, seed, variants if dropout else 1, kept
         self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.fresh: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.count = 0
         self.mark = np.asarray([self.v.spelt[b] for b in BLANK.encode()], np.int32).tobytes()
 
-    def missing(self, unit: str, variant: int) -> bytes:
-        got = self.old[variant].get(unit)
-        if got is None:
-            got = array("i", merge(unit, self.v, self.dropout, self.seed * 1000 + variant)).tobytes()
+    def keep(self, unit: str, variant: int, got: bytes) -> bytes:
         if len(unit) <= 64:
             if self.count >= self.kept:
                 self.old = [d.copy() for d in self.young]
@@ -131,17 +242,55 @@ class Encoder:
             self.count += 1
         return got
 
+    def missing(self, unit: str, variant: int) -> bytes:
+        got = self.fresh[variant].get(unit) or self.old[variant].get(unit)
+        return self.keep(unit, variant, got if got else self.work_out({variant: [unit]})[variant][unit])
+
+    def work_out(self, wanted: dict[int, list[str]]) -> list[dict[str, bytes]]:
+        """Segmentations of units by variant; the short ones of all variants together."""
+        out: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        short = [(k, u) for k, units in wanted.items() for u in units if len(u) <= SHORT]
+        many, single = [], [(k, u) for k, units in wanted.items() for u in units if len(u) > SHORT]
+        if short:
+            codes = np.frombuffer("".join([u for _, u in short]).encode("utf-32-le"), "<u4")
+            starts = np.cumsum([0, *(len(u) for _, u in short[:-1])])
+            known = np.minimum.reduceat(self.v.characters[codes], starts) >= 0
+            for x, good in zip(short, known.tolist(), strict=True):
+                (many if good else single).append(x)
+        for k, u in single:
+            out[k][u] = array("i", merge(u, self.v, self.dropout, self.seed * 1000 + k)).tobytes()
+        many.sort(key=lambda x: len(x[1]))  # rows of a block are about as wide
+        for at in range(0, len(many), 2048):
+            part = many[at : at + 2048]
+            for (variant, u), got in zip(part, merge_many([u for _, u in part], [self.seed * 1000 + k for k, _ in part], self.v, self.dropout), strict=True):
+                out[variant][u] = got
+        return out
+
+    def variant_of(self, doc_key: int | None) -> int:
+        """The way in which a document's words are drawn."""
+        return xxhash.xxh32_intdigest(str(doc_key), self.seed) % self.variants
+
+    def encode_many(self, texts: list[str], doc_keys: list[int | None]) -> list[np.ndarray]:
+        """Ids of texts. A blank mark in a text itself is spelt by bytes."""
+        variants = [self.variant_of(k) for k in doc_keys]
+        # units of the spans between blank marks; the first span of a text has a blank before it
+        units = [[UNIT.findall(("" if k else BLANK) + span.replace(" ", BLANK)) for k, span in enumerate(t.split(BLANK))] if t else [] for t in texts]
+        wanted: dict[int, set[str]] = {}
+        for variant, spans in zip(variants, units, strict=True):
+            young, old = self.young[variant], self.old[variant]
+            more = wanted.setdefault(variant, set())
+            for span in spans:
+                more.update([u for u in span if u not in young and u not in old])
+        self.fresh = self.work_out(wanted)
+        ids = []
+        for variant, spans in zip(variants, units, strict=True):
+            get, missing = self.young[variant].get, self.missing
+            ids.append(np.frombuffer(self.mark.join([b"".join([get(u) or missing(u, variant) for u in span]) for span in spans]), np.int32))
+        self.fresh = [{} for _ in range(self.variants)]
+        return ids
+
     def encode(self, text: str, doc_key: int | None) -> np.ndarray:
-        """Ids of a text. The document's key picks the way in which its words are drawn. A blank mark in the text itself is spelt by bytes."""
-        if not text:
-            return np.zeros(0, np.int32)
-        variant = xxhash.xxh32_intdigest(str(doc_key), self.seed) % self.variants
-        get, missing = self.young[variant].get, self.missing
-        out = []
-        for k, span in enumerate(text.split(BLANK)):
-            out.append(self.mark if k else b"")
-            out.extend([get(u) or missing(u, variant) for u in UNIT.findall(("" if k else BLANK) + span.replace(" ", BLANK))])
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_many([text], [doc_key])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return decode(ids, self.v)
@@ -166,7 +315,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPO
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                ids = [e.encode(t, k) for t, k in zip(texts, part.column(0).to_pylist(), strict=True)]
+                ids = e.encode_many(texts, part.column(0).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
                 same = pa.array([e.decode(i) == t for i, t in zip(ids, texts, strict=True)], pa.bool_())
