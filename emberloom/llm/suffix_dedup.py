@@ -154,9 +154,14 @@ def not_first(texts: list[bytes], windows: np.ndarray, d: np.ndarray, tie: np.nd
     if not len(sa):
         return out
     o = owner[sa]
-    order = np.lexsort((start[o] + offset[sa], tie[o], d[o], run))
-    later = np.r_[False, run[order][1:] == run[order][:-1]]
-    gone = sa[order[later]]
+    place = start[o] + offset[sa]
+    order = np.lexsort((place, tie[o], d[o], run))
+    first = np.maximum.accumulate(np.where(np.r_[True, np.diff(run[order]) != 0], np.arange(len(order)), 0))
+    # rows alike are one document: the same place twice is the first twice
+    own = np.column_stack([d[o], tie[o], place])[order]
+    gone = sa[order[(own != own[first]).any(1)]]
+    if not len(gone):
+        return out
     by = np.sort(gone)
     k = owner[by]
     for i, rows in zip(np.unique(k), np.split(by, np.flatnonzero(np.diff(k)) + 1), strict=True):
