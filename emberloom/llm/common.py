@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df in no more partitions than four for each core of the cluster: narrow rows that are written and read again don't need a file for each shuffle partition."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint; for narrow rows."""
     if not df.sparkSession.sparkContext.getCheckpointDir():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, few, stored
 
 
 def signature(edges: DataFrame) -> tuple:
@@ -20,18 +20,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nulls are left out; no edges give no rows.
     """
     e = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("a is not null and b is not null and a <> b").distinct()
-    e = cut(e)
+    e = cut(few(e))
     seen = signature(e)
     for _ in range(rounds):
         if not seen[0]:
             break
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-minima")
+        least = stored(few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))), "star-minima")
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        large = cut(large)
-        least = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "star-minima")
+        large = cut(few(large))
+        least = stored(few(large.groupBy("hi").agg(F.min("lo").alias("m"))), "star-minima")
         small = large.join(least, "hi").filter("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        e = cut(small.unionAll(least.select(F.col("m").alias("lo"), "hi")).distinct())
+        e = cut(few(small.unionAll(least.select(F.col("m").alias("lo"), "hi")).distinct()))
         now = signature(e)
         if now == seen:
             break

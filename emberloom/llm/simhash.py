@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import few, stored, whole_text
 from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -79,5 +79,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = by_fp.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(names, "root").select("fp", "component_id"), "classes")
+    classes = stored(few(rooted.join(names, "root").select("fp", "component_id")), "classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
