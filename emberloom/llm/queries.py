@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, classifier, cover_tree, html_text, mixing, pieces, quality_rules, sharding, simhash, suffix_dedup
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,8 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_replies(table(spark, sf_dir, "conversations"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -66,4 +69,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_quotes": op10_chat_quotes,
 }
-ORACLES: dict[str, str] = {}
