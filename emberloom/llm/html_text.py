@@ -36,10 +36,12 @@ ENDS = {
 #: Elements that never hold main text, and words in class, id or role that name such parts.
 DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea input head title svg object embed canvas menu dialog option datalist label".split())
 DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer header login masthead menu "
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer login menu "
     "modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond share sharing sidebar signup "
     "skip social sponsor sponsored subscribe toolbar widget".split()
 )
+HEADER_WORDS = frozenset(("header", "masthead"))
+LAYOUT = re.compile(r"(?:has|with|without|no|is|js)[-_]")
 KEPT = frozenset("html body main article".split())
 
 
@@ -58,15 +60,22 @@ class Node:
 def is_dropped(tag: str, attributes: str, above: Node) -> bool:
     if tag in DROPPED:
         return True
-    if tag == "header":  # a page's header goes, that of an article holds its title
-        while above is not None and above.tag not in ("article", "main"):
-            above = above.parent
-        return above is None
-    if tag in KEPT or not attributes:
+    if tag in KEPT:
+        return False
+    if tag != "header" and not attributes:
         return False
     if HIDDEN.search(attributes):
         return True
-    return any(w in DROPPED_WORDS for m in MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    # names of what an element has or goes with, as in `has-sidebar`, don't name what it is
+    names = [n for m in MARK.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split() if not LAYOUT.match(n)]
+    words = {w for n in names for w in re.split(r"[^a-z]+", n)}
+    if words & DROPPED_WORDS:
+        return True
+    if tag == "header" or words & HEADER_WORDS:  # a page's header goes, that of an article holds its title
+        while above is not None and above.tag not in ("article", "main"):
+            above = above.parent
+        return above is None
+    return False
 
 
 def parse(html: str) -> Node:

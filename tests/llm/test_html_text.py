@@ -14,6 +14,7 @@ CASES = [
     ("<body><div class='cookie-notice'>We use cookies</div><article><p>Long text of the article, which goes on.</p><div class=\"ad\">Buy</div><p>End.</p></article><div id=comments><p>First!</p></div></body>", "Long text of the article, which goes on.\nEnd."),
     ("<article><p>a</p><script>var t='</p>';</script><style>p{}</style><form><input value=1>Name</form><!-- <p>no</p> --><p>b <b>c</b></p>", "a\nb c"),
     ("<article><p>1 < 2 and <b>bold</p><table><tr><td>x<td>y<tr><td>z</table></article>", "1 < 2 and bold\nx\ny\nz"),
+    ("<body><div class='header'>Site</div><div class='layout has-sidebar'><article><div class='article-header'><h1>Title</h1></div><p>Words of the text.</p></article></div></body>", "Title\nWords of the text."),
     ("<body><div><p>Main story with many words in it, told over two blocks.</p><p>The second block of the story is here.</p></div><div class='sidebar'><a href=/x>link</a></div></body>", "Main story with many words in it, told over two blocks.\nThe second block of the story is here."),
 ]
 
