@@ -22,6 +22,8 @@ SPAN = LENGTH - ANCHOR + 1
 PIECE, SHARD = 1 << 20, 3 << 20
 #: An anchor with more different surroundings than this is told apart by what lies beside it as well.
 HOT = 2000
+#: A hot anchor's part with more entries than this goes window by window instead of into a suffix array.
+WIDE = 5000
 #: Rows of a table that may be broadcast.
 BROADCAST_ROWS = 200_000
 _B = 0x100000001B3
@@ -202,6 +204,18 @@ def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def later_windows(wide: DataFrame) -> DataFrame:
+    """Of entries as they are dealt, the windows that start earlier in another: h, c and spans. No step holds a group, whatever its size: counts by hash and the
+    first places are pre-aggregated, and windows are told apart by their bytes."""
+    each = wide.select("h", "c", "d", "tie", "lo", "start", "t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    each = each.select("h", "c", F.struct("d", "tie", (F.col("start") + F.col("k")).alias("start")).alias("at"), (F.col("lo") + F.col("k")).alias("lo"), F.substring(F.col("t"), F.col("k") + 1, F.lit(LENGTH)).alias("w"))
+    each = each.withColumn("x", F.xxhash64("w"))
+    again = stored(each.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x"), "repeated-windows")
+    each = each.join(bounded_broadcast(again), "x")
+    first = stored(each.groupBy("w").agg(F.min("at").alias("first")), "first-windows")
+    return each.join(bounded_broadcast(first), "w").filter("at <> first").select("h", "c", F.array(F.col("lo").cast("int"), F.lit(1)).alias("spans"))
+
+
 def removed_spans(marks: list[int], length: int) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes from (first window, windows) pairs, flat."""
     if not marks:
@@ -240,7 +254,8 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     4. Where an anchor has different runs, their bytes are fetched and dealt by anchor into shards; each shard's suffix array, sorted by induction,
        and its permuted common prefixes give the windows that different runs share, and which of them isn't the first. An anchor alone in its surroundings is a shard's list
        of one and needs no sorting. Under a very frequent anchor runs are dealt by the 32 bytes on either side of it as well: every
-       window has 32 bytes on one of the sides.
+       window has 32 bytes on one of the sides. What is still wide then, as under a passage that every document follows with words of its own, is taken apart into its
+       windows, whose first places are minima by their bytes.
     5. A window goes if its run isn't the first of its bytes, or if the suffix array says so.
     """
     text = whole_text().cast("binary")
@@ -264,7 +279,8 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     runs = stored(runs.join(often, "h"), "repeated-runs")
     first = runs.groupBy("h", "c").agg(F.min(F.struct("d", "tie", "start")).alias("f"), F.first("run").alias("run"))
     first = stored(first.select("h", "c", "f.*", "run"), "first-runs")
-    several = first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    several = stored(first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "several-runs")
+    hot = several.filter(F.col("m") > HOT).limit(1).count() > 0
     wanted = first.join(several, "h")
     entry = F.struct("h", "c", "tie", "start", "run", "m")
     lists = wanted.groupBy("d").agg(F.collect_list(entry).alias("wanted"))  # no more than a document has windows
@@ -277,10 +293,21 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     part = lambda g, lo, n: F.struct(g.alias("g"), lo.cast("int").alias("lo"), n.cast("int").alias("n"))
     parts = F.when(F.col("m") <= HOT, F.array(part(F.col("h"), F.lit(0), F.col("windows")))).otherwise(F.array(part(left_key, F.lit(0), middle), part(right_key, middle, F.col("windows") - middle)))
     dealt = fetched.withColumn("p", F.explode(parts)).filter("p.n > 0")
-    dealt = dealt.select("p.g", "h", "c", "p.lo", "p.n", "d", "tie", (F.col("start") + F.col("p.lo")).alias("start"), F.substring(F.col("t"), F.col("p.lo") + 1, F.col("p.n") + LENGTH - 1).alias("t"))
+    columns = ["g", "h", "c", "lo", "n", "d", "tie", "start", "t"]
+    dealt = dealt.select("p.g", "h", "c", "p.lo", "p.n", "d", "tie", (F.col("start") + F.col("p.lo")).alias("start"), F.substring(F.col("t"), F.col("p.lo") + 1, F.col("p.n") + LENGTH - 1).alias("t"), (F.col("m") > HOT).alias("hot"))
+    later = None
+    if hot:
+        dealt = stored(dealt, "dealt-runs")
+        wide = stored(dealt.filter("hot").groupBy("g").agg(F.count("*").alias("entries")).filter(F.col("entries") > WIDE).select("g"), "wide-groups")
+        if wide.limit(1).count():
+            wide = bounded_broadcast(wide)
+            later = later_windows(dealt.filter("hot").join(wide, "g", "left_semi"))
+            dealt = dealt.join(wide, "g", "left_anti")
+    dealt = dealt.select(*columns)
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parallel, "g").sortWithinPartitions("g").mapInArrow(sort_shards, "h long, c long, lo int, spans array<int>")
-    told = sorted_.groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    marked = sorted_.select("h", "c", "spans")
+    told = (marked if later is None else marked.unionAll(later)).groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     decided = first.select(F.col("h"), F.col("c"), F.col("d").alias("fd"), F.col("tie").alias("ftie"), F.col("start").alias("fstart")).join(told, ["h", "c"], "left")
     every = runs.join(decided, ["h", "c"])
     is_first = (F.col("d") == F.col("fd")) & (F.col("tie") == F.col("ftie")) & (F.col("start") == F.col("fstart"))

@@ -88,6 +88,22 @@ def test_null_and_torn_ids(spark):
     assert sorted(removed[(5, len(x))] > 0 for x in (p, p + " other")) == [False, True]
 
 
+@pytest.mark.parametrize("broadcast", [0, 10_000])
+def test_no_suffix_array_holds_a_common_passage(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "WIDE", 20)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(150)
+    rows = [(k, some(rng.randint(0, 200)) + passage + some(200)) for k in range(300)]
+    rows += [(400 + k, passage[: 100 + k] + some(80)) for k in range(30)] + [(500, passage * 3)] * 2
+    taken, wide = suffix_dedup.later_windows, []
+    monkeypatch.setattr(suffix_dedup, "later_windows", lambda df: wide.append(df.groupBy("g").count().agg({"count": "max"}).first()[0]) or taken(df))
+    same(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert wide and wide[0] > 100
+
+
 def test_clean_documents_keep_their_other_columns(docs, rows, none):
     got = suffix_dedup.clean_documents(docs)
     assert got.columns == [c for c in docs.columns if c != "text"] + ["text"] and got.count() == len(rows)
