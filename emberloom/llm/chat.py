@@ -28,12 +28,34 @@ def passages(lines: Column) -> Column:
     return F.transform(worded, lambda x: F.struct(level_of(x).alias("level"), F.xxhash64(normal(x)).alias("passage")))
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """turns with message, their place among all, and their lines and passages."""
+    base = turns.select("conv_id", "turn", "role", whole_text().alias("text"))
+    at = ranked(base.withColumn("_h", F.xxhash64("text", "role")), ["conv_id", "turn", "_h"], "message").drop("all_rows", "_h")
+    return stored(at.withColumn("lines", F.split("text", "\n")).withColumn("said", passages(F.col("lines"))), "messages")
+
+
+def links_of(at: DataFrame) -> DataFrame:
+    """message, level, origin, n: how many passages that a message quotes at a level were first said by the earlier message origin of its conversation."""
+    said = at.select("conv_id", "message", F.explode("said").alias("s")).select("conv_id", "message", "s.level", "s.passage")
+    first = said.filter("level = 0").groupBy(F.col("conv_id").alias("_c"), F.col("passage").alias("_p")).agg(F.min("message").alias("origin"))
+    met = said.filter("level > 0").join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("passage") == F.col("_p"))).filter("origin < message")
+    return met.groupBy("message", "level", "origin").agg(F.count("*").alias("n"))
+
+
+def quote_links(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, message, level, origin_turn, origin, n: a row for each message that another quotes, by quote level, with the number of its passages."""
+    at = numbered(turns)
+    turn_of = at.select(F.col("message").alias("origin"), F.col("turn").alias("origin_turn"))
+    return links_of(at).join(at.select("conv_id", "turn", "message"), "message").join(turn_of, "origin").select("conv_id", "turn", "message", "level", "origin_turn", "origin", "n")
+
+
 def link_replies(turns: DataFrame, rounds: int = 64) -> DataFrame:
     """A row for each message: conv_id, turn, role, message (its place among all by conv_id, turn), parent_turn, thread_turn, depth, quotes, max_level, content, rendered, position.
 
-    A line is a passage, its quote level the number of `>` before it. Each passage quoted at the first level is joined to the first earlier
-    message of the conversation that says it in its own words; the message that gave most of them (the latest among equals) is the parent. Without such a
-    link a message follows the one before it. thread_turn is the root that the parents lead to, position the place of a message in its conversation when threads
+    A line is a passage, its quote level the number of `>` before it. Each quoted passage, of any level, is joined to the first earlier
+    message of the conversation that says it in its own words (quote_links has all these links). Of the shallowest level that meets a message, the one that
+    gave most passages (the latest among equals) is the parent. Without such a link a message follows the one before it. thread_turn is the root that the parents lead to, position the place of a message in its conversation when threads
     follow one another, each in the order of turns, so that every reply comes after its parent. content is the text without quoted
     lines, rendered puts the role before it.
 
@@ -41,15 +63,8 @@ def link_replies(turns: DataFrame, rounds: int = 64) -> DataFrame:
     of any length is dealt over tasks; a conversation comes out as rows, never as one value. A null conv_id is a conversation of its own, null turns
     come first, rows alike keep a place each, a null text is empty, a null role is shown as "user".
     """
-    base = turns.select("conv_id", "turn", "role", whole_text().alias("text"))
-    at = ranked(base.withColumn("_h", F.xxhash64("text", "role")), ["conv_id", "turn", "_h"], "message").drop("all_rows", "_h")
-    at = stored(at.withColumn("lines", F.split("text", "\n")).withColumn("said", passages(F.col("lines"))), "messages")
-    said = at.select("conv_id", "message", F.explode("said").alias("s")).select("conv_id", "message", "s.level", "s.passage")
-    first = said.filter("level = 0").groupBy(F.col("conv_id").alias("_c"), F.col("passage").alias("_p")).agg(F.min("message").alias("origin"))
-    quoted = said.filter("level = 1")
-    met = quoted.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("passage") == F.col("_p"))).filter("origin < message")
-    votes = met.groupBy("message", "origin").agg(F.count("*").alias("n"))
-    linked = votes.groupBy("message").agg(F.max_by("origin", F.struct("n", "origin")).alias("linked"))
+    at = numbered(turns)
+    linked = links_of(at).groupBy("message").agg(F.max_by("origin", F.struct(-F.col("level"), "n", "origin")).alias("linked"))
     # the message before, if it is of the same conversation
     before = at.select((F.col("message") + 1).alias("message"), F.col("conv_id").alias("_c"))
     follows = before.join(at.select("message", "conv_id"), "message").filter(F.col("conv_id").eqNullSafe(F.col("_c"))).select("message", (F.col("message") - 1).alias("previous"))

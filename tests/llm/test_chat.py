@@ -1,4 +1,4 @@
-from emberloom.llm.chat import link_replies
+from emberloom.llm.chat import link_replies, quote_links
 
 SCHEMA = "conv_id long, turn long, role string, text string, position string, depth string"
 
@@ -43,3 +43,19 @@ def test_native_and_empty(spark):
     assert link_replies(none).count() == 0
     twice = spark.createDataFrame([(1, 0, "user", "a", "", "")] * 3, SCHEMA)
     assert link_replies(twice).count() == 3
+
+
+def test_deeper_quotes_lead_to_their_messages(spark):
+    rows = [
+        (1, 0, "user", "first words\nmore words"),
+        (1, 1, "assistant", "second words"),
+        (1, 2, "user", "third words"),
+        (1, 3, "assistant", ">> first words\n>> second words\n>> more words\nonly at level 2"),
+        (1, 4, "user", "> edited since\n>> edited too\n>>> second words\nonly at level 3"),
+        (1, 5, "user", ">> first words\n>> more words\n> third words\nthe shallowest counts"),
+    ]
+    got = run(spark, rows)
+    assert {k[1]: r.parent_turn for k, r in got.items()} == {0: None, 1: 0, 2: 1, 3: 0, 4: 1, 5: 2}
+    assert got[1, 3].quotes and got[1, 4].quotes and got[1, 4].max_level == 3
+    links = quote_links(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)).collect()
+    assert sorted((r.turn, r.level, r.origin_turn, r.n) for r in links) == [(3, 2, 0, 2), (3, 2, 1, 1), (4, 3, 1, 1), (5, 1, 2, 1), (5, 2, 0, 2)]
