@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 #: Fixed values of HTML: elements without content, elements whose content is text only, and elements that start a line of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +33,7 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Elements that never hold main text, and words in class, id or role that name such parts.
+#: Elements that never hold main text, and names in class, id or role of such parts: a name as a whole, what it may begin with, and what may stand before it.
 DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea input head title svg object embed canvas menu dialog option datalist label".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer login menu "
@@ -41,37 +41,58 @@ DROPPED_WORDS = frozenset(
     "skip social sponsor sponsored subscribe toolbar widget".split()
 )
 HEADER_WORDS = frozenset(("header", "masthead"))
-LAYOUT = re.compile(r"(?:has|with|without|no|is|js)[-_]")
+BEGINS = re.compile(
+    r"(?:ads?|adverts?|advertisement|adsense|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|login|menu|modal|nav|navbar|navigation|newsletter|pagination|popup|promo|"
+    r"share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar)[-_]|related[-_]+(?:articles|content|items|links|news|pages|posts|products|stories|topics)$"
+)
+BEFORE = re.compile(r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile)[-_]+")
+OF_TEXT = re.compile(r"(?:article|blog|entry|post)[-_]+")
+#: What an element has or how it is, as in `has-sidebar` or `comments-enabled`, isn't what it is.
+LAYOUT = re.compile(r"(?:has|with|without|no|is|js)[-_]|.*[-_](?:enabled|disabled|open|closed|on|off|none|layout)$")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 KEPT = frozenset("html body main article".split())
 
 
 class Node:
     """An element. chars, tags, link_chars and link_tags are those of its subtree."""
 
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def is_dropped(tag: str, attributes: str, above: Node) -> bool:
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by name in lower case; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def is_dropped(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element never holds main text or isn't shown."""
     if tag in DROPPED:
         return True
-    if tag in KEPT:
+    if tag in KEPT or not attributes:
         return False
-    if tag != "header" and not attributes:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(attributes.get("style", "")))
+
+
+def is_named(tag: str, attributes: dict[str, str], above: Node) -> bool:
+    """Whether an element's name is that of a page part."""
+    if tag in KEPT:
         return False
-    if HIDDEN.search(attributes):
-        return True
-    # names of what an element has or goes with, as in `has-sidebar`, don't name what it is
-    names = [n for m in MARK.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split() if not LAYOUT.match(n)]
-    words = {w for n in names for w in re.split(r"[^a-z]+", n)}
-    if words & DROPPED_WORDS:
+    # the id of a heading or paragraph is made from its words
+    names = [n for a in ("class", "role", *(() if tag in HEADINGS else ("id",))) for n in attributes.get(a, "").lower().split()]
+    bare = [n[m.end() :] if (m := BEFORE.match(n)) else n for n in names]
+    parts = [n[m.end() :] if (m := OF_TEXT.match(n)) else n for n in bare]
+    if any(n in DROPPED_WORDS or (BEGINS.match(n) and not LAYOUT.match(n)) for n in parts):
         return True
-    if tag == "header" or words & HEADER_WORDS:  # a page's header goes, that of an article holds its title
+    if tag == "header" or any(n in HEADER_WORDS for n in bare):  # a page's header goes, that of an article holds its title
         while above is not None and above.tag not in ("article", "main"):
             above = above.parent
         return above is None
@@ -114,7 +135,9 @@ def parse(html: str) -> Node:
                     top = x.parent
                     break
                 x = x.parent
-        node = Node(tag, top, top.dropped or is_dropped(tag, m[3], top))
+        attributes = attributes_of(m[3]) if m[3] else {}
+        node = Node(tag, top, top.dropped or is_dropped(tag, attributes))
+        node.named = not node.dropped and is_named(tag, attributes, top)
         top.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
@@ -134,6 +157,23 @@ def nodes_of(root: Node) -> list[Node]:
     return found
 
 
+def drop_named(root: Node) -> None:
+    """Drops elements named as page parts, but none that holds most of the page's text that isn't a link: such a name is that of its layout."""
+    nodes = nodes_of(root)
+    if not any(x.named for x in nodes):
+        return
+    own: dict[Node, int] = {}
+    for x in reversed(nodes):
+        if not x.dropped and x.tag != "a":
+            own[x] = own.get(x, 0) + sum(len(c.strip()) for c in x.children if isinstance(c, str))
+            if x.parent is not None:
+                own[x.parent] = own.get(x.parent, 0) + own[x]
+    most = own.get(root, 0) / 2
+    for x in nodes:
+        if (x.parent is not None and x.parent.dropped) or (x.named and own.get(x, 0) <= most):
+            x.dropped = True
+
+
 def measure(root: Node) -> Node:
     """Composite densities of all elements; returns the body, or the root where there is none."""
     nodes = nodes_of(root)
@@ -212,7 +252,9 @@ def extract(html: str | None) -> str:
     """The main text: blocks joined by a line feed, white space inside a block made one space. Null, empty or markup-only input gives the empty string."""
     if not html:
         return ""
-    body = measure(parse(html))
+    root = parse(html)
+    drop_named(root)
+    body = measure(root)
     articles = [x for x in nodes_of(body) if x.tag in ("article", "main") and not x.dropped and x.chars]
     node = main_node(body)
     # what the page itself marks as its article lies around the densest part

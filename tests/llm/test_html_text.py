@@ -24,6 +24,33 @@ def test_cases(html, text):
     assert extract(html) == text
 
 
+TEXT = "".join(f"<p>Paragraph {k} of the article goes on for a while, in words.</p>" for k in range(4))
+LINES = "\n".join(f"Paragraph {k} of the article goes on for a while, in words." for k in range(4))
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "class='overflow-hidden'", "style='overflow:hidden'", "aria-hidden='false'", "title='hidden places'", "data-hidden='1'", "class='elementor-widget-container'", "class='widget_text'",
+        "class='layout-right-sidebar'", "class='comments-enabled'", "class='sidebar'", "class='comments'",
+    ],
+)
+def test_names_that_are_not_of_page_parts(opening):
+    assert extract(f"<body><div {opening}>{TEXT}</div><div class='site-footer'>(c)</div></body>") == LINES
+    if "'sidebar'" not in opening and "'comments'" not in opening:
+        assert extract(f"<body><article>{TEXT}<div {opening}>A box of it.</div></article></body>") == LINES + "\nA box of it."
+
+
+def test_headings_and_links_keep_their_words():
+    page = "<h2 id='related-work'>Related work</h2><h2 id=notice>Notice</h2><p id='comments'>See <a href='/hidden-gems'>gems</a>.</p>"
+    assert extract(f"<body><article>{TEXT}{page}</article></body>") == LINES + "\nRelated work\nNotice\nSee gems."
+
+
+@pytest.mark.parametrize("opening", ["hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; display : none'", "class='comment-list'", "class='main-nav'", "id=cookie-banner", "class='x related-posts'", "role=navigation"])
+def test_page_parts_go(opening):
+    assert extract(f"<body><article>{TEXT}<div {opening}>Not of it.</div></article></body>") == LINES
+
+
 def test_deep_and_long_pages():
     assert extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert extract("<article>" + "<p>x</p>" * 20_000 + "</article>").count("\n") == 19_999
