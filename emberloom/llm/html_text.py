@@ -220,6 +220,22 @@ def main_node(body: Node) -> Node:
             most, best = s, at
 
 
+def with_siblings(node: Node, body: Node) -> Node:
+    """The highest element on the way up whose children beside that way are as dense as the body: the text goes on in them, and all such elements belong to it.
+
+    What lies beside the way, is sparser and mostly links is dropped.
+    """
+    path = [node]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    beside = [[c for c in up.children if isinstance(c, Node) and c is not x and not c.dropped and c.chars] for x, up in zip(path, path[1:], strict=False)]
+    dense = lambda c: c.density >= body.density and c.chars > c.link_chars
+    top = max((k for k, found in enumerate(beside, 1) if any(map(dense, found))), default=0)
+    for c in (c for found in beside[:top] for c in found):
+        c.dropped = not dense(c) and 2 * c.link_chars > c.chars
+    return path[top]
+
+
 def blocks(node: Node) -> list[str]:
     """Text by blocks in page order."""
     out: list[str] = []
@@ -261,7 +277,7 @@ def extract(html: str | None) -> str:
     around = node
     while around is not None and around not in articles:
         around = around.parent
-    return "\n".join(blocks(around or node))
+    return "\n".join(blocks(around or with_siblings(node, body)))
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -51,6 +51,14 @@ def test_page_parts_go(opening):
     assert extract(f"<body><article>{TEXT}<div {opening}>Not of it.</div></article></body>") == LINES
 
 
+@pytest.mark.parametrize("wraps", [("", ""), ("<div>", "</div>")])
+def test_an_article_in_several_boxes_is_whole(wraps):
+    links = "<div><ul>" + "".join(f"<li><a href=/{k}>Link number {k} to elsewhere</a></li>" for k in range(20)) + "</ul></div>"
+    parts = [[f"Paragraph {k} of the article goes on for quite a while, in words of its own." for k in range(a, b)] for a, b in ((0, 10), (10, 16))]
+    boxes = [wraps[0] + "<div>" + "".join(f"<p>{x}</p>" for x in p) + "</div>" + wraps[1] for p in parts]
+    assert extract(f"<body>{links}<div>{boxes[0]}{links}{boxes[1]}</div></body>") == "\n".join(parts[0] + parts[1])
+
+
 def test_deep_and_long_pages():
     assert extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert extract("<article>" + "<p>x</p>" * 20_000 + "</article>").count("\n") == 19_999
