@@ -21,10 +21,9 @@ digest = xxhash.xxh32_intdigest
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: A merge candidate is skipped with this probability; words of a document are drawn in one of so many ways.
-DROPOUT, VARIANTS, SEED = 0.1, 4, 17
-#: Segmentations that a worker keeps in each of two generations. When the young one is full it becomes the old one, and what is used of that is young
-#: again; the rest is forgotten and worked out anew if it comes up.
+#: A merge candidate is skipped with this probability, drawn anew for every word of every document.
+DROPOUT, SEED = 0.1, 17
+#: Segmentations that a worker keeps. When there are more, all are forgotten and worked out anew if they come up.
 KEPT = 400_000
 #: Units up to this length are merged side by side, longer ones, and those with characters that have no piece, one by one.
 SHORT, NEVER = 32, 1 << 62
@@ -160,14 +159,15 @@ def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of 32-bit numbers."""
-    x = (x ^ x >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-    x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-    return x ^ x >> np.uint32(16)
+    """A 64-bit hash of 64-bit numbers."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
-def merge_many(units: list[str], keys: list[int], v: Vocabulary, dropout: float) -> list[bytes]:
-    """Ids of short units whose characters all have pieces, side by side: a row of pieces and a row of candidates for each, the best candidate of every row at a time."""
+def merge_many(units: list[str], skips: list[int], v: Vocabulary) -> tuple[list[bytes], list[int]]:
+    """Ids of short units whose characters all have pieces, and how many candidates came up, side by side: a row of pieces and a row of candidates for each,
+    the best candidate of every row at a time. The bits of skips say which are skipped, the first to come up lowest; a short unit has fewer than 128."""
     lengths = np.fromiter(map(len, units), np.int64, len(units))
     wide = int(lengths.max())
     column = np.arange(wide)
@@ -176,8 +176,9 @@ def merge_many(units: list[str], keys: list[int], v: Vocabulary, dropout: float)
     parts[inside] = v.characters[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
     agenda = np.full((len(units), wide), NEVER, np.int64)
     agenda[:, :-1] = v.find(parts[:, :-1], parts[:, 1:])
-    own = np.fromiter(map(digest, units, keys), np.uint32, len(units)) if dropout else np.zeros(len(units), np.uint32)
-    low = np.uint64(dropout * (1 << 32))
+    words = [np.array([x >> k & (1 << 64) - 1 for x in skips], np.uint64) for k in (0, 64)]
+    counts = np.zeros(len(units), np.int64)
+    turn = 0
     rows = np.arange(len(units))
     left = lengths.copy()
     done = parts.copy()
@@ -188,12 +189,14 @@ def merge_many(units: list[str], keys: list[int], v: Vocabulary, dropout: float)
         on = best != NEVER
         if not on.all():
             done[rows[~on]] = parts[~on]
+            counts[rows[~on]] = turn
             rows, parts, agenda, i, best = rows[on], parts[on], agenda[on], i[on], best[on]
             r = r[: len(rows)]
             if not len(rows):
                 break
         both = best & 0xFFFF
-        skipped = mixed(own[rows] + i.astype(np.uint32) * np.uint32(0x9E3779B1) ^ both.astype(np.uint32) * np.uint32(0x85EBCA77)) < low
+        skipped = (words[turn >> 6][rows] >> np.uint64(turn & 63) & np.uint64(1)).astype(bool)
+        turn += 1
         agenda[r[skipped], i[skipped]] = NEVER
         m = r[~skipped]
         if len(m):
@@ -213,7 +216,7 @@ def merge_many(units: list[str], keys: list[int], v: Vocabulary, dropout: float)
             a[h, i[h] - 1] = v.find(p[h, i[h] - 1], both[h])
             parts[m], agenda[m] = p, a
     ids = done.astype(np.int32)
-    return [ids[k, :n].tobytes() for k, n in enumerate(left.tolist())]
+    return [ids[k, :n].tobytes() for k, n in enumerate(left.tolist())], counts.tolist()
 
 
 #: Merges never cross from a word to the blanks before the next one, nor a line feed, which has no piece.
@@ -221,72 +224,111 @@ UNIT = re.compile(rf"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
 
 
 class Encoder:
-    """Encodes texts for one model, dropout and seed; keeps a bounded number of segmentations."""
-
-    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, kept: int = KEPT):
-        self.v, self.dropout, self.seed, self.variants, self.kept = vocabulary(model), dropout, seed, variants if dropout else 1, kept
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.fresh: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.count = 0
-        self.mark = np.asarray([self.v.spelt[b] for b in BLANK.encode()], np.int32).tobytes()
+    """Encodes texts for one model, dropout and seed.
 
-    def keep(self, unit: str, variant: int, got: bytes) -> bytes:
-        if len(unit) <= 64:
-            if self.count >= self.kept:
-                self.old = [d.copy() for d in self.young]
-                for d in self.young:
-                    d.clear()
-                self.count = 0
-            self.young[variant][unit] = got
-            self.count += 1
-        return got
-
-    def missing(self, unit: str, variant: int) -> bytes:
-        got = self.fresh[variant].get(unit) or self.old[variant].get(unit)
-        return self.keep(unit, variant, got if got else self.work_out({variant: [unit]})[variant][unit])
-
-    def work_out(self, wanted: dict[int, list[str]]) -> list[dict[str, bytes]]:
-        """Segmentations of units by variant; the short ones of all variants together."""
-        out: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        short = [(k, u) for k, units in wanted.items() for u in units if len(u) <= SHORT]
-        many, single = [], [(k, u) for k, units in wanted.items() for u in units if len(u) > SHORT]
-        if short:
-            codes = np.frombuffer("".join([u for _, u in short]).encode("utf-32-le"), "<u4")
-            starts = np.cumsum([0, *(len(u) for _, u in short[:-1])])
-            known = np.minimum.reduceat(self.v.characters[codes], starts) >= 0
-            for x, good in zip(short, known.tolist(), strict=True):
-                (many if good else single).append(x)
-        for k, u in single:
-            out[k][u] = array("i", merge(u, self.v, self.dropout, self.seed * 1000 + k)).tobytes()
-        many.sort(key=lambda x: len(x[1]))  # rows of a block are about as wide
-        for at in range(0, len(many), 2048):
-            part = many[at : at + 2048]
-            for (variant, u), got in zip(part, merge_many([u for _, u in part], [self.seed * 1000 + k for k, _ in part], self.v, self.dropout), strict=True):
-                out[variant][u] = got
+    Every occurrence of a unit draws its skips by a hash of its document and its place there: how many candidates come up until the next skip. What
+    is cut how depends on the skipped candidates only, so a segmentation is kept for each unit and set of skips that came up (a state), in a bounded number.
+    Long units, and those with characters that have no piece, are merged for each occurrence.
+    """
+
+    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, kept: int = KEPT):
+        self.v, self.dropout, self.seed, self.kept = vocabulary(model), dropout, seed, kept
+        self.mark = np.asarray([self.v.spelt[b] for b in BLANK.encode()], np.int32).tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}
+        self.units: list[str] = []
+        self.skips: list[int] = []
+        self.cuts: list[bytes] = []
+        #: how many candidates come up; -1 for what is merged for each occurrence
+        self.counts = np.zeros(1024, np.int64)
+
+    def add(self, units: list[str], skips: list[int], cuts: list[bytes], counts: list[int]) -> range:
+        first, n = len(self.units), len(self.units) + len(units)
+        self.units += units
+        self.skips += skips
+        self.cuts += cuts
+        if n > len(self.counts):
+            self.counts = np.r_[self.counts, np.zeros(n, np.int64)]
+        self.counts[first:n] = counts
+        return range(first, n)
+
+    def add_merged(self, units: list[str], skips: list[int]) -> list[int]:
+        """States of short units with skips."""
+        out = [0] * len(units)
+        order = sorted(range(len(units)), key=lambda k: len(units[k]))  # rows of a block are about as wide
+        for at in range(0, len(order), 2048):
+            part = order[at : at + 2048]
+            u, s = [units[k] for k in part], [skips[k] for k in part]
+            for k, state in zip(part, self.add(u, s, *merge_many(u, s, self.v)), strict=True):
+                out[k] = state
         return out
 
-    def variant_of(self, doc_key: int | None) -> int:
-        """The way in which a document's words are drawn."""
-        return xxhash.xxh32_intdigest(str(doc_key), self.seed) % self.variants
+    def add_roots(self, units: list[str]) -> None:
+        """States of units without skips."""
+        short = [u for u in units if len(u) <= SHORT]
+        single = [u for u in units if len(u) > SHORT]
+        if short:
+            codes = np.frombuffer("".join(short).encode("utf-32-le"), "<u4")
+            known = np.minimum.reduceat(self.v.characters[codes], np.cumsum([0, *map(len, short[:-1])])) >= 0
+            many = [u for u, good in zip(short, known.tolist(), strict=True) if good]
+            single += [u for u, good in zip(short, known.tolist(), strict=True) if not good]
+            self.roots.update(zip(many, self.add_merged(many, [0] * len(many)), strict=True))
+        find, pairs = self.v.ids.get, self.v.pairs
+        merges = [bool(self.dropout) and any((find(a, -1) << 16 | find(b, -1)) in pairs for a, b in zip(u, u[1:], strict=False)) for u in single]
+        cuts = [b"" if live else array("i", merge(u, self.v, 0.0, 0)).tobytes() for u, live in zip(single, merges, strict=True)]
+        self.roots.update(zip(single, self.add(single, [0] * len(single), cuts, [-int(live) for live in merges]), strict=True))
+
+    def draw(self, states: np.ndarray, keys: np.ndarray) -> None:
+        """Moves each occurrence from its unit's state without skips to that with those it draws."""
+        if not self.dropout:
+            return
+        on, start, turn = np.arange(len(states)), np.zeros(len(states), np.int64), 0
+        while len(on):
+            turn += 1
+            # how many candidates come up before the next that is skipped
+            u = ((mixed(keys[on] + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+            gap = np.log(u) / np.log1p(-self.dropout) if self.dropout < 1 else np.zeros(len(on))
+            place = start + np.minimum(gap, 1e6).astype(np.int64)
+            hit = place < self.counts[states[on]]
+            on, place = on[hit], place[hit]
+            if not len(on):
+                break
+            made, of = np.unique(states[on] << 32 | place, return_inverse=True)
+            made = made.tolist()
+            new = [k for k in made if k not in self.children]
+            parents = [k >> 32 for k in new]
+            skips = [self.skips[x] | 1 << (k & 0xFFFFFFFF) for x, k in zip(parents, new, strict=True)]
+            self.children.update(zip(new, self.add_merged([self.units[x] for x in parents], skips), strict=True))
+            states[on] = np.fromiter(map(self.children.__getitem__, made), np.int64, len(made))[of]
+            start = place + 1
 
     def encode_many(self, texts: list[str], doc_keys: list[int | None]) -> list[np.ndarray]:
         """Ids of texts. A blank mark in a text itself is spelt by bytes."""
-        variants = [self.variant_of(k) for k in doc_keys]
+        if len(self.units) > self.kept:
+            self.forget()
         # units of the spans between blank marks; the first span of a text has a blank before it
-        units = [[UNIT.findall(("" if k else BLANK) + span.replace(" ", BLANK)) for k, span in enumerate(t.split(BLANK))] if t else [] for t in texts]
-        wanted: dict[int, set[str]] = {}
-        for variant, spans in zip(variants, units, strict=True):
-            young, old = self.young[variant], self.old[variant]
-            more = wanted.setdefault(variant, set())
-            for span in spans:
-                more.update([u for u in span if u not in young and u not in old])
-        self.fresh = self.work_out(wanted)
-        ids = []
-        for variant, spans in zip(variants, units, strict=True):
-            get, missing = self.young[variant].get, self.missing
-            ids.append(np.frombuffer(self.mark.join([b"".join([get(u) or missing(u, variant) for u in span]) for span in spans]), np.int32))
-        self.fresh = [{} for _ in range(self.variants)]
+        spans = [[UNIT.findall(("" if k else BLANK) + span.replace(" ", BLANK)) for k, span in enumerate(t.split(BLANK))] if t else [] for t in texts]
+        flat = [u for of_text in spans for span in of_text for u in span]
+        self.add_roots([u for u in dict.fromkeys(flat) if u not in self.roots])
+        states = np.fromiter(map(self.roots.__getitem__, flat), np.int64, len(flat))
+        sizes = [sum(map(len, of_text)) for of_text in spans]
+        documents = np.array([xxhash.xxh64_intdigest(str(k), self.seed) for k in doc_keys], np.uint64)
+        places = np.arange(len(flat)) - np.repeat(np.cumsum([0, *sizes])[:-1], sizes)
+        keys = mixed(np.repeat(documents, sizes) + mixed(places.astype(np.uint64)))
+        self.draw(states, keys)
+        cuts = list(map(self.cuts.__getitem__, states.tolist()))
+        for k in np.flatnonzero(self.counts[states] < 0).tolist():
+            cuts[k] = array("i", merge(flat[k], self.v, self.dropout, int(keys[k]) & 0xFFFFFFFF)).tobytes()
+        ids, at = [], 0
+        for of_text in spans:
+            parts = []
+            for span in of_text:
+                parts.append(b"".join(cuts[at : at + len(span)]))
+                at += len(span)
+            ids.append(np.frombuffer(self.mark.join(parts), np.int32))
         return ids
 
     def encode(self, text: str, doc_key: int | None) -> np.ndarray:
@@ -301,15 +343,15 @@ def decode(ids: np.ndarray | list[int], v: Vocabulary) -> str:
     return b"".join(map(v.raw.__getitem__, np.asarray(ids).tolist())).removeprefix(b" ").decode(errors="replace")
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, ids, n_pieces, and whether the ids decode to the text again, for every row.
 
-    With dropout 0 the ids are those of the SentencePiece library. A null text counts as empty and has no ids; a null doc_id is a key like any
+    With dropout 0 the ids are those of the SentencePiece library; else each word is cut by a draw of its own, keyed by doc_id and its place in the text. A null text counts as empty and has no ids; a null doc_id is a key like any
     other; repeated rows come out alike. Only the model's path travels with the job: each worker reads the file where it is installed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(model, dropout, seed, variants)
+        e = Encoder(model, dropout, seed)
         for b in batches:
             # a long text doesn't share its batch with others
             for at in range(0, b.num_rows, 256):

@@ -1,6 +1,7 @@
+import numpy as np
 import sentencepiece
 
-from emberloom.llm.pieces import MODEL, Encoder, decode_documents, encode_documents
+from emberloom.llm.pieces import DROPOUT, MODEL, Encoder, decode_documents, encode_documents, merge, vocabulary
 
 
 def test_without_dropout_the_ids_are_the_librarys(rows):
@@ -40,3 +41,32 @@ def test_documents(docs, rows, none):
     again = {r.doc_id: r.ids for r in encode_documents(docs.repartition(5)).collect()}
     assert again == {r.doc_id: r.ids for r in got.collect()}
     assert encode_documents(none).count() == 0
+
+
+def test_occurrences_are_cut_each_in_its_own_way():
+    e, v = Encoder(), vocabulary()
+    unit = "▁international"
+    plain = merge(unit, v, 0.0, 0)
+    got = e.encode_many([" ".join(["international"] * 4000), *["international"] * 4000], range(4001))
+    texts = [e.v.raw[i] for i in got[0].tolist()]
+    cuts, now = [], []
+    for x in texts:
+        if x.startswith(b" ") and now:
+            cuts.append(tuple(now))
+            now = []
+        now.append(x)
+    cuts.append(tuple(now))
+    whole = tuple(v.raw[i] for i in plain)
+    assert len(cuts) == 4000 and len(set(cuts)) > 20 and len({x.tobytes() for x in got[1:]}) > 20
+    # as often whole as with merges one by one, inside a document and between documents
+    want = np.mean([merge(unit, v, DROPOUT, k * 7919) == plain for k in range(4000)])
+    for share in (cuts.count(whole) / 4000, np.mean([x.tolist() == plain for x in got[1:]])):
+        assert abs(share - want) < 0.04
+    assert [x.tolist() for x in e.encode_many(["international"] * 2, [7, 7])] == [got[7].tolist()] * 2
+
+
+def test_long_units_vary_too():
+    e = Encoder()
+    got = e.encode("internationalisation" * 3 + " " + "internationalisation" * 3, 1)
+    at = [k for k, i in enumerate(got.tolist()) if e.v.raw[i].startswith(b" ")]
+    assert len(at) == 2 and got[: at[1]].tolist() != got[at[1] :].tolist()
