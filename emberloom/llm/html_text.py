@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: Up to the end of a tag, or to a quote without its other end; what was matched is never given back, so a tag is read once.
+INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
@@ -23,18 +25,22 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
-#: An opening tag ends an open one of these, looking no further up than the stops.
-ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
-#: Elements that never hold main text, and names in class, id or role of such parts: a name as a whole, what it may begin with, and what may stand before it.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea input head title svg object embed canvas menu dialog option datalist label".split())
+#: An opening tag ends an open element of its group, unless one of the stops was opened since: the group's bit, what ends it, and the stops.
+GROUPS = (
+    (1, {"p"}, CLOSES_P, {"table", "caption", "td", "th", "button", "object", "template", "html", "body"}),
+    (2, {"li"}, {"li"}, {"ul", "ol", "menu"}),
+    (4, {"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    (8, {"tr"}, {"tr"}, {"table"}),
+    (16, {"td", "th"}, {"td", "th"}, {"tr", "table"}),
+    (32, {"option"}, {"option", "optgroup"}, {"select"}),
+)
+OWN = {t: bit for bit, own, _, _ in GROUPS for t in own}
+CLOSED = {t: [bit for bit, _, ends, _ in GROUPS if t in ends] for _, _, ends, _ in GROUPS for t in ends}
+STOPPED = {t: sum(bit for bit, _, _, stops in GROUPS if t in stops) for _, _, _, stops in GROUPS for t in stops}
+#: Elements whose content isn't shown as text.
+UNSHOWN = frozenset("script style noscript template iframe head title svg object embed canvas input textarea select button datalist option noembed noframes".split())
+#: Elements that are page parts, and names in class, id or role of such parts: a name as a whole, what it may begin with, and what may stand before it.
+DROPPED = frozenset("nav footer aside form menu dialog label".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer login menu "
     "modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond share sharing sidebar signup "
@@ -51,18 +57,25 @@ OF_TEXT = re.compile(r"(?:article|blog|entry|post)[-_]+")
 LAYOUT = re.compile(r"(?:has|with|without|no|is|js)[-_]|.*[-_](?:enabled|disabled|open|closed|on|off|none|layout)$")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 KEPT = frozenset("html body main article".split())
+#: What continues a text beside it in one box, as its headings and paragraphs do.
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre ul ol dl table figure".split())
+#: A box beside the chosen subtree belongs to it if its densities sum to at least this share of that subtree's.
+SHARE = 0.2
 
 
 class Node:
-    """An element. chars, tags, link_chars and link_tags are those of its subtree."""
+    """An element. shown: whether its content is text on the page; part: whether a list says that it, or what it lies in, is a page part. chars, tags, link_chars and
+    link_tags are those of its subtree, density is its composite text density, total the sum of its children's and most the largest such sum in its subtree. scope has the bits of GROUPS that are open in it."""
 
-    __slots__ = ("tag", "parent", "children", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "shown", "part", "named", "inside", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total", "most")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, False
+    def __init__(self, tag: str, parent: Node | None, shown: bool = True):
+        self.tag, self.parent, self.shown, self.part, self.named = tag, parent, shown, False, False
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.scope = (parent.scope & ~STOPPED.get(tag, 0) if parent else 0) | OWN.get(tag, 0)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = 0.0
+        self.density = self.total = self.most = 0.0
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -73,17 +86,12 @@ def attributes_of(text: str) -> dict[str, str]:
     return found
 
 
-def is_dropped(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an element never holds main text or isn't shown."""
-    if tag in DROPPED:
-        return True
-    if tag in KEPT or not attributes:
-        return False
+def is_hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(attributes.get("style", "")))
 
 
-def is_named(tag: str, attributes: dict[str, str], above: Node) -> bool:
-    """Whether an element's name is that of a page part."""
+def is_named(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element's name is that of a page part. inside: whether it lies in an article."""
     if tag in KEPT:
         return False
     # the id of a heading or paragraph is made from its words
@@ -92,60 +100,81 @@ def is_named(tag: str, attributes: dict[str, str], above: Node) -> bool:
     parts = [n[m.end() :] if (m := OF_TEXT.match(n)) else n for n in bare]
     if any(n in DROPPED_WORDS or (BEGINS.match(n) and not LAYOUT.match(n)) for n in parts):
         return True
-    if tag == "header" or any(n in HEADER_WORDS for n in bare):  # a page's header goes, that of an article holds its title
-        while above is not None and above.tag not in ("article", "main"):
-            above = above.parent
-        return above is None
-    return False
+    return (tag == "header" or any(n in HEADER_WORDS for n in bare)) and not inside  # a page's header goes, that of an article holds its title
 
 
 def parse(html: str) -> Node:
-    """A forgiving tree: closing tags without a match are ignored, open elements end with their parent."""
-    root = top = Node("#root", None, False)
+    """A forgiving tree in one pass: closing tags without a match are ignored, open elements end with their parent, an unfinished tag at the end says nothing.
+
+    Every look up the tree ends what it passes, so the time is that of the page's length, whatever is left open in it.
+    """
+    root = top = Node("#root", None)
+    opened: dict[str, int] = {}
     at, end = 0, len(html)
+
+    def close(x: Node) -> None:
+        """Ends the open elements down from top to x."""
+        nonlocal top
+        while True:
+            opened[top.tag] -= 1
+            done, top = top is x, top.parent
+            if done:
+                return
+
     while at < end:
-        m = TAG.search(html, at)
-        if m is None:
+        begin = html.find("<", at)
+        if begin < 0:
             top.children.append(html[at:])
             break
-        if m.start() > at:
-            top.children.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        m = NAME.match(html, begin + 1)
+        if m is None and html[begin + 1 : begin + 2] not in ("!", "?", "/"):
+            # a sign of its own
+            top.children.append(html[at : begin + 1])
+            at = begin + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            x = top
-            while x is not None and x.tag != tag:
-                x = x.parent
-            if x is not None:
-                top = x.parent
+        if begin > at:
+            top.children.append(html[at:begin])
+        if m is None:
+            ends = "-->" if html.startswith("<!--", begin) else ">"
+            at = html.find(ends, begin + 2)
+            at = end if at < 0 else at + len(ends)
             continue
-        if tag in CLOSES_P:
-            x = top
-            while x.tag not in ("p", "#root", "td", "th", "li", "div", "article", "section", "body", "blockquote", "button"):
-                x = x.parent
-            if x.tag == "p":
-                top = x.parent
-        if tag in ENDS:
-            ended, stops = ENDS[tag]
-            x = top
-            while x.tag != "#root" and x.tag not in stops:
-                if x.tag in ended:
-                    top = x.parent
-                    break
-                x = x.parent
-        attributes = attributes_of(m[3]) if m[3] else {}
-        node = Node(tag, top, top.dropped or is_dropped(tag, attributes))
-        node.named = not node.dropped and is_named(tag, attributes, top)
+        stop = INSIDE.match(html, m.end()).end()
+        if stop >= end or html[stop] != ">":
+            # a quote without its other end is a sign like others
+            stop = html.find(">", m.end())
+            if stop < 0:
+                break
+        inner, at = html[m.end() : stop], stop + 1
+        tag = m[0].lower()
+        if tag[0] == "/":
+            tag = tag[1:]
+            if opened.get(tag):
+                x = top
+                while x.tag != tag:
+                    x = x.parent
+                close(x)
+            continue
+        for bit in CLOSED.get(tag, ()):
+            if top.scope & bit:
+                x = top
+                while OWN.get(x.tag) != bit:
+                    x = x.parent
+                close(x)
+        attributes = attributes_of(inner) if inner else {}
+        node = Node(tag, top, top.shown and tag not in UNSHOWN and not (attributes and tag not in KEPT and is_hidden(attributes)))
+        node.part = top.part or tag in DROPPED
+        node.named = not node.part and bool(attributes or tag == "header") and is_named(tag, attributes, top.inside)
         top.children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            if not node.dropped:
-                node.children.append(html[at : close.start() if close else end])
-            at = close.end() if close else end
-        elif tag not in VOID and not m[3].endswith("/"):
+            ended = re.compile(rf"</{tag}(?![^\s/>])", re.I).search(html, at)
+            stop = html.find(">", ended.end()) if ended else -1
+            if node.shown:
+                node.children.append(html[at : ended.start() if ended else end])
+            at = stop + 1 if stop >= 0 else end
+        elif tag not in VOID and not inner.endswith("/"):
             top = node
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -157,29 +186,40 @@ def nodes_of(root: Node) -> list[Node]:
     return found
 
 
-def drop_named(root: Node) -> None:
-    """Drops elements named as page parts, but none that holds most of the page's text that isn't a link: such a name is that of its layout."""
+def mark_parts(root: Node) -> None:
+    """Marks elements named as page parts, but not where such a name is that of the page's layout: on what holds most of the page's words that aren't links, and an
+    article, its title or main part as well, if the page has such."""
     nodes = nodes_of(root)
     if not any(x.named for x in nodes):
         return
     own: dict[Node, int] = {}
+    titles: dict[Node, int] = {}
     for x in reversed(nodes):
-        if not x.dropped and x.tag != "a":
-            own[x] = own.get(x, 0) + sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        if x.shown:
+            titles[x] = titles.get(x, 0) + (x.tag in ("h1", "article", "main"))
+            own[x] = own.get(x, 0) + (0 if x.tag == "a" else sum(len(c.strip()) for c in x.children if isinstance(c, str)))
             if x.parent is not None:
-                own[x.parent] = own.get(x.parent, 0) + own[x]
-    most = own.get(root, 0) / 2
+                own[x.parent] = own.get(x.parent, 0) + (0 if x.tag == "a" else own[x])
+                titles[x.parent] = titles.get(x.parent, 0) + titles[x]
+    most, titled = own.get(root, 0) / 2, titles.get(root, 0) > 0
     for x in nodes:
-        if (x.parent is not None and x.parent.dropped) or (x.named and own.get(x, 0) <= most):
-            x.dropped = True
+        layout = own.get(x, 0) > most and (titles[x] > 0 or not titled)
+        if (x.parent is not None and x.parent.part) or (x.named and not layout):
+            x.part = True
+
+
+def composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite text density: characters for each tag, less the more of both are links. share: that of links in the body's characters."""
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)), 0.0) / base
 
 
 def measure(root: Node) -> Node:
-    """Composite densities of all elements; returns the body, or the root where there is none."""
+    """Composite densities of all elements, and the sums of their children's; returns the body, or the root where there is none. Page parts are measured like the rest."""
     nodes = nodes_of(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     for x in reversed(nodes):
-        if x.dropped:
+        if not x.shown:
             continue
         x.chars += sum(len(c.strip()) for c in x.children if isinstance(c, str))
         if x.tag == "a":
@@ -191,53 +231,53 @@ def measure(root: Node) -> Node:
             p.link_tags += x.link_tags + (x.tag == "a")
     share = body.link_chars / max(body.chars, 1)
     for x in nodes:
-        if x.dropped or not x.chars:
-            continue
-        c, t, lc, lt = x.chars, max(x.tags, 1), max(x.link_chars, 1), max(x.link_tags, 1)
-        base = math.log(c / max(c - x.link_chars, 1) * x.link_chars + share * c + math.e)
-        x.density = c / t * max(math.log(c / lc * t / lt), 0.0) / base if base > 0 else 0.0
+        if x.shown and x.chars:
+            x.density = composite(x.chars, x.tags, x.link_chars, x.link_tags, share)
+    for x in nodes:
+        inner = [c.density for c in x.children if isinstance(c, Node) and c.chars and c.tag in BLOCK]
+        # a box without boxes is its own child
+        x.total = x.most = sum(inner) if inner else x.density
+    for x in reversed(nodes):
+        if x.parent is not None and x.shown:
+            x.parent.most = max(x.parent.most, x.most)
     return body
 
 
-def main_node(body: Node) -> Node:
-    """The subtree with the largest sum of its children's densities, among those at least as dense as the least dense element on the body's path to it.
+def main_node(body: Node) -> tuple[Node, float]:
+    """The subtree whose densities sum to most, of all that aren't in page parts (the outermost of equals), and the threshold: the least density on the path from the body to it."""
+    best = max((x for x in nodes_of(body) if x.shown and not x.part and x.chars and (x.tag in BLOCK or x is body)), key=lambda x: x.total, default=body)
+    least, x = best.density, best
+    while x is not body:
+        x = x.parent
+        least = min(least, x.density)
+    return best, least
+
+
+def chosen(node: Node, body: Node, least: float) -> list[Node | str]:
+    """The subtree and what lies beside its path to the body and belongs to it, in page order: boxes at least as dense as the threshold with densities in them that sum to
+    SHARE of the subtree's, and, in its own box, words, headings and the like at least as dense."""
+    before: list[Node | str] = []
+    after: list[Node | str] = []
+    x = node
+    while x is not body:
+        up = x.parent
+        at = next(k for k, c in enumerate(up.children) if c is x)
+        belongs = [c for c in up.children if c is x or (bool(c.strip()) and x is node if isinstance(c, str) else is_beside(c, node, least, x is node))]
+        split = next(k for k, c in enumerate(belongs) if c is x)
+        before[:0] = belongs[:split]
+        after.extend(belongs[split + 1 :])
+        x = up
+    return [*before, node, *after]
+
+
+def is_beside(c: Node, node: Node, least: float, near: bool) -> bool:
+    if not c.shown or c.part or not c.chars or c.density < least:
+        return False
+    return c.most >= SHARE * node.total or (near and c.tag in FLOW)
+
 
-    Going down from the body, the child that holds the most text is on the path; a candidate must be at least as dense as the body, the threshold of
-    the path, and hold most of the page's text that isn't a link, so that one dense paragraph isn't taken for the article.
-    """
-    least, best, at = body.density, body, body
-    own = lambda x: x.chars - x.link_chars
-    sums = lambda x: sum(c.density for c in x.children if isinstance(c, Node) and not c.dropped)
-    most = sums(body)
-    while True:
-        inner = [c for c in at.children if isinstance(c, Node) and not c.dropped and c.chars]
-        if not inner:
-            return best
-        at = max(inner, key=own)
-        if own(at) < 0.5 * own(body) or at.density < least:
-            return best
-        if (s := sums(at)) > most:
-            most, best = s, at
-
-
-def with_siblings(node: Node, body: Node) -> Node:
-    """The highest element on the way up whose children beside that way are as dense as the body: the text goes on in them, and all such elements belong to it.
-
-    What lies beside the way, is sparser and mostly links is dropped.
-    """
-    path = [node]
-    while path[-1] is not body and path[-1].parent is not None:
-        path.append(path[-1].parent)
-    beside = [[c for c in up.children if isinstance(c, Node) and c is not x and not c.dropped and c.chars] for x, up in zip(path, path[1:], strict=False)]
-    dense = lambda c: c.density >= body.density and c.chars > c.link_chars
-    top = max((k for k, found in enumerate(beside, 1) if any(map(dense, found))), default=0)
-    for c in (c for found in beside[:top] for c in found):
-        c.dropped = not dense(c) and 2 * c.link_chars > c.chars
-    return path[top]
-
-
-def blocks(node: Node) -> list[str]:
-    """Text by blocks in page order."""
+def blocks(found: list[Node | str], least: float) -> list[str]:
+    """Text by blocks in page order, without page parts and the boxes of links that are sparser than the threshold."""
     out: list[str] = []
     run: list[str] = []
 
@@ -247,14 +287,14 @@ def blocks(node: Node) -> list[str]:
                 out.append(line)
             run.clear()
 
-    todo: list = [node]
+    todo: list = found[::-1]
     while todo:
         x = todo.pop()
         if x is None:
             end()
         elif isinstance(x, str):
             run.append(unescape(x) if "&" in x else x)
-        elif not x.dropped:
+        elif x.shown and not x.part and not (x.density < least and x.link_tags > 1 and 2 * x.link_chars > x.chars and x.tag in BLOCK and x.tag not in HEADINGS):
             block = x.tag in BLOCK
             if block:
                 end()
@@ -264,20 +304,25 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def extract(html: str | None) -> str:
-    """The main text: blocks joined by a line feed, white space inside a block made one space. Null, empty or markup-only input gives the empty string."""
+def extract(html: str | None, lists: bool = True, density: bool = True) -> str:
+    """The main text: blocks joined by a line feed, white space inside a block made one space. Null, empty or markup-only input gives the empty string.
+
+    Density chooses, over all elements that are shown: the subtree with the largest sum, and the boxes beside it that are as dense as the path to it. The lists of page parts (menus, notices,
+    comments) only say where that subtree isn't looked for and what is cut out of it. lists and density turn either off, to see what it does.
+    """
     if not html:
         return ""
     root = parse(html)
-    drop_named(root)
+    if lists:
+        mark_parts(root)
+    else:
+        for x in nodes_of(root):
+            x.part = False
     body = measure(root)
-    articles = [x for x in nodes_of(body) if x.tag in ("article", "main") and not x.dropped and x.chars]
-    node = main_node(body)
-    # what the page itself marks as its article lies around the densest part
-    around = node
-    while around is not None and around not in articles:
-        around = around.parent
-    return "\n".join(blocks(around or with_siblings(node, body)))
+    if not density:
+        return "\n".join(blocks([body], -1.0))
+    node, least = main_node(body)
+    return "\n".join(blocks(chosen(node, body, least), least))
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
