@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,16 @@ from .common import stored
 from .components import components
 
 COSINE = 0.95
-#: Vectors in a block, and in a leaf of a tree.
-BLOCK, LEAF = 4096, 256
-#: Centres that deal the vectors into cells; drawn by the smallest hashes.
-CENTRES = 64
+#: Vectors of a block, which has one tree.
+BLOCK = 16_384
+#: The vectors are dealt into at most so many cells, whose centres are the upper levels of a tree over a sample of at most so many vectors, those with the smallest hashes.
+CENTRES, SAMPLE = 1024, 4096
+#: Levels of a tree at most: radii from 2, halved from level to level. What lies closer together than the last is a leaf's sibling without being told apart.
+LEVELS = 24
+#: Room for rounding in bounds: no link is pruned by it, and none is taken for sure within it.
+SLACK = 1e-7
+#: Node pairs that are looked at together, and children of a pair of nodes from which on their distances are one matrix product.
+TOGETHER, WIDE = 1 << 14, 1 << 11
 
 
 def distance_of(cosine: float) -> float:
@@ -24,108 +31,310 @@ def distance_of(cosine: float) -> float:
     return float(np.sqrt(max(2 - 2 * cosine, 0.0)))
 
 
-class Tree:
-    """A cover tree over the rows of x: the radius halves from level to level, a node's centre is one of its rows and its covering radius the largest distance to any of them."""
+def distances(dots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * dots, 0))
 
-    __slots__ = ("rows", "centre", "radius", "children")
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, scale: float = 2.0, leaf: int = LEAF):
-        self.rows, self.centre = rows, x[rows[0]]
-        d = np.sqrt(np.maximum(2 - 2 * (x[rows] @ self.centre), 0))
-        self.radius = float(d.max())
-        self.children: list[Tree] = []
-        # levels without a cut are skipped; rows that lie on one another stay a leaf
-        while scale / 2 > max(self.radius, 1e-6):
-            scale /= 2
-        if len(rows) <= leaf or scale < 1e-3:
-            return
-        scale /= 2
-        left, groups = rows, []
-        while len(left):
-            near = np.sqrt(np.maximum(2 - 2 * (x[left] @ x[left[0]]), 0)) <= scale
-            near[0] = True
-            groups.append(left[near])
-            left = left[~near]
-            if len(groups) > 64:  # spread too thin for nodes to exclude anything: the rest is left to the leaf's product
-                break
-        if len(groups) < 2 or len(groups) > 64:
-            return
-        self.children = [Tree(x, g, scale, leaf) for g in groups]
-
-
-def close_pairs(x: np.ndarray, a: Tree, y: np.ndarray, b: Tree, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (of x, of y) at the cosine or over it, by dual traversal. A pair of nodes is left out if even its closest members are too far apart. same: x is y, each pair once."""
-    reach = distance_of(cosine) + 1e-9
-    todo = [(a, b)]
-    while todo:
-        p, q = todo.pop()
-        if p is not q:
-            between = float(np.sqrt(max(2 - 2 * float(p.centre @ q.centre), 0)))
-            if between - p.radius - q.radius > reach:
-                continue
-        if not p.children and not q.children:
-            for at in range(0, len(p.rows), 512):
-                i, j = np.nonzero(x[p.rows[at : at + 512]] @ y[q.rows].T >= cosine)
-                i, j = p.rows[at + i], q.rows[j]
-                if same and p is q:
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                if len(i):
-                    yield i, j
-        elif same and p is q:
-            todo.extend((p.children[i], p.children[j]) for i in range(len(p.children)) for j in range(i, len(p.children)))
-        elif p.children and (not q.children or p.radius >= q.radius):
-            todo.extend((c, q) for c in p.children)
-        else:
-            todo.extend((p, c) for c in q.children)
-
-
-class Sets:
-    """Union-find over row numbers."""
+def nets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, parent) of each row of x: the level it enters at, and its parent among the rows that entered before (-1 for the first row, which is level 0).
+
+    The rows of levels up to k are a net of radius r = 2 / 2**k: more than r apart from one another (separation), and every row lies within r of one
+    of them (covering). Each net holds the ones before it (nesting). A row that enters at level k lies within 2 r of its parent.
+    """
+    n = len(x)
+    level, parent = np.zeros(n, np.int32), np.full(n, -1, np.int64)
+    centres, many = np.empty_like(x), min(n, 1)
+    who = np.zeros(n, np.int64)
+    centres[:many] = x[:many]
+    left = np.arange(1, n)
+    parent[left] = 0
+    radius = 2.0
+    for k in range(1, LEVELS + 1):
+        if not len(left):
+            break
+        if k == LEVELS:
+            level[left] = k
+            break
+        radius /= 2
+        least = 1 - radius * radius / 2
+        kept = []
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            dots = x[rows] @ centres[:many].T
+            nearest = dots.argmax(1)
+            best = dots[np.arange(len(rows)), nearest]
+            over, open_ = who[nearest], np.flatnonzero(best < least)
+            among = x[rows[open_]] @ x[rows[open_]].T
+            free = np.ones(len(open_), bool)
+            for i in range(len(open_)):
+                if free[i]:
+                    level[rows[open_[i]]] = k
+                    centres[many], who[many] = x[rows[open_[i]]], rows[open_[i]]
+                    many += 1
+                    near = np.flatnonzero(free & (among[i] >= least))
+                    over[open_[near]] = rows[open_[i]]
+                    free[near] = free[i] = False
+            new = level[rows] == k
+            # who entered keeps the parent it had, the others go on below who covers them
+            parent[rows[~new]] = over[~new]
+            kept.append(rows[~new])
+        left = np.concatenate(kept)
+    return level, parent
+
+
+class CoverTree:
+    """An explicit cover tree over unit vectors.
+
+    x has the vectors in the order of the tree, so that each node's are one run, begin to end. A node's centre is one of its vectors, its first child has the same centre
+    (nesting), radius is the largest distance from the centre to any of its vectors (covering radius). Children are a run of nodes, first to last; a leaf is one
+    vector and has none. Levels that would have a single child are left out.
+    """
+
+    __slots__ = ("x", "order", "centre", "radius", "first", "last", "begin", "end", "level")
+    ARRAYS = ("x", "order", "centre", "radius", "first", "last", "begin", "end", "level")
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        level, parent = nets(x)
+        by = np.lexsort((level, parent))
+        by = by[parent[by] >= 0]
+        new = np.flatnonzero(np.r_[True, (np.diff(parent[by]) != 0) | (np.diff(level[by]) != 0)]) if len(by) else np.zeros(0, int)
+        below: dict[int, list[np.ndarray]] = {}
+        for group in np.split(by, new[1:]) if len(by) else []:
+            below.setdefault(int(parent[group[0]]), []).append(group)
+        point, enters = [0] * min(n, 1), [0] * min(n, 1)
+        rest = [below.get(0, [])] * min(n, 1)
+        first, last = [], []
+        at = 0
+        while at < len(point):
+            first.append(len(point))
+            if rest[at]:
+                group = rest[at][0].tolist()
+                k = int(level[group[0]])
+                point += [point[at], *group]
+                rest += [rest[at][1:], *(below.get(q, []) for q in group)]
+                enters += [k] * (len(group) + 1)
+            last.append(len(point))
+            rest[at] = []
+            at += 1
+        m = len(point)
+        self.first, self.last, self.level = np.array(first, np.int64), np.array(last, np.int64), np.array(enters, np.int32)
+        size = [1] * m
+        for i in range(m - 1, -1, -1):
+            if last[i] > first[i]:
+                size[i] = sum(size[first[i] : last[i]])
+        begin = [0] * m
+        for i in range(m):
+            o = begin[i]
+            for c in range(first[i], last[i]):
+                begin[c] = o
+                o += size[c]
+        self.begin, self.end = np.array(begin, np.int64), np.array(begin, np.int64) + np.array(size, np.int64)
+        leaf = self.first == self.last
+        self.order = np.zeros(n, np.int64)
+        self.order[self.begin[leaf]] = np.array(point, np.int64)[leaf]
+        place = np.zeros(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.x, self.centre = x[self.order], place[np.array(point, np.int64)]
+        self.radius = np.zeros(m)
+        for i in np.flatnonzero(~leaf).tolist():
+            self.radius[i] = distances(self.x[self.begin[i] : self.end[i]] @ self.x[self.centre[i]]).max()
+
+    def fan(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, number) of what the nodes are replaced by: their children, a leaf by itself."""
+        n = self.last[nodes] - self.first[nodes]
+        return np.where(n, self.first[nodes], nodes), np.maximum(n, 1)
+
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{k: getattr(self, k) for k in self.ARRAYS})
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> CoverTree:
+        tree = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as found:
+            for k in cls.ARRAYS:
+                setattr(tree, k, found[k])
+        return tree
+
+
+class Classes:
+    """Connected classes of n things, as labels: the smallest of each class."""
 
     def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
-def block_links(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd.DataFrame:
-    """Links within a block, or between two: for each vector the number of vectors it is linked to, copies counted, and edges that connect what is linked."""
-    unit = lambda f: np.stack([np.frombuffer(v, "<f8") for v in f["unit"]]) if len(f) else np.zeros((0, 1))
-    same = right is None
-    x = unit(left)
-    y = x if same else unit(right)
-    rid, lid = (left if same else right)["rep"].to_numpy(), left["rep"].to_numpy()
-    rn, ln = (left if same else right)["copies"].to_numpy(), left["copies"].to_numpy()
-    found_l, found_r = np.zeros(len(lid), np.int64), np.zeros(len(rid), np.int64)
-    edges, sets = [], Sets(len(lid) if same else len(lid) + len(rid))
-    if len(x) and len(y):
-        a = Tree(x, np.arange(len(x)))
-        b = a if same else Tree(y, np.arange(len(y)))
-        for i, j in close_pairs(x, a, y, b, cosine, same):
-            np.add.at(found_l, i, rn[j])
-            np.add.at(found_l if same else found_r, j, ln[i])
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                if sets.join(p, q if same else q + len(lid)):
-                    edges.append((int(lid[p]), int(rid[q])))
-    rows = [(int(k), None, int(n)) for k, n in zip(lid, found_l, strict=True) if n]
-    if not same:
-        rows += [(int(k), None, int(n)) for k, n in zip(rid, found_r, strict=True) if n]
-    rows += [(p, q, None) for p, q in edges]
-    # arrays that know nulls: floats would round the ids
-    return pd.DataFrame({c: pd.array([r[k] for r in rows], "Int64") for k, c in enumerate("abn")})
+        self.label, self.held, self.size = np.arange(n), [], 0
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.size += len(a)
+        if self.size > 1 << 20:
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        label = self.label
+        a = np.concatenate([h[0] for h in self.held]) if self.held else np.zeros(0, np.int64)
+        b = np.concatenate([h[1] for h in self.held]) if self.held else a
+        self.held, self.size = [], 0
+        while True:
+            p, q = label[a], label[b]
+            open_ = p != q
+            if not open_.any():
+                return label
+            a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+            while not np.array_equal(up := label[label], label):
+                label[:] = up
+
+
+class DualTraversal:
+    """Links at the cosine or over it between the vectors of two trees, or inside one (a is b).
+
+    A pair of nodes is replaced by the pairs of their children. One whose centres are further apart than the covering radii and the threshold's distance is pruned; one whose
+    farthest members must be near enough links all of its vectors at once, without listing them; of two leaves the cosine decides.
+
+    links_a and links_b: for each vector, in the order of its tree, the weights of the vectors it is linked to. label: connected classes
+    of a's vectors and, numbered on from them, b's. pruned, taken and compared count node pairs.
+    """
+
+    def __init__(self, a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.ndarray, cosine: float):
+        self.a, self.b, self.wa, self.wb, self.cosine, self.same = a, b, weight_a, weight_b, cosine, a is b
+        self.reach = distance_of(cosine)
+        n, m = len(a.x), len(b.x)
+        self.shift = 0 if self.same else n
+        self.add_a, self.add_b = np.zeros(n + 1), np.zeros(m + 1)
+        self.sums_a, self.sums_b = np.r_[0.0, np.cumsum(weight_a)], np.r_[0.0, np.cumsum(weight_b)]
+        self.classes = Classes(n if self.same else n + m)
+        self.pruned = self.taken = self.compared = 0
+        self.todo = [(np.zeros(1, np.int64), np.zeros(1, np.int64))] if n and m else []
+        while self.todo:
+            self.expand(*self.todo.pop())
+        self.links_a, self.links_b = np.cumsum(self.add_a[:-1]), np.cumsum(self.add_b[:-1])
+        if self.same:
+            self.links_a = self.links_b = self.links_a + self.links_b
+        self.label = self.classes.fold()
+
+    def expand(self, p: np.ndarray, q: np.ndarray) -> None:
+        if len(p) > TOGETHER:
+            for at in range(0, len(p), TOGETHER):
+                self.todo.append((p[at : at + TOGETHER], q[at : at + TOGETHER]))
+            return
+        (fp, np_), (fq, nq) = self.a.fan(p), self.b.fan(q)
+        wide = np_ * nq >= WIDE
+        for k in np.flatnonzero(wide).tolist():
+            self.product(np.arange(fp[k], fp[k] + np_[k]), np.arange(fq[k], fq[k] + nq[k]), self.same and p[k] == q[k])
+        p, q, fp, np_, fq, nq = (v[~wide] for v in (p, q, fp, np_, fq, nq))
+        if not len(p):
+            return
+        fans = np_ * nq
+        of = np.repeat(np.arange(len(p)), fans)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(fans) - fans, fans)
+        i, j = fp[of] + k // nq[of], fq[of] + k % nq[of]
+        if self.same:
+            keep = (p[of] != q[of]) | (i <= j)
+            i, j = i[keep], j[keep]
+        for at in range(0, len(i), TOGETHER):
+            self.judge(i[at : at + TOGETHER], j[at : at + TOGETHER])
+
+    def product(self, i: np.ndarray, j: np.ndarray, own: bool) -> None:
+        """The children of one pair of nodes, tile by tile. A bound for a whole tile comes first; children without an extent stand apart, as theirs is the sharpest."""
+        a, b = self.a, self.b
+        for rows in (i[a.radius[i] > 0], i[a.radius[i] == 0]):
+            for columns in (j[b.radius[j] > 0], j[b.radius[j] == 0]):
+                if not len(columns):
+                    continue
+                y, extent = b.x[b.centre[columns]].T, b.radius[columns].max()
+                for at in range(0, len(rows), 256):
+                    r = rows[at : at + 256]
+                    far = min(a.radius[r].max() + extent + self.reach + SLACK, 2.0)
+                    u, v = np.nonzero(a.x[a.centre[r]] @ y >= 1 - far * far / 2 - 1e-12)
+                    u, v = r[u], columns[v]
+                    met = len(r) * len(columns)
+                    if own:
+                        keep = u <= v
+                        u, v = u[keep], v[keep]
+                        met = int(np.searchsorted(columns, r, side="left").sum())
+                        met = len(r) * len(columns) - met
+                    self.pruned += met - len(u)
+                    self.compared += met - len(u)
+                    for o in range(0, len(u), TOGETHER):
+                        self.judge(u[o : o + TOGETHER], v[o : o + TOGETHER])
+
+    def judge(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.a, self.b
+        self.compared += len(i)
+        dots = np.einsum("ij,ij->i", a.x[a.centre[i]], b.x[b.centre[j]])
+        single = (a.first[i] == a.last[i]) & (b.first[j] == b.last[j])
+        selves = (i == j) if self.same else np.zeros(len(i), bool)
+        linked = single & ~selves & (dots >= self.cosine)
+        self.link(a.begin[i[linked]], b.begin[j[linked]])
+        d, extent = distances(dots), a.radius[i] + b.radius[j]
+        far = ~single & ~selves & (d - extent > self.reach + SLACK)
+        sure = ~single & ~far & (np.where(selves, 0, d) + extent <= self.reach - SLACK)
+        self.pruned += int((far | (single & ~linked & ~selves)).sum())
+        self.taken += int(sure.sum())
+        for p, q in zip(i[sure].tolist(), j[sure].tolist(), strict=True):
+            self.link_all(p, q)
+        more = ~single & ~far & ~sure
+        if more.any():
+            self.todo.append((i[more], j[more]))
+
+    def link(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Single vectors u of a and v of b."""
+        if not len(u):
+            return
+        for add, at, weight in ((self.add_a, u, self.wb[v]), (self.add_b, v, self.wa[u])):
+            np.add.at(add, at, weight)
+            np.add.at(add, at + 1, -weight)
+        self.classes.join(u, v + self.shift)
+
+    def link_all(self, p: int, q: int) -> None:
+        """All vectors of two nodes with one another; of a node with itself each with the others."""
+        (i, j), (u, v) = (self.a.begin[p], self.a.end[p]), (self.b.begin[q], self.b.end[q])
+        self.classes.join(np.arange(i, j), np.full(j - i, i))
+        if self.same and p == q:
+            self.add_a[i] += self.sums_a[j] - self.sums_a[i]
+            self.add_a[j] -= self.sums_a[j] - self.sums_a[i]
+            np.add.at(self.add_a, np.arange(i, j), -self.wa[i:j])
+            np.add.at(self.add_a, np.arange(i, j) + 1, self.wa[i:j])
+            return
+        self.add_a[i] += self.sums_b[v] - self.sums_b[u]
+        self.add_a[j] -= self.sums_b[v] - self.sums_b[u]
+        self.add_b[u] += self.sums_a[j] - self.sums_a[i]
+        self.add_b[v] -= self.sums_a[j] - self.sums_a[i]
+        self.classes.join(np.arange(u, v) + self.shift, np.full(v - u, u + self.shift))
+        self.classes.join(np.array([i]), np.array([u + self.shift]))
+
+
+def matrix(units: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(v, "<f8") for v in units])
+
+
+def block_tree(block: pd.DataFrame) -> pd.DataFrame:
+    """One row: a block's tree, with the names and the copies of its vectors in the tree's order."""
+    tree = CoverTree(matrix(block["unit"]))
+    rep, copies = block["rep"].to_numpy(np.int64)[tree.order], block["copies"].to_numpy(np.int64)[tree.order]
+    return pd.DataFrame({"cell": block["cell"].iloc[:1], "part": block["part"].iloc[:1], "tree": [tree.dumps()], "rep": [rep.tobytes()], "copies": [copies.tobytes()]})
+
+
+def block_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links inside a block (right is empty), or between two: for each vector the number of vectors it is linked to, copies counted, and edges to one of each class that is linked."""
+    a = CoverTree.loads(left["tree"].iloc[0])
+    rep, weight = np.frombuffer(left["rep"].iloc[0], np.int64), np.frombuffer(left["copies"].iloc[0], np.int64)
+    if len(right):
+        b = CoverTree.loads(right["tree2"].iloc[0])
+        rep_b, weight_b = np.frombuffer(right["rep2"].iloc[0], np.int64), np.frombuffer(right["copies2"].iloc[0], np.int64)
+        found = DualTraversal(a, b, weight, weight_b, float(left["cosine"].iloc[0]))
+        every, links = np.r_[rep, rep_b], np.r_[found.links_a, found.links_b]
+    else:
+        found = DualTraversal(a, a, weight, weight, float(left["cosine"].iloc[0]))
+        every, links = rep, found.links_a
+    links = np.rint(links).astype(np.int64)
+    some, edge = np.flatnonzero(links), np.flatnonzero(found.label != np.arange(len(every)))
+    none = lambda n: pd.array([None] * n, "Int64")
+    counts = pd.DataFrame({"a": pd.array(every[some], "Int64"), "b": none(len(some)), "n": pd.array(links[some], "Int64")})
+    edges = pd.DataFrame({"a": pd.array(every[edge], "Int64"), "b": pd.array(every[found.label[edge]], "Int64"), "n": none(len(edge))})
+    return pd.concat([counts, edges])
 
 
 def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -147,24 +356,48 @@ def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias(column)).mapInPandas(run, "vec_id long, unit binary")
 
 
+def centres_of(sample: list[bytes], n: int) -> list[bytes]:
+    """About n of the sample as centres of cells: those that enter a cover tree over it first, level by level, so they lie far apart. Each length of vector has one at least."""
+    found = []
+    for size in sorted({len(v) for v in sample}):
+        own = [v for v in sample if len(v) == size]
+        tree = CoverTree(np.stack([np.frombuffer(v, "<f8") for v in own]))
+        points = list(dict.fromkeys(tree.centre.tolist()))[: max(1, n * len(own) // len(sample))]
+        found += [own[tree.order[k]] for k in points]
+    return found
+
+
+def cell_pairs(cells: list[tuple[int, float, int]], centres: list[bytes], cosine: float) -> pd.DataFrame:
+    """(ca, cb, na, nb) of the cells (cell, radius, blocks) that can hold a link, each pair once."""
+    at = {k: np.frombuffer(v, "<f8") for k, v in enumerate(centres)}
+    rows = []
+    for i, (ca, ra, na) in enumerate(cells):
+        near = [(cb, rb, nb) for cb, rb, nb in cells[i:] if len(at[ca]) == len(at[cb])]
+        gaps = distances(np.stack([at[cb] for cb, _, _ in near]) @ at[ca])
+        rows += [(ca, cb, na, nb) for (cb, rb, nb), g in zip(near, gaps.tolist(), strict=True) if cb == ca or g - ra - rb <= distance_of(cosine) + SLACK]
+    return pd.DataFrame(rows, columns=["ca", "cb", "na", "nb"]).astype({"ca": "int32", "cb": "int32", "na": "int32", "nb": "int32"})
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Vectors of one direction (the same unit vector to the last bit) are made one first, their number is kept, so that a vector that many rows share is a single one from
-    there on. The rest is dealt to the nearest of a bounded number of centres, cells are cut into blocks of bounded size, and each pair of blocks whose
-    covering radii let them hold a link is joined in a task by dual traversal of cover trees. A task gives counts and a
-    spanning forest of what it linked, not all pairs. Vectors of different lengths of array never link. Exact joins of vectors that lie apart in all
-    directions can exclude few blocks; then the work is that of all pairs of blocks.
+    there on. The rest is dealt to the nearest of a bounded number of centres, the upper levels of a cover tree over a bounded sample; cells are cut into blocks
+    of bounded size, each block's cover tree is built once, and each pair of blocks whose cells' covering radii let them hold a link is
+    joined in a task by dual traversal of their trees. A task gives counts and a spanning forest of what it linked, not all pairs. Vectors of different lengths of array never
+    link. Exact joins of vectors that lie apart in all directions can exclude few pairs of blocks; then the work is that of all of them, and pruning happens inside the trees.
 
     Null, zero or non-finite vectors get no links and are components of their own; null vec_ids are carried with a null component unless a
-    copy has an id; rows that repeat a vec_id count as vectors of their own.
+    copy has an id; rows that repeat a vec_id count as vectors of their own; an empty table gives no rows.
     """
     units = stored(unit_vectors(vectors, column), "units")
     distinct = units.filter("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    distinct = stored(distinct.withColumn("rep", F.xxhash64("unit")), "distinct-units")
+    # numbers are told apart by the partition that writes them, and are fixed once written
+    distinct = stored(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct-units")
     spark = vectors.sparkSession
-    # a bounded number of centres, whatever the input
-    centres = [(r["unit"], len(r["unit"])) for r in distinct.orderBy("rep").select("unit").limit(max(1, min(CENTRES, -(-distinct.count() // BLOCK)))).collect()]
+    n = distinct.count()
+    sample = [bytes(r["unit"]) for r in distinct.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE if n > BLOCK else 1).collect()]
+    centres = centres_of(sample, min(CENTRES, -(-n // BLOCK))) if sample else []
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -172,46 +405,37 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, column: str = "e
             sizes = b["unit"].map(len).to_numpy()
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                c = [k for k, (_, s) in enumerate(centres) if s == size]
-                if not c:
+                c = [k for k, v in enumerate(centres) if len(v) == size]
+                if not c:  # a length that the sample doesn't have is a cell of its own
                     cell[rows] = -int(size)
-                    far[rows] = 2.0
                     continue
-                m = np.stack([np.frombuffer(centres[k][0], "<f8") for k in c])
-                dots = np.stack([np.frombuffer(v, "<f8") for v in b["unit"].iloc[rows]]) @ m.T
+                dots = matrix(b["unit"].iloc[rows]) @ np.stack([np.frombuffer(centres[k], "<f8") for k in c]).T
                 cell[rows] = np.asarray(c)[dots.argmax(1)]
-                far[rows] = np.sqrt(np.maximum(2 - 2 * dots.max(1), 0))
-            yield b.assign(cell=cell, far=far, size=sizes.astype(np.int32))
+                far[rows] = distances(dots.max(1))
+            yield b.assign(cell=cell, far=far)
 
-    placed = distinct.mapInPandas(place, "unit binary, least long, copies long, rep long, cell int, far double, size int")
-    placed = stored(placed, "placed-units")
-    total = placed.groupBy("cell", "size").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    placed = stored(distinct.select("unit", "rep", "copies").mapInPandas(place, "unit binary, rep long, copies long, cell int, far double"), "placed-units")
+    total = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     # blocks of a cell by hash: bounded, and a cell of any size is spread over tasks
-    cells = stored(total.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "cells")
-    block = F.struct("cell", F.pmod(F.shiftright("rep", 7), F.col("blocks")).cast("int").alias("part"))
-    dealt = stored(placed.join(cells.select(F.col("cell").alias("_c"), F.col("size").alias("_s"), "blocks"), (F.col("cell") == F.col("_c")) & (F.col("size") == F.col("_s"))).select("rep", "copies", "unit", "size", block.alias("block")), "blocks")
-    every = dealt.groupBy("block", "size").agg(F.count("*").alias("n")).join(cells.select(F.col("cell").alias("_c"), F.col("size").alias("_s"), "radius"), (F.col("block.cell") == F.col("_c")) & (F.col("size") == F.col("_s"))).select("block", "size", "radius")
-    at = {k: np.frombuffer(v, "<f8") for k, (v, _) in enumerate(centres)}
-    gap = [(i, j, float(np.sqrt(max(2 - 2 * float(at[i] @ at[j]), 0)))) for i in at for j in at if len(at[i]) == len(at[j])]
-    gaps = spark.createDataFrame(gap or [(-1, -1, 0.0)], "ca int, cb int, gap double")  # the centres squared at most
-    one, two = every.select(F.col("block").alias("p"), "size", F.col("radius").alias("rp")), every.select(F.col("block").alias("q"), "size", F.col("radius").alias("rq"))
-    # block descriptors, one for thousands of vectors, meet by size; pairs out of reach go
-    pairs = one.join(two, "size").filter("p <= q").join(F.broadcast(gaps), (F.col("p.cell") == F.col("ca")) & (F.col("q.cell") == F.col("cb")), "left")
-    pairs = stored(pairs.filter(F.coalesce(F.col("gap"), F.lit(0.0)) - F.col("rp") - F.col("rq") <= distance_of(cosine) + 1e-9).select("p", "q").withColumn("pair", F.xxhash64("p", "q")), "block-pairs")
-    left = dealt.join(pairs.select(F.col("p").alias("block"), "pair", (F.col("p") == F.col("q")).alias("same")), "block").select("pair", "same", "rep", "copies", "unit")
-    right = dealt.join(pairs.filter("p <> q").select(F.col("q").alias("block"), "pair"), "block").select(F.col("pair").alias("pair2"), F.col("rep").alias("rep2"), F.col("copies").alias("copies2"), F.col("unit").alias("unit2"))
-
-    def linked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({"a": pd.Series(dtype="Int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="Int64")})
-        return block_links(a, None if a["same"].iloc[0] else b.set_axis(["pair", "rep", "copies", "unit"], axis=1), cosine)
-
-    found = stored(left.groupBy("pair").cogroup(right.groupBy("pair2")).applyInPandas(linked, "a long, b long, n long"), "links")
+    cells = stored(total.select("cell", "radius", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
+    dealt = placed.join(cells.select("cell", "blocks"), "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"), "unit", "rep", "copies")
+    trees = stored(dealt.groupBy("cell", "part").applyInPandas(block_tree, "cell int, part int, tree binary, rep binary, copies binary"), "trees")
+    known = [(r["cell"], r["radius"], r["blocks"]) for r in cells.filter("cell >= 0").orderBy("cell").collect()]  # no more than centres
+    met = spark.createDataFrame(cell_pairs(known, centres, cosine), "ca int, cb int, na int, nb int")
+    met = met.unionAll(cells.filter("cell < 0").select("cell", "cell", "blocks", "blocks"))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    pairs = met.select("*", numbers("na").alias("pa")).select("*", numbers("nb").alias("pb")).filter("ca <> cb or pa <= pb")
+    pairs = stored(pairs.select("ca", "pa", "cb", "pb", F.expr("ca = cb and pa = pb").alias("same"), F.monotonically_increasing_id().alias("pair")), "block-pairs")
+    left = pairs.select(F.col("ca").alias("cell"), F.col("pa").alias("part"), "pair").join(trees, ["cell", "part"]).select("pair", F.lit(cosine).alias("cosine"), "tree", "rep", "copies")
+    right = pairs.filter("not same").select(F.col("cb").alias("cell"), F.col("pb").alias("part"), "pair").join(trees, ["cell", "part"])
+    right = right.select(F.col("pair").alias("pair2"), F.col("tree").alias("tree2"), F.col("rep").alias("rep2"), F.col("copies").alias("copies2"))
+    linked = left.groupBy("pair").cogroup(right.groupBy("pair2")).applyInPandas(block_links, "a long, b long, n long")
+    found = stored(linked, "links")
     counts = found.filter("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    known = distinct.select("unit", "rep", "least", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
-    known = known.withColumn("root", F.coalesce("root", "rep"))
-    names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(names, "root").select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = units.join(known, "unit", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("unit").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = distinct.select("unit", "rep", "least", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
+    named = named.withColumn("root", F.coalesce("root", "rep"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "root").select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = units.join(named, "unit", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("unit").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from emberloom.llm import cover_tree
 
@@ -28,7 +30,7 @@ def brute(vectors, cosine=0.95):
 
 def test_links_and_components_are_those_of_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cover_tree, "BLOCK", 40)
-    monkeypatch.setattr(cover_tree.Tree.__init__, "__defaults__", (2.0, 4))
+    monkeypatch.setattr(cover_tree, "CENTRES", 5)
     rng = np.random.default_rng(3)
     v = []
     for b in rng.normal(size=(40, 12)):
@@ -38,14 +40,85 @@ def test_links_and_components_are_those_of_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, cover_tree.near_duplicates(df).collect())) == brute(v)
 
 
-def test_far_nodes_are_left_out():
-    rng = np.random.default_rng(1)
-    x = np.vstack([c + rng.normal(size=(50, 6)) * 0.01 for c in np.eye(6) * 3])
+def clustered(rng, n, dim, copies):
+    x = np.repeat(rng.normal(size=(n, dim)), copies, axis=0)
+    x = x + rng.normal(size=x.shape) * rng.choice([1e-9, 0.001, 0.02, 0.1, 0.4], size=len(x))[:, None]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 24])
+def test_the_tree_nests_covers_and_separates(dim):
+    rng = np.random.default_rng(dim)
+    x = clustered(rng, 40, dim, 12)
+    level, parent = cover_tree.nets(x)
+    for k in range(int(level.max()) + 1):
+        net, radius = np.flatnonzero(level <= k), 2 / 2**k
+        gaps = np.sqrt(np.maximum(2 - 2 * x[net] @ x[net].T, 0)) + 9 * np.eye(len(net))
+        if k < cover_tree.LEVELS:
+            assert gaps.min() > radius - 1e-7
+            assert (np.sqrt(np.maximum(2 - 2 * (x @ x[net].T).max(1), 0)) <= radius + 1e-7).all()
+        new = np.flatnonzero(level == k) if k else []
+        assert all(level[parent[i]] < k and np.sqrt(max(2 - 2 * x[i] @ x[parent[i]], 0)) <= 2 * radius + 1e-7 for i in new)
+    tree = cover_tree.CoverTree.loads(cover_tree.CoverTree(x).dumps())
+    assert np.array_equal(tree.x, x[tree.order]) and sorted(tree.order) == list(range(len(x)))
+    for i in range(len(tree.centre)):
+        own = tree.x[tree.begin[i] : tree.end[i]]
+        assert np.sqrt(np.maximum(2 - 2 * own @ tree.x[tree.centre[i]], 0)).max() <= tree.radius[i] + 1e-7
+        kids = range(tree.first[i], tree.last[i])
+        if len(kids):
+            assert tree.centre[kids[0]] == tree.centre[i]
+            assert [tree.begin[c] for c in kids][1:] == [tree.end[c] for c in kids][:-1] and tree.begin[kids[0]] == tree.begin[i] and tree.end[kids[-1]] == tree.end[i]
+
+
+@pytest.mark.parametrize(("dim", "cosine"), [(2, 0.95), (3, 0.99), (8, 0.95), (16, 0.8), (16, 0.95)])
+def test_dual_traversal_gives_the_exact_links(dim, cosine, monkeypatch):
+    monkeypatch.setattr(cover_tree, "TOGETHER", 50)
+    rng = np.random.default_rng(dim)
+    x, y = clustered(rng, 60, dim, 6), clustered(rng, 30, dim, 5)
+    y[:40] = x[100:140]
+    wx, wy = rng.integers(1, 5, len(x)), rng.integers(1, 5, len(y))
+    for wide in (1, 1 << 20):
+        monkeypatch.setattr(cover_tree, "WIDE", wide)
+        a, b = cover_tree.CoverTree(x), cover_tree.CoverTree(y)
+        wa, wb = wx[a.order], wy[b.order]
+        one = cover_tree.DualTraversal(a, a, wa, wa, cosine)
+        linked = a.x @ a.x.T >= cosine
+        np.fill_diagonal(linked, False)
+        assert np.array_equal(np.rint(one.links_a), linked @ wa)
+        two = cover_tree.DualTraversal(a, b, wa, wb, cosine)
+        across = a.x @ b.x.T >= cosine
+        assert np.array_equal(np.rint(two.links_a), across @ wb) and np.array_equal(np.rint(two.links_b), across.T @ wa)
+        assert one.pruned and two.pruned and one.taken
+
+        def classes(edges, n):
+            label = np.arange(n)
+            while True:
+                new = np.minimum(label, np.where(edges, label, n).min(1))
+                if np.array_equal(new, label):
+                    return label
+                label = new
+
+        assert np.array_equal(one.label, classes(linked, len(x)))
+        both = np.zeros((len(x) + len(y),) * 2, bool)
+        both[: len(x), len(x) :] = across
+        assert np.array_equal(two.label, classes(both | both.T, len(both)))
+
+
+def test_nodes_are_pruned_on_the_given_table():
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist()
+    x = np.unique(np.array(rows, float), axis=0)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    tree = cover_tree.Tree(x, np.arange(len(x)), leaf=8)
-    assert tree.children and all(c.radius <= 1 for c in tree.children)
-    found = sum(len(i) for i, _ in cover_tree.close_pairs(x, tree, x, tree, 0.95, True))
-    assert found == (np.triu(x @ x.T >= 0.95, 1)).sum()
+    tree = cover_tree.CoverTree(x)
+    found = cover_tree.DualTraversal(tree, tree, np.ones(len(x)), np.ones(len(x)), 0.95)
+    assert found.pruned > 0.9 * len(x) ** 2 / 2 and np.rint(found.links_a).sum() == 2 * (np.triu(x @ x.T, 1) >= 0.95).sum()
+
+
+def test_null_and_repeated_ids(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v), (4, v), (4, v), (7, [1.0, 2.0, 3.1]), (None, None), (None, [9.0, -1.0, 0.0]), (8, [0.0, 0.0])]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, got)) == sorted([(-1, 3, 4, False), (4, 3, 4, True), (4, 3, 4, True), (7, 3, 4, False), (-1, 0, -1, False), (-1, 0, -1, False), (8, 0, 8, True)])
 
 
 def test_empty_table(spark):
