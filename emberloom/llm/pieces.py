@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,25 +18,25 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-digest = xxhash.xxh32_intdigest
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: A merge candidate is skipped with this probability, drawn anew for every word of every document.
 DROPOUT, SEED = 0.1, 17
 #: Segmentations that a worker keeps. When there are more, all are forgotten and worked out anew if they come up.
 KEPT = 400_000
-#: Units up to this length are merged side by side, longer ones, and those with characters that have no piece, one by one.
-SHORT, NEVER = 32, 1 << 62
+#: Units up to this length are merged side by side, longer ones, and those with characters that have no piece, one by one; both draw the same skips.
+SHORT, NEVER = 32, (1 << 32) - 1
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
+FREE = -(1 << 40)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces with their ids; pairs gives for two ids, as one number, what they merge to: its rank, the best score first, and its id, as one number.
 
-    raw gives what each id says, spelt the ids of the 256 bytes.
+    raw gives what each id says, spelt the ids of the 256 bytes. tied finds where merges may come up that share their score, so that such a number alone doesn't
+    say which is first.
     """
 
     ids: dict[str, int]
@@ -45,12 +46,13 @@ class Vocabulary:
     characters: np.ndarray
     slots: np.ndarray
     values: np.ndarray
+    tied: re.Pattern
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """pairs for arrays of ids, NEVER without one: a table by hash, the next slots for what collides."""
-        key = np.where((a < 0) | (b < 0), -2, a << 16 | b)
+        key = a.astype(np.int64) << 16 | b  # negative if one of them is
         at = slot_of(key)
-        found = np.full(key.shape, NEVER, np.int64)
+        found = np.full(key.shape, NEVER, np.uint32)
         hit = self.slots[at] == key
         found[hit] = self.values[at[hit]]
         open_ = np.nonzero(~hit & (self.slots[at] >= 0))
@@ -72,8 +74,8 @@ def slot_of(key: np.ndarray) -> np.ndarray:
 
 def slots_of(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """pairs as a hash table with open addressing."""
-    slots, values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
-    keys, left = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    slots, values = np.full(SLOTS, FREE, np.int64), np.zeros(SLOTS, np.uint32)
+    keys, left = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.uint32, len(pairs))
     at = slot_of(keys)
     while len(keys):
         # of the keys at a free slot one takes it, the others go on
@@ -104,22 +106,49 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
             raw.append(piece.replace(BLANK, " ").encode())
     if len(raw) > 1 << 16:
         raise ValueError("a vocabulary of 65,536 pieces at most")
+    pieces = {i: p for p, i in ids.items()}
     order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True), 1)}
     pairs = {ids[a] << 16 | ids[b]: order[scores[p]] << 16 | i for p, i in ids.items() for k in range(1, len(p)) if (a := p[:k]) in ids and (b := p[k:]) in ids}
+    merged = {p: scores[p] for p in {pieces[x & 0xFFFF] for x in pairs.values()}}
+    often = Counter(merged.values())
+    letters = "".join(sorted({c for p, score in merged.items() if often[score] > 1 for c in p}))
+    tied = re.compile(f"[{re.escape(letters)}]{{2}}" if letters else r"(?!)")
     characters = np.full(0x110000, -1, np.int32)
     for p, i in ids.items():
         if len(p) == 1:
             characters[ord(p)] = i
-    return Vocabulary(ids, pairs, tuple(raw), tuple(spelt), characters, *slots_of(pairs))
+    return Vocabulary(ids, pairs, tuple(raw), tuple(spelt), characters, *slots_of(pairs), tied)
 
 
-def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
-    """Ids of one unit. The agenda gives the best candidate, the leftmost of equals; a candidate whose keyed hash is low is skipped.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-    The hash is of the key and of what is merged where, so that the same unit under the same key is always cut alike.
-    """
-    n, pairs, raw, low = len(unit), v.pairs, v.raw, int(dropout * (1 << 32))
-    own = digest(unit, key) if low else 0
+
+def gaps(keys: np.ndarray, turns: np.ndarray | int, dropout: float) -> np.ndarray:
+    """How many candidates come up between skips: of each key's hash sequence the place `turns`, from 1, as a geometric draw."""
+    u = ((mixed(keys + np.asarray(turns, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return np.minimum(np.log(u) / np.log1p(-dropout), 1e6).astype(np.int64) if dropout < 1 else np.zeros(u.shape, np.int64)
+
+
+def skipped_places(key: int, dropout: float) -> Iterator[int]:
+    """Which of the candidates that come up under a key are skipped, in order."""
+    place, turn = -1, 1
+    while dropout:
+        for gap in gaps(np.full(16, key, np.uint64), np.arange(turn, turn + 16), dropout).tolist():
+            place += gap + 1
+            yield place
+        turn += 16
+    yield 1 << 62
+
+
+def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
+    """Ids of one unit. The agenda gives the best candidate, the leftmost of equals; those that skipped_places names for the key, by the order in which they come up, are skipped."""
+    n, pairs = len(unit), v.pairs
+    skips = skipped_places(key, dropout)
+    turn, skip = 0, next(skips)
     # pieces by their ids; a character without a piece has none and never merges
     parts = [v.ids.get(c, -1) for c in unit]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -138,7 +167,9 @@ def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
         if p is None or p >> 16 != entry >> shift:
             continue
         both = p & 0xFFFF
-        if low and digest(raw[both], own + i * 0x9E3779B1 & 0xFFFFFFFF) < low:
+        turn += 1
+        if turn > skip:
+            skip = next(skips)
             continue
         parts[i], parts[j] = both, None
         after[i] = k = after[j]
@@ -158,65 +189,55 @@ def merge(unit: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
     return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of 64-bit numbers."""
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def merge_many(units: list[str], skips: list[int], v: Vocabulary) -> tuple[list[bytes], list[int]]:
     """Ids of short units whose characters all have pieces, and how many candidates came up, side by side: a row of pieces and a row of candidates for each,
     the best candidate of every row at a time. The bits of skips say which are skipped, the first to come up lowest; a short unit has fewer than 128."""
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
-    wide = int(lengths.max())
+    n = len(units)
+    lengths = np.fromiter(map(len, units), np.int64, n)
+    wide = int(lengths.max()) + 1  # the last column stands beside both ends: it has no piece, so nothing merges with it
     column = np.arange(wide)
-    inside = column < lengths[:, None]
-    parts = np.full((len(units), wide), -1, np.int64)
-    parts[inside] = v.characters[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
-    agenda = np.full((len(units), wide), NEVER, np.int64)
+    parts = np.full((n, wide), -1, np.int32)
+    parts[column < lengths[:, None]] = v.characters[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+    agenda = np.full((n, wide), NEVER, np.uint32)
     agenda[:, :-1] = v.find(parts[:, :-1], parts[:, 1:])
+    after, before = np.tile(np.minimum(column + 1, wide - 1).astype(np.int32), (n, 1)), np.tile(np.roll(column, 1).astype(np.int32), (n, 1))
+    before[:, 0] = wide - 1
     words = [np.array([x >> k & (1 << 64) - 1 for x in skips], np.uint64) for k in (0, 64)]
-    counts = np.zeros(len(units), np.int64)
-    turn = 0
-    rows = np.arange(len(units))
-    left = lengths.copy()
-    done = parts.copy()
-    while len(rows):
+    counts = np.zeros(n, np.int64)
+    done, rows, turn = parts, np.arange(n), 0
+    while True:
         i = agenda.argmin(1)
-        r = np.arange(len(rows))
-        best = agenda[r, i]
-        on = best != NEVER
-        if not on.all():
-            done[rows[~on]] = parts[~on]
-            counts[rows[~on]] = turn
-            rows, parts, agenda, i, best = rows[on], parts[on], agenda[on], i[on], best[on]
-            r = r[: len(rows)]
-            if not len(rows):
+        base = np.arange(0, agenda.size, wide)
+        best = agenda.ravel()[base + i]
+        on = np.flatnonzero(best != NEVER)
+        if 2 * len(on) < len(best):
+            # what is finished stays behind
+            if parts is not done:
+                done[rows] = parts
+            if not len(on):
                 break
-        both = best & 0xFFFF
-        skipped = (words[turn >> 6][rows] >> np.uint64(turn & 63) & np.uint64(1)).astype(bool)
+            rows, parts, agenda, after, before, i, best = rows[on], parts[on], agenda[on], after[on], before[on], i[on], best[on]
+            on, base = np.arange(len(rows)), base[: len(rows)]
+        counts[rows[on]] += 1
+        skipped = (words[turn >> 6][rows[on]] >> np.uint64(turn & 63) & np.uint64(1)).astype(bool)
         turn += 1
-        agenda[r[skipped], i[skipped]] = NEVER
-        m = r[~skipped]
-        if len(m):
-            i, both = i[m], both[m]
-            # what follows moves up by one
-            p, a = parts[m], agenda[m]
-            p[:, :-1] = np.where(column[:-1] > i[:, None], p[:, 1:], p[:, :-1])
-            a[:, :-1] = np.where(column[:-1] >= i[:, None], a[:, 1:], a[:, :-1])
-            left[rows[m]] -= 1
-            p[column >= left[rows[m]][:, None]] = -1
-            a[column >= left[rows[m]][:, None] - 1] = NEVER
-            k = np.arange(len(m))
-            p[k, i] = both
-            after = np.minimum(i + 1, wide - 1)
-            a[k, i] = np.where(i + 1 < left[rows[m]], v.find(both, p[k, after]), NEVER)
-            h = np.flatnonzero(i > 0)
-            a[h, i[h] - 1] = v.find(p[h, i[h] - 1], both[h])
-            parts[m], agenda[m] = p, a
-    ids = done.astype(np.int32)
-    return [ids[k, :n].tobytes() for k, n in enumerate(left.tolist())], counts.tolist()
+        p, a, nexts, lasts = parts.ravel(), agenda.ravel(), after.ravel(), before.ravel()
+        at = base[on] + i[on]
+        a[at[skipped]] = NEVER
+        on, at = on[~skipped], at[~skipped]
+        start, left, both = base[on], i[on], (best[on] & np.uint32(0xFFFF)).astype(np.int32)
+        gone = start + nexts[at]
+        following = nexts[gone]
+        p[at], p[gone], a[gone] = both, -1, NEVER
+        nexts[at] = following
+        lasts[start + following] = left
+        previous = start + lasts[at]
+        a[at] = v.find(both, p[start + following])
+        a[previous] = v.find(p[previous], both)
+    alive = done >= 0
+    ends = np.cumsum(alive.sum(1) * 4).tolist()
+    ids = done[alive].tobytes()
+    return [ids[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)], counts.tolist()
 
 
 #: Merges never cross from a word to the blanks before the next one, nor a line feed, which has no piece.
@@ -268,8 +289,9 @@ class Encoder:
 
     def add_roots(self, units: list[str]) -> None:
         """States of units without skips."""
-        short = [u for u in units if len(u) <= SHORT]
-        single = [u for u in units if len(u) > SHORT]
+        tied, short, single = self.v.tied.search, [], []
+        for u in units:
+            (single if len(u) > SHORT or tied(u) else short).append(u)
         if short:
             codes = np.frombuffer("".join(short).encode("utf-32-le"), "<u4")
             known = np.minimum.reduceat(self.v.characters[codes], np.cumsum([0, *map(len, short[:-1])])) >= 0
@@ -289,9 +311,7 @@ class Encoder:
         while len(on):
             turn += 1
             # how many candidates come up before the next that is skipped
-            u = ((mixed(keys[on] + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-            gap = np.log(u) / np.log1p(-self.dropout) if self.dropout < 1 else np.zeros(len(on))
-            place = start + np.minimum(gap, 1e6).astype(np.int64)
+            place = start + gaps(keys[on], turn, self.dropout)
             hit = place < self.counts[states[on]]
             on, place = on[hit], place[hit]
             if not len(on):
@@ -321,7 +341,7 @@ class Encoder:
         self.draw(states, keys)
         cuts = list(map(self.cuts.__getitem__, states.tolist()))
         for k in np.flatnonzero(self.counts[states] < 0).tolist():
-            cuts[k] = array("i", merge(flat[k], self.v, self.dropout, int(keys[k]) & 0xFFFFFFFF)).tobytes()
+            cuts[k] = array("i", merge(flat[k], self.v, self.dropout, int(keys[k]))).tobytes()
         ids, at = [], 0
         for of_text in spans:
             parts = []
