@@ -22,8 +22,12 @@ CENTRES, SAMPLE = 1024, 4096
 LEVELS = 24
 #: Room for rounding in bounds: no link is pruned by it, and none is taken for sure within it.
 SLACK = 1e-7
+#: The same for products in single precision.
+ROUGH = 1e-5
 #: Node pairs that are looked at together, and children of a pair of nodes from which on their distances are one matrix product.
 TOGETHER, WIDE = 1 << 14, 1 << 11
+#: Vectors of a node that may be opened early.
+FEW = 32
 
 
 def distance_of(cosine: float) -> float:
@@ -145,6 +149,16 @@ class CoverTree:
         n = self.last[nodes] - self.first[nodes]
         return np.where(n, self.first[nodes], nodes), np.maximum(n, 1)
 
+    def opened(self, nodes: np.ndarray, least: float) -> np.ndarray:
+        """Nodes, those of few vectors but a covering radius over `least` replaced by their children, again and again: they would hardly be pruned as a whole."""
+        kept = []
+        while len(nodes):
+            open_ = (self.radius[nodes] > least) & (self.end[nodes] - self.begin[nodes] <= FEW)
+            kept.append(nodes[~open_])
+            first, n = self.fan(nodes[open_])
+            nodes = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.concatenate(kept) if kept else nodes
+
     def dumps(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, **{k: getattr(self, k) for k in self.ARRAYS})
@@ -202,6 +216,8 @@ class DualTraversal:
         self.reach = distance_of(cosine)
         n, m = len(a.x), len(b.x)
         self.shift = 0 if self.same else n
+        self.xa = a.x.astype(np.float32)
+        self.xb = self.xa if self.same else b.x.astype(np.float32)
         self.add_a, self.add_b = np.zeros(n + 1), np.zeros(m + 1)
         self.sums_a, self.sums_b = np.r_[0.0, np.cumsum(weight_a)], np.r_[0.0, np.cumsum(weight_b)]
         self.classes = Classes(n if self.same else n + m)
@@ -230,39 +246,56 @@ class DualTraversal:
         of = np.repeat(np.arange(len(p)), fans)
         k = np.arange(len(of)) - np.repeat(np.cumsum(fans) - fans, fans)
         i, j = fp[of] + k // nq[of], fq[of] + k % nq[of]
-        if self.same:
+        if self.same:  # a node with itself: each pair of its children once
             keep = (p[of] != q[of]) | (i <= j)
             i, j = i[keep], j[keep]
         for at in range(0, len(i), TOGETHER):
             self.judge(i[at : at + TOGETHER], j[at : at + TOGETHER])
 
     def product(self, i: np.ndarray, j: np.ndarray, own: bool) -> None:
-        """The children of one pair of nodes, tile by tile. A bound for a whole tile comes first; children without an extent stand apart, as theirs is the sharpest."""
+        """The children of one pair of nodes, tile by tile, in single precision with room for its rounding; who isn't pruned is judged in double precision.
+
+        Children are taken by falling radius, so that those without an extent, whose bound is the sharpest, stand together and have one bound for a tile.
+        """
         a, b = self.a, self.b
-        for rows in (i[a.radius[i] > 0], i[a.radius[i] == 0]):
-            for columns in (j[b.radius[j] > 0], j[b.radius[j] == 0]):
-                if not len(columns):
+        i, j = a.opened(i, self.reach), b.opened(j, self.reach)
+        i = i[np.argsort(-a.radius[i], kind="stable")]
+        j = i if own else j[np.argsort(-b.radius[j], kind="stable")]
+        x, y = self.xa[a.centre[i]], self.xb[b.centre[j]].T
+        ra, rb = a.radius[i].astype(np.float32), b.radius[j].astype(np.float32)
+        reach, flat = np.float32(self.reach + ROUGH), int((rb > 0).sum())
+        for at in range(0, len(i), 256):
+            rows = slice(at, min(at + 256, len(i)))
+            extent = ra[rows]
+            low = at if own else 0
+            # columns with an extent one by one, those without by one bound
+            middle = max(low, flat) if extent[0] == 0 else len(j)
+            for columns, bound in ((slice(low, middle), None), (slice(middle, len(j)), 1 - reach * reach / 2 - ROUGH)):
+                if columns.start >= columns.stop:
                     continue
-                y, extent = b.x[b.centre[columns]].T, b.radius[columns].max()
-                for at in range(0, len(rows), 256):
-                    r = rows[at : at + 256]
-                    far = min(a.radius[r].max() + extent + self.reach + SLACK, 2.0)
-                    u, v = np.nonzero(a.x[a.centre[r]] @ y >= 1 - far * far / 2 - 1e-12)
-                    u, v = r[u], columns[v]
-                    met = len(r) * len(columns)
-                    if own:
-                        keep = u <= v
-                        u, v = u[keep], v[keep]
-                        met = int(np.searchsorted(columns, r, side="left").sum())
-                        met = len(r) * len(columns) - met
-                    self.pruned += met - len(u)
-                    self.compared += met - len(u)
-                    for o in range(0, len(u), TOGETHER):
-                        self.judge(u[o : o + TOGETHER], v[o : o + TOGETHER])
+                if bound is None:
+                    far = np.minimum(extent[:, None] + rb[columns] + reach, 2)
+                    bound = 1 - far * far / 2 - np.float32(ROUGH)
+                u, v = np.nonzero(x[rows] @ y[:, columns] >= bound)
+                u, v = u + at, v + columns.start
+                met = len(extent) * (columns.stop - columns.start)
+                if own:
+                    keep = u <= v
+                    u, v = u[keep], v[keep]
+                    met = sum(max(columns.stop - max(columns.start, k), 0) for k in range(rows.start, rows.stop))
+                self.pruned += met - len(u)
+                self.compared += met - len(u)
+                for o in range(0, len(u), TOGETHER):
+                    self.judge(i[u[o : o + TOGETHER]], j[v[o : o + TOGETHER]])
 
     def judge(self, i: np.ndarray, j: np.ndarray) -> None:
         a, b = self.a, self.b
         self.compared += len(i)
+        rough = np.einsum("ij,ij->i", self.xa[a.centre[i]], self.xb[b.centre[j]])
+        far = np.minimum(a.radius[i] + b.radius[j] + self.reach + ROUGH, 2)
+        keep = rough >= 1 - far * far / 2 - ROUGH
+        self.pruned += len(i) - int(keep.sum())
+        i, j = i[keep], j[keep]
         dots = np.einsum("ij,ij->i", a.x[a.centre[i]], b.x[b.centre[j]])
         single = (a.first[i] == a.last[i]) & (b.first[j] == b.last[j])
         selves = (i == j) if self.same else np.zeros(len(i), bool)
