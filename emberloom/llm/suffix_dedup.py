@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,14 @@ LENGTH, ANCHOR = 100, 36
 SPAN = LENGTH - ANCHOR + 1
 #: Bytes looked at together, and bytes of a suffix array's text.
 PIECE, SHARD = 1 << 20, 3 << 20
+#: Bytes by which the surroundings of anchors are told apart before they are sorted.
+STEP = 16
 #: An anchor with more different surroundings than this is told apart by what lies beside it as well.
 HOT = 2000
 #: A hot anchor's part with more entries than this goes window by window instead of into a suffix array.
 WIDE = 5000
+#: A key with more than one in HEAVY of all rows is dealt over SALTS tasks in joins.
+HEAVY, SALTS = 250, 32
 #: Rows of a table that may be broadcast.
 BROADCAST_ROWS = 200_000
 _B = 0x100000001B3
@@ -179,9 +183,36 @@ def spans_of(windows: np.ndarray) -> list[int]:
     return np.column_stack([windows[first], np.diff(np.r_[first, len(windows)])]).ravel().tolist()
 
 
+def narrowed(group: list[tuple]) -> Iterator[tuple]:
+    """Entries (h, c, lo, n, d, tie, start, t, q) of one group, less the windows at their ends that no other entry can have, and less q.
+
+    A window with l bytes before the anchor, which stands at q, holds the STEP * (l // STEP) bytes before it and as many after it as any window with such an l. No two entries
+    are the same, so where these bytes are those of one entry only, its windows of that kind are first and alone.
+    """
+    kinds = (LENGTH - ANCHOR) // STEP
+    most = LENGTH - ANCHOR
+    met: dict[tuple[int, bytes], int] = {}
+    found = []
+    for h, c, lo, n, d, tie, start, t, q in group:
+        own = []
+        for k in range(kinds):
+            first, last = max(q - (STEP * (k + 1) - 1 if k < kinds - 1 else most), 0), min(q - STEP * k, n - 1)
+            if first <= last:
+                key = k, t[q - STEP * k : q + LENGTH - STEP - STEP * k]
+                met[key] = met.get(key, 0) + 1
+                own.append((key, first, last))
+        found.append(((h, c, lo, d, tie, start, t), own))
+    for (h, c, lo, d, tie, start, t), own in found:
+        open_ = [(first, last) for key, first, last in own if met[key] > 1]
+        if open_:
+            i, j = min(x[0] for x in open_), max(x[1] for x in open_)
+            yield h, c, lo + i, j - i + 1, d, tie, start + i, t[i : j + LENGTH]
+
+
 def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input g, h, c, lo, n, d, tie, start, t, those of one g together: suffix arrays over shards of whole groups. Output h, c, lo and spans of windows that start earlier elsewhere."""
+    """Input g, h, c, lo, n, d, tie, start, t, q, those of one g together: suffix arrays over shards of whole groups. Output h, c, lo and spans of windows that start earlier elsewhere."""
     held: list[tuple] = []
+    group: list[tuple] = []
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
@@ -194,12 +225,17 @@ def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            if size >= SHARD and row[0] != last:
-                yield flush()
-                held, size = [], 0
+            if row[0] != last:
+                for entry in narrowed(group):
+                    held.append(entry)
+                    size += len(entry[-1])
+                group = []
+                if size >= SHARD:
+                    yield flush()
+                    held, size = [], 0
             last = row[0]
-            held.append(row[1:])
-            size += len(row[-1])
+            group.append(row[1:])
+    held += narrowed(group)
     if held:
         yield flush()
 
@@ -241,6 +277,22 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def hot_keys(counts: DataFrame, key: str) -> list[int]:
+    """The keys with more than one in HEAVY of all rows, by counts (key, n): fewer than HEAVY, whatever the input."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in counts.filter(F.col("n") > max(total // HEAVY, SALTS)).select(key).collect()]
+
+
+def salt_of(key: str, hot: list[int]) -> Column:
+    """Which of the copies of a key's row on the other side a row meets: one of SALTS where the key is hot."""
+    return F.when(F.col(key).isin(hot), F.pmod(F.xxhash64("d", "tie", "start"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+
+
+def salts_of(key: str, hot: list[int]) -> Column:
+    """A row for each salt where the key is hot, else one."""
+    return F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+
+
 def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(base, found): base has d, tie and the text's bytes t of every row of docs (and other columns in rest), found for each (d, tie) the windows that start earlier elsewhere, as flat pairs.
 
@@ -252,11 +304,14 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
        anchor occurs once are out; anchors are counted with pre-aggregation before the shuffle.
     3. Runs under one anchor with the same bytes are made one, its first place kept.
     4. Where an anchor has different runs, their bytes are fetched and dealt by anchor into shards; each shard's suffix array, sorted by induction,
-       and its permuted common prefixes give the windows that different runs share, and which of them isn't the first. An anchor alone in its surroundings is a shard's list
+       and its permuted common prefixes give the windows that different runs share, and which of them isn't the first. Windows whose inner bytes no other run of their anchor has are left out before. An anchor alone in its surroundings is a shard's list
        of one and needs no sorting. Under a very frequent anchor runs are dealt by the 32 bytes on either side of it as well: every
        window has 32 bytes on one of the sides. What is still wide then, as under a passage that every document follows with words of its own, is taken apart into its
        windows, whose first places are minima by their bytes.
     5. A window goes if its run isn't the first of its bytes, or if the suffix array says so.
+
+    So equality of whole texts (SHA-256) and of whole runs (64 bits beside the 64 of their anchor) is decided by hash, what different runs share by the suffix
+    array. A document is told by its id and tie, which sets rows without an id apart by their texts. An anchor or a run that many rows have is dealt over several tasks in the joins.
     """
     text = whole_text().cast("binary")
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
@@ -274,17 +329,18 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     told = bounded_broadcast(odd.withColumnsRenamed({"d": "_d", "sha": "_sha"}))
     base = base.join(told, (F.col("d") == F.col("_d")) & (sha == F.col("_sha")), "left").select("d", F.coalesce("odd", F.lit(0)).cast("long").alias("tie"), "t", *["rest"][: len(rest)])
     own = base.filter("tie >= 0")
-    often = own.select("t").mapInArrow(anchor_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    often = stored(own.select("t").mapInArrow(anchor_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated-anchors")
+    hot = hot_keys(often, "h")
     runs = own.select("d", "tie", "t").mapInArrow(anchor_rows, "h long, c long, d long, tie long, start int, run int")
-    runs = stored(runs.join(often, "h"), "repeated-runs")
-    first = runs.groupBy("h", "c").agg(F.min(F.struct("d", "tie", "start")).alias("f"), F.first("run").alias("run"))
-    first = stored(first.select("h", "c", "f.*", "run"), "first-runs")
+    runs = stored(runs.withColumn("salt", salt_of("h", hot)).join(often.select("h", salts_of("h", hot).alias("salt")), ["h", "salt"]).drop("salt"), "repeated-runs")
+    first = runs.groupBy("h", "c").agg(F.min(F.struct("d", "tie", "start")).alias("f"), F.first("run").alias("run"), F.count("*").alias("n"))
+    first = stored(first.select("h", "c", "f.*", "run", "n"), "first-runs")
     several = stored(first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "several-runs")
     hot = several.filter(F.col("m") > HOT).limit(1).count() > 0
     wanted = first.join(several, "h")
-    entry = F.struct("h", "c", "tie", "start", "run", "m")
-    lists = wanted.groupBy("d").agg(F.collect_list(entry).alias("wanted"))  # no more than a document has windows
-    fetched = base.join(lists, "d").select("d", "tie", "t", F.explode("wanted").alias("w")).filter("tie = w.tie")
+    entry = F.struct("h", "c", "start", "run", "m")
+    lists = wanted.groupBy("d", "tie").agg(F.collect_list(entry).alias("wanted"))  # no more than a document has windows
+    fetched = base.join(lists, ["d", "tie"]).select("d", "tie", "t", F.explode("wanted").alias("w"))
     windows, place = F.shiftright(F.col("w.run"), 7), F.col("w.run").bitwiseAND(127)
     fetched = fetched.select("w.h", "w.c", "w.m", "d", "tie", F.col("w.start").alias("start"), windows.alias("windows"), place.alias("place"), F.substring(F.col("t"), F.col("w.start") + 1, windows + LENGTH - 1).alias("t"))
     half = (LENGTH - ANCHOR) // 2
@@ -293,8 +349,8 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     part = lambda g, lo, n: F.struct(g.alias("g"), lo.cast("int").alias("lo"), n.cast("int").alias("n"))
     parts = F.when(F.col("m") <= HOT, F.array(part(F.col("h"), F.lit(0), F.col("windows")))).otherwise(F.array(part(left_key, F.lit(0), middle), part(right_key, middle, F.col("windows") - middle)))
     dealt = fetched.withColumn("p", F.explode(parts)).filter("p.n > 0")
-    columns = ["g", "h", "c", "lo", "n", "d", "tie", "start", "t"]
-    dealt = dealt.select("p.g", "h", "c", "p.lo", "p.n", "d", "tie", (F.col("start") + F.col("p.lo")).alias("start"), F.substring(F.col("t"), F.col("p.lo") + 1, F.col("p.n") + LENGTH - 1).alias("t"), (F.col("m") > HOT).alias("hot"))
+    columns = ["g", "h", "c", "lo", "n", "d", "tie", "start", "t", "q"]
+    dealt = dealt.select("p.g", "h", "c", "p.lo", "p.n", "d", "tie", (F.col("start") + F.col("p.lo")).alias("start"), F.substring(F.col("t"), F.col("p.lo") + 1, F.col("p.n") + LENGTH - 1).alias("t"), (F.col("place") - F.col("p.lo")).alias("q"), (F.col("m") > HOT).alias("hot"))
     later = None
     if hot:
         dealt = stored(dealt, "dealt-runs")
@@ -308,13 +364,14 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     sorted_ = dealt.repartition(parallel, "g").sortWithinPartitions("g").mapInArrow(sort_shards, "h long, c long, lo int, spans array<int>")
     marked = sorted_.select("h", "c", "spans")
     told = (marked if later is None else marked.unionAll(later)).groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hot = hot_keys(first, "c")
     decided = first.select(F.col("h"), F.col("c"), F.col("d").alias("fd"), F.col("tie").alias("ftie"), F.col("start").alias("fstart")).join(told, ["h", "c"], "left")
-    every = runs.join(decided, ["h", "c"])
+    every = runs.withColumn("salt", salt_of("c", hot)).join(decided.withColumn("salt", salts_of("c", hot)), ["h", "c", "salt"])
     is_first = (F.col("d") == F.col("fd")) & (F.col("tie") == F.col("ftie")) & (F.col("start") == F.col("fstart"))
     spans = F.when(~is_first, F.array(F.lit(0), F.shiftright("run", 7))).otherwise(F.coalesce("spans", F.array().cast("array<int>")))
     hit = every.select("d", "tie", "start", spans.alias("spans")).filter(F.size("spans") > 0)
     flat = F.transform("spans", lambda x, i: F.when(i % 2 == 0, x + F.col("start")).otherwise(x))
-    found = hit.groupBy("d").agg(F.collect_list(F.struct("tie", flat.alias("spans"))).alias("marks"))
+    found = hit.groupBy("d", "tie").agg(F.flatten(F.collect_list(flat)).alias("marks"))
     return base, found
 
 
@@ -334,7 +391,7 @@ def dedup(docs: DataFrame, text: str = "clean") -> DataFrame:
         return (len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(schema) - 1]
 
     base, found = marks(docs)
-    out = base.join(found, "d", "left").select("d", "tie", "t", "marks").mapInArrow(per_document(one, schema.names, [pa.int64()] * 3 + [pa.string(), pa.binary()][: len(schema) - 4]), schema)
+    out = base.join(found, ["d", "tie"], "left").select("d", "tie", "t", "marks").mapInArrow(per_document(one, schema.names, [pa.int64()] * 3 + [pa.string(), pa.binary()][: len(schema) - 4]), schema)
     return out.select(F.when(F.col("d") == LAST, F.lit(None)).otherwise(F.col("d")).cast("long").alias("doc_id"), *schema.names[1:])
 
 
@@ -350,7 +407,7 @@ def per_document(one: Callable[[bytes, list[tuple[int, int]]], tuple], names: li
                     if tie < 0:
                         spans = [(0, len(t))] if len(t) >= LENGTH else []
                     else:
-                        spans = removed_spans([x for y in m or [] if y["tie"] == tie for x in y["spans"]], len(t))
+                        spans = removed_spans(m, len(t))
                     made.append(one(t, spans))
                 front = [part.column(k) for k in range(b.num_columns - 3)]
                 back = [pa.array(x, k) for x, k in zip(zip(*made, strict=True), kinds, strict=True)]
@@ -364,5 +421,6 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("text", T.StringType())])
     base, found = marks(docs, others)
-    out = base.join(found, "d", "left").select(*[F.col(f"rest.`{c}`") for c in others], "tie", "t", "marks")
+    # columns go by their place, so that no name of theirs meets one of these
+    out = base.join(found, ["d", "tie"], "left").select(*[F.col(f"rest.`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], "tie", "t", "marks")
     return out.mapInArrow(per_document(lambda t, spans: (cut_text(t, spans).decode(errors="ignore"),), schema.names, [pa.string()]), schema)

@@ -93,6 +93,8 @@ def test_no_suffix_array_holds_a_common_passage(spark, monkeypatch, broadcast):
     monkeypatch.setattr(suffix_dedup, "HOT", 4)
     monkeypatch.setattr(suffix_dedup, "WIDE", 20)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 40)
+    monkeypatch.setattr(suffix_dedup, "SALTS", 3)
     rng = random.Random(3)
     some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage = some(150)
@@ -104,6 +106,44 @@ def test_no_suffix_array_holds_a_common_passage(spark, monkeypatch, broadcast):
     assert wide and wide[0] > 100
 
 
+def test_many_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 40)
+    monkeypatch.setattr(suffix_dedup, "SALTS", 2)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    texts = [passage + f" {k} " + "".join(rng.choice("xyz") for _ in range(60)) for k in range(40)] + [passage] * 5
+    got = suffix_dedup.dedup(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    # one text keeps the passage; of equal texts all but the first are copies, which without an id all rows alike are not
+    whole = [r for r in got if r.n_removed == 0]
+    assert len(got) == 45 and len({bytes(r.clean) for r in whole}) == 1
+    assert all(r.n_removed in (0, 120, 121, 122, 123) for r in got)
+
+
+def test_windows_that_no_other_entry_has_are_left_out():
+    rng = random.Random(2)
+    anchor = bytes(rng.randrange(97, 105) for _ in range(suffix_dedup.ANCHOR))
+    some = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    left, right = some(64), some(64)
+    entries = []
+    for k in range(40):
+        i, j = rng.randint(0, 64), rng.randint(0, 64)
+        t = (some(64)[: 64 - i] + left[64 - i :])[-rng.randint(0, 64) or 64 :] + anchor
+        q = len(t) - len(anchor)
+        t += (right[:j] + some(64 - j))[: rng.randint(64 - q, 64)]
+        if len(t) >= 100:
+            entries.append((1, k, 0, len(t) - 99, k, 0, 0, t, q))
+    assert len(entries) > 10
+    every = {}
+    for e in entries:
+        for x in range(e[3]):
+            every.setdefault(e[7][x : x + 100], []).append((e[1], x))
+    kept = {(e[1], e[2] + x) for e in suffix_dedup.narrowed(entries) for x in range(e[3])}
+    for places in every.values():
+        if len(places) > 1:
+            assert kept.issuperset(places)
+    assert len(kept) < sum(e[3] for e in entries)
+
+
 def test_clean_documents_keep_their_other_columns(docs, rows, none):
     got = suffix_dedup.clean_documents(docs)
     assert got.columns == [c for c in docs.columns if c != "text"] + ["text"] and got.count() == len(rows)
