@@ -29,10 +29,12 @@ def passages(lines: Column) -> Column:
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """turns with message, their place among all, and their lines and passages."""
+    """conv_id, turn, role, text, message (the place among all), content (own words without quoted lines), and the passages, of each turn; stored, so that texts are dealt and looked through once."""
     base = turns.select("conv_id", "turn", "role", whole_text().alias("text"))
     at = ranked(base.withColumn("_h", F.xxhash64("text", "role")), ["conv_id", "turn", "_h"], "message").drop("all_rows", "_h")
-    return stored(at.withColumn("lines", F.split("text", "\n")).withColumn("said", passages(F.col("lines"))), "messages")
+    lines = F.split("text", "\n")
+    own = F.array_join(F.filter(lines, lambda x: level_of(x) == 0), "\n")
+    return stored(at.select("conv_id", "turn", "role", "message", F.trim(F.regexp_replace(own, rf"^{SPACE}+|{SPACE}+$", "")).alias("content"), passages(lines).alias("said")), "messages")
 
 
 def links_of(at: DataFrame) -> DataFrame:
@@ -77,12 +79,16 @@ def link_replies(turns: DataFrame, rounds: int = 64) -> DataFrame:
         p = cut(p.join(up, "root").select("message", "parent", "quotes", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("root") != F.col("next")).alias("moved")))
         if not p.filter("moved").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"link_replies: no end after {rounds} rounds")
     turn_of = lambda name: at.select(F.col("message").alias(name), F.col("turn").alias(f"{name}_turn"))
-    linked = at.join(p, "message").join(turn_of("parent"), "parent", "left").join(turn_of("root"), "root")
-    own = F.array_join(F.filter("lines", lambda x: level_of(x) == 0), "\n")
-    deepest = F.coalesce(F.array_max(F.transform("said", lambda x: x["level"])), F.lit(0))
-    found = linked.select("conv_id", "turn", "role", "message", "parent_turn", F.col("root_turn").alias("thread_turn"), "root", "depth", "quotes", deepest.alias("max_level"), F.trim(F.regexp_replace(own, rf"^{SPACE}+|{SPACE}+$", "")).alias("content"))
-    found = found.withColumn("rendered", F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), "content", F.lit("\n<|end|>")))
-    placed = ranked(found, ["conv_id", "root", "message"], "_place")
+    # places are found from numbers alone; contents join them at the end
+    ids = at.select("conv_id", "message").join(p, "message").join(turn_of("parent"), "parent", "left").join(turn_of("root"), "root")
+    placed = ranked(ids.select("conv_id", "root", "message", "parent_turn", "root_turn", "depth", "quotes"), ["conv_id", "root", "message"], "_place")
     starts = placed.groupBy(F.col("conv_id").alias("_c")).agg(F.min("_place").alias("_start"))
-    return placed.join(starts, F.col("conv_id").eqNullSafe(F.col("_c"))).withColumn("position", F.col("_place") - F.col("_start")).drop("_c", "_start", "_place", "all_rows", "root")
+    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")))
+    placed = placed.select("message", "parent_turn", F.col("root_turn").alias("thread_turn"), "depth", "quotes", (F.col("_place") - F.col("_start")).alias("position"))
+    deepest = F.coalesce(F.array_max(F.transform("said", lambda x: x["level"])), F.lit(0))
+    rendered = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), "content", F.lit("\n<|end|>"))
+    out = at.join(placed, "message")
+    return out.select("conv_id", "turn", "role", "message", "parent_turn", "thread_turn", "depth", "quotes", deepest.alias("max_level"), "content", rendered.alias("rendered"), "position")

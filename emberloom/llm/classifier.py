@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD, whole_text, words_of
+from .common import SPACE_CHARS, WORD, whole_row, whole_text, words_of
 
 FEATURES = ("log_words", "mean_word", "symbols", "upper", "pipes", "distinct_words", "same_next", "dup_lines", "bangs", "digits", "words_a_line", "stops")
 #: The model is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
@@ -163,7 +163,11 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Additive:
-    """A model of labels.quality from rows that aren't held out. The sample, its ids and then its features, is bounded by max_rows, wherever it goes."""
+    """A model of labels.quality from rows that aren't held out. The sample, its ids and then its features, is bounded by max_rows, wherever it goes.
+
+    Labels other than 0 and 1, and those without a doc_id, teach nothing; of labels that contradict one another 1 counts.
+    """
+    docs = docs.select("doc_id", "text")
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
@@ -176,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """docs with held_out, score and predicted; columns of these names are replaced.
 
-    One pass without a shuffle. Texts may be null or empty: they get the score of features that are all 0. Repeated rows are scored alike; without
-    labels of both kinds every score is the prior (0.5 when there are none).
+    One pass without a shuffle. Texts may be null or empty: they get the score of features that are all 0. Repeated rows are scored alike, rows without a doc_id like others
+    (they are not held out); without labels of both kinds every score is the prior (0.5 when there are none).
     """
     model = train(docs, labels, max_rows)
 
@@ -185,8 +189,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     def scored(*columns: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
 
-    carried = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    row = whole_row(docs, ("held_out", "score", "predicted"))
     # one row for one: the explode keeps the features a column of their own, which no filter on the score brings into the function's arguments
-    out = docs.select(*carried, held_out().alias("held_out"), F.explode(F.array(features())).alias("_f"))
-    out = out.withColumn("score", scored(*[F.element_at("_f", k + 1) for k in range(len(FEATURES))])).drop("_f")
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    out = docs.select(row.alias("row"), held_out().alias("held_out"), F.explode(F.array(features())).alias("f"))
+    out = out.select("row", "held_out", scored(*[F.element_at("f", k + 1) for k in range(len(FEATURES))]).alias("score"))
+    return out.select("row.*", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,11 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and where it is unset (tests, a single machine) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, and where it is unset on a single machine (tests) a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -55,6 +58,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns but some as one struct, so that no name of theirs meets one that an operator uses; what isn't selected of it in the end isn't read."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

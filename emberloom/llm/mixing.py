@@ -6,12 +6,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text, words_of
+from .common import stored, whole_row, whole_text, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_PASSES, SEED = 1.5, 2.0, 17
-#: Documents of one length and source are chosen within so many hash slices, so that a length which many share is dealt over tasks.
-SLICES = 64
+#: Documents of one length and source are chosen within hash slices, so that a length which many share is dealt over tasks: one for each SLICE documents in all, and some at least.
+SLICE, LEAST_SLICES = 1_000_000, 64
+#: Of the bitsets of the search every so many is kept; those between are worked out again.
+KEPT_STEPS = 128
+#: What mix adds to a document's columns.
+ADDED = ("_words", "_source_size", "_target", "_copies")
 #: Words of a source that are left to the exact search; what is over is filled longest first.
 SEARCH_WORDS = 1 << 16
 
@@ -64,17 +68,25 @@ def subset(lengths: list[int], counts: list[int], budget: int, search: int = SEA
             bundles.append((i, k))
             spare -= k
             size *= 2
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+    mask, reach, kept, done = (1 << (left + 1)) - 1, 1, [], 0
+    step = lambda reach, i, k: reach | reach << (k * lengths[i]) & mask
     for i, k in bundles:
         if reach >> left & 1:
             break
-        steps.append((reach, i, k))
-        reach |= reach << (k * lengths[i]) & mask
+        if done % KEPT_STEPS == 0:
+            kept.append(reach)
+        reach = step(reach, i, k)
+        done += 1
     at = reach.bit_length() - 1
-    for before, i, k in reversed(steps):
-        if not before >> at & 1:
-            chosen[i] += k
-            at -= k * lengths[i]
+    for first in range(len(kept) - 1, -1, -1):
+        part = bundles[first * KEPT_STEPS : min((first + 1) * KEPT_STEPS, done)]
+        before = [kept[first]]
+        for i, k in part[:-1]:
+            before.append(step(before[-1], i, k))
+        for was, (i, k) in zip(reversed(before), reversed(part), strict=True):
+            if not was >> at & 1:
+                chosen[i] += k
+                at -= k * lengths[i]
     return chosen
 
 
@@ -88,33 +100,45 @@ def choose_lengths(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES, seed: int = SEED) -> DataFrame:
-    """docs with _words, _source_size, _target and _copies, the number of times that the mix takes each document.
+    """docs with _words, _source_size, _target and _copies, the number of times that the mix takes each document; columns of these names are replaced.
 
     Words are runs of characters other than ASCII white space; a null text has none. Every document is taken in each whole pass, and some once more:
-    of each length the number that the search asks for, those with the smallest seeded hashes of doc_id. So reruns agree. Only counts of
-    lengths by source are gathered, in a group for each source; a hot source or length is dealt over slices by hash. A null source is a source of
-    its own. Repeated rows count and are drawn one by one; an empty table gives no rows.
+    of each length the number that the search asks for, those with the smallest seeded hashes of doc_id and text, slice by slice. So reruns agree. Rows alike have
+    one hash: the extra pass takes all of them or none, and where that is undecided none. Only lengths and hashes
+    are sorted; counts of lengths by source are gathered in a group for each source, and the targets of sources in one task, a row each. A null source is a source of
+    its own; an empty table gives no rows.
     """
-    own = docs.withColumns({"_words": F.size(words_of(whole_text())).cast("long"), "_draw": F.xxhash64(F.lit(seed), F.col("doc_id"))})
-    own = own.withColumn("_slice", F.pmod("_draw", F.lit(SLICES)).cast("int"))
-    counts = stored(own.groupBy(F.col("source"), F.col("_words").alias("size"), "_slice").agg(F.count("*").alias("n")), "length-counts")
-    histogram = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    aims = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), whole_text())
+    own = docs.select(whole_row(docs, ADDED).alias("row"), F.col("source").alias("of"), F.size(words_of(whole_text())).cast("long").alias("size"), draw.alias("draw"))
+    sized = stored(own.select("of", "size", "draw"), "lengths")
+    slices = max(LEAST_SLICES, sized.count() // SLICE)
+    sized = sized.withColumn("slice", F.pmod("draw", F.lit(slices)))
+    counts = stored(sized.groupBy("of", "size", "slice").agg(F.count("*").alias("n")), "length-counts")
+    histogram = counts.groupBy(F.col("of").alias("source"), "size").agg(F.sum("n").alias("n"))
+    aims = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     schema = "source string, size long, source_size long, target double, passes int, extra long"
-    aims = aims.withColumnRenamed("source", "_s")
-    wanted = histogram.join(aims, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    chosen = stored(wanted.groupBy("source").applyInPandas(choose_lengths, schema), "chosen-lengths").withColumnsRenamed({"source": "_s", "size": "_size"})
-    # the slices give their documents in turn until the number is reached
-    quota = counts.join(chosen, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_size")))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = quota.withColumn("_quota", F.greatest(F.least(F.col("extra") - before, F.col("n")), F.lit(0)))
-    quota = stored(quota.select("_s", "_size", F.col("_slice").alias("_sl"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "passes", "_quota"), "quotas")
-    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_size")) & (F.col("_slice") == F.col("_sl"))
-    place = F.row_number().over(Window.partitionBy("source", "_words", "_slice").orderBy("_draw", "doc_id"))
-    drawn = own.join(quota, on).withColumn("_copies", (F.col("passes") + (place <= F.col("_quota")).cast("int")))
-    return drawn.drop("_s", "_size", "_sl", "_slice", "_draw", "passes", "_quota")
+    wanted = histogram.join(aims.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    chosen = stored(wanted.groupBy("source").applyInPandas(choose_lengths, schema), "chosen-lengths")
+    # the slices give their documents in turn until the number is reached; within the slice where that is, a hash is the bound
+    turn = Window.partitionBy("of", "size").orderBy("slice")
+    upto = counts.withColumn("upto", F.sum("n").over(turn))
+    upto = upto.join(chosen.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "extra"), F.col("of").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")))
+    last = upto.filter("upto > extra and upto - n <= extra").select(F.col("of").alias("_s"), F.col("size").alias("_n"), F.col("slice").alias("_l"), (F.col("extra") - F.col("upto") + F.col("n")).alias("some"))
+    here = F.col("of").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")) & (F.col("slice") == F.col("_l"))
+    place = F.row_number().over(Window.partitionBy("_s", "_n").orderBy("draw"))
+    bounds = sized.join(last, here).withColumn("place", place).filter("place > some").groupBy("_s", "_n", "_l").agg(F.min("draw").alias("bound"))
+    bounds = bounds.withColumnsRenamed({"_s": "_bs", "_n": "_bn"})
+    quota = chosen.join(bounds, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("size") == F.col("_bn")), "left")
+    quota = stored(quota.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "source_size", "target", "passes", "_l", "bound"), "quotas")
+    drawn = own.join(quota, F.col("of").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")))
+    piece = F.pmod("draw", F.lit(slices))
+    # no bound: all documents of the length
+    more = F.col("_l").isNull() | (piece < F.col("_l")) | ((piece == F.col("_l")) & (F.col("draw") < F.col("bound")))
+    return drawn.select("row.*", F.col("size").alias("_words"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), (F.col("passes") + more.cast("int")).alias("_copies"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
-    """A row for each copy that the mix takes."""
-    return mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_words", "_source_size", "_target")
+    """A row for each copy that the mix takes, without what mix added."""
+    kept = [F.col(f"`{c}`") for c in mixed.columns if c not in ADDED]
+    copies = mixed.filter("_copies > 0").select(F.struct(*kept).alias("row"), F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copies.select("row.*")

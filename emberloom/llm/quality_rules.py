@@ -55,37 +55,40 @@ def measure(docs: DataFrame) -> DataFrame:
     nothing is 0. Windows of five words are told apart by their 64-bit hash within one text.
     """
     names = docs.columns
-    carried = [F.col(f"`{n}`") for n in names if not n.startswith("_q_")]
-    at = docs.select(*carried, whole_text().alias("_q_t")).withColumns({"_q_w": words_of(F.col("_q_t"))})
-    w = F.col("_q_w")
-    at = at.withColumn("_q_n", F.size(w))
+    own = "_q_"
+    while any(n.startswith(own) for n in names):
+        own += "_"
+    carried = [F.col(f"`{n}`") for n in names]
+    at = docs.select(*carried, whole_text().alias(own + "t")).withColumns({own + "w": words_of(F.col(own + "t"))})
+    w = F.col(own + "w")
+    at = at.withColumn(own + "n", F.size(w))
     # arrays of longs, so that array_distinct stays on primitive values
-    starts = F.when(F.col("_q_n") >= WINDOW, F.sequence(F.lit(0), F.col("_q_n") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    at = at.withColumn("_q_h", F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
-    h = F.col("_q_h")
-    at = at.withColumn("_q_s", F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    s = F.col("_q_s")
+    starts = F.when(F.col(own + "n") >= WINDOW, F.sequence(F.lit(0), F.col(own + "n") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    at = at.withColumn(own + "h", F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
+    h = F.col(own + "h")
+    at = at.withColumn(own + "s", F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    s = F.col(own + "s")
     again = F.filter(s, lambda x, k: (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))))
-    at = at.withColumn("_q_p", F.array_sort(F.transform(again, lambda x: x["i"])))
-    t, n = F.col("_q_t"), F.col("_q_n")
+    at = at.withColumn(own + "p", F.array_sort(F.transform(again, lambda x: x["i"])))
+    t, n = F.col(own + "t"), F.col(own + "n")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    at = at.withColumns({"_q_l": lines, "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"), "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")})
+    at = at.withColumns({own + "l": lines, "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"), "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")})
     share = lambda x, of: F.when(of > 0, x / of).otherwise(F.lit(0.0))
     stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
-    dup_lines = F.size("_q_l") - F.size(F.array_distinct("_q_l"))
+    dup_lines = F.size(F.col(own + "l")) - F.size(F.array_distinct(F.col(own + "l")))
     return at.withColumns(
         {
             "n_words": n.cast("long"),
             "n_dup_lines": dup_lines.cast("long"),
-            "n_repeat_words": F.when(F.col("_q_s").isNull(), F.lit(0).cast("long")).otherwise(repeated_words(w, F.col("_q_p"))),
+            "n_repeat_words": F.when(F.col(own + "s").isNull(), F.lit(0).cast("long")).otherwise(repeated_words(w, F.col(own + "p"))),
             "mean_word_chars": share(F.col("word_chars"), n),
             "symbol_ratio": share(F.col("n_symbols"), n),
             "stop_ratio": share(n - F.size(F.filter(w, lambda x: ~F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*dict.fromkeys(STOP_WORDS)))), n),
             "upper_ratio": share(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), F.col("word_chars")),
-            "dup_line_ratio": share(dup_lines, F.size("_q_l")),
+            "dup_line_ratio": share(dup_lines, F.size(F.col(own + "l"))),
             "distinct_word_ratio": share(F.size(F.array_distinct(w)), n),
         }
-    ).drop("_q_t", "_q_w", "_q_n", "_q_h", "_q_s", "_q_p", "_q_l")
+    ).drop(own + "t", own + "w", own + "n", own + "h", own + "s", own + "p", own + "l")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

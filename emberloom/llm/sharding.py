@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, whole_text
+from .common import ranked, whole_row, whole_text
 
 BITS = 8
 
@@ -68,6 +68,18 @@ def name_step(value: Column, bits: int = BITS) -> Column:
     return F.when(value.isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits)))
 
 
+def placed(docs: DataFrame, shards: int, bits: int, carried: list[Column]) -> DataFrame:
+    text = whole_text()
+    crc = F.crc32(text.cast("binary")).cast("long")
+    size = (F.octet_length(text) + 1).cast("long")
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), name_step(F.col("source"), bits).alias("_s"), name_step(F.col("lang"), bits).alias("_l"), *carried)
+    others = [c for c in flat.columns if c not in ("_s", "_l")]
+    flat = flat.select(*others, hilbert_index([F.col("_s"), F.col("_l"), size_step(F.col("size"), bits)], bits).alias("curve"))
+    order = ["curve", "text_crc32", "doc_id", "size"]
+    out = ranked(flat, order).withColumn("shard", F.expr(f"cast(rank * {shards} div all_rows as int)"))
+    return out.withColumn("slot", F.expr(f"rank - (cast(shard as bigint) * all_rows + {shards} - 1) div {shards}").cast("long"))
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve index of every row; law `rows`: counts of the shards differ by one at most.
 
@@ -76,17 +88,14 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataF
     the offsets; no task sees more than a range. Equal texts of one source and language lie side by side. A null text counts as empty,
     null names and ids sort first, an empty table gives no rows, repeated rows take a slot each.
     """
-    text = whole_text()
-    crc = F.crc32(text.cast("binary")).cast("long")
-    size = (F.octet_length(text) + 1).cast("long")
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), name_step(F.col("source"), bits).alias("_s"), name_step(F.col("lang"), bits).alias("_l"))
-    flat = flat.select("doc_id", "size", "text_crc32", hilbert_index([F.col("_s"), F.col("_l"), size_step(F.col("size"), bits)], bits).alias("curve"))
-    order = ["curve", "text_crc32", "doc_id", "size"]
-    placed = ranked(flat, order).withColumn("shard", F.expr(f"cast(rank * {shards} div all_rows as int)"))
-    slot = F.expr(f"rank - (cast(shard as bigint) * all_rows + {shards} - 1) div {shards}")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return placed(docs, shards, bits, []).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
 
+def write_shards(docs: DataFrame, path: str, shards: int = 16, files: int = 4, bits: int = BITS) -> None:
+    """docs with size, curve and slot as Parquet, a folder for each shard (shard=0 ...) with about `files` files, each a run of slots in slot order.
 
-def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in slot order."""
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    So a file holds a short piece of the curve: the least and largest source, lang and size in its footer let readers pass over it. Columns named size, curve, slot or shard are
+    replaced. All files are written side by side, shards times files of them, whatever the number of rows.
+    """
+    out = placed(docs, shards, bits, [whole_row(docs, ("size", "curve", "slot", "shard")).alias("row")]).select("row.*", "size", "curve", "slot", "shard")
+    out.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -35,14 +35,15 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp of every row; a null text has no words."""
+    """doc_id, fp and the hash x of the text of every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(x.as_py(), k) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], ["doc_id", "fp", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    text = whole_text()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("t"), F.xxhash64(text).alias("x")).mapInArrow(run, "doc_id long, fp long, x long")
 
 
 def ball(radius: int) -> list[int]:
@@ -68,16 +69,29 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def classes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(marked, rooted): the fingerprints of all rows, and fp, root of the distinct ones."""
+    marked = stored(fingerprints(docs), "fingerprints")
+    parts = components(links(marked, radius)).withColumnRenamed("node", "fp")
+    return marked, stored(few(marked.select("fp").distinct().join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))), "roots")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row; component_id is the smallest doc_id that links reach.
 
     Empty and null texts have fingerprint zero and are linked like any other. Null doc_ids are carried, but a component is named by the
     smallest one that isn't null. Repeated rows come out as often as they came in.
     """
-    marked = stored(fingerprints(docs), "fingerprints")
-    parts = components(links(marked, radius))
-    by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = by_fp.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(few(rooted.join(names, "root").select("fp", "component_id")), "classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    marked, rooted = classes(docs, radius)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(few(rooted.join(names, "root").select("fp", "component_id")), "classes")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, x): of each component the row that stays, by its doc_id and the xxhash64 of its text: the smallest doc_id, null last, of equals the smallest hash."""
+    marked, rooted = classes(docs, radius)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x"))
+    each = marked.groupBy("fp").agg(best.alias("best")).join(rooted, "fp")
+    return each.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.x")

@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 from emberloom.llm.chat import link_replies, quote_links
 
 SCHEMA = "conv_id long, turn long, role string, text string, position string, depth string"
@@ -59,3 +63,53 @@ def test_deeper_quotes_lead_to_their_messages(spark):
     assert got[1, 3].quotes and got[1, 4].quotes and got[1, 4].max_level == 3
     links = quote_links(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)).collect()
     assert sorted((r.turn, r.level, r.origin_turn, r.n) for r in links) == [(3, 2, 0, 2), (3, 2, 1, 1), (4, 3, 1, 1), (5, 1, 2, 1), (5, 2, 0, 2)]
+
+
+def plainly(rows):
+    """(conv, turn) -> (parent, thread, depth, content, position), message by message and line by line."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        said, parent = {}, {}
+        for k, (_, turn, _, text) in enumerate(turns):
+            lines = []
+            for line in (text or "").split("\n"):
+                marks = re.match(r"(?:[ \t]*>)*[ \t]?", line)[0] if re.match(r"[ \t]*>", line) else ""
+                words = re.sub(r"[\x20\x09-\x0D]+", " ", line[len(marks) :].lower()).strip(" ")
+                lines.append((marks.count(">"), words, line))
+            met = Counter((level, said[words]) for level, words, _ in lines if level and words and said.get(words, k) < k)
+            best = max(met, key=lambda x: (-x[0], met[x], x[1]), default=None)
+            parent[k] = best[1] if best else (k - 1 if k else None)
+            for level, words, _ in lines:
+                if level == 0 and words:
+                    said.setdefault(words, k)
+            content = "\n".join(line for level, _, line in lines if level == 0).strip(" \t\n\x0b\x0c\r")
+            root, depth = k, 0
+            while parent[root] is not None:
+                root, depth = parent[root], depth + 1
+            out[conv, turn] = [None if parent[k] is None else turns[parent[k]][1], turns[root][1], depth, content, (root, k)]
+        for place, key in enumerate(sorted((v[4], t) for (c, t), v in out.items() if c == conv)):
+            out[conv, key[1]][4] = place
+    return out
+
+
+def test_links_are_those_of_a_plain_reading(spark):
+    rng = random.Random(4)
+    sayings = [f"saying number {k} of all" for k in range(12)] + ["Yes", "  Spaced   OUT ", ""]
+    rows = []
+    for conv in (*range(25), None):
+        for turn in range(rng.randint(1, 14)):
+            lines = [rng.choice(["", "", "> ", ">> ", "> > ", ">>> ", " >"]) + rng.choice(sayings) for _ in range(rng.randint(0, 5))]
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), "\n".join(lines) if rng.random() > 0.05 else None))
+    want, got = plainly(rows), run(spark, rows)
+    assert {k: [r.parent_turn, r.thread_turn, r.depth, r.content, r.position] for k, r in got.items()} == want
+    assert len({r.max_level for r in got.values()}) == 4 and sum(r.quotes for r in got.values()) > 20
+
+
+def test_a_very_long_conversation_ties_and_nulls(spark):
+    rows = [(1, t, "user", f"> line {t - 1}\nline {t}") for t in range(1500)]
+    got = run(spark, rows)
+    assert got[1, 1499].depth == 1499 and got[1, 1499].thread_turn == 0 and got[1, 1499].position == 1499
+    odd = [(2, None, None, "a"), (2, None, None, "a"), (2, 5, "user", None), (None, None, None, None)]
+    out = link_replies(spark.createDataFrame([(*r, "x", "y") for r in odd], SCHEMA)).collect()
+    assert len(out) == 4 and sorted(r.position for r in out if r.conv_id == 2) == [0, 1, 2]

@@ -66,3 +66,22 @@ def test_subset_with_a_large_budget():
 
 def test_empty_table(none):
     assert mix(none).count() == 0
+
+
+def test_the_search_holds_few_bitsets(monkeypatch):
+    """Even lengths and an odd budget never end the search early; what is kept of it doesn't change the choice."""
+    from emberloom.llm import mixing
+
+    lengths, counts = list(range(2, 3002, 2)), [3] * 1500
+    budget = 40_001
+    few = subset(lengths, counts, budget)
+    assert sum(n * k for n, k in zip(lengths, few, strict=True)) == 40_000
+    monkeypatch.setattr(mixing, "KEPT_STEPS", 1)
+    assert subset(lengths, counts, budget) == few
+
+
+def test_texts_under_one_id_are_drawn_alike(spark):
+    rows = [(1, f"word{k} two three", "a") for k in range(60)] + [(2, "b " * 30, "b"), (3, "c " * 40, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    draws = [sorted((r.text, r._copies) for r in mix(df.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert draws[0] == draws[1] == draws[2]

@@ -3,6 +3,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 from emberloom.llm.sharding import hilbert_index, hilbert_shards, write_shards
 
 
@@ -36,6 +39,19 @@ def test_few_rows_and_none(spark, docs, none):
     assert sorted(r.shard for r in hilbert_shards(docs.limit(3)).collect())[0] == 0
 
 
-def test_written_shards(spark, docs, tmp_path):
-    write_shards(hilbert_shards(docs), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+def test_written_shards_let_readers_pass_over_files(spark, rows, docs, tmp_path):
+    many = docs.crossJoin(spark.range(20).withColumnRenamed("id", "_k")).withColumn("text", F.expr("repeat('x', 1 + (doc_id * 37 + _k * 11) % 5000)"))
+    write_shards(many, str(tmp_path / "out"), shards=4, files=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == many.count() and sorted(set(many.columns) - set(back.columns)) == []
+    assert {(r.shard, r.slot) for r in back.collect()} == {(r.shard, r.slot) for r in hilbert_shards(many, shards=4).collect()}
+    boxes = []
+    for f in sorted((tmp_path / "out").rglob("*.parquet")):
+        meta = pq.read_metadata(f)
+        at = {meta.row_group(0).column(k).path_in_schema: k for k in range(meta.num_columns)}
+        least = lambda c: meta.row_group(0).column(at[c]).statistics  # noqa: B023, E731
+        boxes.append((least("source").min, least("source").max, least("size").min, least("size").max, meta.num_rows))
+    assert len(boxes) >= 12
+    # of the files, those whose footer may hold source s1 and a size from 1000 to 2000
+    hit = [b for b in boxes if b[0] is not None and b[0] <= "s1" <= b[1] and b[3] >= 1000 and b[2] <= 2000]
+    assert 0 < len(hit) <= 0.6 * len(boxes)
