@@ -17,13 +17,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id; of rows that share this id, one."""
-    classes = simhash.near_duplicates(docs).filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    kept = classes.select(key.alias("_d")).distinct()
-    # rows alike under the same id are copies too; the join has brought them together
-    alike = Window.partitionBy("_d", "_x").orderBy(*[c for c in COLUMNS if c not in ("doc_id", "text")])
-    rows = docs.withColumns({"_d": key, "_x": F.xxhash64("text")}).join(kept, "_d", "left_semi")
+    """One document of each group of near-duplicates stays, that with the smallest id, null last; of its rows that share id and text, one."""
+    kept = simhash.representatives(docs).select(F.col("doc_id").alias("_d"), F.col("x").alias("_x"))
+    hashed = docs.select(*COLUMNS).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_x")), "left_semi")
+    alike = Window.partitionBy("doc_id", "_t").orderBy(*[c for c in COLUMNS if c not in ("doc_id", "text")])
     return rows.withColumn("_k", F.row_number().over(alike)).filter("_k = 1").select(*COLUMNS)
 
 
