@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import near_pairs
@@ -15,11 +17,19 @@ from .normalize import lookup
 WINDOW_S, LEAST_RADIUS_M, CANDIDATES, TEXT_OVER = 6 * 3600, 10_000.0, 50, 55.0
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, and where that is unset on a single machine a new temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
+    return found or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir, or a new one where that is unset."""
+    """df with its lineage cut in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -48,11 +58,17 @@ def event_text(events: DataFrame) -> Column:
     return F.lower(F.trim(F.concat_ws(" ", *parts))) if parts else F.lit("")
 
 
-def candidates(events: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """(id, cand_id, distance_m, rn): of each report the nearest earlier ones within 6 hours and the larger of 10 km and both radii.
+def arrived(events: DataFrame) -> Column:
+    """What reports are ordered by: the arrival column where there is one, and the id."""
+    return F.struct("arrival", "id") if "arrival" in events.columns else F.struct("id")
+
+
+def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | None = None) -> DataFrame:
+    """(id, cand_id, distance_m, rn): of each report (of later, where given, a part of events) the nearest that arrived earlier within 6 hours and the larger of 10 km and both radii.
 
-    A pair is met from the side with the larger radius, the later report among equals, on cells of that radius. The cap comes before any text is
-    compared. Equal distances, to the millimetre, are ordered by id.
+    A pair is met from the side with the larger radius, on cells of that radius. The cap comes before any text is
+    compared. Equal distances, to the millimetre, are ordered by arrival. Of reports with one place, time and radius, as many as the cap can be somebody's candidates, the first to arrive:
+    the others are left out before the join, so a city that a feed puts on one instant of a day doesn't meet itself pair by pair.
     """
     reach = F.greatest(F.lit(LEAST_RADIUS_M), F.coalesce(F.col("geo_radius_m"), F.lit(0)).cast("double"))
     radii = [LEAST_RADIUS_M, *[float(r) for r in RADIUS_M.values() if r > LEAST_RADIUS_M]]
@@ -60,22 +76,27 @@ def candidates(events: DataFrame, most: int = CANDIDATES) -> DataFrame:
     cell = F.lit(radii[-1])
     for r in sorted(radii, reverse=True):
         cell = F.when(F.col("reach") <= r, F.lit(r)).otherwise(cell)
-    e = events.select("id", "lat", "lon", F.col("occurred_at").alias("t"), reach.alias("reach")).withColumn("cell", cell)
-    met = near_pairs(e, e, "c_", F.col("cell"), radii, WINDOW_S, WINDOW_S).filter((F.col("distance_m") <= F.col("reach")) & (F.col("id") != F.col("c_id")))
-    met = met.filter((F.col("reach") > F.col("c_reach")) | ((F.col("reach") == F.col("c_reach")) & (F.col("id") > F.col("c_id"))))
-    pairs = met.select(F.greatest("id", "c_id").alias("id"), F.least("id", "c_id").alias("cand_id"), F.round("distance_m", 3).alias("distance_m"))
-    order = Window.partitionBy("id").orderBy("distance_m", "cand_id")
-    return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
-
-
-def parents(events: DataFrame, text_rule: bool = True, most: int = CANDIDATES) -> DataFrame:
-    """(id, parent): the first candidate that matches. Match: compatible categories, and the same actors or texts that are similar enough.
+    narrow = lambda df: df.select("id", "lat", "lon", F.col("occurred_at").alias("t"), reach.alias("reach"), arrived(events).alias("arrived")).withColumn("cell", cell)
+    alike = Window.partitionBy("lat", "lon", "t", "reach").orderBy("arrived")
+    early = narrow(events).withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k")
+    late = narrow(events if later is None else later)
+    near = F.col("distance_m") <= F.col("reach")
+    ahead = near_pairs(late, early, "c_", F.col("cell"), radii, WINDOW_S, WINDOW_S).filter(near & (F.col("reach") >= F.col("c_reach")) & (F.col("arrived") > F.col("c_arrived")))
+    behind = near_pairs(early, late, "c_", F.col("cell"), radii, WINDOW_S, WINDOW_S).filter(near & (F.col("reach") > F.col("c_reach")) & (F.col("arrived") < F.col("c_arrived")))
+    pairs = ahead.select("id", F.col("c_id").alias("cand_id"), "distance_m", F.col("c_arrived").alias("arrived")).unionAll(behind.select(F.col("c_id").alias("id"), F.col("id").alias("cand_id"), "distance_m", "arrived"))
+    pairs = pairs.withColumn("distance_m", F.round("distance_m", 3))
+    order = Window.partitionBy("id").orderBy("distance_m", "arrived")
+    return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("arrived")
+
+
+def parents(events: DataFrame, text_rule: bool = True, most: int = CANDIDATES, later: DataFrame | None = None) -> DataFrame:
+    """(id, parent): the first candidate that matches, of all reports or of those in later. Match: compatible categories, and the same actors or texts that are similar enough.
 
     The cheap terms come first; the similarity is computed for what they leave open only.
     """
     about = events.select("id", "category", actor_set(events).alias("actors"), event_text(events).alias("text"))
     other = about.select(*[F.col(c).alias(f"c_{c}") for c in about.columns])
-    met = candidates(events, most).join(about, "id").join(other, F.col("cand_id") == F.col("c_id")).filter(compatible(F.col("category"), F.col("c_category")))
+    met = candidates(events, most, later).join(about, "id").join(other, F.col("cand_id") == F.col("c_id")).filter(compatible(F.col("category"), F.col("c_category")))
     same = F.coalesce(F.col("actors") == F.col("c_actors"), F.lit(False))
     if text_rule:
         open_ = ~same & (F.col("text") != "") & (F.col("c_text") != "")
@@ -105,13 +126,21 @@ def assign_clusters(events: DataFrame, text_rule: bool = True, most: int = CANDI
 
 
 def assign_batch(stored: DataFrame, batch: DataFrame, text_rule: bool = True, most: int = CANDIDATES) -> DataFrame:
-    """batch with cluster_id against clustered events: parents may be stored, whose cluster is known, so only the batch's own links are doubled."""
-    columns = [c for c in batch.columns if c in stored.columns and c != "cluster_id"]
-    both = stored.select(*columns).unionByName(batch.select(*columns))
-    links = checkpoint(parents(both, text_rule, most).join(batch.select("id"), "id", "left_semi"))
-    known = stored.select(F.col("id").alias("parent"), F.col("cluster_id").alias("known"))
-    tops = roots(links)
-    out = tops.join(known.withColumnRenamed("parent", "root"), "root", "left").select("id", F.coalesce("known", "root").alias("cluster_id"))
+    """batch with cluster_id against clustered events: parents may be stored, whose cluster is known, so only the batch's own links are doubled.
+
+    What is stored comes before the batch, whatever the ids; both order their reports by an `arrival` column where they have one. Only stored reports within the batch's span of time are looked at.
+    """
+    columns = [c for c in batch.columns if c in stored.columns and c not in ("cluster_id", "arrival")]
+    span = batch.agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b")).first()
+    if span["a"] is None:
+        return batch.drop("cluster_id").withColumn("cluster_id", F.col("id"))
+    gap = timedelta(seconds=WINDOW_S)
+    place = lambda df, k: F.struct(F.lit(k).alias("k"), (F.col("arrival") if "arrival" in df.columns else F.lit(None).cast("struct<batch:bigint,place:bigint>")).alias("a")).alias("arrival")
+    near = stored.filter(F.col("occurred_at").between(F.lit(span["a"] - gap).cast("timestamp_ntz"), F.lit(span["b"] + gap).cast("timestamp_ntz")))
+    own = batch.select(*columns, place(batch, 1))
+    links = checkpoint(parents(near.select(*columns, place(stored, 0)).unionByName(own), text_rule, most, own))
+    known = stored.select(F.col("id").alias("root"), F.col("cluster_id").alias("known"))
+    out = roots(links).join(known, "root", "left").select("id", F.coalesce("known", "root").alias("cluster_id"))
     return batch.drop("cluster_id").join(out, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id"))
 
 
@@ -135,11 +164,8 @@ def cluster_stats(events: DataFrame) -> DataFrame:
     )
 
 
-def replay_parents(rows: list[dict], match, distance) -> dict[int, int]:  # noqa: ANN001
-    """For tests: cluster ids by walking through the events one by one."""
-    cluster: dict[int, int] = {}
-    for k, e in enumerate(rows):
-        near = sorted((round(distance(e, o), 3), o["id"], o) for o in rows[:k] if abs((e["occurred_at"] - o["occurred_at"]).total_seconds()) <= WINDOW_S and distance(e, o) <= max(LEAST_RADIUS_M, e["geo_radius_m"] or 0, o["geo_radius_m"] or 0))
-        found = next((o for _, _, o in near[:CANDIDATES] if match(e, o)), None)
-        cluster[e["id"]] = cluster[found["id"]] if found else e["id"]
-    return cluster
+def write_back(events: DataFrame, clusters: DataFrame) -> DataFrame:
+    """events with the score of their cluster on its representative, as a cluster's score is shown on the report that speaks for it; others keep what they have."""
+    spoken = clusters.select(F.col("representative").alias("id"), F.lit(True).alias("_speaks"), F.col("reliability").alias("_score"))
+    old = F.col("reliability") if "reliability" in events.columns else F.lit(None).cast("double")
+    return events.join(spoken, "id", "left").withColumn("reliability", F.when(F.col("_speaks"), F.col("_score")).otherwise(old)).drop("_speaks", "_score")

@@ -46,7 +46,7 @@ def cluster_and_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = score.mark_thermal(cluster.cluster_stats(e), score.corroborated(e, fx.hotspots(spark, sf_dir)))
     c = score.score_clusters(e, c)
     spoken = e.join(c.select(F.col("representative").alias("id"), "reliability"), "id", "left")
-    return serve.list_events(spoken, c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
+    return serve.list_events(cluster.write_back(e, c), c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
 
 
 @query

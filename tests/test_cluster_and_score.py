@@ -36,13 +36,27 @@ def match(a, b):
     return bool(names[0]) and names[0] == names[1] or all(texts) and token_set_ratio(*texts) > 55
 
 
-def test_forest_is_the_sequential_replay(spark):
-    rng = random.Random(11)
+def replay(rows):
+    """Cluster ids by walking through the reports one by one, in the order given."""
+    found = {}
+    for k, e in enumerate(rows):
+        near = [(round(metres(e, o), 3), n, o) for n, o in enumerate(rows[:k]) if abs((e["occurred_at"] - o["occurred_at"]).total_seconds()) <= cluster.WINDOW_S and metres(e, o) <= max(cluster.LEAST_RADIUS_M, e["geo_radius_m"] or 0, o["geo_radius_m"] or 0)]
+        parent = next((o for _, _, o in sorted(near, key=lambda x: x[:2])[: cluster.CANDIDATES] if match(e, o)), None)
+        found[e["id"]] = found[parent["id"]] if parent else e["id"]
+    return found
+
+
+def reports(rng, n, spread=1.0):
     rows = []
-    for k in range(140):
+    for k in range(n):
         p = rng.choice([("settlement", 5000), ("admin2", 25_000), ("admin1", 60_000), ("country", 250_000)])
-        rows.append(event(k, hours=rng.choice([0, 0, 3, 6, 9, 24]), lat=10 + rng.choice([0, 0.05, 0.2, 1.5]) * rng.random(), lon=20 + rng.random() * 0.3, category=rng.choice(["airstrike", "artillery", "protest"]), a=rng.choice(["Force A", "force a ", "Force B", None]), b=rng.choice([None, "Force B"]), notes=rng.choice([None, "shelling near the old bridge", "old bridge hit by shelling", "market day"]), geo_precision=p[0], geo_radius_m=p[1]))
-    want = cluster.replay_parents(rows, match, metres)
+        rows.append(event(k, hours=rng.choice([0, 0, 3, 6, 9, 24]), lat=10 + rng.choice([0, 0.05, 0.2, 1.5]) * rng.random() * spread, lon=20 + rng.random() * 0.3 * spread, category=rng.choice(["airstrike", "artillery", "protest"]), a=rng.choice(["Force A", "force a ", "Force B", None]), b=rng.choice([None, "Force B"]), notes=rng.choice([None, "shelling near the old bridge", "old bridge hit by shelling", "market day"]), geo_precision=p[0], geo_radius_m=p[1]))
+    return rows
+
+
+def test_forest_is_the_sequential_replay(spark):
+    rows = reports(random.Random(11), 140)
+    want = replay(rows)
     got = {r.id: r.cluster_id for r in cluster.assign_clusters(frame(spark, rows)).collect()}
     assert got == want and 1 < len(set(got.values())) < 140
     stored = cluster.assign_clusters(frame(spark, rows[:90]))
@@ -50,6 +64,36 @@ def test_forest_is_the_sequential_replay(spark):
     assert {r.id: r.cluster_id for r in stored.select("id", "cluster_id").union(later.select("id", "cluster_id")).collect()} == want
 
 
+def test_random_batches_are_one_batch_whatever_the_ids(spark):
+    """Ids are hashes: what arrives first may have the larger one."""
+    rng = random.Random(23)
+    rows = reports(rng, 90)
+    for r, k in zip(rows, rng.sample(range(10_000), len(rows)), strict=True):
+        r["id"] = k
+    want = replay(rows)
+    cuts = sorted(rng.sample(range(1, 90), 2))
+    placed = lambda part, n: frame(spark, part).join(spark.createDataFrame([(r["id"], (n, k)) for k, r in enumerate(part)], "id long, arrival struct<batch:bigint,place:bigint>"), "id")
+    stored = None
+    for n, (i, j) in enumerate(zip([0, *cuts], [*cuts, 90], strict=True)):
+        part = placed(rows[i:j], n)
+        new = cluster.assign_clusters(part) if stored is None else cluster.assign_batch(stored, part)
+        stored = cluster.checkpoint(new if stored is None else stored.unionByName(new.select(*stored.columns)))
+    assert {r.id: r.cluster_id for r in stored.collect()} == want
+
+
+def test_a_city_on_one_instant_meets_its_first_reports_only(spark):
+    rows = [event(k, a=f"Force {k % 60}") for k in range(400)]
+    got = cluster.candidates(frame(spark, rows))
+    assert got.agg(F.max("rn")).first()[0] == 50 and got.filter("cand_id >= 50").count() == 0
+    assert {r.id: r.cluster_id for r in cluster.assign_clusters(frame(spark, rows), text_rule=False).collect()} == replay(rows)
+
+
+def test_the_score_is_written_back_to_who_speaks(spark):
+    e = frame(spark, [event(1, reliability=0.1), event(2, reliability=0.2)])
+    c = spark.createDataFrame([(1, 2, 0.9)], "cluster_id long, representative long, reliability double")
+    assert {r.id: r.reliability for r in cluster.write_back(e, c).collect()} == {1: 0.1, 2: 0.9}
+
+
 def test_cross_source_join(spark):
     rows = [event(1, "gdelt"), event(2, "acled", hours=2, fatalities=5), event(3, "gdelt", category="protest"), event(4, "gdelt", lat=14.0), event(5, "gdelt", hours=7)]
     e = cluster.assign_clusters(frame(spark, rows))
