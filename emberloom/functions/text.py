@@ -12,8 +12,8 @@ def none_if_empty(c: Column) -> Column:
 
 
 def root_domain(url: Column) -> Column:
-    """The last two labels of a url's host part without `www.`; null without one. A user or a port in it stays."""
-    authority = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    """The last two labels of a url's host part without `www.`; null without one. A user or a port in it stays; a url may begin with `//`, its scheme left out."""
+    authority = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
     host = F.regexp_replace(authority, r"^www\.", "")
     labels = F.split(host, r"\.")
     return F.when(authority == "", None).when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(host)

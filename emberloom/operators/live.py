@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions.geo import angle_deg, great_circle, seconds
 from ..schema import SEVERITY
@@ -37,6 +41,32 @@ def live_queue(events: DataFrame, now: datetime, depth: int = QUEUE_DEPTH) -> Da
     return once.withColumn("priority", F.round(priority(moment), 9)).orderBy(F.desc("priority"), "id").limit(depth)
 
 
+def queue_stream(events: DataFrame, depth: int = QUEUE_DEPTH, shards: int = 8) -> DataFrame:
+    """(shard, place, id, priority) of a stream of events with received_at: the live queue as state, in so many parts by id, each part again whenever something arrives in it.
+
+    What arrives gets its priority then and keeps it; an id that waits already changes nothing; each part holds `depth` events at most, so the first `depth` of all
+    parts (queue_head) are those of one queue. The state is bounded, and no task sees more of a batch than a part's share, already cut to its best.
+    """
+    each = events.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", F.round(priority(F.col("received_at")), 9).alias("priority"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, values = state.get if state.exists else ([], [])
+        held = dict(zip(ids, values, strict=True))
+        for f in frames:
+            for i, x in zip(f["id"].tolist(), f["priority"].tolist(), strict=True):
+                held.setdefault(i, x)
+            held = dict(sorted(held.items(), key=lambda r: (-r[1], r[0]))[:depth])
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame({"shard": key[0], "place": range(1, len(held) + 1), "id": list(held), "priority": list(held.values())})
+
+    return each.groupBy("shard").applyInPandasWithState(step, "shard int, place int, id long, priority double", "ids array<bigint>, priorities array<double>", "update", "NoTimeout")
+
+
+def queue_head(parts: DataFrame, depth: int = QUEUE_DEPTH) -> DataFrame:
+    """The queue from its parts (shard, place, id, priority) as they are now."""
+    return parts.orderBy(F.desc("priority"), "id").limit(depth)
+
+
 def client_window(events: DataFrame, categories: tuple[str, ...], min_reliability: float, end: datetime, span_h: int) -> DataFrame:
     """What a window of time shows; no score counts as 0."""
     last = F.lit(end).cast("timestamp_ntz")

@@ -72,6 +72,11 @@ def on_earth(lat: Column, lon: Column) -> Column:
     return lat.between(-90, 90) & lon.between(-180, 180)
 
 
+def payload(rows: DataFrame) -> Column:
+    """The raw row as JSON, nulls included: what a better parser would need."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+
+
 def finish(df: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
     """Splits off rows with a bad date or place; strict makes them an error when the events are computed."""
     good = F.coalesce(F.col("occurred_at").isNotNull() & on_earth(F.col("lat"), F.col("lon")), F.lit(False))
@@ -97,7 +102,7 @@ def acled(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
         text("location").alias("location_name"), category.alias("category"),
         F.concat(F.coalesce("event_type", F.lit("")), F.lit("/"), F.coalesce("sub_event_type", F.lit(""))).alias("raw_event_type"),
         text("actor1").alias("actor_a"), text("actor2").alias("actor_b"), F.expr("try_cast(fatalities AS int)").alias("fatalities"),
-        F.lit(None).cast("string").alias("headline"), text("notes").alias("notes"), F.array().cast("array<string>").alias("source_urls"),
+        F.lit(None).cast("string").alias("headline"), text("notes").alias("notes"), F.array().cast("array<string>").alias("source_urls"), payload(rows).alias("raw_payload"),
     )
     return finish(out, strict)
 
@@ -127,15 +132,18 @@ def gdelt(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
         precision.alias("geo_precision"), default_radius(precision).alias("geo_radius_m"), F.element_at(parts, -1).alias("country"),
         F.when(F.size(parts) == 3, F.get(parts, 1)).alias("admin1"), F.get(parts, 0).alias("location_name"), gdelt_category(code, root).alias("category"),
         code.alias("raw_event_type"), none_if_empty(at("Actor1Name")).alias("actor_a"), none_if_empty(at("Actor2Name")).alias("actor_b"), F.lit(None).cast("int").alias("fatalities"),
-        nothing.alias("headline"), nothing.alias("notes"), F.when(url != "", F.array(url)).otherwise(F.array().cast("array<string>")).alias("source_urls"),
+        nothing.alias("headline"), nothing.alias("notes"), F.when(url != "", F.array(url)).otherwise(F.array().cast("array<string>")).alias("source_urls"), F.to_json(gdelt_map(), {"ignoreNullFields": "false"}).alias("raw_payload"),
     )
     return finish(out, strict)
 
 
 def gdelt_payload(rows: DataFrame) -> DataFrame:
     """The named columns of each row as a map, for replays of a better parser."""
-    pairs = [x for name, k in GDELT_AT.items() for x in (F.lit(name), F.col(f"c{k}"))]
-    return rows.select(F.col("c0").alias("source_event_id"), F.create_map(*pairs).alias("raw_payload"))
+    return rows.select(F.col("c0").alias("source_event_id"), gdelt_map().alias("raw_payload"))
+
+
+def gdelt_map() -> Column:
+    return F.create_map(*[x for name, k in GDELT_AT.items() for x in (F.lit(name), F.col(f"c{k}"))])
 
 
 def ucdp(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +156,7 @@ def ucdp(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), precision.alias("geo_precision"), default_radius(precision).alias("geo_radius_m"),
         text("country").alias("country"), text("adm_1").alias("admin1"), text("where_coordinates").alias("location_name"), lookup(UCDP_CATEGORY, violence, "other_violence").alias("category"),
         lookup(UCDP_LABEL, violence).alias("raw_event_type"), text("side_a").alias("actor_a"), text("side_b").alias("actor_b"), F.col("best").try_cast("int").alias("fatalities"),
-        text("dyad_name").alias("headline"), text("source_headline").alias("notes"), F.array().cast("array<string>").alias("source_urls"),
+        text("dyad_name").alias("headline"), text("source_headline").alias("notes"), F.array().cast("array<string>").alias("source_urls"), payload(rows).alias("raw_payload"),
     )
     return finish(out.filter("lat is not null and lon is not null and source_event_id is not null and occurred_at is not null"), strict=False)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import near_pairs
+from ..functions.geo import near_pairs, seconds
 from ..functions.text import root_domain
 from ..schema import BASE_SCORE, CONSISTENCY, DOMAIN_CAP, DOMAIN_STEP, KINETIC, OTHER_SCORE, PRECISION_BONUS, PRECISIONS, THERMAL_BONUS
 from .normalize import lookup
@@ -15,11 +15,12 @@ HOTSPOT_RADIUS_M, HOURS = 5_000.0, 3600
 
 def corroborated(events: DataFrame, hotspots: DataFrame) -> DataFrame:
     """Distinct cluster_id of kinetic events with a hotspot within 5 km and 6 hours; an event stamped midnight stands for its whole day and 6 hours around it."""
-    e = events.filter(F.col("category").isin(*KINETIC)).select("cluster_id", "lat", "lon", F.col("occurred_at").alias("t"))
-    h = hotspots.select("lat", "lon", F.col("acquired_at").alias("t"))
-    midnight = F.col("t") == F.date_trunc("day", F.col("t")).cast("timestamp_ntz")
-    met = [near_pairs(e.filter(midnight), h, "h_", HOTSPOT_RADIUS_M, [HOTSPOT_RADIUS_M], 6 * HOURS, 30 * HOURS), near_pairs(e.filter(~midnight), h, "h_", HOTSPOT_RADIUS_M, [HOTSPOT_RADIUS_M], 6 * HOURS, 6 * HOURS)]
-    return met[0].select("cluster_id").unionAll(met[1].select("cluster_id")).distinct()
+    t = F.col("occurred_at")
+    midnight = t == F.date_trunc("day", t).cast("timestamp_ntz")
+    e = events.filter(F.col("category").isin(*KINETIC)).select("cluster_id", "lat", "lon", t.alias("t"), F.when(midnight, 30 * HOURS).otherwise(6 * HOURS).alias("until")).distinct()
+    h = hotspots.select("lat", "lon", F.col("acquired_at").alias("t")).distinct()
+    met = near_pairs(e, h, "h_", HOTSPOT_RADIUS_M, [HOTSPOT_RADIUS_M], 6 * HOURS, 30 * HOURS)
+    return met.filter(seconds(F.col("h_t")) - seconds(F.col("t")) <= F.col("until")).select("cluster_id").distinct()
 
 
 def mark_thermal(clusters: DataFrame, matched: DataFrame) -> DataFrame:
@@ -61,6 +62,7 @@ def reliability(thermal: Column) -> Column:
     return F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 3)
 
 
+# The phrases of an explanation.
 def explanation(thermal: Column) -> Column:
     """The same in words."""
     has = lambda s: F.array_contains("sources", s)

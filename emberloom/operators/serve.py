@@ -14,6 +14,8 @@ from .score import evidence, explanation
 
 EVENTS_LIMIT, EVENTS_MOST, HOTSPOTS_LIMIT, HOTSPOTS_MOST, FACETS = 2_000, 10_000, 5_000, 20_000, 300
 EVENTS_DAYS, HOTSPOTS_DAYS = 14, 1
+#: How many urls a card shows, and how many actors and weapons a filter offers.
+URLS_SHOWN, ACTORS_SHOWN, WEAPONS_SHOWN = 12, 100, 10
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ def members_with_weapon(events: DataFrame, weapons: DataFrame, keys: tuple[str,
 
 
 def list_events(events: DataFrame, clusters: DataFrame, q: EventQuery, weapons: DataFrame | None = None) -> DataFrame:
-    """Representatives and unclustered reports, latest first: light rows with the cluster's member count and heat."""
+    """Representatives and unclustered reports, latest first: light rows with place name, headline, inferred origin, and the cluster's member count and heat."""
     e = events.filter(F.col("occurred_at") >= F.lit(q.since or q.now - timedelta(days=EVENTS_DAYS)).cast("timestamp_ntz"))
     if q.until:
         e = e.filter(F.col("occurred_at") <= F.lit(q.until).cast("timestamp_ntz"))
@@ -81,8 +83,10 @@ def list_events(events: DataFrame, clusters: DataFrame, q: EventQuery, weapons:
         e = e.withColumn("_i", incident()).join(members_with_weapon(events, weapons, q.weapons), "_i", "left_semi").drop("_i")
     c = clusters.select("cluster_id", "representative", "member_count", "thermal_corroborated")
     out = e.join(c, "cluster_id", "left").filter((F.col("representative") == F.col("id")) | F.col("cluster_id").isNull())
+    kinds = {"location_name": "string", "headline": "string", "origin_lat": "double", "origin_lon": "double", "origin_country": "string", "origin_precision": "string", "origin_method": "string", "origin_confidence": "double"}
     light = ["id", "cluster_id", "source", "occurred_at", "lat", "lon", "geo_precision", "geo_radius_m", "country", "category", "actor_a", "fatalities", "reliability"]
-    out = out.select(*light, F.coalesce("member_count", F.lit(1)).cast("long").alias("source_count"), F.coalesce("thermal_corroborated", F.lit(False)).alias("thermal_corroborated"))
+    told = [F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]  # events that weren't enriched have no origin
+    out = out.select(*light, *told, F.coalesce("member_count", F.lit(1)).cast("long").alias("source_count"), F.coalesce("thermal_corroborated", F.lit(False)).alias("thermal_corroborated"))
     return out.orderBy(F.desc("occurred_at"), "id").limit(q.limit)
 
 
@@ -97,17 +101,29 @@ def event_payload(events: DataFrame, clusters: DataFrame, weapons: DataFrame, id
     """Full payload of events: sources and urls over all members, the cluster's count, score and its explanation, weapons as an array."""
     asked = events.join(ids.select(F.col("event_id").alias("id")), "id", "left_semi") if ids is not None else events
     keys = asked.select("cluster_id").distinct()
-    mates = events.join(keys, "cluster_id", "left_semi")
-    urls = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("id", "source_urls"))), lambda s: s["source_urls"])))
-    about = mates.groupBy("cluster_id").agg(F.sort_array(F.collect_set("source")).alias("sources"), urls.alias("all_urls"))
+    mates = events.join(keys, "cluster_id", "left_semi") if ids is not None else events.filter("cluster_id is not null")
+    urls = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("source_urls") > 0, F.struct("id", "source_urls")))), lambda s: s["source_urls"])))
     c = clusters.select("cluster_id", "member_count", F.col("reliability").alias("cluster_reliability"), "thermal_corroborated")
-    told = evidence(mates).join(c.select("cluster_id", "thermal_corroborated"), "cluster_id").select("cluster_id", explanation(F.coalesce("thermal_corroborated", F.lit(False))).alias("reliability_explanation"))
+    about = evidence(mates).join(mates.groupBy("cluster_id").agg(urls.alias("all_urls")), "cluster_id").join(c, "cluster_id")
+    about = about.select("cluster_id", "sources", "all_urls", "member_count", "cluster_reliability", "thermal_corroborated", explanation(F.coalesce("thermal_corroborated", F.lit(False))).alias("reliability_explanation"))
     w = weapons.groupBy(F.col("event_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("weapon_key", "display_name", "category", "confidence", "method", "evidence_span"))).alias("weapons"))
-    out = asked.join(about, "cluster_id", "left").join(c, "cluster_id", "left").join(told, "cluster_id", "left").join(w, "id", "left")
+    out = asked.join(about, "cluster_id", "left").join(w, "id", "left")
     out = out.withColumns({"sources": F.coalesce("sources", F.array("source")), "source_urls": F.coalesce("all_urls", "source_urls"), "source_count": F.coalesce("member_count", F.lit(1)), "reliability": F.coalesce("cluster_reliability", F.lit(None).cast("double"))})
     return out.withColumn("thermal_corroborated", F.coalesce("thermal_corroborated", F.lit(False))).drop("all_urls", "member_count", "cluster_reliability")
 
 
+def card(payload: DataFrame) -> DataFrame:
+    """payload with the urls that a card shows, and how many more there are."""
+    n = F.size("source_urls")
+    return payload.withColumns({"shown_urls": F.slice("source_urls", 1, URLS_SHOWN), "more_urls": F.greatest(n - URLS_SHOWN, F.lit(0)).cast("long")})
+
+
+def filter_options(events: DataFrame, weapons: DataFrame) -> DataFrame:
+    """(kind, option, n): what the filters of a page offer, the first of the facets."""
+    actors = actor_facet(events, ACTORS_SHOWN).select(F.lit("actor").alias("kind"), F.col("actor").alias("option"), "n")
+    return actors.unionAll(weapon_facet(weapons).orderBy(F.desc("n"), "weapon_key").limit(WEAPONS_SHOWN).select(F.lit("weapon"), "weapon_key", "n"))
+
+
 def country_facet(events: DataFrame, most: int = FACETS) -> DataFrame:
     found = events.filter("country is not null").groupBy("country").agg(F.count("*").alias("n"))
     return found.orderBy(F.desc("n"), "country").limit(most)

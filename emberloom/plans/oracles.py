@@ -37,11 +37,14 @@ STATS = (
 THERMAL = "cl2 AS (SELECT *, cluster_id % 12 = 0 AS thermal_corroborated FROM cl)"
 TOYS = f"{EV0}, {TOY}, {STATS}, {THERMAL}"
 LIGHT = "e.id, e.cluster_id, e.source, e.occurred_at, e.lat, e.lon, e.geo_precision, e.geo_radius_m, e.country, e.category, e.actor_a, e.fatalities, e.reliability"
+#: The fixture's reports have no place name, and no origin before enrichment.
+UNKNOWN = "CAST(NULL AS VARCHAR) AS location_name, e.headline"
+NO_ORIGIN = "CAST(NULL AS DOUBLE) AS origin_lat, CAST(NULL AS DOUBLE) AS origin_lon, CAST(NULL AS VARCHAR) AS origin_country, CAST(NULL AS VARCHAR) AS origin_precision, CAST(NULL AS VARCHAR) AS origin_method, CAST(NULL AS DOUBLE) AS origin_confidence"
 
 
 def listed(where: str, extra: str = "", limit: int = 2000) -> str:
     return (
-        f"WITH {TOYS}{extra} SELECT {LIGHT}, coalesce(c.member_count, 1) AS source_count, coalesce(c.thermal_corroborated, false) AS thermal_corroborated "
+        f"WITH {TOYS}{extra} SELECT {LIGHT}, {UNKNOWN}, {NO_ORIGIN}, coalesce(c.member_count, 1) AS source_count, coalesce(c.thermal_corroborated, false) AS thermal_corroborated "
         f"FROM ev e LEFT JOIN cl2 c ON e.cluster_id = c.cluster_id WHERE (c.representative = e.id OR e.cluster_id IS NULL) AND {where} ORDER BY e.occurred_at DESC, e.id LIMIT {limit}"
     )
 
@@ -57,6 +60,14 @@ def weapon_re(aliases: tuple[str, ...]) -> str:
     return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_-])(?:{words})(?:[^\p{{L}}\p{{N}}_-]|$)"
 
 
+def around(aliases: tuple[str, ...]) -> str:
+    """Three parts of a text: what stands before the first hit, the hit, and the rest."""
+    import re
+
+    words = "|".join(re.escape(a) for a in sorted(aliases, key=lambda a: (-len(a), a)))
+    return rf"(?is)^(.*?(?:^|[^\p{{L}}\p{{N}}_-]))({words})((?:[^\p{{L}}\p{{N}}_-].*)?)$"
+
+
 def hits(source: str) -> str:
     rows = " UNION ALL ".join(
         f"SELECT id AS event_id, '{k}' AS weapon_key, '{n}' AS display_name, '{c}' AS category, {D('0.85')} AS confidence, 'gazetteer' AS method FROM {source} WHERE regexp_matches(notes, '{weapon_re(a)}')" for k, n, c, a in WEAPONS
@@ -79,7 +90,7 @@ HEAT = (
     f"heat AS (SELECT DISTINCT e.cluster_id FROM ev e JOIN hs h ON h.acquired_at BETWEEN e.occurred_at - INTERVAL 6 HOUR AND e.occurred_at + CASE WHEN e.occurred_at = date_trunc('day', e.occurred_at) THEN INTERVAL 30 HOUR ELSE INTERVAL 6 HOUR END "
     f"AND h.lat BETWEEN e.lat - 0.1 AND e.lat + 0.1 WHERE e.cluster_id IS NOT NULL AND e.category IN ({quoted(KINETIC)}) AND {hav('e.', 'h.')} <= {D(5000)})"
 )
-DOMAIN = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+DOMAIN = "regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 2)"
 
 
 def domain(u: str) -> str:
@@ -150,7 +161,7 @@ ORACLES: dict[str, str] = {
         f"WITH RECURSIVE {EV0}, ev AS (SELECT * FROM ev0), {CAND}, {PARENT}, {TREE}, {HS}, evc AS (SELECT e.*, up.root AS cluster_id FROM ev e JOIN up ON e.id = up.id), "
         f"{STATS.replace('FROM ev ', 'FROM evc ')}, {HEAT.replace('FROM ev ', 'FROM evc ')}, cl2 AS (SELECT cl.*, heat.cluster_id IS NOT NULL AS thermal_corroborated FROM cl LEFT JOIN heat ON cl.cluster_id = heat.cluster_id), "
         f"{EVIDENCE.replace('FROM ev ', 'FROM evc ')}, sc AS (SELECT cl2.cluster_id, {SCORE} AS reliability FROM cl2 JOIN evi ON cl2.cluster_id = evi.cluster_id) "
-        f"SELECT {LIGHT.replace('e.reliability', 'sc.reliability')}, c.member_count AS source_count, c.thermal_corroborated FROM evc e JOIN cl2 c ON c.representative = e.id JOIN sc ON sc.cluster_id = c.cluster_id WHERE e.occurred_at >= {SINCE} ORDER BY e.occurred_at DESC, e.id LIMIT 10000"
+        f"SELECT {LIGHT.replace('e.reliability', 'sc.reliability')}, {UNKNOWN}, {NO_ORIGIN}, c.member_count AS source_count, c.thermal_corroborated FROM evc e JOIN cl2 c ON c.representative = e.id JOIN sc ON sc.cluster_id = c.cluster_id WHERE e.occurred_at >= {SINCE} ORDER BY e.occurred_at DESC, e.id LIMIT 10000"
     ),
     "list_events_default": listed(LAST_14),
     "list_events_bbox": listed(f"e.occurred_at >= {SINCE} AND e.occurred_at <= {UNTIL} AND e.lon BETWEEN -100 AND 60 AND e.lat BETWEEN -40 AND 30"),
@@ -251,5 +262,43 @@ ORACLES: dict[str, str] = {
         f"CAST(8000 + least(coalesce(fatalities, 0) * 250, 7000) AS BIGINT) AS dwell_ms, round({ALT}, 6) AS target_altitude FROM ev"
     ),
     "great_circle_distance": f"WITH {EV} SELECT id, round({hav('', 'q.')}, 3) AS distance_m FROM ev, (SELECT {D(10)} AS lat, {D(20)} AS lon) q".replace("radians(lat)", "radians(ev.lat)").replace("- lat)", "- ev.lat)").replace("- lon)", "- ev.lon)"),
-    "stream_ingest": f"WITH {GDELT} SELECT 'gdelt' AS source, c0 AS source_event_id, {GCAT} AS category, lat, lon FROM g2",
+    "list_events_origin": (
+        f"WITH {ORIGIN} SELECT e.id, CAST(NULL AS BIGINT) AS cluster_id, {LIGHT.replace('e.id, e.cluster_id, ', '')}, {UNKNOWN}, e.origin_lat, e.origin_lon, e.origin_country, CASE WHEN e.origin_country IS NOT NULL THEN 'country' END AS origin_precision, "
+        f"CASE WHEN e.origin_country IS NOT NULL THEN 'actor_country_inference' END AS origin_method, CASE WHEN e.origin_country IS NOT NULL THEN {D('0.5')} END AS origin_confidence, CAST(1 AS BIGINT) AS source_count, false AS thermal_corroborated "
+        f"FROM og e WHERE {LAST_14} ORDER BY e.occurred_at DESC, e.id LIMIT 2000"
+    ),
+    "acled_payload": f"WITH {ACLED} SELECT event_id_cnty AS source_event_id, CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in fx.ACLED_RAW)})) AS VARCHAR) AS raw_payload FROM n2 WHERE {GOOD}",
+    "filter_options": (
+        f"WITH {EV}, {NT}, {hits('nt')}, a AS (SELECT actor, count(*) AS n FROM (SELECT actor_a AS actor FROM ev UNION ALL SELECT actor_b FROM ev) WHERE actor IS NOT NULL GROUP BY actor ORDER BY n DESC, actor LIMIT 100), "
+        "w AS (SELECT weapon_key, count(DISTINCT event_id) AS n FROM wh GROUP BY weapon_key ORDER BY n DESC, weapon_key LIMIT 10) SELECT 'actor' AS kind, actor AS option, n FROM a UNION ALL SELECT 'weapon', weapon_key, n FROM w"
+    ),
+    "event_cards": (
+        f"WITH {EV}, u AS (SELECT id - id % 40 AS c, list(url ORDER BY id) FILTER (url IS NOT NULL) AS urls FROM ev GROUP BY 1) "
+        "SELECT id, coalesce(array_to_string(urls[1:12], '|'), '') AS shown_urls, CAST(greatest(coalesce(len(urls), 0) - 12, 0) AS BIGINT) AS more_urls FROM ev JOIN u ON ev.id - ev.id % 40 = u.c"
+    ),
+    "weapon_evidence": (
+        f"WITH {NT}, h AS ("
+        + " UNION ALL ".join(f"SELECT id, '{k}' AS weapon_key, regexp_extract(notes, '{around(a)}', ['b', 'h', 'a']) AS p FROM nt WHERE regexp_matches(notes, '{weapon_re(a)}')" for k, _, _, a in WEAPONS)
+        + ") SELECT id AS event_id, weapon_key, regexp_replace(right(p.b, 60) || p.h || left(p.a, 60), '^\\s+|\\s+$', '', 'g') AS evidence_span FROM h"
+    ),
+    "actor_fuzzy": (
+        f"WITH {EV}, v AS (SELECT DISTINCT actor_a AS known FROM ev WHERE source = 'acled' AND actor_a IS NOT NULL), n AS (SELECT DISTINCT name FROM (SELECT 'Group of ' || actor_a AS name FROM ev UNION ALL SELECT actor_a FROM ev) WHERE name IS NOT NULL) "
+        "SELECT name, (SELECT min(known) FROM v WHERE list_has_all(string_split(name, ' '), string_split(known, ' '))) AS canonical FROM n"
+    ),
+    "canonicalize": (
+        f"WITH {EV}, e AS (SELECT id, source, {NAMES} AS actor_a FROM ev), v AS (SELECT DISTINCT actor_a AS known FROM e WHERE source = 'acled' AND actor_a IS NOT NULL) "
+        f"SELECT e.id, e.actor_a, CASE WHEN e.source IN ('acled', 'ucdp') THEN e.actor_a ELSE coalesce({case(ACTORS, 'lower(trim(e.actor_a))')}, v.known) END AS actor_a_canonical, CAST(NULL AS VARCHAR) AS actor_b_canonical FROM e LEFT JOIN v ON trim(e.actor_a) = trim(v.known)"
+    ),
+    "great_circle_path": (
+        f"WITH {ORIGIN}, a AS (SELECT id, radians(origin_lat) AS p, radians(origin_lon) AS o, radians(lat) AS q, radians(lon) AS r FROM og WHERE origin_lat IS NOT NULL), "
+        f"w AS (SELECT *, acos(greatest({D(-1)}, least({D(1)}, sin(p) * sin(q) + cos(p) * cos(q) * cos(o - r)))) AS w FROM a), s AS (SELECT *, CAST(i AS INT) AS step, CASE WHEN {D('i')} / 8 < {D('0.5')} THEN 4 * pow({D('i')} / 8, 3) ELSE 1 - pow(-2 * ({D('i')} / 8) + 2, 3) / 2 END AS e FROM w, range(0, 9) t(i)), "
+        "fl AS (SELECT *, CASE WHEN sin(w) = 0 THEN 1 - e ELSE sin((1 - e) * w) / sin(w) END AS x1, CASE WHEN sin(w) = 0 THEN e ELSE sin(e * w) / sin(w) END AS x2 FROM s), "
+        "g AS (SELECT id, step, x1 * cos(p) * cos(o) + x2 * cos(q) * cos(r) AS x, x1 * cos(p) * sin(o) + x2 * cos(q) * sin(r) AS y, x1 * sin(p) + x2 * sin(q) AS z FROM fl) "
+        "SELECT id, step, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS lat, round(degrees(atan2(y, x)), 6) AS lon FROM g"
+    ),
+    "stream_ingest": (
+        f"WITH RECURSIVE {GDELT}, ev AS (SELECT CAST(c0 AS BIGINT) AS id, c0, CAST(try_strptime(c1, '%Y%m%d') AS TIMESTAMP) AS occurred_at, lat, lon, CAST({case(RADIUS_M, f'({GPREC})')} AS INT) AS geo_radius_m, {GCAT} AS category, coalesce(nullif(c6, ''), '') AS actor_a FROM g2), "
+        # radii go up to 250 km
+        f"{CAND.replace('a.lat - 1 AND a.lat + 1', 'a.lat - 3 AND a.lat + 3')}, {PARENT}, {TREE} SELECT 'gdelt' AS source, ev.c0 AS source_event_id, ev.category, ev.lat, ev.lon, CAST(up.root AS VARCHAR) AS cluster_of FROM ev JOIN up ON ev.id = up.id"
+    ),
 }

@@ -34,7 +34,8 @@ def toy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Arrays as text, for comparison by value."""
+    """Arrays as text, for comparison by value, without the raw row."""
+    df = df.drop("raw_payload")
     return df.select(*[F.array_join(F.col(c), "|").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes])
 
 
@@ -45,10 +46,26 @@ def cluster_and_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = cluster.checkpoint(e)
     c = score.mark_thermal(cluster.cluster_stats(e), score.corroborated(e, fx.hotspots(spark, sf_dir)))
     c = score.score_clusters(e, c)
-    spoken = e.join(c.select(F.col("representative").alias("id"), "reliability"), "id", "left")
     return serve.list_events(cluster.write_back(e, c), c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
 
 
+@query
+def cluster_and_list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the whole match rule, texts as well."""
+    e = cluster.checkpoint(cluster.assign_clusters(fx.events(spark, sf_dir).drop("reliability")))
+    c = score.mark_thermal(cluster.cluster_stats(e), score.corroborated(e, fx.hotspots(spark, sf_dir)))
+    c = score.score_clusters(e, c)
+    return serve.list_events(cluster.write_back(e, c), c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
+
+
+@query
+def list_events_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports without clusters, with the origins that their actors' names give."""
+    e = enrich.infer_origin(with_forces(spark, sf_dir)).withColumn("cluster_id", F.lit(None).cast("long"))
+    c = cluster.cluster_stats(e.filter("cluster_id is not null")).withColumn("thermal_corroborated", F.lit(False))
+    return serve.list_events(e, c, serve.EventQuery(NOW))
+
+
 @query
 def list_events_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.list_events(*toy(spark, sf_dir), serve.EventQuery(NOW))
@@ -110,6 +127,21 @@ def facet_weapon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.weapon_facet(enrich.extract_weapons(fx.notes(spark, sf_dir)))
 
 
+@query
+def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.filter_options(fx.events(spark, sf_dir), enrich.extract_weapons(fx.notes(spark, sf_dir)))
+
+
+@query
+def event_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of 40 neighbours by id, so that cards have more urls than they show."""
+    e = fx.events(spark, sf_dir).withColumn("cluster_id", F.expr("id - id % 40"))
+    c = cluster.cluster_stats(e).withColumn("thermal_corroborated", F.lit(False))
+    c = score.score_clusters(e, c)
+    out = serve.card(serve.event_payload(e, c, enrich.extract_weapons(e)))
+    return out.select("id", F.array_join("shown_urls", "|").alias("shown_urls"), "more_urls")
+
+
 @query
 def hotspots_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.list_hotspots(fx.hotspots(spark, sf_dir), NOW, since=SINCE, bbox="-100,-40,60,30")
@@ -135,6 +167,11 @@ def normalize_acled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(normalize.acled(fx.raw(spark, sf_dir, fx.ACLED_RAW))[0])
 
 
+@query
+def acled_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.acled(fx.raw(spark, sf_dir, fx.ACLED_RAW))[0].select("source_event_id", "raw_payload")
+
+
 @query
 def normalize_acled_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.acled(fx.raw(spark, sf_dir, fx.ACLED_RAW))[1]
@@ -181,7 +218,7 @@ def default_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored events, and a batch that revises some of them, adds others and has some twice."""
-    e = fx.events(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("admin1", "location_name", "raw_event_type")})
+    e = fx.events(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("admin1", "location_name", "raw_event_type", "raw_payload")})
     stored = e.filter("id % 3 <> 2")
     again = e.filter("id % 3 <> 0")
     first = again.withColumn("batch_pos", F.col("id"))
@@ -388,7 +425,7 @@ def great_circle_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The export lines as a stream of files in two batches; the stored table at the end is that of one batch."""
-    return ingest.replay(fx.raw(spark, sf_dir, fx.GDELT_RAW), parts=2).select("source", "source_event_id", "category", "lat", "lon")
-
-
+    """The export lines as a stream of files in two batches, in the order of their ids: the stored reports, each with the report that its cluster began with."""
+    found = ingest.replay(fx.raw(spark, sf_dir, fx.GDELT_RAW), parts=2)
+    first = found.select(F.col("id").alias("cluster_id"), F.col("source_event_id").alias("cluster_of"))
+    return found.join(first, "cluster_id").select("source", "source_event_id", "category", "lat", "lon", "cluster_of")

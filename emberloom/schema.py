@@ -56,6 +56,7 @@ EVENT = T.StructType(
         T.StructField("headline", T.StringType()),
         T.StructField("notes", T.StringType()),
         T.StructField("source_urls", T.ArrayType(T.StringType())),
+        T.StructField("raw_payload", T.StringType()),
     ]
 )
 #: Identity of a report, and what a revision of it may change.

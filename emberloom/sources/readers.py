@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from datetime import date, datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +44,47 @@ def stream_gdelt(spark: SparkSession, path: str, files: int | None = None) -> Da
 def newest_listing(listing: DataFrame) -> DataFrame:
     """The export files in a listing of lines `size hash url`: url and the stamp in its name."""
     parts = F.split("value", r"\s+")
-    found = listing.filter((F.size(parts) == 3) & F.get(parts, 2).endswith(".export.CSV.zip")).select(F.get(parts, 2).alias("url"))
+    found = listing.filter((F.size(parts) == 3) & F.get(parts, 2).endswith(".export.CSV.zip")).select(F.get(parts, 2).alias("url"), *[c for c in listing.columns if c != "value"])
     return found.withColumn("stamp", F.try_to_timestamp(F.regexp_extract("url", r"(\d{14})\.export", 1), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz"))
 
 
+def next_export(listing: DataFrame, since: datetime | None = None) -> DataFrame:
+    """The first export file of a listing if it is later than the mark: url and stamp, one row or none. A listing without any is an error."""
+    found = newest_listing(listing.withColumn("_k", F.monotonically_increasing_id())).orderBy("_k").select("url", "stamp").limit(1)
+    if found.isEmpty():
+        raise ValueError("the listing names no export file")
+    return found if since is None else found.filter(F.col("stamp") > F.lit(since).cast("timestamp_ntz"))
+
+
+def read_gdelt_zip(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Export files as the feed packs them, one file of lines in each archive; undecodable bytes are replaced. An archive is unpacked in one task, and they are small by the feed's cadence."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    lines = z.read(z.namelist()[0]).decode("utf-8", errors="replace").splitlines()
+                cells = [(x.split("\t") + [None] * GDELT_COLUMNS)[:GDELT_COLUMNS] for x in lines if x]
+                yield pd.DataFrame(cells, columns=GDELT_SCHEMA.names, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, GDELT_SCHEMA)
+
+
+#: How far back a first read of the baseline feed goes, and how far before its mark each later one begins, in days.
+UCDP_FIRST_DAYS, UCDP_OVERLAP_DAYS = 365, 45
+
+
+def ucdp_start(now: datetime, watermark: datetime | None = None) -> date:
+    """The first date to ask the baseline feed for."""
+    return ((now - timedelta(days=UCDP_FIRST_DAYS)) if watermark is None else (watermark - timedelta(days=UCDP_OVERLAP_DAYS))).date()
+
+
+def since_date(rows: DataFrame, start: date) -> DataFrame:
+    """The baseline feed's rows from a date on; rows without one stay, for the normalizer to refuse."""
+    at = F.try_to_timestamp(F.substring("date_start", 1, 10), F.lit("yyyy-MM-dd"))
+    return rows.filter(F.coalesce(at.cast("date") >= F.lit(start), F.lit(True)))
+
+
 def read_firms(spark: SparkSession, paths: list[str]) -> DataFrame:
     """CSV files with a header, all data sets together; columns that one of them lacks are null."""
     read = [spark.read.option("header", True).csv(p) for p in paths]

@@ -1,50 +1,73 @@
-"""Micro-batches: normalize, merge, cluster what is new, publish it. State is a table in versions; the checkpoint's offsets are the mark."""
+"""Micro-batches: normalize, merge, enrich, cluster and score what is new, and publish it. State is plain Parquet tables, a folder for each feed and batch; the checkpoint's offsets are the mark."""
 
 from __future__ import annotations
 
-import tempfile
+import logging
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import cluster, merge, normalize
+from ..operators import cluster, enrich, merge, normalize, score, serve
 from ..schema import EVENT, EVENT_KEY
 from ..sources import readers
 
 #: How often feeds are read, in seconds.
 CADENCE_S = {"acled": 21_600, "gdelt": 900, "firms": 10_800, "ucdp": 604_800}
+log = logging.getLogger(__name__)
+Publish = Callable[[DataFrame, int], None]
 
 
-class EventStore:
-    """Stored events as Parquet versions under one folder; a version is complete when its pointer is written, so a failed batch leaves the last one."""
+@dataclass(frozen=True)
+class Store:
+    """Tables under one folder: events, weapons, clusters, hotspots, rejects and runs.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Each batch of a feed writes its own rows to a folder of its own, which it replaces if it runs again, and never those of another; a reader
+    takes the latest row of each key. So a batch costs what it brings, and a failed one leaves nothing that the next run doesn't replace.
+    """
 
-    def exists(self) -> bool:
+    spark: SparkSession
+    path: str
+
+    def write(self, table: str, rows: DataFrame, feed: str, batch: int, version: int) -> None:
+        """version orders the batches of all feeds; a batch that runs again may have a new one."""
+        rows.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.path.rstrip('/')}/{table}/feed={feed}/batch={batch}")
+
+    def rows(self, table: str, but: tuple[str, int] | None = None) -> DataFrame | None:
+        """All rows ever written, but for those of a batch that runs again."""
         try:
-            self.spark.read.text(f"{self.path}/current").limit(1).count()
-            return True
+            found = self.spark.read.option("basePath", f"{self.path.rstrip('/')}/{table}").parquet(f"{self.path.rstrip('/')}/{table}/*/*")
         except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return False
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
             raise
+        return found.filter(~((F.col("feed") == but[0]) & (F.col("batch") == but[1]))) if but else found
 
-    def read(self) -> DataFrame | None:
-        if not self.exists():
+    def latest(self, table: str, key: tuple[str, ...], but: tuple[str, int] | None = None) -> DataFrame | None:
+        """The last version of each key."""
+        found = self.rows(table, but)
+        if found is None:
             return None
-        name = self.spark.read.text(f"{self.path}/current").agg(F.max("value")).first()[0].split(" ")[1]
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("version")))
+        return found.withColumn("_n", last).filter("_n = 1").drop("_n", "version", "feed", "batch")
+
+    def events(self, but: tuple[str, int] | None = None) -> DataFrame | None:
+        return self.latest("events", EVENT_KEY, but)
+
+    def clusters(self, but: tuple[str, int] | None = None) -> DataFrame | None:
+        return self.latest("clusters", ("cluster_id",), but)
+
+    def weapons(self, but: tuple[str, int] | None = None) -> DataFrame | None:
+        return self.latest("weapons", ("event_id", "weapon_key"), but)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        name = f"v-{batch:012d}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        # one line for each batch: the largest is the current one, and a batch that runs again adds a later line
-        self.spark.createDataFrame([(f"{batch:012d} {name}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+    def hotspots(self, but: tuple[str, int] | None = None) -> DataFrame | None:
+        found = self.rows("hotspots", but)
+        return None if found is None else found.drop("version", "feed", "batch")
 
 
 def ids_of(events: DataFrame) -> DataFrame:
@@ -52,38 +75,123 @@ def ids_of(events: DataFrame) -> DataFrame:
     return events.withColumn("id", F.xxhash64(*EVENT_KEY))
 
 
-def merge_batch(store: EventStore, normalized: DataFrame, batch: int, publish: Callable[[DataFrame, int], None] | None = None, text_rule: bool = False) -> None:
-    """One batch: revisions change stored reports only, new reports are clustered against what is stored and themselves, then published."""
-    stored = store.read()
-    positioned = normalized.withColumn("batch_pos", F.monotonically_increasing_id())
-    positioned = cluster.checkpoint(positioned)
+def rescored(store: Store, events: DataFrame, touched: DataFrame, heat: DataFrame | None, but: tuple[str, int]) -> DataFrame:
+    """The clusters of touched (cluster_id), scored over all their members; heat (cluster_id) marks some, and marks stay."""
+    members = events.join(touched, "cluster_id", "left_semi")
+    out = cluster.cluster_stats(members)
+    before = store.clusters(but)
+    old = before.select("cluster_id", "thermal_corroborated") if before is not None else None
+    out = out.join(old, "cluster_id", "left") if old is not None else out.withColumn("thermal_corroborated", F.lit(False))
+    out = score.mark_thermal(out, heat) if heat is not None else out.withColumn("thermal_corroborated", F.coalesce("thermal_corroborated", F.lit(False)))
+    return score.score_clusters(members, out)
+
+
+def merge_batch(
+    store: Store, normalized: DataFrame, batch: int, publish: Publish | None = None, text_rule: bool = True, feed: str = "gdelt", rejects: DataFrame | None = None, fetched: int | None = None, version: int | None = None
+) -> None:
+    """One batch: revisions change stored reports only; new reports are enriched with weapons, canonical actors and origins, and clustered after all that is stored; their clusters are scored.
+
+    Then the full payload of each new report is published. A sink that fails is logged and changes nothing: the reports are stored. Rejects are kept
+    with their reasons, and a row of the run's counts says what was fetched, normalized and new.
+    """
+    own, version = (feed, batch), version or time.time_ns()
+    positioned = cluster.checkpoint(normalized.withColumn("batch_pos", F.monotonically_increasing_id()))
+    stored = store.events(own)
+    new = ids_of(merge.inserted(stored, positioned) if stored is not None else merge.last_of_batch(positioned, EVENT_KEY, "batch_pos"))
+    new = new.withColumn("arrival", F.struct(F.lit(version).alias("batch"), F.col("batch_pos").alias("place"))).drop("batch_pos")
+    names = new if stored is None else stored.select(*new.columns).unionByName(new)
+    new = enrich.infer_origin(enrich.canonicalize(new, vocabulary=enrich.actor_vocabulary(names)))
+    new = cluster.checkpoint(cluster.assign_clusters(new, text_rule) if stored is None else cluster.assign_batch(stored, new, text_rule))
+    store.write("weapons", enrich.extract_weapons(new), feed, batch, version)
     if stored is None:
-        new = ids_of(merge.last_of_batch(positioned, EVENT_KEY, "batch_pos").drop("batch_pos"))
-        after = cluster.assign_clusters(new, text_rule)
-        store.write(after, batch)
+        store.write("events", new, feed, batch, version)
     else:
-        new = ids_of(merge.inserted(stored, positioned).drop("batch_pos"))
-        new = cluster.assign_batch(stored, new, text_rule)
-        revised = positioned.join(stored.select(*EVENT_KEY), list(EVENT_KEY), "left_semi")
-        store.write(merge.upsert(stored, revised).unionByName(new.select(*stored.columns)), batch)
-        after = new
+        again = stored.join(positioned.select(*EVENT_KEY), list(EVENT_KEY), "left_semi")
+        revised = merge.upsert(again, positioned.join(again.select(*EVENT_KEY), list(EVENT_KEY), "left_semi"))
+        store.write("events", revised.unionByName(new.select(*revised.columns)), feed, batch, version)
+    events = store.events()
+    touched = new.select("cluster_id").distinct()
+    clusters = rescored(store, events, touched, None, own)
+    store.write("clusters", clusters, feed, batch, version)
+    if rejects is not None:
+        store.write("rejects", rejects, feed, batch, version)
+    counts = positioned.agg(F.count("*").alias("normalized")).join(new.agg(F.count("*").alias("new_records")))  # one row each
+    store.write("runs", counts.select(F.lit(feed).alias("source"), F.lit(fetched).cast("long").alias("fetched"), "normalized", "new_records"), feed, batch, version)
     if publish:
-        publish(after.select("id", F.to_json(F.struct("*")).alias("value")), batch)
+        mates = events.join(touched, "cluster_id", "left_semi")
+        told = serve.event_payload(mates, store.clusters().join(touched, "cluster_id", "left_semi"), store.weapons(), new.select(F.col("id").alias("event_id")))
+        deliver(publish, told.select("id", F.to_json(F.struct("*")).alias("value")), batch)
+
+
+def deliver(publish: Publish, payloads: DataFrame, batch: int) -> None:
+    try:
+        publish(payloads, batch)
+    except Exception:  # noqa: BLE001 what a sink raises is its own; the batch is stored
+        log.exception("batch %d is stored but was not published", batch)
+
+
+def merge_hotspots(store: Store, hotspots: DataFrame, batch: int, feed: str = "firms", version: int | None = None) -> None:
+    """One batch of hotspots: those that aren't stored yet are, and clusters with a kinetic report near one of them are marked and scored anew. Marks are never taken back."""
+    own, version = (feed, batch), version or time.time_ns()
+    positioned = cluster.checkpoint(hotspots.withColumn("batch_pos", F.monotonically_increasing_id()))
+    stored = store.hotspots(own)
+    new = merge.insert_hotspots(stored if stored is not None else positioned.limit(0), positioned).drop("batch_pos")
+    new = cluster.checkpoint(new)
+    store.write("hotspots", new, feed, batch, version)
+    events = store.events()
+    if events is None:
+        return
+    heat = cluster.checkpoint(score.corroborated(events, new))
+    store.write("clusters", rescored(store, events, heat, heat, own), feed, batch, version)
+    store.write("runs", new.agg(F.count("*").alias("new_records")).select(F.lit(feed).alias("source"), F.lit(None).cast("long").alias("fetched"), F.col("new_records").alias("normalized"), "new_records"), feed, batch, version)
+
+
+def trigger(writer, every: str | None):  # noqa: ANN001, ANN201
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+
+
+def stream_events(
+    raw: DataFrame, normalizer: Callable[[DataFrame], tuple[DataFrame, DataFrame]], store: Store, checkpoint: str, publish: Publish | None = None, every: str | None = None, text_rule: bool = True, feed: str = "gdelt"
+) -> StreamingQuery:
+    """A feed's stream of raw rows into the store; without `every`, what is there now and no more (`cadence` gives a feed's own). Late revisions merge like any other: no event-time mark drops them."""
+
+    def one(df: DataFrame, n: int) -> None:
+        events, rejects = normalizer(df)
+        merge_batch(store, events, n, publish, text_rule, feed, rejects, df.count())
+
+    return trigger(raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one), every).start()
+
+
+def stream_hotspots(raw: DataFrame, store: Store, checkpoint: str, every: str | None = None, feed: str = "firms") -> StreamingQuery:
+    """A stream of raw hotspot rows into the store, each batch followed by the corroboration that it allows."""
+    return trigger(raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_hotspots(store, normalize.firms(df), n, feed)), every).start()
+
+
+def cadence(feed: str) -> str:
+    """How often a feed is read, as `every` of a stream takes it."""
+    return f"{CADENCE_S[feed]} seconds"
 
 
-def stream_events(raw: DataFrame, normalizer: Callable[[DataFrame], tuple[DataFrame, DataFrame]], store: EventStore, checkpoint: str, publish: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
-    """A feed's stream of raw rows into the store; without `every`, what is there now and no more. Late revisions merge like any other: no event-time mark drops them."""
-    writer = raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_batch(store, normalizer(df)[0], n, publish))
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+def feed_marks(store: Store, marks: DataFrame, at: str, watermarks: DataFrame | None = None) -> DataFrame:
+    """marks after the runs in the store, counted by feed: what each brought that was new is added to its records. watermarks (source, watermark) are optional."""
+    runs = store.rows("runs")
+    if runs is None:
+        return marks
+    total = runs.groupBy("source").agg(F.sum("new_records").alias("new_records"))
+    total = total.join(watermarks, "source", "left") if watermarks is not None else total.withColumn("watermark", F.lit(None).cast("timestamp_ntz"))
+    return merge.update_marks(marks, total.select("source", F.lit(True).alias("ok"), F.lit(at).cast("timestamp_ntz").alias("at"), "watermark", "new_records", F.lit(None).cast("string").alias("error")))
 
 
-def replay(raw: DataFrame, parts: int = 2, path: str | None = None) -> DataFrame:
+def replay(raw: DataFrame, parts: int = 2, path: str | None = None, text_rule: bool = True) -> DataFrame:
     """raw export rows landed as files and streamed in so many batches; gives the stored events."""
     spark = raw.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="replay-")
-    path = path or f"{shared.rstrip('/')}/replay-{uuid.uuid4().hex}"
-    raw.repartition(parts, "c0").write.option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{path}/landed")
-    store = EventStore(spark, f"{path}/store")
-    stream_events(readers.stream_gdelt(spark, f"{path}/landed", files=1), normalize.gdelt, store, f"{path}/offsets").awaitTermination()
-    found = store.read()
+    path = path or f"{cluster.shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    at = F.col("c0").try_cast("long")
+    cuts = raw.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()["cuts"] or [] if parts > 1 else []
+    for a, b in zip([None, *cuts], [*cuts, None], strict=True):  # one file after another, each in the order of its ids
+        part = raw.filter((at > a if a is not None else F.lit(True)) & (at <= b if b is not None else F.lit(True)))
+        part.coalesce(1).sortWithinPartitions(at).write.mode("append").option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{path}/landed")
+    store = Store(spark, f"{path}/store")
+    stream_events(readers.stream_gdelt(spark, f"{path}/landed", files=1), normalize.gdelt, store, f"{path}/offsets", text_rule=text_rule).awaitTermination()
+    found = store.events()
     return found if found is not None else spark.createDataFrame([], EVENT)
