@@ -36,6 +36,19 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["actor_fuzzy", "canonicalize", "cluster_assign_text", "great_circle_path", "weapon_evidence"])
-def test_queries_without_sql_run(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+def test_the_whole_match_rule_gives_the_clusters_of_a_plain_replay(spark):
+    """The queries without SQL: reports one by one, each after its nearest matching earlier one."""
+    from emberloom.plans import fixtures
+    from tests.test_cluster_and_score import replay
+
+    e = fixtures.events(spark, SF).filter("id < 500")
+    rows = [r.asDict() for r in e.orderBy("id").collect()]
+    want = replay(rows)
+    from emberloom.operators import cluster
+
+    assert {r.id: r.cluster_id for r in cluster.assign_clusters(e).collect()} == want
+    got = {r.id: r.cluster_id for r in entry.queries()["cluster_assign_text"](spark, SF).collect()}
+    assert {k: v for k, v in got.items() if k < 500} == want  # later reports change nothing
+    plain = {r.id: r.cluster_id for r in entry.queries()["cluster_assign"](spark, SF).collect()}
+    listed = {r.id: r for r in entry.queries()["cluster_and_list_text"](spark, SF).collect()}
+    assert len(set(got.values())) <= len(set(plain.values())) and all(got[i] == r.cluster_id and r.source_count == list(got.values()).count(r.cluster_id) for i, r in listed.items())

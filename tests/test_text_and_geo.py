@@ -37,7 +37,7 @@ def test_token_set_ratio_cases():
 
 
 def test_root_domain(spark):
-    cases = {"https://www.a.b.example.com:80/x": "example.com:80", "http://host/": "host", "no url": None, "https://User@News.Example.ORG/": "example.org", "ftp://x.y": "x.y", None: None}
+    cases = {"https://www.a.b.example.com:80/x": "example.com:80", "http://host/": "host", "no url": None, "https://User@News.Example.ORG/": "example.org", "ftp://x.y": "x.y", "//host.example.com/x": "example.com", None: None}
     got = spark.createDataFrame([(k, v) for k, v in cases.items()], "u string, w string").select("u", "w", root_domain(F.col("u")).alias("d")).collect()
     assert all(r.d == r.w for r in got), got
 
@@ -50,6 +50,37 @@ def test_weapons(spark):
     assert span == "x" * 59 + " tb2 " + "y" * 59
 
 
+def test_evidence_is_cut_by_characters(spark):
+    texts = ["\U0001f600" * 70 + " himars " + "\U0001f680" * 70, "\nhimars\n", "\u00a0\tthe HIMARS\u2003", "HIMARS himars"]
+    got = {r.event_id: r.evidence_span for r in enrich.extract_weapons(spark.createDataFrame(list(enumerate(texts)), "id long, notes string")).collect()}
+    assert got == {0: "\U0001f600" * 59 + " himars " + "\U0001f680" * 59, 1: "himars", 2: "the HIMARS", 3: "HIMARS himars"}
+
+
+def test_actors_are_those_of_all_comparisons(spark):
+    """Random names and edits of them, long and short, with a word that all have: no match at the limit is lost."""
+    import random
+
+    rng = random.Random(12)
+    stock = ["Forces", "of", "the", "Military", "Group", "al", "Nusra", "Brigade", "Northern", "Liberation", "Army", "x", "Zü"]
+    known = sorted({" ".join(rng.sample(stock, rng.randint(1, 6))) + rng.choice(["", " of the", f" {rng.randrange(5)}"]) for _ in range(70)})
+    names = set()
+    for k in known:
+        for _ in range(3):
+            c = list(k)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(c))
+                c[i : i + rng.randint(0, 1)] = rng.choice(["", "a", " ", "e"])
+            w = "".join(c).split(" ")
+            rng.shuffle(w)
+            names.add(" ".join(w + rng.choice([[], ["of"], ["Extra", "Words"]])))
+    got = {r.name: r.canonical for r in enrich.canonical_actors(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(k,) for k in known], "name string")).collect()}
+    assert set(got) == names
+    for n in names:
+        best = max(((token_set_ratio(n, k), [-ord(c) for c in k], k) for k in known), key=lambda x: x[0])
+        top = [k for k in known if token_set_ratio(n, k) == best[0]]
+        assert got[n] == (min(top) if best[0] >= 88 else None)
+
+
 def test_origins(spark):
     rows = [(1, "airstrike", "Ukraine", "Military Forces of Russia (2000-)"), (2, "airstrike", "Russia", "Military Forces of Russia (2000-)"), (3, "riot", "Ukraine", "Military Forces of Russia (2000-)"), (4, "drone_strike", "Iraq", "Police Forces of the United States (2021-) Air Force"), (5, "airstrike", "Iraq", "Rebels"), (6, "airstrike", None, "Military Forces of Iran"), (7, "airstrike", "Iraq", None)]
     got = {r.id: r for r in enrich.infer_origin(spark.createDataFrame(rows, "id long, category string, country string, actor_a string")).collect()}
