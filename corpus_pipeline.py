@@ -18,10 +18,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id, null last; of its rows that share id and text, one."""
-    kept = simhash.representatives(docs).select(F.col("doc_id").alias("_d"), F.col("x").alias("_x"))
-    hashed = docs.select(*COLUMNS).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_x")), "left_semi")
-    alike = Window.partitionBy("doc_id", "_t").orderBy(*[c for c in COLUMNS if c not in ("doc_id", "text")])
+    # one pair of keys for the join and the window, so that texts are dealt once; no id is no number
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d")
+    kept = simhash.representatives(docs).select(key, F.col("x").alias("_x"))
+    rows = docs.select(*COLUMNS, key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_x")).join(kept, ["_d", "_x"], "left_semi")
+    alike = Window.partitionBy("_d", "_x").orderBy(*[c for c in COLUMNS if c not in ("doc_id", "text")])
     return rows.withColumn("_k", F.row_number().over(alike)).filter("_k = 1").select(*COLUMNS)
 
 
