@@ -15,7 +15,7 @@ from .common import few, stored, whole_text
 from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: Hashes that are counted bit by bit at a time.
+#: Shingles that are hashed and counted bit by bit at a time.
 CHUNK = 1 << 15
 
 
@@ -24,14 +24,15 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     words = text.lower().split()  # on bytes both know ASCII only
     if not words:
         return 0
-    shingles = [b" ".join(words)] if len(words) < k else map(b" ".join, zip(*(words[i:] for i in range(k))))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in shingles], np.uint64)
+    n = max(len(words) - k + 1, 1)
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), CHUNK):
-        part = h[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    for at in range(0, n, CHUNK):
+        part = words[at : at + CHUNK + k - 1]
+        shingles = [b" ".join(part)] if len(words) < k else map(b" ".join, zip(*(part[i:] for i in range(k))))
+        h = np.array([digest(s, SEED) for s in shingles], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:

@@ -71,3 +71,13 @@ def test_chain_of_components(spark):
 
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_chunks_of_shingles_change_nothing(monkeypatch):
+    from emberloom.llm import simhash
+
+    texts = [b"a b c d e f g h i j k l m n o p " * 9, b"one", b"one two", b"x y z", b"a b c d e f", b"a b c d e f g"]
+    want = [simhash.fingerprint(t) for t in texts]
+    for n in (1, 2, 4, 5):
+        monkeypatch.setattr(simhash, "CHUNK", n)
+        assert [simhash.fingerprint(t) for t in texts] == want
