@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .cover_tree import COSINE
+from .line_dedup import LEAST_CHARS, LEAST_DOCS, LOWER, UPPER
 from .quality_rules import MIN_WORDS, MOST_REPEATED, RULES, STOP_WORDS, SYMBOLS, WINDOW
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -49,4 +50,11 @@ ORACLES: dict[str, str] = {
         "reach(r, n) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.n = l.a), m AS (SELECT r, min(n) AS c FROM reach GROUP BY r), d AS (SELECT a, count(*) AS n FROM l GROUP BY a) "
         "SELECT v.vec_id, coalesce(d.n, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON v.vec_id = m.r LEFT JOIN d ON v.vec_id = d.a"
     ),
+    "op13_line_dedup": (
+        "WITH l AS (SELECT k, doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)), "
+        f"y AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l), "
+        f"h AS (SELECT key, max(doc_id) AS last FROM y WHERE length(key) >= {LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= {LEAST_DOCS}), "
+        "g AS (SELECT y.*, h.key IS NOT NULL AND y.doc_id IS DISTINCT FROM h.last AS gone FROM y LEFT JOIN h ON y.key = h.key) "
+        "SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY k"
+    ),
 }
