@@ -63,4 +63,5 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     rows = docs.select(*text, whole_row(docs, ("text", "n_lines", "n_dropped")).alias("_row"))
     met = rows.join(places, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_x") == F.col("x")), "left").select("_row", "_t", "places", F.split("_t", "\n").alias("_lines"))
     kept = F.when(F.col("places").isNull(), F.col("_t")).otherwise(F.array_join(without(F.col("_lines"), F.col("places")), "\n"))
-    return met.select("_row.*", kept.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
+    found = F.struct(kept.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
+    return met.select("_row", found.alias("_found")).select("_row.*", "_found.*")
