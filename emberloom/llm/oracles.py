@@ -39,6 +39,45 @@ COUNTS = (
 )
 DOT = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
 
+
+
+def crc32_sql(text: str) -> str:
+    """The checksum of an ASCII string, byte by byte and bit by bit."""
+    turned = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: {turned}), 4294967295)"
+
+
+def repair_sql() -> str:
+    """Forward over the rows of all conversations at once: the least (cost, audit, text) of each state, inserts after every row."""
+    way = lambda s, cost, letter, line: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {s}.t || CASE WHEN {s}.t = '' THEN '' ELSE chr(10) END || {line}}} END"
+    gone = lambda s: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + 4, 'a': {s}.a || 'D', 't': {s}.t}} END"
+    least = lambda ways: f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+    kept = lambda s, initial: f"CASE WHEN NOT forced AND starts_with(role, '{initial}') THEN {way(s, 'more', 'K', chr(39) * 2 + ' || role || ' + chr(39) + ':' + chr(39) + ' || text')} END"
+    given = lambda s, name: f"CASE WHEN NOT forced THEN {way(s, '3 + more', 'R', chr(39) + name + ':' + chr(39) + ' || text')} END"
+    put = lambda s, name: way(s, "3", "I", f"'{name}:'")
+    before_user = ("s0", "s1", "s3")
+    return (
+        "WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, "
+        f"{crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations), "
+        "d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, range(2) z(z) WHERE k <> 0 AND (z = 0 OR k = 3)), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS above, "
+        f"NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, regexp_replace(text, '{SPACE}+$', '') AS bare FROM d), "
+        "f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM n), "
+        "o AS (SELECT *, blank OR again AS forced, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS short FROM f), "
+        "w(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, CAST(0 AS BIGINT), {'c': CAST(0 AS BIGINT), 'a': '', 't': ''}, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)), "
+        "{'c': CAST(3 AS BIGINT), 'a': 'I', 't': 'user:'}, {'c': CAST(6 AS BIGINT), 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'} FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL "
+        f"SELECT conv_id, i, s0, s1, s2, {least(('s3', put('s2', 'assistant')))} FROM (SELECT conv_id, i, s0, s1, {least(('s2', *[put(s, 'user') for s in before_user]))} AS s2, s3 FROM ("
+        f"SELECT w.conv_id, o.i, {gone('s0')} AS s0, {least((gone('s1'), kept('s0', 's')))} AS s1, "
+        f"{least((gone('s2'), *[x for s in before_user for x in (kept(s, 'u'), given(s, 'user'))]))} AS s2, {least((gone('s3'), kept('s2', 'a'), given('s2', 'assistant')))} AS s3 "
+        "FROM w JOIN (SELECT *, CASE WHEN short THEN 3 ELSE 0 END AS more FROM o) o ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND o.i = w.i + 1))), "
+        "e AS (SELECT conv_id, arg_max(list_min(list_filter([s0, s3], lambda x: x IS NOT NULL)), i) AS best FROM w GROUP BY conv_id), "
+        "q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate, count(*) FILTER (WHERE short) AS truncated, "
+        "count(*) FILTER (WHERE left(above, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id) "
+        "SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, "
+        "best.c AS cost, best.a AS audit, sha256(best.t) AS repaired_sha256 FROM e LEFT JOIN q ON e.conv_id IS NOT DISTINCT FROM q.conv_id"
+    )
+
+
 ORACLES: dict[str, str] = {
     "op3_quality_rules": (
         f"WITH {COUNTS}, b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c) "
@@ -50,6 +89,7 @@ ORACLES: dict[str, str] = {
         "reach(r, n) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.n = l.a), m AS (SELECT r, min(n) AS c FROM reach GROUP BY r), d AS (SELECT a, count(*) AS n FROM l GROUP BY a) "
         "SELECT v.vec_id, coalesce(d.n, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON v.vec_id = m.r LEFT JOIN d ON v.vec_id = d.a"
     ),
+    "op12_conversation_repair": repair_sql(),
     "op13_line_dedup": (
         "WITH l AS (SELECT k, doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)), "
         f"y AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l), "

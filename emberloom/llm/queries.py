@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, cover_tree, html_text, line_dedup, mixing, pieces, quality_rules, sharding, simhash, suffix_dedup
+from . import chat, classifier, cover_tree, html_text, line_dedup, mixing, pieces, quality_rules, repair, sharding, simhash, suffix_dedup, token_align
 from .common import table
 from .oracles import ORACLES
 
@@ -55,6 +55,14 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_replies(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.link_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,5 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_quotes": op10_chat_quotes,
+    "op11_token_align": op11_token_align,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_line_dedup": op13_line_dedup,
 }
