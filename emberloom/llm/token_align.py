@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,6 +20,8 @@ from .common import stored
 
 FIRST, SECOND = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+#: Fixed value: what a byte-level vocabulary without a pattern of its own cuts texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Before a blank that follows no white space and no blank follows, each tokenizer starts a token, whatever stands there: their tokens of a text are those of the spans between.
 CUT = re.compile(r" (?<=\S )(?=[^ ])")
 #: A worker remembers spans of so many characters altogether, and takes texts of about so many at a time.
@@ -64,6 +68,23 @@ def bytes_of_second(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
 
 
+def encoder_of(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text by a byte-level vocabulary, no token special. Where ids are in the order of merges, as those of tiktoken's ranks are, tiktoken gives the same ids in a fraction of the time."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    merges = [m if isinstance(m, str) else "".join(m) for m in told["model"]["merges"]]
+    own = {t["content"] for t in told.get("added_tokens", ()) if t["special"]}
+    ids = {t: i for t, i in told["model"]["vocab"].items() if t not in own}
+    plain = told["normalizer"] is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if plain and sorted(ids.values()) == list(range(256 + len(merges))) and all(ids[m.replace(" ", "")] == 256 + k for k, m in enumerate(merges)):
+        raw = bytes_of_first(path)
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={raw[i]: i for i in ids.values()}, special_tokens={}).encode_ordinary
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 class Aligner:
     """Tokens of both tokenizers over the spans of texts, remembered by span; `whole` takes each text as one span.
 
@@ -71,9 +92,7 @@ class Aligner:
     """
 
     def __init__(self, first: str = FIRST, second: str = SECOND, whole: bool = False, remembered: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.first = Tokenizer.from_file(first)
-        self.first.encode_special_tokens = True
+        self.encode_first = encoder_of(first)
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         self.raw = bytes_of_first(first), bytes_of_second(self.second)
         # a piece that goes on over a blank would hold spans together
@@ -91,40 +110,55 @@ class Aligner:
         self.counts, self.starts, self.pairs = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def add(self, spans: list[str]) -> None:
-        """Aligns new spans, all in one set of marks: spans end a token in both."""
-        ids = [e.ids for e in self.first.encode_batch([" " + s for s in spans], add_special_tokens=False)], self.second.encode(spans, num_threads=1)
-        data = [(" " + s).encode(errors="replace") for s in spans]
-        good = [all(b"".join(map(r.__getitem__, i[k])) == x for i, r in zip(ids, self.raw, strict=True)) for k, x in enumerate(data)]
-        counts = np.zeros((len(spans), 4), np.int64)
-        groups, starts, pairs = [""] * len(spans), np.zeros(len(spans), np.int64), np.zeros(0, np.int64)
-        if on := [k for k, x in enumerate(good) if x]:
-            sizes = [np.array([len(i[k]) for k in on], np.int64) for i in ids]
-            flat = [np.fromiter((x for k in on for x in i[k]), np.int64) for i in ids]
-            ends = [np.cumsum(s[f]) - 1 for s, f in zip(self.sizes, flat, strict=True)]
-            stop = np.cumsum([len(data[k]) for k in on]) - 1
-            a, b = (Bits.at(e, int(stop[-1]) + 1) for e in ends)
-            both, either = Bits(a.words & b.words), Bits(a.words | b.words)
-            cuts, joints = both.places(), either.places()
-            upto = [x.rank(cuts) + 1 for x in (a, b)]
-            # in order: the first's tokens of a group, then the second's
-            group = [both.rank(e) for e in ends]
-            place = [np.arange(len(flat[0])) + np.concatenate([[0], upto[1]])[group[0]], np.arange(len(flat[1])) + upto[0][group[1]]]
-            last = [cuts[g] == e for g, e in zip(group, ends, strict=True)]
-            out = np.empty(len(flat[0]) + len(flat[1]), object)
-            out[place[0]] = np.where(last[0], self.bar[flat[0]], self.comma[flat[0]])
-            out[place[1]] = np.where(np.isin(ends[1], stop), self.bare[flat[1]], np.where(last[1], self.semi[flat[1]], self.comma[flat[1]]))
-            said, bounds = out.tolist(), np.cumsum([0, *(sizes[0] + sizes[1])]).tolist()
-            n_groups, n_links = (np.diff(np.concatenate([[0], x.rank(stop) + 1])) for x in (both, either))
-            counts[on] = np.column_stack([*sizes, n_groups, np.ones(len(on), np.int64)])
-            for k, x, y in zip(on, bounds, bounds[1:], strict=False):
-                groups[k] = "".join(said[x:y])
-            # every stretch between neighbouring ends lies in one token of each
-            pairs, starts[on] = flat[0][a.rank(joints)] << 32 | flat[1][b.rank(joints)], n_links
+        """Aligns new spans. Those that begin and end in no white space are tokenized as one text, as what stands beside them changes nothing; the others, and all if bytes don't come back, one by one."""
+        plain = [] if self.whole else [s for s in spans if s[0] != " " and not s[-1].isspace()]
+        odd = set(spans) - set(plain)
+        if plain:
+            joined = " ".join(plain)
+            ids, data = (self.encode_first(" " + joined), self.second.encode(joined)), (" " + joined).encode(errors="replace")
+            if self.says(ids, data):
+                self.mark(plain, [np.array(i, np.int64) for i in ids])
+            else:
+                odd.update(plain)
+        if odd:
+            each = {s: (self.encode_first(" " + s), self.second.encode(s)) for s in odd}
+            good = [s for s in odd if self.says(each[s], (" " + s).encode(errors="replace"))]
+            if good:
+                self.mark(good, [np.array([x for s in good for x in each[s][k]], np.int64) for k in (0, 1)])
+            bad = [s for s in odd if s not in self.known]
+            self.keep(bad, np.zeros((len(bad), 4), np.int64), [""] * len(bad), np.zeros(len(bad), np.int64), np.zeros(0, np.int64))
+
+    def says(self, ids: tuple[list[int], list[int]], data: bytes) -> bool:
+        return all(b"".join(map(r.__getitem__, i)) == data for i, r in zip(ids, self.raw, strict=True))
+
+    def mark(self, spans: list[str], flat: list[np.ndarray]) -> None:
+        """Groups and links of spans, whose tokens follow one another, all in one set of marks: every span ends a token in both."""
+        ends = [np.cumsum(s[f]) - 1 for s, f in zip(self.sizes, flat, strict=True)]
+        stop = np.cumsum([len(x.encode()) + 1 for x in spans]) - 1
+        a, b = (Bits.at(e, int(stop[-1]) + 1) for e in ends)
+        both, either = Bits(a.words & b.words), Bits(a.words | b.words)
+        cuts, joints = both.places(), either.places()
+        upto = [x.rank(cuts) + 1 for x in (a, b)]
+        # in order: the first's tokens of a group, then the second's
+        group = [both.rank(e) for e in ends]
+        place = [np.arange(len(flat[0])) + np.concatenate([[0], upto[1]])[group[0]], np.arange(len(flat[1])) + upto[0][group[1]]]
+        last = [cuts[g] == e for g, e in zip(group, ends, strict=True)]
+        out = np.empty(len(flat[0]) + len(flat[1]), object)
+        out[place[0]] = np.where(last[0], self.bar[flat[0]], self.comma[flat[0]])
+        out[place[1]] = np.where(np.isin(ends[1], stop), self.bare[flat[1]], np.where(last[1], self.semi[flat[1]], self.comma[flat[1]]))
+        each = [np.diff(np.concatenate([[0], x.rank(stop) + 1])) for x in (a, b, both, either)]
+        said, bounds = out.tolist(), np.cumsum([0, *(each[0] + each[1])]).tolist()
+        groups = ["".join(said[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+        # every stretch between neighbouring ends lies in one token of each
+        pairs = flat[0][a.rank(joints)] << 32 | flat[1][b.rank(joints)]
+        self.keep(spans, np.column_stack([*each[:3], np.ones(len(spans), np.int64)]), groups, each[3], pairs)
+
+    def keep(self, spans: list[str], counts: np.ndarray, groups: list[str], links: np.ndarray, pairs: np.ndarray) -> None:
         self.known.update(zip(spans, range(len(self.groups), len(self.groups) + len(spans)), strict=True))
         self.chars += sum(map(len, spans))
         self.groups += groups
         self.counts = np.concatenate([self.counts, counts])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(starts)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(links)])
         self.pairs = np.concatenate([self.pairs, pairs])
 
     def align(self, texts: list[str | None]) -> list[tuple]:
@@ -132,11 +166,14 @@ class Aligner:
         if self.chars > self.remembered:
             self.forget()
         spans = [([t] if self.whole else CUT.split(t)) if t else [] for t in texts]
-        if new := [s for s in dict.fromkeys(s for x in spans for s in x) if s not in self.known]:
-            self.add(new)
-        found = [list(map(self.known.__getitem__, x)) for x in spans]
-        sizes = np.array(list(map(len, found)), np.int64)
-        flat, of = np.fromiter((k for x in found for k in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(texts)), sizes)
+        sizes = np.array(list(map(len, spans)), np.int64)
+        said = list(chain.from_iterable(spans))
+        found = list(map(self.known.get, said))
+        if None in found:
+            self.add(list(dict.fromkeys(s for s, k in zip(said, found, strict=True) if k is None)))
+            found = list(map(self.known.__getitem__, said))
+        flat, of = np.array(found, np.int64), np.repeat(np.arange(len(texts)), sizes)
+        bounds = np.cumsum([0, *sizes]).tolist()
         bad = set(of[self.counts[flat, 3] == 0].tolist())
         total = np.column_stack([np.bincount(of, self.counts[flat, k], len(texts)) for k in range(3)]).astype(np.int64)
         # spans of a text with how often they stand in it, then their links, those alike put together
@@ -149,12 +186,13 @@ class Aligner:
         times = np.bincount(inverse, np.repeat(n, links), len(keys)).astype(np.int64)
         ends = np.searchsorted(keys >> 32, np.arange(len(texts) + 1))
         pairs, out = values[keys & 0xFFFFFFFF], []
-        for k, x in enumerate(found):
-            if not x or k in bad:
+        for k, t in enumerate(texts):
+            if not t or k in bad:
                 out.append((0, 0, 0, 0, "", pairs[:0], times[:0]))
                 continue
             a, b = ends[k], ends[k + 1]
-            out.append((*total[k].tolist(), int(times[a:b].sum()), ";".join(map(self.groups.__getitem__, x)), pairs[a:b], times[a:b]))
+            groups = ";".join(map(self.groups.__getitem__, found[bounds[k] : bounds[k + 1]]))
+            out.append((*total[k].tolist(), int(times[a:b].sum()), groups, pairs[a:b], times[a:b]))
         return out
 
 

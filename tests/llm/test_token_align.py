@@ -104,3 +104,12 @@ def test_groups_are_shown_and_an_empty_table_gives_none(spark, none):
     assert out.n_groups == out.groups.count(";") + 1 and hashlib.sha256(out.groups.encode()).hexdigest() == out.groups_sha256
     assert token_align.link_documents(none).count() == 0
     assert token_align.link_documents(spark.createDataFrame([(None, None)], "doc_id long, text string").withColumn("pair", F.lit(1))).first().n_links == 0
+
+
+def test_both_ways_to_encode_give_the_same_ids(texts, tmp_path):
+    import json
+
+    told = json.loads(open(FIRST, encoding="utf-8").read())
+    (tmp_path / "other.json").write_text(json.dumps(told | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [told["pre_tokenizer"]]}}))
+    fast, slow = token_align.encoder_of(FIRST), token_align.encoder_of(str(tmp_path / "other.json"))
+    assert fast.__qualname__ != slow.__qualname__ and all(fast(" " + t) == slow(" " + t) for t in texts if t)
