@@ -165,7 +165,10 @@ def cluster_stats(events: DataFrame) -> DataFrame:
 
 
 def write_back(events: DataFrame, clusters: DataFrame) -> DataFrame:
-    """events with the score of their cluster on its representative, as a cluster's score is shown on the report that speaks for it; others keep what they have."""
-    spoken = clusters.select(F.col("representative").alias("id"), F.lit(True).alias("_speaks"), F.col("reliability").alias("_score"))
-    old = F.col("reliability") if "reliability" in events.columns else F.lit(None).cast("double")
-    return events.join(spoken, "id", "left").withColumn("reliability", F.when(F.col("_speaks"), F.col("_score")).otherwise(old)).drop("_speaks", "_score")
+    """events with the score and the member count (source_count) of their cluster on its representative, as they are shown on the report that speaks for it; others keep what they have."""
+    spoken = clusters.select(F.col("representative").alias("id"), F.lit(True).alias("_speaks"), F.col("reliability").alias("_score"), F.col("member_count").cast("long").alias("_count"))
+    old = lambda c, t: F.col(c) if c in events.columns else F.lit(None).cast(t)
+    out = events.join(spoken, "id", "left")
+    return out.withColumns(
+        {"reliability": F.when(F.col("_speaks"), F.col("_score")).otherwise(old("reliability", "double")), "source_count": F.when(F.col("_speaks"), F.col("_count")).otherwise(old("source_count", "long"))}
+    ).drop("_speaks", "_score", "_count")

@@ -43,9 +43,10 @@ def insert_hotspots(stored: DataFrame, batch: DataFrame, position: str = "batch_
 def update_marks(marks: DataFrame, runs: DataFrame) -> DataFrame:
     """Feed marks after one run each: runs has source, ok, at, watermark, new_records, error.
 
-    A success clears the error and its count, adds the records and keeps the old mark if it brings none; a failure keeps the mark, counts itself and the
+    A success clears the error and its count, adds the records and keeps the old mark if it brings none; a failure keeps the mark, counts itself (or, with a column failures, so many) and the
     first 1000 characters of its message.
     """
+    times = F.col("r.failures") if "failures" in runs.columns else F.lit(1)
     m, r = marks.alias("m"), runs.alias("r")
     ran, ok = F.col("r.ok").isNotNull(), F.coalesce(F.col("r.ok"), F.lit(False))
     old = lambda c, d: F.coalesce(F.col(f"m.{c}"), F.lit(d))
@@ -55,6 +56,6 @@ def update_marks(marks: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(ok, F.col("r.at")).otherwise(F.col("m.last_success_at")).alias("last_success_at"),
         F.when(ran, F.col("r.at")).otherwise(F.col("m.last_attempt_at")).alias("last_attempt_at"),
         F.when(ok, F.lit(None)).when(ran, F.substring("r.error", 1, 1000)).otherwise(F.col("m.last_error")).alias("last_error"),
-        F.when(ok, 0).when(ran, old("consecutive_failures", 0) + 1).otherwise(old("consecutive_failures", 0)).cast("int").alias("consecutive_failures"),
+        F.when(ok, 0).when(ran, old("consecutive_failures", 0) + times).otherwise(old("consecutive_failures", 0)).cast("int").alias("consecutive_failures"),
         (old("records_ingested", 0) + F.when(ok, F.col("r.new_records")).otherwise(0)).cast("long").alias("records_ingested"),
     )

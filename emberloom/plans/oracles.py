@@ -301,4 +301,14 @@ ORACLES: dict[str, str] = {
         # radii go up to 250 km
         f"{CAND.replace('a.lat - 1 AND a.lat + 1', 'a.lat - 3 AND a.lat + 3')}, {PARENT}, {TREE} SELECT 'gdelt' AS source, ev.c0 AS source_event_id, ev.category, ev.lat, ev.lon, CAST(up.root AS VARCHAR) AS cluster_of FROM ev JOIN up ON ev.id = up.id"
     ),
+    "stream_list": (
+        f"WITH RECURSIVE {GDELT}, ev AS (SELECT CAST(c0 AS BIGINT) AS id, 'gdelt' AS source, CAST(try_strptime(c1, '%Y%m%d') AS TIMESTAMP) AS occurred_at, lat, lon, {GPREC} AS geo_precision, "
+        f"CAST({case(RADIUS_M, f'({GPREC})')} AS INT) AS geo_radius_m, {GCAT} AS category, coalesce(nullif(c6, ''), '') AS actor_a, CAST(NULL AS INT) AS fatalities, nullif(trim(c60), '') AS url FROM g2), "
+        f"{CAND.replace('a.lat - 1 AND a.lat + 1', 'a.lat - 3 AND a.lat + 3')}, {PARENT}, {TREE}, evc AS (SELECT ev.*, up.root AS cluster_id FROM ev JOIN up ON ev.id = up.id), "
+        f"{fx.raw_sql(fx.FIRMS_RAW).replace('raw AS', 'fr AS', 1)}, hs AS (SELECT CAST(try_strptime(acq_date || ' ' || lpad(acq_time, 4, '0'), '%Y-%m-%d %H%M') AS TIMESTAMP) AS acquired_at, "
+        "try_cast(latitude AS DOUBLE) AS lat, try_cast(longitude AS DOUBLE) AS lon FROM fr), "
+        f"{HEAT.replace('FROM ev ', 'FROM evc ')}, {EVIDENCE.replace('FROM ev ', 'FROM evc ')}, "
+        "cl AS (SELECT c.cluster_id, min(occurred_at) AS occurred_at, count(*) AS source_count, max((heat.cluster_id IS NOT NULL)::INT) = 1 AS thermal_corroborated FROM evc c LEFT JOIN heat ON c.cluster_id = heat.cluster_id GROUP BY c.cluster_id) "
+        f"SELECT CAST(cl.cluster_id AS VARCHAR) AS cluster_of, occurred_at, source_count, thermal_corroborated, {SCORE} AS reliability FROM cl JOIN evi ON cl.cluster_id = evi.cluster_id WHERE occurred_at >= {SINCE}"
+    ),
 }

@@ -429,3 +429,13 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ingest.replay(fx.raw(spark, sf_dir, fx.GDELT_RAW), parts=2)
     first = found.select(F.col("id").alias("cluster_id"), F.col("source_event_id").alias("cluster_of"))
     return found.join(first, "cluster_id").select("source", "source_event_id", "category", "lat", "lon", "cluster_of")
+
+
+@query
+def stream_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hotspots first, then the export lines in two batches: what the list of reports says of each cluster, named by the report that it began with."""
+    store = ingest.replay_store(fx.raw(spark, sf_dir, fx.GDELT_RAW), fx.raw(spark, sf_dir, fx.FIRMS_RAW))
+    found = store.events()
+    first = found.select(F.col("id").alias("cluster_id"), F.col("source_event_id").alias("cluster_of"))
+    listed = serve.list_events(found, store.clusters(), serve.EventQuery(NOW, since=SINCE, limit=10_000))
+    return listed.join(first, "cluster_id").select("cluster_of", "occurred_at", "source_count", "thermal_corroborated", "reliability")

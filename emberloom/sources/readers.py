@@ -94,6 +94,12 @@ def read_firms(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in FIRMS_COLUMNS])
 
 
+def stream_firms(spark: SparkSession, path: str, columns: tuple[str, ...] = FIRMS_COLUMNS) -> DataFrame:
+    """Landed CSV files of one data set as a stream; columns are those that its files have, in their order, the others are null."""
+    rows = spark.readStream.schema(strings(columns)).option("header", True).csv(path)
+    return rows.select(*[F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in FIRMS_COLUMNS])
+
+
 def read_ucdp(spark: SparkSession, path: str | list[str], most_pages: int = 200) -> DataFrame:
     """Pages of JSON with their rows under `Result`; more pages than the limit are an error, not a truncation."""
     pages = spark.read.schema(f"TotalPages int, Result array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in UCDP_ROW.split(','))}>>").option("multiLine", True).json(path)

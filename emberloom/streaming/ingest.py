@@ -1,126 +1,134 @@
-"""Micro-batches: normalize, merge, enrich, cluster and score what is new, and publish it. State is plain Parquet tables, a folder for each feed and batch; the checkpoint's offsets are the mark."""
+"""Micro-batches: normalize, merge, enrich, cluster and score what is new, and publish it. A batch reads and writes the days that it touches; the checkpoint's offsets are the mark."""
 
 from __future__ import annotations
 
 import logging
-import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cluster, enrich, merge, normalize, score, serve
-from ..schema import EVENT, EVENT_KEY
+from ..schema import EVENT, EVENT_KEY, HOTSPOT_KEY
 from ..sources import readers
+from .store import BY, MOST_FOLDERS, Store, bucket_of, day_of, days_of
 
 #: How often feeds are read, in seconds.
 CADENCE_S = {"acled": 21_600, "gdelt": 900, "firms": 10_800, "ucdp": 604_800}
+HOUR = 3600
 log = logging.getLogger(__name__)
 Publish = Callable[[DataFrame, int], None]
 
 
-@dataclass(frozen=True)
-class Store:
-    """Tables under one folder: events, weapons, clusters, hotspots, rejects and runs.
-
-    Each batch of a feed writes its own rows to a folder of its own, which it replaces if it runs again, and never those of another; a reader
-    takes the latest row of each key. So a batch costs what it brings, and a failed one leaves nothing that the next run doesn't replace.
-    """
-
-    spark: SparkSession
-    path: str
-
-    def write(self, table: str, rows: DataFrame, feed: str, batch: int, version: int) -> None:
-        """version orders the batches of all feeds; a batch that runs again may have a new one."""
-        rows.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.path.rstrip('/')}/{table}/feed={feed}/batch={batch}")
-
-    def rows(self, table: str, but: tuple[str, int] | None = None) -> DataFrame | None:
-        """All rows ever written, but for those of a batch that runs again."""
-        try:
-            found = self.spark.read.option("basePath", f"{self.path.rstrip('/')}/{table}").parquet(f"{self.path.rstrip('/')}/{table}/*/*")
-        except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
-        return found.filter(~((F.col("feed") == but[0]) & (F.col("batch") == but[1]))) if but else found
-
-    def latest(self, table: str, key: tuple[str, ...], but: tuple[str, int] | None = None) -> DataFrame | None:
-        """The last version of each key."""
-        found = self.rows(table, but)
-        if found is None:
-            return None
-        last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("version")))
-        return found.withColumn("_n", last).filter("_n = 1").drop("_n", "version", "feed", "batch")
-
-    def events(self, but: tuple[str, int] | None = None) -> DataFrame | None:
-        return self.latest("events", EVENT_KEY, but)
-
-    def clusters(self, but: tuple[str, int] | None = None) -> DataFrame | None:
-        return self.latest("clusters", ("cluster_id",), but)
-
-    def weapons(self, but: tuple[str, int] | None = None) -> DataFrame | None:
-        return self.latest("weapons", ("event_id", "weapon_key"), but)
-
-    def hotspots(self, but: tuple[str, int] | None = None) -> DataFrame | None:
-        found = self.rows("hotspots", but)
-        return None if found is None else found.drop("version", "feed", "batch")
-
-
 def ids_of(events: DataFrame) -> DataFrame:
     """events with an id from their key: the same in every run, without a counter."""
     return events.withColumn("id", F.xxhash64(*EVENT_KEY))
 
 
-def rescored(store: Store, events: DataFrame, touched: DataFrame, heat: DataFrame | None, but: tuple[str, int]) -> DataFrame:
-    """The clusters of touched (cluster_id), scored over all their members; heat (cluster_id) marks some, and marks stay."""
-    members = events.join(touched, "cluster_id", "left_semi")
-    out = cluster.cluster_stats(members)
-    before = store.clusters(but)
-    old = before.select("cluster_id", "thermal_corroborated") if before is not None else None
+def heat_of(store: Store, events: DataFrame) -> DataFrame | None:
+    """cluster_id of the given reports that a stored hotspot corroborates."""
+    hot = store.hotspots(days_of(events.select(F.col("occurred_at").alias("t")), 6 * HOUR, 30 * HOUR))
+    return None if hot is None else score.corroborated(events, hot)
+
+
+def clusters_after(store: Store, changed: DataFrame, touched: DataFrame, heat: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members): the clusters of touched (cluster_id, cluster_day), scored over all their members as they are with changed rows in place, and those members.
+
+    A cluster says when it was first and last seen, so its members are read from those days. heat (cluster_id) marks some; marks stay.
+    """
+    before = store.clusters(sorted(str(r[0]) for r in touched.select("cluster_day").distinct().collect()))
+    members = changed.join(touched.select("cluster_id"), "cluster_id", "left_semi")
+    old = None
+    if before is not None:
+        before = before.join(touched.select("cluster_id"), "cluster_id", "left_semi")
+        old = before.select("cluster_id", "thermal_corroborated")
+        spans = before.select(F.explode(F.sequence(day_of(F.col("first_seen")), day_of(F.col("last_seen")))).alias("d")).distinct()
+        stored = store.events(sorted(str(r[0]) for r in spans.collect()))
+        if stored is not None:
+            rest = stored.join(touched.select("cluster_id"), "cluster_id", "left_semi").join(changed.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")
+            members = rest.unionByName(members, allowMissingColumns=True)
+    members = cluster.checkpoint(members)
+    out = cluster.cluster_stats(members).join(touched, "cluster_id")
     out = out.join(old, "cluster_id", "left") if old is not None else out.withColumn("thermal_corroborated", F.lit(False))
     out = score.mark_thermal(out, heat) if heat is not None else out.withColumn("thermal_corroborated", F.coalesce("thermal_corroborated", F.lit(False)))
-    return score.score_clusters(members, out)
+    return cluster.checkpoint(score.score_clusters(members, out).withColumnRenamed("cluster_day", "day")), members
 
 
 def merge_batch(
-    store: Store, normalized: DataFrame, batch: int, publish: Publish | None = None, text_rule: bool = True, feed: str = "gdelt", rejects: DataFrame | None = None, fetched: int | None = None, version: int | None = None
+    store: Store, normalized: DataFrame, batch: int, publish: Publish | None = None, text_rule: bool = True, feed: str = "gdelt", rejects: DataFrame | None = None, fetched: Callable[[], int | None] | None = None
 ) -> None:
-    """One batch: revisions change stored reports only; new reports are enriched with weapons, canonical actors and origins, and clustered after all that is stored; their clusters are scored.
+    """One batch: revisions change stored reports only; new reports are enriched with weapons, canonical actors and origins, and clustered after all that is stored. Then the clusters of both are scored anew, with
+    heat where a stored hotspot is near one of these reports, and each cluster's score and count are written on the report that speaks for it.
 
-    Then the full payload of each new report is published. A sink that fails is logged and changes nothing: the reports are stored. Rejects are kept
-    with their reasons, and a row of the run's counts says what was fetched, normalized and new.
+    What is read of the store: the keys' buckets, the days of revised reports, the days around the batch's, the days of its clusters, and the hotspots of its days. At the end the full payload of each new
+    report is published. A sink that fails is logged and changes nothing: the reports are stored. Rejects are kept with their reasons, and a row of the run's counts says what was fetched, normalized and new.
     """
-    own, version = (feed, batch), version or time.time_ns()
-    positioned = cluster.checkpoint(normalized.withColumn("batch_pos", F.monotonically_increasing_id()))
-    stored = store.events(own)
-    new = ids_of(merge.inserted(stored, positioned) if stored is not None else merge.last_of_batch(positioned, EVENT_KEY, "batch_pos"))
-    new = new.withColumn("arrival", F.struct(F.lit(version).alias("batch"), F.col("batch_pos").alias("place"))).drop("batch_pos")
-    names = new if stored is None else stored.select(*new.columns).unionByName(new)
-    new = enrich.infer_origin(enrich.canonicalize(new, vocabulary=enrich.actor_vocabulary(names)))
-    new = cluster.checkpoint(cluster.assign_clusters(new, text_rule) if stored is None else cluster.assign_batch(stored, new, text_rule))
-    store.write("weapons", enrich.extract_weapons(new), feed, batch, version)
-    if stored is None:
-        store.write("events", new, feed, batch, version)
-    else:
-        again = stored.join(positioned.select(*EVENT_KEY), list(EVENT_KEY), "left_semi")
-        revised = merge.upsert(again, positioned.join(again.select(*EVENT_KEY), list(EVENT_KEY), "left_semi"))
-        store.write("events", revised.unionByName(new.select(*revised.columns)), feed, batch, version)
-    events = store.events()
-    touched = new.select("cluster_id").distinct()
-    clusters = rescored(store, events, touched, None, own)
-    store.write("clusters", clusters, feed, batch, version)
-    if rejects is not None:
-        store.write("rejects", rejects, feed, batch, version)
-    counts = positioned.agg(F.count("*").alias("normalized")).join(new.agg(F.count("*").alias("new_records")))  # one row each
-    store.write("runs", counts.select(F.lit(feed).alias("source"), F.lit(fetched).cast("long").alias("fetched"), "normalized", "new_records"), feed, batch, version)
+    with store.lock:
+        version = store.begin(feed, batch)
+        positioned = cluster.checkpoint(normalized.withColumns({"batch_pos": F.monotonically_increasing_id(), "bucket": bucket_of(store.buckets)}))
+        known = store.latest("keys", [r[0] for r in positioned.select("bucket").distinct().collect()])
+        positioned = positioned.drop("bucket")
+        again = None
+        if known is not None:
+            again = cluster.checkpoint(known.join(positioned.select(*EVENT_KEY), list(EVENT_KEY), "left_semi").select(*EVENT_KEY, F.col("day").alias("old_day")))
+        new = ids_of(merge.inserted(again if again is not None else positioned.limit(0), positioned))
+        new = new.withColumn("arrival", F.struct(F.lit(version).cast("long").alias("batch"), F.col("batch_pos").alias("place"))).drop("batch_pos")
+        names, own = store.vocabulary(), enrich.actor_vocabulary(new)
+        new = enrich.infer_origin(enrich.canonicalize(new, vocabulary=own if names is None else names.unionByName(own)))
+        near = store.events(days_of(positioned.select(F.col("occurred_at").alias("t")), cluster.WINDOW_S, cluster.WINDOW_S))
+        new = cluster.assign_clusters(new, text_rule) if near is None else cluster.assign_batch(near, new, text_rule)
+        new = cluster.checkpoint(new)
+        # a cluster stays with the day of the report that it began with
+        own_day = new.select(F.col("id").alias("cluster_id"), day_of(F.col("occurred_at")).alias("cluster_day"))
+        began = own_day if near is None else near.select("cluster_id", "cluster_day").union(own_day)
+        new = new.join(began.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day")), "cluster_id", "left")
+        new = new.withColumns({"day": day_of(F.col("occurred_at")), "gone": F.lit(False), "reliability": F.lit(None).cast("double"), "source_count": F.lit(None).cast("long")})
+        changed, moved = new, None
+        if again is not None:
+            days = sorted(str(r[0]) for r in again.select("old_day").distinct().collect())
+            stored = store.events(days) if days else None
+            if stored is not None:
+                old = stored.join(again.select(*EVENT_KEY), list(EVENT_KEY), "left_semi")
+                revised = merge.upsert(old, positioned.join(old.select(*EVENT_KEY), list(EVENT_KEY), "left_semi")).withColumns({"day": day_of(F.col("occurred_at")), "gone": F.lit(False)})
+                revised = cluster.checkpoint(revised.join(again, list(EVENT_KEY)))
+                moved = revised.filter("day <> old_day")
+                changed = new.unionByName(revised.drop("old_day"), allowMissingColumns=True)
+        changed = cluster.checkpoint(changed)
+        touched = cluster.checkpoint(changed.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day")))
+        clusters, members = clusters_after(store, changed, touched, heat_of(store, changed))
+        told = cluster.checkpoint(cluster.write_back(members, clusters))
+        rows = told.join(changed.select("id"), "id", "left_semi").unionByName(speakers(told, members).join(changed.select("id"), "id", "left_anti"))
+        if moved is not None:
+            rows = rows.unionByName(moved.withColumns({"day": F.col("old_day"), "gone": F.lit(True)}).drop("old_day"), allowMissingColumns=True)
+        weapons = cluster.checkpoint(enrich.extract_weapons(new).join(new.select(F.col("id").alias("event_id"), "day"), "event_id"))
+        store.write("weapons", weapons, feed, batch, version)
+        store.write("events", rows.withColumn("gone", F.coalesce("gone", F.lit(False))), feed, batch, version)
+        keys = new if moved is None else new.select(*EVENT_KEY, "day").unionByName(moved.select(*EVENT_KEY, "day"))
+        store.write("keys", keys.select(*EVENT_KEY, "day", bucket_of(store.buckets).alias("bucket")), feed, batch, version)
+        store.write("clusters", clusters, feed, batch, version)
+        store.write("names", own if names is None else own.join(names, "name", "left_anti"), feed, batch, version)
+        if rejects is not None:
+            store.write("rejects", rejects, feed, batch, version)
+        write_run(store, feed, batch, version, fetched, positioned.agg(F.count("*").alias("normalized")).join(new.agg(F.count("*").alias("new_records"))))  # one row each
     if publish:
-        mates = events.join(touched, "cluster_id", "left_semi")
-        told = serve.event_payload(mates, store.clusters().join(touched, "cluster_id", "left_semi"), store.weapons(), new.select(F.col("id").alias("event_id")))
-        deliver(publish, told.select("id", F.to_json(F.struct("*")).alias("value")), batch)
+        payload = serve.event_payload(told, clusters.drop("day"), weapons.drop("day"), new.select(F.col("id").alias("event_id")))
+        payload = payload.drop("day", "gone", "cluster_day", "arrival")
+        deliver(publish, payload.select("id", F.to_json(F.struct("*")).alias("value")), batch)
+
+
+def speakers(told: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows on which a score or count is another now."""
+    before = members.select("id", F.col("reliability").alias("_r"), F.col("source_count").alias("_n"))
+    return told.join(before, "id").filter(~(F.col("reliability").eqNullSafe(F.col("_r")) & F.col("source_count").eqNullSafe(F.col("_n")))).drop("_r", "_n")
+
+
+def write_run(store: Store, feed: str, batch: int, version: int, fetched: Callable[[], int | None] | None, counts: DataFrame) -> None:
+    """A run's counts (normalized, new_records), what was fetched beside them, as observed in the pass that normalized it."""
+    n = fetched() if fetched else None
+    out = counts.select(F.lit(feed).alias("source"), F.lit(n).cast("long").alias("fetched"), "normalized", (F.lit(n).cast("long") - F.col("normalized")).alias("dropped"), "new_records")
+    store.write("runs", out.withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")}), feed, batch, version)
 
 
 def deliver(publish: Publish, payloads: DataFrame, batch: int) -> None:
@@ -130,20 +138,42 @@ def deliver(publish: Publish, payloads: DataFrame, batch: int) -> None:
         log.exception("batch %d is stored but was not published", batch)
 
 
-def merge_hotspots(store: Store, hotspots: DataFrame, batch: int, feed: str = "firms", version: int | None = None) -> None:
-    """One batch of hotspots: those that aren't stored yet are, and clusters with a kinetic report near one of them are marked and scored anew. Marks are never taken back."""
-    own, version = (feed, batch), version or time.time_ns()
-    positioned = cluster.checkpoint(hotspots.withColumn("batch_pos", F.monotonically_increasing_id()))
-    stored = store.hotspots(own)
-    new = merge.insert_hotspots(stored if stored is not None else positioned.limit(0), positioned).drop("batch_pos")
-    new = cluster.checkpoint(new)
-    store.write("hotspots", new, feed, batch, version)
-    events = store.events()
-    if events is None:
-        return
-    heat = cluster.checkpoint(score.corroborated(events, new))
-    store.write("clusters", rescored(store, events, heat, heat, own), feed, batch, version)
-    store.write("runs", new.agg(F.count("*").alias("new_records")).select(F.lit(feed).alias("source"), F.lit(None).cast("long").alias("fetched"), F.col("new_records").alias("normalized"), "new_records"), feed, batch, version)
+def merge_hotspots(store: Store, hotspots: DataFrame, batch: int, feed: str = "firms", fetched: Callable[[], int | None] | None = None) -> None:
+    """One batch of hotspots: those that aren't stored yet are, and clusters with a kinetic report near one of them are marked and scored anew. Marks are never taken back.
+
+    Reports that come after their hotspots meet them in merge_batch, so it doesn't matter which of the two is first.
+    """
+    with store.lock:
+        version = store.begin(feed, batch)
+        positioned = cluster.checkpoint(hotspots.withColumn("batch_pos", F.monotonically_increasing_id()))
+        at = positioned.select(F.col("acquired_at").alias("t"))
+        stored = store.hotspots(days_of(at))
+        new = merge.insert_hotspots(stored if stored is not None else positioned.limit(0), positioned).drop("batch_pos")
+        new = cluster.checkpoint(new.withColumns({"day": day_of(F.col("acquired_at")), "id": F.xxhash64(*HOTSPOT_KEY)}))
+        store.write("hotspots", new, feed, batch, version)
+        events = store.events(days_of(new.select(F.col("acquired_at").alias("t")), 30 * HOUR, 6 * HOUR))
+        if events is not None:
+            heat = score.corroborated(events, new)
+            days = events.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day"))
+            heat = cluster.checkpoint(heat.join(days, "cluster_id"))
+            clusters, members = clusters_after(store, events.limit(0), heat, heat)
+            told = cluster.write_back(members, clusters)
+            store.write("clusters", clusters, feed, batch, version)
+            store.write("events", speakers(told, members).withColumn("gone", F.lit(False)), feed, batch, version)
+        write_run(store, feed, batch, version, fetched, positioned.agg(F.count("*").alias("normalized")).join(new.agg(F.count("*").alias("new_records"))))
+
+
+def observed(raw: DataFrame) -> tuple[DataFrame, Callable[[], int | None]]:
+    """raw, and its number of rows as the first pass over it counts them."""
+    seen = Observation()
+    return raw.observe(seen, F.count(F.lit(1)).alias("n")), lambda: seen.get["n"]
+
+
+def tidy(store: Store, batch: int, every: int = MOST_FOLDERS) -> None:
+    """After so many batches of a feed, days with many small folders become one each."""
+    if batch % every == every - 1:
+        for table in BY:
+            store.compact(table, every)
 
 
 def trigger(writer, every: str | None):  # noqa: ANN001, ANN201
@@ -156,15 +186,22 @@ def stream_events(
     """A feed's stream of raw rows into the store; without `every`, what is there now and no more (`cadence` gives a feed's own). Late revisions merge like any other: no event-time mark drops them."""
 
     def one(df: DataFrame, n: int) -> None:
-        events, rejects = normalizer(df)
-        merge_batch(store, events, n, publish, text_rule, feed, rejects, df.count())
+        counted, fetched = observed(df)
+        merge_batch(store, normalizer(counted)[0], n, publish, text_rule, feed, normalizer(df)[1], fetched)
+        tidy(store, n)
 
-    return trigger(raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one), every).start()
+    return trigger(raw.writeStream.queryName(f"{feed} into {store.path}").option("checkpointLocation", checkpoint).foreachBatch(one), every).start()
 
 
 def stream_hotspots(raw: DataFrame, store: Store, checkpoint: str, every: str | None = None, feed: str = "firms") -> StreamingQuery:
     """A stream of raw hotspot rows into the store, each batch followed by the corroboration that it allows."""
-    return trigger(raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_hotspots(store, normalize.firms(df), n, feed)), every).start()
+
+    def one(df: DataFrame, n: int) -> None:
+        counted, fetched = observed(df)
+        merge_hotspots(store, normalize.firms(counted), n, feed, fetched)
+        tidy(store, n)
+
+    return trigger(raw.writeStream.queryName(f"{feed} into {store.path}").option("checkpointLocation", checkpoint).foreachBatch(one), every).start()
 
 
 def cadence(feed: str) -> str:
@@ -173,25 +210,45 @@ def cadence(feed: str) -> str:
 
 
 def feed_marks(store: Store, marks: DataFrame, at: str, watermarks: DataFrame | None = None) -> DataFrame:
-    """marks after the runs in the store, counted by feed: what each brought that was new is added to its records. watermarks (source, watermark) are optional."""
+    """marks after the runs in the store, in their order: what each good run brought that was new is added to its feed's records, failures since the last good one are counted, and the last message is kept.
+
+    watermarks (source, watermark) are optional.
+    """
     runs = store.rows("runs")
     if runs is None:
         return marks
-    total = runs.groupBy("source").agg(F.sum("new_records").alias("new_records"))
-    total = total.join(watermarks, "source", "left") if watermarks is not None else total.withColumn("watermark", F.lit(None).cast("timestamp_ntz"))
-    return merge.update_marks(marks, total.select("source", F.lit(True).alias("ok"), F.lit(at).cast("timestamp_ntz").alias("at"), "watermark", "new_records", F.lit(None).cast("string").alias("error")))
-
-
-def replay(raw: DataFrame, parts: int = 2, path: str | None = None, text_rule: bool = True) -> DataFrame:
-    """raw export rows landed as files and streamed in so many batches; gives the stored events."""
+    good = runs.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("version"))).alias("last_ok"))
+    each = runs.join(good, "source").groupBy("source").agg(
+        F.max("last_ok").isNotNull().alias("some"),
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("new_records"))), F.lit(0)).alias("new_records"),
+        F.count_if(~F.col("ok") & (F.col("version") > F.coalesce("last_ok", F.lit(-1)))).alias("failures"),
+        F.max_by("error", F.when(~F.col("ok"), F.col("version"))).alias("error"),
+    )
+    each = each.join(watermarks, "source", "left") if watermarks is not None else each.withColumn("watermark", F.lit(None).cast("timestamp_ntz"))
+    when = F.lit(at).cast("timestamp_ntz").alias("at")
+    nothing = F.lit(None).cast("string").alias("error")
+    done = merge.update_marks(marks, each.filter("some").select("source", F.lit(True).alias("ok"), when, "watermark", "new_records", nothing))
+    return merge.update_marks(done, each.filter("failures > 0").select("source", F.lit(False).alias("ok"), when, F.lit(None).cast("timestamp_ntz").alias("watermark"), F.lit(0).cast("long").alias("new_records"), "error", "failures"))
+
+
+def replay_store(raw: DataFrame, hotspots: DataFrame | None = None, parts: int = 2, path: str | None = None, text_rule: bool = True) -> Store:
+    """The store after raw hotspot rows, if any, and then raw export rows, landed as files, were streamed, the latter in so many batches."""
     spark = raw.sparkSession
     path = path or f"{cluster.shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    store = Store(spark, f"{path}/store")
+    if hotspots is not None:
+        hotspots.select(*readers.FIRMS_COLUMNS).coalesce(1).write.option("header", True).csv(f"{path}/hot")
+        stream_hotspots(readers.stream_firms(spark, f"{path}/hot"), store, f"{path}/hot-offsets").awaitTermination()
     at = F.col("c0").try_cast("long")
     cuts = raw.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()["cuts"] or [] if parts > 1 else []
     for a, b in zip([None, *cuts], [*cuts, None], strict=True):  # one file after another, each in the order of its ids
         part = raw.filter((at > a if a is not None else F.lit(True)) & (at <= b if b is not None else F.lit(True)))
         part.coalesce(1).sortWithinPartitions(at).write.mode("append").option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{path}/landed")
-    store = Store(spark, f"{path}/store")
     stream_events(readers.stream_gdelt(spark, f"{path}/landed", files=1), normalize.gdelt, store, f"{path}/offsets", text_rule=text_rule).awaitTermination()
-    found = store.events()
-    return found if found is not None else spark.createDataFrame([], EVENT)
+    return store
+
+
+def replay(raw: DataFrame, parts: int = 2, path: str | None = None, text_rule: bool = True) -> DataFrame:
+    """raw export rows landed as files and streamed in so many batches; gives the stored events."""
+    found = replay_store(raw, None, parts, path, text_rule).events()
+    return found if found is not None else raw.sparkSession.createDataFrame([], EVENT)
