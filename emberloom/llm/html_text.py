@@ -64,13 +64,15 @@ SHARE = 0.2
 
 
 class Node:
-    """An element. shown: whether its content is text on the page; part: whether a list says that it, or what it lies in, is a page part. chars, tags, link_chars and
+    """An element. shown: whether its content is text on the page; named: whether a list has its tag or name; own: whether it is a page part by that; part: whether it, or what it lies in, is one; closed: whether
+    its own closing tag ended it. chars, tags, link_chars and
     link_tags are those of its subtree, density is its composite text density, total the sum of its children's and most the largest such sum in its subtree. scope has the bits of GROUPS that are open in it."""
 
-    __slots__ = ("tag", "parent", "children", "shown", "part", "named", "inside", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total", "most")
+    __slots__ = ("tag", "parent", "children", "shown", "part", "own", "named", "closed", "inside", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total", "most")
 
     def __init__(self, tag: str, parent: Node | None, shown: bool = True):
-        self.tag, self.parent, self.shown, self.part, self.named = tag, parent, shown, False, False
+        self.tag, self.parent, self.shown = tag, parent, shown
+        self.part = self.own = self.named = self.closed = False
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.scope = (parent.scope & ~STOPPED.get(tag, 0) if parent else 0) | OWN.get(tag, 0)
         self.children: list[Node | str] = []
@@ -153,6 +155,7 @@ def parse(html: str) -> Node:
                 x = top
                 while x.tag != tag:
                     x = x.parent
+                x.closed = True
                 close(x)
             continue
         for bit in CLOSED.get(tag, ()):
@@ -163,8 +166,7 @@ def parse(html: str) -> Node:
                 close(x)
         attributes = attributes_of(inner) if inner else {}
         node = Node(tag, top, top.shown and tag not in UNSHOWN and not (attributes and tag not in KEPT and is_hidden(attributes)))
-        node.part = top.part or tag in DROPPED
-        node.named = not node.part and bool(attributes or tag == "header") and is_named(tag, attributes, top.inside)
+        node.named = tag in DROPPED or (bool(attributes or tag == "header") and is_named(tag, attributes, top.inside))
         top.children.append(node)
         if tag in RAW:
             ended = re.compile(rf"</{tag}(?![^\s/>])", re.I).search(html, at)
@@ -187,8 +189,11 @@ def nodes_of(root: Node) -> list[Node]:
 
 
 def mark_parts(root: Node) -> None:
-    """Marks elements named as page parts, but not where such a name is that of the page's layout: on what holds most of the page's words that aren't links, and an
-    article, its title or main part as well, if the page has such."""
+    """Marks elements that the lists have as page parts, but not where such a name is that of the page's layout: on what holds most of the page's words that aren't links, and an
+    article, its title or main part as well, if the page has such.
+
+    The same holds for tags, so a page inside a form, or behind the opening of a menu that is never closed, isn't lost. Where nothing says what the article is, a tag is believed unless it is a form or wasn't closed.
+    """
     nodes = nodes_of(root)
     if not any(x.named for x in nodes):
         return
@@ -203,9 +208,18 @@ def mark_parts(root: Node) -> None:
                 titles[x.parent] = titles.get(x.parent, 0) + titles[x]
     most, titled = own.get(root, 0) / 2, titles.get(root, 0) > 0
     for x in nodes:
-        layout = own.get(x, 0) > most and (titles[x] > 0 or not titled)
-        if (x.parent is not None and x.parent.part) or (x.named and not layout):
-            x.part = True
+        layout = own.get(x, 0) > most and (titles[x] > 0 or (not titled and (x.tag not in DROPPED or x.tag == "form" or not x.closed)))
+        x.own = x.named and not layout
+        x.part = x.own or (x.parent is not None and x.parent.part)
+
+
+def unmark(node: Node, body: Node) -> None:
+    """The element and what it lies in are no page parts; parts inside it stay."""
+    x = node
+    while x is not None:
+        x.own, x = False, x.parent
+    for x in nodes_of(body):
+        x.part = x.own or (x is not body and x.parent.part)
 
 
 def composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
@@ -244,8 +258,18 @@ def measure(root: Node) -> Node:
 
 
 def main_node(body: Node) -> tuple[Node, float]:
-    """The subtree whose densities sum to most, of all that aren't in page parts (the outermost of equals), and the threshold: the least density on the path from the body to it."""
-    best = max((x for x in nodes_of(body) if x.shown and not x.part and x.chars and (x.tag in BLOCK or x is body)), key=lambda x: x.total, default=body)
+    """The subtree whose densities sum to most of all that are shown (the outermost of equals), and the threshold: the least density on the path from the body to it.
+
+    If lists have it as a page part, the best of the others that is as dense as the body takes its place; without such a one it stays, and is no part.
+    """
+    boxes = [x for x in nodes_of(body) if x.shown and x.chars and (x.tag in BLOCK or x is body)]
+    best = max(boxes, key=lambda x: x.total, default=body)
+    if best.part:
+        other = max((x for x in boxes if not x.part and x.density >= body.density and (x is not body or spoken(body))), key=lambda x: x.total, default=None)
+        if other is None:
+            unmark(best, body)
+        else:
+            best = other
     least, x = best.density, best
     while x is not body:
         x = x.parent
@@ -253,6 +277,19 @@ def main_node(body: Node) -> tuple[Node, float]:
     return best, least
 
 
+def spoken(node: Node) -> bool:
+    """Whether anything shown is left of an element without its page parts."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x.strip():
+                return True
+        elif x.shown and not x.part:
+            todo.extend(x.children)
+    return False
+
+
 def chosen(node: Node, body: Node, least: float) -> list[Node | str]:
     """The subtree and what lies beside its path to the body and belongs to it, in page order: boxes at least as dense as the threshold with densities in them that sum to
     SHARE of the subtree's, and, in its own box, words, headings and the like at least as dense."""
@@ -299,7 +336,9 @@ def blocks(found: list[Node | str], least: float) -> list[str]:
             if block:
                 end()
                 todo.append(None)
-            todo.extend(reversed(x.children))
+            # the links that a menu which was never closed begins with are its own
+            inner = [c for c in x.children if isinstance(c, str) or c.tag != "a"] if x.tag in ("nav", "menu") else x.children
+            todo.extend(reversed(inner))
     end()
     return out
 
@@ -308,7 +347,8 @@ def extract(html: str | None, lists: bool = True, density: bool = True) -> str:
     """The main text: blocks joined by a line feed, white space inside a block made one space. Null, empty or markup-only input gives the empty string.
 
     Density chooses, over all elements that are shown: the subtree with the largest sum, and the boxes beside it that are as dense as the path to it. The lists of page parts (menus, notices,
-    comments) only say where that subtree isn't looked for and what is cut out of it. lists and density turn either off, to see what it does.
+    comments) pass over a choice that they name where another is as dense as the body, and cut parts out of what was chosen. A part that holds most of a page (a form around it, a menu that is
+    never closed) is none. lists and density turn either off, to see what it does.
     """
     if not html:
         return ""
@@ -317,7 +357,7 @@ def extract(html: str | None, lists: bool = True, density: bool = True) -> str:
         mark_parts(root)
     else:
         for x in nodes_of(root):
-            x.part = False
+            x.part = x.own = False
     body = measure(root)
     if not density:
         return "\n".join(blocks([body], -1.0))

@@ -145,3 +145,37 @@ def test_other_columns_and_empty_table(spark):
     d = spark.createDataFrame([(1, "u", None, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
     assert [tuple(r) for r in extract_pages(d).collect()] == [(1, "u", "", 0)]
     assert extract_pages(d.limit(0)).count() == 0
+
+
+def made_page(rng):
+    """A page of boxes without names around an article whose text is known: html and that text."""
+    words = "river stone house market garden letter winter signal carpet window engine harbour".split()
+    sentence = lambda: (" ".join(rng.choices(words, k=rng.randint(9, 16))) + ", as they said.").capitalize()
+    paragraphs = [" ".join(sentence() for _ in range(rng.randint(3, 6))) for _ in range(rng.randint(3, 7))]
+    links = lambda n: "".join(f"<li><a href='/{k}'>{rng.choice(words)}</a></li>" for k in range(n))
+    title = rng.choice(words).capitalize() + " and more"
+    article = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    box = rng.choice(["div", "section", "article", "main"])
+    body = f"<div><ul>{links(rng.randint(4, 9))}</ul></div><{box}>{article}</{box}><div><ul>{links(rng.randint(3, 8))}</ul></div>"
+    wrapped = rng.choice(["{}", "<form id='f' method='post'><input type='hidden' value='x'>{}</form>", "<div><form>{}</form></div>", "<nav><ul><li><a href='/'>Home</a></li></ul>{}", "<aside>{}", "<menu><a href='/'>Home</a>{}", "<div class='wrapper'>{}</div>"])
+    end = rng.choice(["", "<footer><a href='/a'>About</a> Some company</footer>", "<div class='comments'><p>" + sentence() + "</p></div>"])
+    inside = rng.random() < 0.5
+    page = wrapped.format(body + end) if inside or wrapped[:5] in ("<nav>", "<asid", "<menu") else wrapped.format(body) + end
+    return f"<html><head><title>x</title></head><body>{page}</body></html>", "\n".join([title, *paragraphs])
+
+
+def test_pages_of_known_text_come_out_whole():
+    rng = random.Random(9)
+    for _ in range(400):
+        html, text = made_page(rng)
+        assert extract(html) == text, html
+
+
+def test_wrappers_and_parts_that_are_never_closed_lose_no_page():
+    p = "<p>" + "A sentence of the article, with commas, and words. " * 6 + "</p>"
+    text = ("A sentence of the article, with commas, and words. " * 6).strip()
+    for start in ("<form>", "<form><h1>T</h1>", "<nav>", "<aside>", "<menu>", "<nav><a href='/'>Home</a><a href='/x'>More</a>", "<dialog>"):
+        assert extract(f"<body>{start}{p}{p}").removeprefix("T\n") == f"{text}\n{text}"
+    # closed parts stay parts, and so does what an article stands beside
+    assert extract("<body><footer>2024 only a footer here</footer></body>") == "" and extract(f"<body>{p}<aside>{p}{p}</aside></body>") == text
+    assert extract(f"<body><div><h1>T</h1>{p}</div><div class='comments'>{p * 20}</div></body>") == f"T\n{text}"
