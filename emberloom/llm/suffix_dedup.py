@@ -293,12 +293,19 @@ def salts_of(key: str, hot: list[int]) -> Column:
     return F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
 
 
+def salted(left: DataFrame, right: DataFrame, on: list[str], key: str, hot: list[int]) -> DataFrame:
+    """left joined with right, which has a row for each key: those of hot keys meet copies of it in several tasks."""
+    if not hot:
+        return left.join(right, on)
+    return left.withColumn("salt", salt_of(key, hot)).join(right.withColumn("salt", salts_of(key, hot)), [*on, "salt"]).drop("salt")
+
+
 def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(base, found): base has d, tie and the text's bytes t of every row of docs (and other columns in rest), found for each (d, tie) the windows that start earlier elsewhere, as flat pairs.
 
     tie is -1 where an earlier document has the same whole text. The steps:
 
-    1. Equal whole texts are represented by their first one; the others go wholly. Only the rows that are copies or share a doc_id are
+    1. Equal whole texts are represented by their first one; the others go wholly, and of rows alike one is looked at. Only the rows that are copies or share a doc_id are
        told apart by a table, the rest is not touched.
     2. Every window of 100 bytes has an anchor, its gram of 36 bytes with the smallest hash. Windows can only be equal if their anchors are, so runs of windows whose
        anchor occurs once are out; anchors are counted with pre-aggregation before the shuffle.
@@ -317,22 +324,28 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     keys = docs.select(d.alias("d"), F.unhex(F.sha2(text, 256)).alias("sha"))
     twice = stored(keys.groupBy("sha").agg(F.count("*").alias("n"), F.min("d").alias("least")).filter("n > 1").select("sha", "least"), "repeated-texts")
-    copies = keys.join(bounded_broadcast(twice), "sha").filter("d <> least").select("d", "sha", F.lit(-1).cast("long").alias("odd"))
+    repeated = keys.join(bounded_broadcast(twice), "sha")
+    copies = repeated.filter("d <> least").select("d", "sha", F.lit(-1).cast("long").alias("odd"), F.lit(False).alias("alike"))
+    # rows with one id and text, which are one document
+    alike = repeated.filter("d = least").groupBy("d", "sha").agg(F.count("*").alias("n")).filter("n > 1").select("d", "sha", F.lit(None).cast("long").alias("odd"), F.lit(True).alias("alike"))
     # different texts under one id: ordered by a part of their hash
     torn = keys.groupBy("d").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("a <> b").select("d")
     prefix = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
-    ties = keys.join(torn, "d").select("d", "sha", prefix.alias("odd"))
-    odd = stored(copies.unionAll(ties).groupBy("d", "sha").agg(F.min("odd").alias("odd")), "odd-texts")
+    ties = keys.join(torn, "d").select("d", "sha", prefix.alias("odd"), F.lit(False).alias("alike"))
+    odd = stored(copies.unionAll(ties).unionAll(alike).groupBy("d", "sha").agg(F.min("odd").alias("odd"), F.max("alike").alias("alike")), "odd-texts")
     sha = F.unhex(F.sha2(F.col("t"), 256))
     rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []
     base = docs.select(d.alias("d"), text.alias("t"), *rest)
     told = bounded_broadcast(odd.withColumnsRenamed({"d": "_d", "sha": "_sha"}))
-    base = base.join(told, (F.col("d") == F.col("_d")) & (sha == F.col("_sha")), "left").select("d", F.coalesce("odd", F.lit(0)).cast("long").alias("tie"), "t", *["rest"][: len(rest)])
+    base = base.join(told, (F.col("d") == F.col("_d")) & (sha == F.col("_sha")), "left").select("d", F.coalesce("odd", F.lit(0)).cast("long").alias("tie"), "t", F.coalesce("alike", F.lit(False)).alias("alike"), *["rest"][: len(rest)])
     own = base.filter("tie >= 0")
+    if odd.filter("alike").limit(1).count():
+        # one row for each document; what it finds is joined to all its rows at the end
+        own = own.filter("not alike").select("d", "tie", "t").unionAll(own.filter("alike").groupBy("d", "tie").agg(F.first("t").alias("t")))
     often = stored(own.select("t").mapInArrow(anchor_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated-anchors")
     hot = hot_keys(often, "h")
     runs = own.select("d", "tie", "t").mapInArrow(anchor_rows, "h long, c long, d long, tie long, start int, run int")
-    runs = stored(runs.withColumn("salt", salt_of("h", hot)).join(often.select("h", salts_of("h", hot).alias("salt")), ["h", "salt"]).drop("salt"), "repeated-runs")
+    runs = stored(salted(runs, often.select("h"), ["h"], "h", hot), "repeated-runs")
     first = runs.groupBy("h", "c").agg(F.min(F.struct("d", "tie", "start")).alias("f"), F.first("run").alias("run"), F.count("*").alias("n"))
     first = stored(first.select("h", "c", "f.*", "run", "n"), "first-runs")
     several = stored(first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "several-runs")
@@ -340,7 +353,7 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     wanted = first.join(several, "h")
     entry = F.struct("h", "c", "start", "run", "m")
     lists = wanted.groupBy("d", "tie").agg(F.collect_list(entry).alias("wanted"))  # no more than a document has windows
-    fetched = base.join(lists, ["d", "tie"]).select("d", "tie", "t", F.explode("wanted").alias("w"))
+    fetched = own.join(lists, ["d", "tie"]).select("d", "tie", "t", F.explode("wanted").alias("w"))
     windows, place = F.shiftright(F.col("w.run"), 7), F.col("w.run").bitwiseAND(127)
     fetched = fetched.select("w.h", "w.c", "w.m", "d", "tie", F.col("w.start").alias("start"), windows.alias("windows"), place.alias("place"), F.substring(F.col("t"), F.col("w.start") + 1, windows + LENGTH - 1).alias("t"))
     half = (LENGTH - ANCHOR) // 2
@@ -366,7 +379,7 @@ def marks(docs: DataFrame, others: list[str] | None = None) -> tuple[DataFrame,
     told = (marked if later is None else marked.unionAll(later)).groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     hot = hot_keys(first, "c")
     decided = first.select(F.col("h"), F.col("c"), F.col("d").alias("fd"), F.col("tie").alias("ftie"), F.col("start").alias("fstart")).join(told, ["h", "c"], "left")
-    every = runs.withColumn("salt", salt_of("c", hot)).join(decided.withColumn("salt", salts_of("c", hot)), ["h", "c", "salt"])
+    every = salted(runs, decided, ["h", "c"], "c", hot)
     is_first = (F.col("d") == F.col("fd")) & (F.col("tie") == F.col("ftie")) & (F.col("start") == F.col("fstart"))
     spans = F.when(~is_first, F.array(F.lit(0), F.shiftright("run", 7))).otherwise(F.coalesce("spans", F.array().cast("array<int>")))
     hit = every.select("d", "tie", "start", spans.alias("spans")).filter(F.size("spans") > 0)

@@ -7,6 +7,7 @@ import pytest
 from emberloom.llm import suffix_array as sa
 from emberloom.llm import suffix_dedup
 from emberloom.llm.suffix_array import shared_prefixes, suffix_array
+from tests.llm.conftest import words
 
 
 @pytest.mark.parametrize("most", [0, 2048])
@@ -148,3 +149,20 @@ def test_clean_documents_keep_their_other_columns(docs, rows, none):
     got = suffix_dedup.clean_documents(docs)
     assert got.columns == [c for c in docs.columns if c != "text"] + ["text"] and got.count() == len(rows)
     assert suffix_dedup.clean_documents(none).count() == 0 and suffix_dedup.dedup(none).count() == 0
+
+
+def test_a_row_repeated_many_times_is_one_document(spark):
+    """All copies of a row come out as one of them does, and what is looked at is one row."""
+    rng = random.Random(12)
+    base = words(rng, 60, 400)
+    rows = [(5, base + " tail one")] * 400 + [(9, "head two " + base), (None, base + " tail one"), (5, "another text under the same id " + base), (2, "short")] + [(None, base + " alone")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    base_rows, found = suffix_dedup.marks(df)
+    assert base_rows.filter("alike").count() == 430 and found.groupBy("d", "tie").count().filter("count > 1").count() == 0
+    got = {}
+    for r in suffix_dedup.dedup(df).collect():
+        got.setdefault((r.doc_id, r.n_bytes), set()).add((r.n_removed, r.n_spans, r.kept_sha256))
+    once = {}
+    for r in suffix_dedup.dedup(spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string")).collect():
+        once.setdefault((r.doc_id, r.n_bytes), set()).add((r.n_removed, r.n_spans, r.kept_sha256))
+    assert got == once and all(len(v) == 1 for v in got.values()) and suffix_dedup.dedup(df).count() == len(rows)
