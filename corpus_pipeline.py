@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberloom.llm import classifier, mixing, pieces, simhash, suffix_dedup
@@ -18,12 +18,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id, null last; of its rows that share id and text, one."""
-    # one pair of keys for the join and the window, so that texts are dealt once; no id is no number
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d")  # no id is no number
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    rows = docs.select(*COLUMNS, key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_x"), F.xxhash64(F.struct(*others)).alias("_o"))
+    # which row of an id and text stays is decided without texts, and these meet the answer as they come, unsorted
+    each = rows.select("_d", "_x", "_o", F.struct(*others).alias("_s")).groupBy("_d", "_x", "_o").agg(F.min("_s").alias("_s"), F.count("*").alias("_n"))
     kept = simhash.representatives(docs).select(key, F.col("x").alias("_x"))
-    rows = docs.select(*COLUMNS, key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_x")).join(kept, ["_d", "_x"], "left_semi")
-    alike = Window.partitionBy("_d", "_x").orderBy(*[c for c in COLUMNS if c not in ("doc_id", "text")])
-    return rows.withColumn("_k", F.row_number().over(alike)).filter("_k = 1").select(*COLUMNS)
+    chosen = each.join(kept, ["_d", "_x"], "left_semi").groupBy("_d", "_x").agg(F.min_by(F.struct("_o", "_n"), "_s").alias("_c")).select("_d", "_x", "_c.*")
+    chosen = stored(chosen, "kept-documents")
+    of = lambda which: rows.join(chosen.filter(which).hint("shuffle_hash"), ["_d", "_x", "_o"]).select(*COLUMNS)
+    if not chosen.filter("_n > 1").limit(1).count():
+        return of("_n = 1")
+    return of("_n = 1").unionAll(of("_n > 1").dropDuplicates())
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
