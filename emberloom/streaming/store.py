@@ -81,8 +81,7 @@ class Store:
                 if p.getName() != mark.getName():
                     fs.delete(p, True)  # what came before it is over
         if "version" not in self.state:
-            runs = self.rows("runs")
-            self.state["version"] = 0 if runs is None else runs.agg(F.max("version")).first()[0] or 0
+            self.state["version"] = self.last_version()
         self.state["version"] += 1
         return self.state["version"]
 
@@ -93,6 +92,18 @@ class Store:
         own = own.repartition(*by) if by else own.coalesce(1) if table in ("runs", "names") else own
         own.write.partitionBy(*by, "feed", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.folder(table))
 
+    def write_failure(self, feed: str, error: str) -> None:
+        """A run that failed. It has a folder of its own, so the run that takes its place doesn't hide it."""
+        with self.lock:
+            version = self.state["version"] = self.state.get("version", self.last_version()) + 1
+            nothing = {c: F.lit(None).cast("long") for c in ("fetched", "normalized", "dropped", "new_records")}
+            row = self.spark.range(1).select(F.lit(feed).alias("source"), *[v.alias(c) for c, v in nothing.items()], F.lit(False).alias("ok"), F.lit(error).alias("error"))
+            self.write("runs", row, feed, -version, version)
+
+    def last_version(self) -> int:
+        runs = self.rows("runs")
+        return 0 if runs is None else runs.agg(F.max("version")).first()[0] or 0
+
     def rows(self, table: str, parts: Iterable | None = None) -> DataFrame | None:
         """All versions of rows, of some days or buckets if they are given: only their folders are looked at."""
         root = self.folder(table)
