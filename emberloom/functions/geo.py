@@ -62,28 +62,51 @@ def seconds(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp")) / F.lit(1e6)
 
 
-def near_pairs(probe: DataFrame, build: DataFrame, prefix: str, radius: Column | float, radii: list[float], before_s: float, after_s: float) -> DataFrame:
-    """Rows of probe beside the rows of build (its columns prefixed) within the probe's radius in metres and in [t - before_s, t + after_s], ends included.
+def celled(probe: DataFrame, build: DataFrame, prefix: str, radius: Column | float, radii: list[float], before_s: float, after_s: float, least: Column | None = None) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """(probe rows by the cells that their reach touches, build rows by the cells that they stand in, equality of cells, nearness): what near_pairs and near_any join.
 
-    Both have lat, lon and t. radii are the values that radius takes. A cell is twice the radius wide, a time bucket as wide as the interval, so a probe meets at most 8 cells
-    and 2 buckets; build rows stand in one cell for each radius. The join is on equal cells and buckets, the distance is checked after it: a shuffle join
-    whose groups are bounded by what is near in space and time, never a nested loop.
+    least: the smallest of the radii for which a build row is looked for, a column of it.
     """
     span = max(before_s + after_s, 1.0)
     size = F.lit(2.0) * radius if isinstance(radius, Column) else F.lit(2.0 * radius)
     reach = radius if isinstance(radius, Column) else F.lit(float(radius))
     floor = lambda c: F.floor(c).cast("long")
-    p = probe.withColumn("_r", reach.cast("double"))
-    for axis, value in zip("xyz", centre_distances(F.col("lat"), F.col("lon")), strict=True):
-        p = p.withColumn(f"_{axis}", F.explode(F.sequence(floor((value - F.col("_r")) / size), floor((value + F.col("_r")) / size))))
-    p = p.withColumn("_t", F.explode(F.sequence(floor((seconds(F.col("t")) - before_s) / span), floor((seconds(F.col("t")) + after_s) / span))))
-    b = build.select(*[F.col(c).alias(prefix + c) for c in build.columns])
-    b = b.withColumn("_br", F.explode(F.array(*[F.lit(float(r)) for r in sorted(set(radii))])))
-    for axis, value in zip("xyz", centre_distances(F.col(prefix + "lat"), F.col(prefix + "lon")), strict=True):
-        b = b.withColumn(f"_b{axis}", floor(value / (2.0 * F.col("_br"))))
-    b = b.withColumn("_bt", floor(seconds(F.col(prefix + "t")) / span))
+    p = probe.withColumn("_r", reach.cast("double")).withColumns(dict(zip(("_px", "_py", "_pz"), centre_distances(F.col("lat"), F.col("lon")), strict=True))).withColumn("_ps", seconds(F.col("t")))
+    for axis in "xyz":
+        p = p.withColumn(f"_{axis}", F.explode(F.sequence(floor((F.col(f"_p{axis}") - F.col("_r")) / size), floor((F.col(f"_p{axis}") + F.col("_r")) / size))))
+    p = p.withColumn("_t", F.explode(F.sequence(floor((F.col("_ps") - before_s) / span), floor((F.col("_ps") + after_s) / span))))
+    b = build.select(*[F.col(c).alias(prefix + c) for c in build.columns], *([least.alias("_least")] if least is not None else []))
+    sizes = F.array(*[F.lit(float(r)) for r in sorted(set(radii))])
+    b = b.withColumn("_br", F.explode(sizes if least is None else F.filter(sizes, lambda r: r >= F.col("_least")))).drop("_least")
+    b = b.withColumns(dict(zip(("_qx", "_qy", "_qz"), centre_distances(F.col(prefix + "lat"), F.col(prefix + "lon")), strict=True))).withColumn("_qs", seconds(F.col(prefix + "t")))
+    for axis in "xyz":
+        b = b.withColumn(f"_b{axis}", floor(F.col(f"_q{axis}") / (2.0 * F.col("_br"))))
+    b = b.withColumn("_bt", floor(F.col("_qs") / span))
     on = (F.col("_r") == F.col("_br")) & (F.col("_x") == F.col("_bx")) & (F.col("_y") == F.col("_by")) & (F.col("_z") == F.col("_bz")) & (F.col("_t") == F.col("_bt"))
-    gap = seconds(F.col(prefix + "t")) - seconds(F.col("t"))
-    met = p.join(b, on).withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col(prefix + "lat"), F.col(prefix + "lon")))
-    met = met.filter((F.col("distance_m") <= F.col("_r")) & gap.between(-before_s, after_s))
-    return met.drop("_r", "_x", "_y", "_z", "_t", "_br", "_bx", "_by", "_bz", "_bt")
+    # a chord is no longer than its arc; a metre of room for rounding, the distance itself decides
+    chord = sum(((F.col(f"_p{x}") - F.col(f"_q{x}")) * (F.col(f"_p{x}") - F.col(f"_q{x}")) for x in "xyz"), F.lit(0.0))
+    near = (chord <= (F.col("_r") + 1) * (F.col("_r") + 1)) & (F.col("_qs") - F.col("_ps")).between(-before_s, after_s)
+    return p, b, on, near
+
+
+OWN = ("_r", "_x", "_y", "_z", "_t", "_px", "_py", "_pz", "_ps", "_br", "_bx", "_by", "_bz", "_bt", "_qx", "_qy", "_qz", "_qs")
+
+
+def near_pairs(probe: DataFrame, build: DataFrame, prefix: str, radius: Column | float, radii: list[float], before_s: float, after_s: float, least: Column | None = None, also: Column | None = None) -> DataFrame:
+    """Rows of probe beside the rows of build (its columns prefixed) within the probe's radius in metres and in [t - before_s, t + after_s], ends included.
+
+    Both have lat, lon and t. radii are the values that radius takes. A cell is twice the radius wide, a time bucket as wide as the interval, so a probe meets at most 8 cells
+    and 2 buckets; build rows stand in one cell for each radius (from least on, where given). The join is on equal cells and buckets, the distance is checked after it: a shuffle join
+    whose groups are bounded by what is near in space and time, never a nested loop. also is one more condition on both, looked at before the distance.
+    """
+    p, b, on, near = celled(probe, build, prefix, radius, radii, before_s, after_s, least)
+    met = p.join(b, on & near & also if also is not None else on & near)
+    met = met.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col(prefix + "lat"), F.col(prefix + "lon")))
+    return met.filter(F.col("distance_m") <= F.col("_r")).drop(*OWN)
+
+
+def near_any(probe: DataFrame, build: DataFrame, prefix: str, radius: float, before_s: float, after_s: float, also: Column | None = None) -> DataFrame:
+    """Rows of probe with at least one row of build near them, as near_pairs has it: a semi-join, which leaves a row's cell at the first. A row can come out once for each of its cells."""
+    p, b, on, near = celled(probe, build, prefix, radius, [radius], before_s, after_s)
+    close = haversine_m(F.col("lat"), F.col("lon"), F.col(prefix + "lat"), F.col(prefix + "lon")) <= F.col("_r")
+    return p.join(b, on & near & close & also if also is not None else on & near & close, "left_semi").drop(*OWN)

@@ -80,10 +80,14 @@ def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | Non
     alike = Window.partitionBy("lat", "lon", "t", "reach").orderBy("arrived")
     early = narrow(events).withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k")
     late = narrow(events if later is None else later)
+    # a pair is met once: from the later report, or from the earlier one if its radius is larger
+    own = F.col("cell")
+    ahead = near_pairs(late, early, "c_", own, radii, WINDOW_S, WINDOW_S, own, (F.col("reach") >= F.col("c_reach")) & (F.col("arrived") > F.col("c_arrived")))
+    wide = early.filter(F.col("reach") > LEAST_RADIUS_M)
+    behind = near_pairs(wide, late, "c_", own, radii, WINDOW_S, WINDOW_S, own, (F.col("reach") > F.col("c_reach")) & (F.col("arrived") < F.col("c_arrived")))
     near = F.col("distance_m") <= F.col("reach")
-    ahead = near_pairs(late, early, "c_", F.col("cell"), radii, WINDOW_S, WINDOW_S).filter(near & (F.col("reach") >= F.col("c_reach")) & (F.col("arrived") > F.col("c_arrived")))
-    behind = near_pairs(early, late, "c_", F.col("cell"), radii, WINDOW_S, WINDOW_S).filter(near & (F.col("reach") > F.col("c_reach")) & (F.col("arrived") < F.col("c_arrived")))
-    pairs = ahead.select("id", F.col("c_id").alias("cand_id"), "distance_m", F.col("c_arrived").alias("arrived")).unionAll(behind.select(F.col("c_id").alias("id"), F.col("id").alias("cand_id"), "distance_m", "arrived"))
+    pairs = ahead.filter(near).select("id", F.col("c_id").alias("cand_id"), "distance_m", F.col("c_arrived").alias("arrived"))
+    pairs = pairs.unionAll(behind.filter(near).select(F.col("c_id").alias("id"), F.col("id").alias("cand_id"), "distance_m", "arrived"))
     pairs = pairs.withColumn("distance_m", F.round("distance_m", 3))
     order = Window.partitionBy("id").orderBy("distance_m", "arrived")
     return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("arrived")
@@ -166,9 +170,9 @@ def cluster_stats(events: DataFrame) -> DataFrame:
 
 def write_back(events: DataFrame, clusters: DataFrame) -> DataFrame:
     """events with the score and the member count (source_count) of their cluster on its representative, as they are shown on the report that speaks for it; others keep what they have."""
-    spoken = clusters.select(F.col("representative").alias("id"), F.lit(True).alias("_speaks"), F.col("reliability").alias("_score"), F.col("member_count").cast("long").alias("_count"))
+    known = {"reliability": ("reliability", "double"), "source_count": ("member_count", "long")}
+    told = {c: told for c, told in known.items() if told[0] in clusters.columns}
+    spoken = clusters.select(F.col("representative").alias("id"), F.lit(True).alias("_speaks"), *[F.col(x).cast(t).alias(f"_{c}") for c, (x, t) in told.items()])
     old = lambda c, t: F.col(c) if c in events.columns else F.lit(None).cast(t)
-    out = events.join(spoken, "id", "left")
-    return out.withColumns(
-        {"reliability": F.when(F.col("_speaks"), F.col("_score")).otherwise(old("reliability", "double")), "source_count": F.when(F.col("_speaks"), F.col("_count")).otherwise(old("source_count", "long"))}
-    ).drop("_speaks", "_score", "_count")
+    out = events.join(spoken, "id", "left").withColumns({c: F.when(F.col("_speaks"), F.col(f"_{c}")).otherwise(old(c, t)) for c, (_, t) in told.items()})
+    return out.drop("_speaks", *[f"_{c}" for c in told])

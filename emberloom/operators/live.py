@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from ..functions.geo import angle_deg, great_circle, seconds
 from ..schema import SEVERITY
+from .cluster import checkpoint
 from .normalize import lookup
 
 QUEUE_DEPTH = 50
@@ -90,10 +91,38 @@ def live_filter(events: DataFrame, countries: tuple[str, ...] = (), actor: str |
     return out
 
 
+def replay_panes(events: DataFrame, step_min: int = STEP_MIN) -> DataFrame:
+    """(pane, country, n): events by steps of time from 1970 on, and by country. Works on streams, with a row of state for each step and country, whatever the span of the windows made of it."""
+    pane = F.floor(seconds(F.col("occurred_at")) / (step_min * 60)).cast("long")
+    return events.filter("occurred_at is not null").groupBy(pane.alias("pane"), "country").agg(F.count("*").alias("n"))
+
+
+def windows_of(panes: DataFrame, span_h: int, step_min: int = STEP_MIN) -> DataFrame:
+    """(window_end, n, countries) of a window that slides by the step, from panes: how many events it covers and, exactly, of how many countries; windows without events have no row.
+
+    A pane enters a window once and leaves it a span later, and so does a country, unless it comes again meanwhile. These changes are summed up by time: there are as many as the calendar has
+    steps, so one task adds them up in order, and events aren't copied into the windows that cover them.
+    """
+    k, rest = divmod(span_h * 60, step_min)
+    if rest:
+        raise ValueError("a span takes whole steps")
+    change = lambda at, n, countries: F.struct(at.cast("long").alias("at"), n.cast("long").alias("n"), countries.cast("long").alias("countries"))
+    zero, pane = F.lit(0), F.col("pane")
+    counts = panes.groupBy("pane").agg(F.sum("n").alias("n")).select(F.explode(F.array(change(pane + 1, F.col("n"), zero), change(pane + k + 1, -F.col("n"), zero))).alias("c"))
+    before = F.lag("pane").over(Window.partitionBy("country").orderBy("pane"))
+    seen = panes.filter("country is not null").select("country", "pane").withColumn("before", before)
+    begin = F.greatest(pane, F.coalesce(F.col("before") + k, pane))
+    seen = seen.select(F.explode(F.array(change(begin + 1, zero, F.lit(1)), change(pane + k + 1, zero, F.lit(-1)))).alias("c"))
+    sums = counts.unionAll(seen).select("c.*").groupBy("at").agg(F.sum("n").alias("n"), F.sum("countries").alias("countries"))
+    order = Window.orderBy("at")
+    runs = sums.select("at", F.sum("n").over(order).alias("n"), F.sum("countries").over(order).alias("countries"), F.lead("at").over(order).alias("next")).filter("n > 0")
+    each = runs.select(F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("at"), "n", "countries")
+    return each.select(F.timestamp_seconds(F.col("at") * (step_min * 60)).cast("timestamp_ntz").alias("window_end"), "n", "countries")
+
+
 def replay_windows(events: DataFrame, span_h: int, step_min: int = STEP_MIN) -> DataFrame:
-    """(window_end, n, n_countries) of a window that slides by the step; an event is in every window that covers it. Works on streams."""
-    w = F.window(F.col("occurred_at"), f"{span_h} hours", f"{step_min} minutes")
-    return events.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("country").alias("countries")).select(F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "countries")
+    """(window_end, n, countries) of a window that slides by the step over the events."""
+    return windows_of(checkpoint(replay_panes(events, step_min)), span_h, step_min)
 
 
 def radius_deg(radius_m: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import near_pairs, seconds
+from ..functions.geo import near_any, seconds
 from ..functions.text import root_domain
 from ..schema import BASE_SCORE, CONSISTENCY, DOMAIN_CAP, DOMAIN_STEP, KINETIC, OTHER_SCORE, PRECISION_BONUS, PRECISIONS, THERMAL_BONUS
 from .normalize import lookup
@@ -19,8 +19,8 @@ def corroborated(events: DataFrame, hotspots: DataFrame) -> DataFrame:
     midnight = t == F.date_trunc("day", t).cast("timestamp_ntz")
     e = events.filter(F.col("category").isin(*KINETIC)).select("cluster_id", "lat", "lon", t.alias("t"), F.when(midnight, 30 * HOURS).otherwise(6 * HOURS).alias("until")).distinct()
     h = hotspots.select("lat", "lon", F.col("acquired_at").alias("t")).distinct()
-    met = near_pairs(e, h, "h_", HOTSPOT_RADIUS_M, [HOTSPOT_RADIUS_M], 6 * HOURS, 30 * HOURS)
-    return met.filter(seconds(F.col("h_t")) - seconds(F.col("t")) <= F.col("until")).select("cluster_id").distinct()
+    in_time = seconds(F.col("h_t")) - seconds(F.col("t")) <= F.col("until")
+    return near_any(e, h, "h_", HOTSPOT_RADIUS_M, 6 * HOURS, 30 * HOURS, in_time).select("cluster_id").distinct()
 
 
 def mark_thermal(clusters: DataFrame, matched: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_box, near_pairs, parse_box
+from ..functions.geo import in_box, near_any, parse_box
 from ..schema import CATEGORIES
 from .score import evidence, explanation
 
@@ -167,7 +167,7 @@ def baseline_matches(events: DataFrame, month: str) -> DataFrame:
     base = events.filter((F.col("source") == "ucdp") & in_month(month))
     probe = base.select("id", "lat", "lon", F.col("occurred_at").alias("t"))
     others = events.filter("source <> 'ucdp'").select("lat", "lon", F.col("occurred_at").alias("t"))
-    hit = near_pairs(probe, others, "o_", BASELINE_RADIUS_M, [BASELINE_RADIUS_M], DAY_S, DAY_S).select("id").distinct().withColumn("matched", F.lit(True))
+    hit = near_any(probe, others, "o_", BASELINE_RADIUS_M, DAY_S, DAY_S).select("id").distinct().withColumn("matched", F.lit(True))
     return base.join(hit, "id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 

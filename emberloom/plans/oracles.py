@@ -311,4 +311,8 @@ ORACLES: dict[str, str] = {
         "cl AS (SELECT c.cluster_id, min(occurred_at) AS occurred_at, count(*) AS source_count, max((heat.cluster_id IS NOT NULL)::INT) = 1 AS thermal_corroborated FROM evc c LEFT JOIN heat ON c.cluster_id = heat.cluster_id GROUP BY c.cluster_id) "
         f"SELECT CAST(cl.cluster_id AS VARCHAR) AS cluster_of, occurred_at, source_count, thermal_corroborated, {SCORE} AS reliability FROM cl JOIN evi ON cl.cluster_id = evi.cluster_id WHERE occurred_at >= {SINCE}"
     ),
+    "replay_windows_all": (
+        f"WITH {EV}, k AS (SELECT span_h, country, CAST(floor(epoch(occurred_at) / 2160) AS BIGINT) + 1 + i AS slot FROM ev, (SELECT unnest([6, 24, 72, 168, 336]) AS span_h), range(0, 560) t(i) WHERE i < span_h * 60 / 36) "
+        "SELECT CAST(span_h AS BIGINT) AS span_h, CAST(to_timestamp(slot * 2160) AT TIME ZONE 'UTC' AS TIMESTAMP) AS window_end, count(*) AS n, count(DISTINCT country) AS countries FROM k GROUP BY span_h, slot"
+    ),
 }

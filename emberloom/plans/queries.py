@@ -45,7 +45,7 @@ def cluster_and_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = cluster.assign_clusters(fx.events(spark, sf_dir).drop("reliability"), text_rule=False)
     e = cluster.checkpoint(e)
     c = score.mark_thermal(cluster.cluster_stats(e), score.corroborated(e, fx.hotspots(spark, sf_dir)))
-    c = score.score_clusters(e, c)
+    c = cluster.checkpoint(score.score_clusters(e, c))  # a row a cluster, read twice
     return serve.list_events(cluster.write_back(e, c), c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
 
 
@@ -54,7 +54,7 @@ def cluster_and_list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the whole match rule, texts as well."""
     e = cluster.checkpoint(cluster.assign_clusters(fx.events(spark, sf_dir).drop("reliability")))
     c = score.mark_thermal(cluster.cluster_stats(e), score.corroborated(e, fx.hotspots(spark, sf_dir)))
-    c = score.score_clusters(e, c)
+    c = cluster.checkpoint(score.score_clusters(e, c))  # a row a cluster, read twice
     return serve.list_events(cluster.write_back(e, c), c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
 
 
@@ -407,6 +407,14 @@ def replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.replay_windows(fx.events(spark, sf_dir), 6).select("window_end", "n")
 
 
+@query
+def replay_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span that the display offers, from the same panes."""
+    panes = cluster.checkpoint(live.replay_panes(fx.events(spark, sf_dir)))
+    each = [live.windows_of(panes, h).withColumn("span_h", F.lit(h).cast("long")) for h in live.SPANS_H]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).unionByName(each[4])
+
+
 @query
 def viewport_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.visible(fx.events(spark, sf_dir), 10.0, 20.0, 0.5)
