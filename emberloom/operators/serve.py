@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -57,13 +58,42 @@ def members_with_actor(events: DataFrame, actor: str) -> DataFrame:
     return events.filter(F.coalesce(hit, F.lit(False))).select(incident().alias("_i")).distinct()
 
 
+def actor_names(events: DataFrame) -> DataFrame:
+    """(gram, name): every name of an actor, raw or canonical, by its runs of three characters in lower case. Made once over all events and kept, it is as large as their names are many."""
+    columns = [c for c in ("actor_a", "actor_b", "actor_a_canonical", "actor_b_canonical") if c in events.columns]
+    names = events.select(F.explode(F.array(*columns)).alias("name")).filter("name is not null").distinct()
+    low = F.lower("name")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda k: F.substring(low, k, 3))
+    return names.select(F.explode(F.array_distinct(grams)).alias("gram"), "name")
+
+
+def names_like(names: DataFrame, actor: str) -> DataFrame:
+    """The names of actor_names that contain the text; % and _ are wildcards. Names with all the text's runs of three are few, and only they are compared."""
+    text = actor.strip()
+    grams = sorted({x[k : k + 3] for x in re.split("[%_]", text.lower()) for k in range(len(x) - 2)})
+    if not grams:
+        return names.select("name").distinct().filter(F.col("name").ilike(f"%{text}%"))
+    some = names.filter(F.col("gram").isin(grams)).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+    return some.select("name").filter(F.col("name").ilike(f"%{text}%"))
+
+
+def members_named(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Incidents with a member whose actors, raw or canonical, are among some names."""
+    columns = [c for c in ("actor_a", "actor_b", "actor_a_canonical", "actor_b_canonical") if c in events.columns]
+    each = events.select(incident().alias("_i"), F.explode(F.array_distinct(F.array_compact(F.array(*columns)))).alias("name"))
+    return each.join(found, "name", "left_semi").select("_i").distinct()
+
+
 def members_with_weapon(events: DataFrame, weapons: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     hit = weapons.filter(F.col("weapon_key").isin(*keys)).select(F.col("event_id").alias("id"))
     return events.join(hit, "id", "left_semi").select(incident().alias("_i")).distinct()
 
 
-def list_events(events: DataFrame, clusters: DataFrame, q: EventQuery, weapons: DataFrame | None = None) -> DataFrame:
-    """Representatives and unclustered reports, latest first: light rows with place name, headline, inferred origin, and the cluster's member count and heat."""
+def list_events(events: DataFrame, clusters: DataFrame, q: EventQuery, weapons: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Representatives and unclustered reports, latest first: light rows with place name, headline, inferred origin, and the cluster's member count and heat.
+
+    names (actor_names), where kept, says which actors a text is found in without comparing it with every report's.
+    """
     e = events.filter(F.col("occurred_at") >= F.lit(q.since or q.now - timedelta(days=EVENTS_DAYS)).cast("timestamp_ntz"))
     if q.until:
         e = e.filter(F.col("occurred_at") <= F.lit(q.until).cast("timestamp_ntz"))
@@ -76,7 +106,8 @@ def list_events(events: DataFrame, clusters: DataFrame, q: EventQuery, weapons:
     if q.min_reliability is not None:
         e = e.filter(F.coalesce(F.col("reliability"), F.lit(0.0)) >= q.min_reliability)
     if q.actor:
-        e = e.withColumn("_i", incident()).join(members_with_actor(events, q.actor), "_i", "left_semi").drop("_i")
+        found = members_with_actor(events, q.actor) if names is None else members_named(events, names_like(names, q.actor))
+        e = e.withColumn("_i", incident()).join(found, "_i", "left_semi").drop("_i")
     if q.weapons:
         if weapons is None:
             raise ValueError("the weapon filter takes the weapons table")
@@ -179,6 +210,22 @@ def baseline_totals(events: DataFrame, month: str) -> DataFrame:
     return m.join(n, how="cross").select(F.lit(month).alias("month"), "total", "matched", rate.alias("match_rate"), "pipeline_incidents")  # one row each
 
 
+#: Fixed value: what is said where there is nothing to compare with.
+NO_BASELINE = "No baseline data yet."
+
+
+def baseline_report(events: DataFrame, month: str | None = None) -> DataFrame:
+    """One row: whether there is baseline data, the totals of a month (the latest with such data, if none is named), and all months with data."""
+    if month is not None:
+        datetime.strptime(month, "%Y-%m")  # raises for what is no month
+    months = [r.month for r in baseline_months(events).collect()]  # as many as the calendar has
+    spark = events.sparkSession
+    if not months:
+        return spark.range(1).select(F.lit(False).alias("available"), F.lit(NO_BASELINE).alias("note"), *[F.lit(None).cast(t).alias(c) for c, t in (("month", "string"), ("total", "long"), ("matched", "long"), ("match_rate", "double"), ("pipeline_incidents", "long"))], F.array().cast("array<string>").alias("months_with_data"))
+    told = baseline_totals(events, month or months[-1])
+    return told.select(F.lit(True).alias("available"), F.lit(None).cast("string").alias("note"), "month", "total", "matched", "match_rate", "pipeline_incidents", F.array(*[F.lit(m) for m in months]).alias("months_with_data"))
+
+
 def baseline_by_country(events: DataFrame, month: str, most: int = 30) -> DataFrame:
     per = baseline_matches(events, month).groupBy(F.coalesce("country", F.lit("(unknown)")).alias("country")).agg(F.count("*").alias("total"), F.count_if("matched").alias("matched"))
     return per.orderBy(F.desc("total"), "country").limit(most)

@@ -315,4 +315,26 @@ ORACLES: dict[str, str] = {
         f"WITH {EV}, k AS (SELECT span_h, country, CAST(floor(epoch(occurred_at) / 2160) AS BIGINT) + 1 + i AS slot FROM ev, (SELECT unnest([6, 24, 72, 168, 336]) AS span_h), range(0, 560) t(i) WHERE i < span_h * 60 / 36) "
         "SELECT CAST(span_h AS BIGINT) AS span_h, CAST(to_timestamp(slot * 2160) AT TIME ZONE 'UTC' AS TIMESTAMP) AS window_end, count(*) AS n, count(DISTINCT country) AS countries FROM k GROUP BY span_h, slot"
     ),
+    "display_strings": (
+        f"WITH {EV}, m AS (SELECT id, occurred_at, CAST(floor(epoch({NOW} - occurred_at) / 60 + 0.5) AS BIGINT) AS m FROM ev), h AS (SELECT *, CAST(floor({D('m')} / 60 + 0.5) AS BIGINT) AS h FROM m) "
+        f"SELECT id, CASE WHEN m < 60 THEN m || ' min ago' WHEN h < 48 THEN h || ' h ago' ELSE CAST(floor({D('h')} / 24 + 0.5) AS BIGINT) || ' d ago' END AS ago, strftime(occurred_at, '%Y-%m-%d %H:%M UTC') AS utc FROM h"
+    ),
+    "outlets": (
+        "WITH h AS (SELECT page_id, url, regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1) AS h FROM pages) "
+        "SELECT page_id, CASE WHEN h = '' THEN url ELSE regexp_replace(lower(h), '^www\\.', '') END AS outlet FROM h"
+    ),
+    "weapon_labels": f"WITH {NT}, {hits('nt')} SELECT event_id, weapon_key, CASE WHEN event_id % 3 = 0 THEN 'possible ' ELSE '' END || display_name AS label FROM wh",
+    "stream_dequeue": (
+        f"WITH {EV}, p AS (SELECT *, round({PRIO}, 9) AS priority, row_number() OVER (PARTITION BY category ORDER BY round({PRIO}, 9) DESC, id) AS k FROM ev) "
+        f"SELECT category AS viewer, {NOW} + k * INTERVAL 1 MINUTE AS at, id, priority, NOT ({SEEN} AND {D('0.5')} <= {ALT} * {D('1.6')}) AS fly FROM p WHERE k <= 10"
+    ),
 }
+ORACLES["list_events_actor_index"] = ORACLES["list_events_actor"]
+months = "(SELECT string_agg(m, '|' ORDER BY m) FROM (SELECT DISTINCT strftime(occurred_at, '%Y-%m') AS m FROM ev WHERE source = 'ucdp'))"
+ORACLES["baseline_default"] = f"WITH ev AS (SELECT * FROM ({EV.replace('ev AS (', '', 1)[:-1]})), b AS ({ORACLES['baseline_totals']}) SELECT true AS available, CAST(NULL AS VARCHAR) AS note, b.*, {months} AS months_with_data FROM b"
+ORACLES["feed_labels"] = (
+    f"WITH h AS ({ORACLES['feed_health']}), m AS (SELECT *, CAST(floor(epoch({NOW} - last_success_at) / 60 + 0.5) AS BIGINT) AS m FROM h), t AS (SELECT *, CAST(floor({D('m')} / 60 + 0.5) AS BIGINT) AS h FROM m) "
+    "SELECT source, source || ': ' || CASE WHEN credential_status = 'dead' THEN 'credential dead' WHEN credential_status = 'degraded' THEN 'auth degraded, retrying' WHEN last_error <> '' THEN consecutive_failures || ' failed — ' || last_error "
+    f"WHEN last_success_at IS NOT NULL THEN 'ok ' || CASE WHEN m < 60 THEN m || ' min ago' WHEN h < 48 THEN h || ' h ago' ELSE CAST(floor({D('h')} / 24 + 0.5) AS BIGINT) || ' d ago' END ELSE 'no data yet' END AS label, "
+    "coalesce(credential_status IN ('dead', 'degraded'), false) OR coalesce(last_error <> '', false) AS bad FROM t"
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import root_domain
-from ..operators import cluster, enrich, live, merge, normalize, score, serve
+from ..operators import cluster, display, enrich, live, merge, normalize, score, serve
 from ..schema import CATEGORIES, EVENT
 from ..sources import readers
-from ..streaming import ingest
+from ..streaming import dequeue, ingest
 from . import fixtures as fx
 
 NOW = datetime(2024, 1, 31)
@@ -91,6 +92,13 @@ def list_events_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.list_events(*toy(spark, sf_dir), serve.EventQuery(NOW, actor="actor3"))
 
 
+@query
+def list_events_actor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the index of names."""
+    e, c = toy(spark, sf_dir)
+    return serve.list_events(e, c, serve.EventQuery(NOW, actor="actor3"), names=serve.actor_names(e))
+
+
 @query
 def list_events_weapon(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, c = toy(spark, sf_dir)
@@ -152,6 +160,12 @@ def baseline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.baseline_totals(toy(spark, sf_dir)[0], fx.MONTH)
 
 
+@query
+def baseline_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the latest month with baseline data."""
+    return plain(serve.baseline_report(toy(spark, sf_dir)[0]))
+
+
 @query
 def baseline_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.baseline_by_country(fx.events(spark, sf_dir), fx.MONTH)
@@ -447,3 +461,42 @@ def stream_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = found.select(F.col("id").alias("cluster_id"), F.col("source_event_id").alias("cluster_of"))
     listed = serve.list_events(found, store.clusters(), serve.EventQuery(NOW, since=SINCE, limit=10_000))
     return listed.join(first, "cluster_id").select("cluster_of", "occurred_at", "source_count", "thermal_corroborated", "reliability")
+
+
+@query
+def display_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("occurred_at")
+    return fx.events(spark, sf_dir).select("id", display.time_ago(at, NOW).alias("ago"), display.utc(at).alias("utc"))
+
+
+@query
+def outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "pages").select("page_id", display.outlet(F.col("url")).alias("outlet"))
+
+
+@query
+def feed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return display.feed_label(serve.feed_health(fx.small(spark, sf_dir, fx.MARKS), fx.small(spark, sf_dir, fx.CREDENTIALS)), NOW)
+
+
+@query
+def weapon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of every third text as if they were less sure."""
+    found = enrich.extract_weapons(fx.notes(spark, sf_dir))
+    return live.possible(found.withColumn("confidence", F.when(F.col("event_id") % 3 == 0, 0.5).otherwise(F.col("confidence")))).select("event_id", "weapon_key", "label")
+
+
+@query
+def stream_dequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A viewer for each category, whose queue takes all its events as a stream and gives away ten when asked."""
+    path = f"{cluster.shared_folder(spark).rstrip('/')}/dequeue-{uuid.uuid4().hex}"
+    now = F.lit(NOW).cast("timestamp_ntz")
+    came = fx.events(spark, sf_dir).select(F.col("category").alias("viewer"), now.alias("received_at"), "id", "occurred_at", "category", "fatalities", "reliability", "lat", "lon", "geo_radius_m")
+    came.write.parquet(f"{path}/events")
+    asks = came.select("viewer").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    asks.select("viewer", (now + F.make_dt_interval(mins=F.col("k"))).alias("at"), F.lit("take").alias("kind"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lon"), F.lit(0.5).alias("altitude")).write.parquet(f"{path}/asks")
+    read = lambda name: spark.readStream.schema(spark.read.parquet(f"{path}/{name}").schema).parquet(f"{path}/{name}")
+    with dequeue.rocksdb(spark):
+        given = dequeue.dequeue(read("events"), read("asks")).writeStream.option("checkpointLocation", f"{path}/at").format("parquet").option("path", f"{path}/given")
+        given.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("viewer string, at timestamp_ntz, id long, priority double, fly boolean").parquet(f"{path}/given")
