@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .cover_tree import COSINE
 from .line_dedup import LEAST_CHARS, LEAST_DOCS, LOWER, UPPER
+from .mixing import MOST_PASSES, SHARE, WEIGHTS
 from .quality_rules import MIN_WORDS, MOST_REPEATED, RULES, STOP_WORDS, SYMBOLS, WINDOW
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -97,4 +98,17 @@ ORACLES: dict[str, str] = {
         "g AS (SELECT y.*, h.key IS NOT NULL AND y.doc_id IS DISTINCT FROM h.last AS gone FROM y LEFT JOIN h ON y.key = h.key) "
         "SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY k"
     ),
+    "mixing_targets": (
+        "WITH s AS (SELECT source, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '" + SPACE + "+'), lambda x: x <> ''))) AS BIGINT) AS source_size FROM documents GROUP BY source), "
+        f"w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(WEIGHTS))} END AS DOUBLE) AS w FROM s), "
+        # every level at which some sources are full; the right one hands out all
+        f"l AS (SELECT (SELECT sum(source_size) * {SHARE} - coalesce(sum(CASE WHEN x.source_size / x.w <= a.source_size / a.w THEN {MOST_PASSES} * x.source_size END), 0) FROM w x) / nullif((SELECT sum(w) FROM w x WHERE x.source_size / x.w > a.source_size / a.w), 0) AS level FROM w a "
+        f"UNION ALL SELECT sum(source_size) * {SHARE} / sum(w) FROM w), "
+        f"g AS (SELECT level, (SELECT sum(least({MOST_PASSES} * source_size, level * w)) FROM w) AS given FROM l WHERE level IS NOT NULL), "
+        f"b AS (SELECT arg_min(level, abs(given - (SELECT sum(source_size) * {SHARE} FROM w))) AS level FROM g) SELECT source, source_size, round(CAST(least({MOST_PASSES} * source_size, level * w) AS DOUBLE), 6) AS target FROM w, b"
+    ),
+    "shard_sizes": (
+        "WITH r AS (SELECT CAST((r * 16) // n AS INT) AS shard FROM (SELECT count(*) AS n FROM documents), LATERAL (SELECT unnest(range(n)) AS r)) "
+        "SELECT shard, count(*) AS n, count(*) AS slots, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM r GROUP BY shard"
+    ),
 }

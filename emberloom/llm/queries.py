@@ -17,6 +17,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op 1 says of each source."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("source", F.col("_source_size").alias("source_size"), F.round("_target", 6).alias("target")).distinct()
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op 2's law says of each shard: its rows, and slots without gaps from 0."""
+    placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"))
+    return placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -84,4 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_token_align": op11_token_align,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_line_dedup": op13_line_dedup,
+    "mixing_targets": mixing_targets,
+    "shard_sizes": shard_sizes,
 }
