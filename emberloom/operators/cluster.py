@@ -9,12 +9,14 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import near_pairs
+from ..functions.geo import centre_distances, near_pairs, seconds
 from ..functions.text import none_if_empty, token_set_ratio_column
 from ..schema import COMPATIBLE, OTHER_TIER, RADIUS_M, SOURCE_TIER
 from .normalize import lookup
 
 WINDOW_S, LEAST_RADIUS_M, CANDIDATES, TEXT_OVER = 6 * 3600, 10_000.0, 50, 55.0
+#: A cell with more reports than this is searched ring by ring.
+DENSE = 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,24 +65,78 @@ def arrived(events: DataFrame) -> Column:
     return F.struct("arrival", "id") if "arrival" in events.columns else F.struct("id")
 
 
-def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | None = None) -> DataFrame:
+def narrow(events: DataFrame, radii: list[float]) -> DataFrame:
+    """id, lat, lon, t, reach, arrived, cell: what candidates are found by. Radii outside the table fall to the next larger cell, the distance is checked on the true one."""
+    reach = F.greatest(F.lit(LEAST_RADIUS_M), F.coalesce(F.col("geo_radius_m"), F.lit(0)).cast("double"))
+    cell = F.lit(radii[-1])
+    for r in sorted(radii, reverse=True):
+        cell = F.when(F.col("reach") <= r, F.lit(r)).otherwise(cell)
+    return events.select("id", "lat", "lon", F.col("occurred_at").alias("t"), reach.alias("reach"), arrived(events).alias("arrived")).withColumn("cell", cell)
+
+
+def cell_key(size_m: float) -> list[Column]:
+    """The cell and time bucket that a report stands in."""
+    return [F.floor(x / size_m).cast("long").alias(f"k{n}") for n, x in enumerate((*centre_distances(F.col("lat"), F.col("lon")), seconds(F.col("t")) * size_m / (2 * WINDOW_S)))]
+
+
+def crowded(early: DataFrame, late: DataFrame, dense: int) -> DataFrame | None:
+    """The reports of late beside whose cells, as wide as the least radius needs, more than `dense` of early stand; None where there is no such cell."""
+    size = 2 * LEAST_RADIUS_M
+    keys = ["k0", "k1", "k2", "k3"]
+    full = early.select(*cell_key(size)).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*keys)
+    full = checkpoint(full)
+    if not full.limit(1).count():
+        return None
+    around = late.select("*", *cell_key(size))
+    for k in keys:
+        around = around.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+    return late.join(around.join(full, keys, "left_semi").select("id").distinct(), "id", "left_semi")
+
+
+def nearest_in_crowds(early: DataFrame, late: DataFrame, most: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(id, cand_id, distance_m, arrived) of those reports of late that have `most` candidates within a radius below the least, the nearest ones, and the others of late.
+
+    Radii are halved until no cell of their width holds more than `dense`; then each report looks for its candidates in ever wider rings, from the smallest radius on, and leaves as soon as it has enough: whatever lies
+    farther can't be among the nearest. A report meets what is near it, not its whole city, and what has few candidates is rare in a crowd.
+    """
+    ladder, r = [], LEAST_RADIUS_M / 2
+    while r > 0.01:
+        ladder.append(r)
+        top = early.select(*cell_key(2 * r)).groupBy("k0", "k1", "k2", "k3").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if top <= dense:
+            break
+        r /= 2
+    found, rest = None, late
+    for r in reversed(ladder):
+        met = near_pairs(rest, early, "c_", r, [r], WINDOW_S, WINDOW_S, also=F.col("arrived") > F.col("c_arrived"))
+        met = met.select("id", F.col("c_id").alias("cand_id"), F.round("distance_m", 3).alias("distance_m"), F.col("c_arrived").alias("arrived")).filter(F.col("distance_m") < r - 0.001)
+        ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("distance_m", "arrived"))).filter(F.col("rn") <= most)
+        ranked = checkpoint(ranked)
+        done = ranked.filter(F.col("rn") == most).select("id")
+        enough = ranked.join(done, "id", "left_semi").drop("rn")
+        found = enough if found is None else found.unionByName(enough)
+        rest = checkpoint(rest.join(done, "id", "left_anti"))
+    return found, rest
+
+
+def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | None = None, dense: int = DENSE) -> DataFrame:
     """(id, cand_id, distance_m, rn): of each report (of later, where given, a part of events) the nearest that arrived earlier within 6 hours and the larger of 10 km and both radii.
 
-    A pair is met from the side with the larger radius, on cells of that radius. The cap comes before any text is
+    A pair is met once, from the side with the larger radius, on cells of that radius. The cap comes before any text is
     compared. Equal distances, to the millimetre, are ordered by arrival. Of reports with one place, time and radius, as many as the cap can be somebody's candidates, the first to arrive:
-    the others are left out before the join, so a city that a feed puts on one instant of a day doesn't meet itself pair by pair.
+    the others are left out before the join, so a city that a feed puts on one instant of a day doesn't meet itself pair by pair. Nor does one whose reports lie side by side: where a cell holds more than `dense`,
+    rings around each report are searched first (nearest_in_crowds), and only who finds too few there goes on to the whole radius.
     """
-    reach = F.greatest(F.lit(LEAST_RADIUS_M), F.coalesce(F.col("geo_radius_m"), F.lit(0)).cast("double"))
     radii = [LEAST_RADIUS_M, *[float(r) for r in RADIUS_M.values() if r > LEAST_RADIUS_M]]
-    # radii outside the table fall to the next larger cell, the distance is checked on the true one
-    cell = F.lit(radii[-1])
-    for r in sorted(radii, reverse=True):
-        cell = F.when(F.col("reach") <= r, F.lit(r)).otherwise(cell)
-    narrow = lambda df: df.select("id", "lat", "lon", F.col("occurred_at").alias("t"), reach.alias("reach"), arrived(events).alias("arrived")).withColumn("cell", cell)
     alike = Window.partitionBy("lat", "lon", "t", "reach").orderBy("arrived")
-    early = narrow(events).withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k")
-    late = narrow(events if later is None else later)
-    # a pair is met once: from the later report, or from the earlier one if its radius is larger
+    early = narrow(events, radii).withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k")
+    late = narrow(events if later is None else later, radii)
+    near_all = None
+    many = crowded(early, late, dense)
+    if many is not None:
+        early, many = checkpoint(early), checkpoint(many)
+        near_all, rest = nearest_in_crowds(early, many, most, dense)
+        late = late.join(many.select("id"), "id", "left_anti").unionByName(rest)
     own = F.col("cell")
     ahead = near_pairs(late, early, "c_", own, radii, WINDOW_S, WINDOW_S, own, (F.col("reach") >= F.col("c_reach")) & (F.col("arrived") > F.col("c_arrived")))
     wide = early.filter(F.col("reach") > LEAST_RADIUS_M)
@@ -89,6 +145,8 @@ def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | Non
     pairs = ahead.filter(near).select("id", F.col("c_id").alias("cand_id"), "distance_m", F.col("c_arrived").alias("arrived"))
     pairs = pairs.unionAll(behind.filter(near).select(F.col("c_id").alias("id"), F.col("id").alias("cand_id"), "distance_m", "arrived"))
     pairs = pairs.withColumn("distance_m", F.round("distance_m", 3))
+    if near_all is not None:
+        pairs = pairs.unionByName(near_all)
     order = Window.partitionBy("id").orderBy("distance_m", "arrived")
     return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("arrived")
 

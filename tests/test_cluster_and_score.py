@@ -152,3 +152,42 @@ def test_list_filters_and_errors(spark):
         ids(bbox="1,2,3")
     plan = serve.list_events(e, c, serve.EventQuery(now, actor="other"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def nearest_plainly(rows, most):
+    """(id, cand) of each report's nearest earlier ones, by comparing all."""
+    import numpy as np
+
+    lat, lon = (np.radians([r[k] for r in rows]) for k in (1, 2))
+    t, reach = np.array([r[3].timestamp() for r in rows]), np.maximum(10_000.0, [r[4] for r in rows])
+    out = set()
+    for i in range(len(rows)):
+        h = np.sin((lat[:i] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[:i]) * np.sin((lon[:i] - lon[i]) / 2) ** 2
+        d = 2 * 6_371_008.8 * np.arcsin(np.sqrt(np.minimum(1, h)))
+        ok = np.flatnonzero((np.abs(t[:i] - t[i]) <= 6 * 3600) & (d <= np.maximum(reach[:i], reach[i])))
+        order = sorted(ok, key=lambda j: (round(float(d[j]), 3), j))
+        out |= {(i, int(j)) for j in order[:most]}
+    return out
+
+
+def test_crowds_are_searched_ring_by_ring(spark):
+    """A city of reports side by side, one of them far denser, with others around it: the candidates are those of comparing all."""
+    rng = random.Random(21)
+    t0, rows = datetime(2024, 1, 1, 12), []
+    for i in range(1500):
+        kind = rng.random()
+        spread = 0.03 if kind < 0.5 else 0.0004 if kind < 0.85 else 0.4
+        rows.append((i, 10 + rng.gauss(0, spread), 20 + rng.gauss(0, spread), t0 + timedelta(minutes=rng.randrange(0, 900)), rng.choice([5_000, 5_000, 5_000, 25_000, 60_000])))
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, occurred_at timestamp, geo_radius_m int").withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+    want = nearest_plainly(rows, 10)
+    for dense in (40, 10**9):
+        got = {(r.id, r.cand_id) for r in cluster.candidates(df, 10, dense=dense).collect()}
+        assert got == want
+    radii = [10_000.0, 25_000.0, 60_000.0, 250_000.0]
+    few = cluster.narrow(df, radii)
+    many = cluster.crowded(few, few, 40)
+    found, rest = cluster.nearest_in_crowds(few, many, 10, 40)
+    assert found.select("id").distinct().count() > 800 and rest.count() + found.select("id").distinct().count() == many.count()
+    batch = df.filter("id >= 1200")  # a batch after what is stored
+    got = {(r.id, r.cand_id) for r in cluster.candidates(df, 10, later=batch, dense=40).collect()}
+    assert got == {(i, j) for i, j in want if i >= 1200}
