@@ -237,7 +237,7 @@ ORACLES: dict[str, str] = {
     "actor_alias": f"WITH {EV}, n AS (SELECT DISTINCT {NAMES} AS name FROM ev) SELECT name, {case(ACTORS, 'lower(trim(name))')} AS canonical FROM n WHERE name IS NOT NULL",
     "origin_inference": f"WITH {ORIGIN} SELECT id, origin_country, origin_lat, origin_lon, CASE WHEN origin_country IS NOT NULL THEN 'country' END AS origin_precision, CASE WHEN origin_country IS NOT NULL THEN 'actor_country_inference' END AS origin_method, CASE WHEN origin_country IS NOT NULL THEN {D('0.5')} END AS origin_confidence FROM og",
     "strike_arcs": f"WITH {ORIGIN} SELECT id, origin_lat AS start_lat, origin_lon AS start_lon, lat AS end_lat, lon AS end_lon FROM og WHERE origin_lat IS NOT NULL",
-    "category_compat_pairs": f"SELECT * FROM (VALUES {PAIRS}) t(a, b)",
+    "category_compat_pairs": f"WITH {EV}, c AS (SELECT DISTINCT category AS a FROM ev) SELECT x.a, y.a AS b FROM c x JOIN c y ON (x.a, y.a) IN ({PAIRS})",
     "cluster_candidates": f"WITH {EV}, {CAND} SELECT id, cand_id, distance_m, rn FROM ranked",
     "cluster_parents": f"WITH {EV}, {CAND}, {PARENT} SELECT id, parent FROM parents",
     "cluster_assign": f"WITH RECURSIVE {EV}, {CAND}, {PARENT}, {TREE} SELECT id, root AS cluster_id FROM up",

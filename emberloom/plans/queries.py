@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.text import root_domain
 from ..operators import cluster, display, enrich, live, merge, normalize, score, serve
-from ..schema import CATEGORIES, EVENT
+from ..schema import EVENT
 from ..sources import readers
 from ..streaming import dequeue, ingest
 from . import fixtures as fx
@@ -335,7 +335,8 @@ def great_circle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def category_compat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame([(x,) for x in CATEGORIES], "a string")
+    """Which of the categories that reports have go together."""
+    c = fx.events(spark, sf_dir).select(F.col("category").alias("a")).distinct()
     return c.join(c.withColumnRenamed("a", "b"), cluster.compatible(F.col("a"), F.col("b")))
 
 
