@@ -14,6 +14,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")  # where a column was made isn't noted, which takes longer than small plans
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
