@@ -18,6 +18,8 @@ COSINE = 0.95
 BLOCK = 16_384
 #: The vectors are dealt into at most so many cells, whose centres are the upper levels of a tree over a sample of at most so many vectors, those with the smallest hashes.
 CENTRES, SAMPLE = 1024, 4096
+#: Parts that a cell of more than a block is cut into by its own nets, for each block that it would fill.
+SPREAD = 2
 #: Levels of a tree at most: radii from 2, halved from level to level. What lies closer together than the last is a leaf's sibling without being told apart.
 LEVELS = 24
 #: Room for rounding in bounds: no link is pruned by it, and none is taken for sure within it.
@@ -347,7 +349,7 @@ def block_tree(block: pd.DataFrame) -> pd.DataFrame:
     """One row: a block's tree, with the names and the copies of its vectors in the tree's order."""
     tree = CoverTree(matrix(block["unit"]))
     rep, copies = block["rep"].to_numpy(np.int64)[tree.order], block["copies"].to_numpy(np.int64)[tree.order]
-    return pd.DataFrame({"cell": block["cell"].iloc[:1], "part": block["part"].iloc[:1], "tree": [tree.dumps()], "rep": [rep.tobytes()], "copies": [copies.tobytes()]})
+    return pd.DataFrame({"cell": block["cell"].iloc[:1], "sub": block["sub"].iloc[:1], "part": block["part"].iloc[:1], "tree": [tree.dumps()], "rep": [rep.tobytes()], "copies": [copies.tobytes()]})
 
 
 def block_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -400,23 +402,86 @@ def centres_of(sample: list[bytes], n: int) -> list[bytes]:
     return found
 
 
-def cell_pairs(cells: list[tuple[int, float, int]], centres: list[bytes], cosine: float) -> pd.DataFrame:
-    """(ca, cb, na, nb) of the cells (cell, radius, blocks) that can hold a link, each pair once."""
+def cell_pairs(cells: list[tuple[int, float]], centres: list[bytes], cosine: float) -> pd.DataFrame:
+    """(ca, cb) of the cells (cell, radius) that can hold a link, each pair once."""
     at = {k: np.frombuffer(v, "<f8") for k, v in enumerate(centres)}
     rows = []
-    for i, (ca, ra, na) in enumerate(cells):
-        near = [(cb, rb, nb) for cb, rb, nb in cells[i:] if len(at[ca]) == len(at[cb])]
-        gaps = distances(np.stack([at[cb] for cb, _, _ in near]) @ at[ca])
-        rows += [(ca, cb, na, nb) for (cb, rb, nb), g in zip(near, gaps.tolist(), strict=True) if cb == ca or g - ra - rb <= distance_of(cosine) + SLACK]
-    return pd.DataFrame(rows, columns=["ca", "cb", "na", "nb"]).astype({"ca": "int32", "cb": "int32", "na": "int32", "nb": "int32"})
+    for i, (ca, ra) in enumerate(cells):
+        near = [(cb, rb) for cb, rb in cells[i:] if len(at[ca]) == len(at[cb])]
+        gaps = distances(np.stack([at[cb] for cb, _ in near]) @ at[ca])
+        rows += [(ca, cb) for (cb, rb), g in zip(near, gaps.tolist(), strict=True) if cb == ca or g - ra - rb <= distance_of(cosine) + SLACK]
+    return pd.DataFrame(rows, columns=["ca", "cb"]).astype({"ca": "int32", "cb": "int32"})
+
+
+def cell_nets(placed: DataFrame) -> DataFrame:
+    """cell, sub, centre: for cells of more than a block (n vectors) the points of the upper nets of the cell's own tree, over about SAMPLE of its vectors, those with small hashes."""
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("rep").head(2 * SAMPLE)
+        tree = CoverTree(matrix(sample["unit"]))
+        points = list(dict.fromkeys(tree.centre.tolist()))[: SPREAD * -(-int(sample["n"].iloc[0]) // BLOCK)]
+        return pd.DataFrame({"cell": sample["cell"].iloc[0], "sub": np.arange(len(points), dtype=np.int32), "centre": [tree.x[p].tobytes() for p in points]})
+
+    drawn = F.pmod(F.xxhash64(F.lit("net"), "unit"), F.lit(1 << 20)) < F.lit(float(SAMPLE << 20)) / F.col("n")
+    return placed.filter(drawn).select("cell", "n", "rep", "unit").groupBy("cell").applyInPandas(run, "cell int, sub int, centre binary")
+
+
+def subdivided(placed: DataFrame, wide: DataFrame, nets: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(placed with sub, subs): vectors of wide cells go to the nearest point of their cell's nets, those of other cells keep its centre; subs has cell, sub, centre, radius and blocks.
+
+    A wide cell is dealt over as many tasks as it has blocks, each with the cell's nets. A part that is still over a block is cut by hash, and all of its blocks meet.
+    """
+
+    def nearest(rows: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows[["cell", "unit", "rep", "copies"]].assign(sub=0, far=0.0)
+        if not len(net):  # nothing drawn: one part, as wide as can be
+            return rows[["cell", "unit", "rep", "copies"]].assign(sub=0, far=2.0)
+        centre, at, far = matrix(net["centre"]).T, np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for k in range(0, len(rows), 1024):
+            dots = matrix(rows["unit"].iloc[k : k + 1024]) @ centre
+            at[k : k + 1024], far[k : k + 1024] = dots.argmax(1), distances(dots.max(1))
+        return rows[["cell", "unit", "rep", "copies"]].assign(sub=net["sub2"].to_numpy()[at], far=far)
+
+    salted = placed.join(wide.select("cell", "blocks"), "cell").select("cell", "unit", "rep", "copies", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt2")
+    copied = nets.join(wide.select("cell", "blocks"), "cell").select(F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), "centre", salts)
+    schema = "cell int, unit binary, rep long, copies long, sub int, far double"
+    cut_up = salted.groupBy("cell", "salt").cogroup(copied.groupBy("cell2", "salt2")).applyInPandas(nearest, schema)
+    rest = placed.join(wide.select("cell"), "cell", "left_anti").select("cell", "unit", "rep", "copies", F.lit(0).alias("sub"), "far")
+    both = stored(cut_up.unionByName(rest), "parts")
+    extent = both.groupBy("cell", "sub").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    named = nets.unionByName(centres.join(wide, "cell", "left_anti").select("cell", F.lit(0).alias("sub"), "centre"))
+    # a cell of a length that the sample doesn't have is without a centre, if it is no more than a block
+    return both, stored(extent.join(named, ["cell", "sub"], "left").select("cell", "sub", "centre", "radius", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "subs")
+
+
+def block_pairs(met: DataFrame, subs: DataFrame, cosine: float) -> DataFrame:
+    """ca, sa, pa, cb, sb, pb, same, pair: the blocks (cell, part of the cell, block) that can hold a link by the radii of their parts, each pair once."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y, rx, ry, one in zip(b["xa"], b["xb"], b["ra"], b["rb"], b["one"], strict=True):
+                # without centres there is no bound
+                gap = 0.0 if one or x is None or y is None else float(distances(np.frombuffer(x, "<f8") @ np.frombuffer(y, "<f8")))
+                keep.append(gap - rx - ry <= distance_of(cosine) + SLACK)
+            yield b.loc[np.array(keep, bool), ["ca", "sa", "na", "cb", "sb", "nb"]]
+
+    side = lambda c: subs.select(F.col("cell").alias(f"c{c}"), F.col("sub").alias(f"s{c}"), F.col("centre").alias(f"x{c}"), F.col("radius").alias(f"r{c}"), F.col("blocks").alias(f"n{c}"))
+    parts = met.join(side("a"), "ca").join(side("b"), "cb").filter("ca <> cb or sa <= sb").withColumn("one", F.expr("ca = cb and sa = sb"))
+    parts = parts.mapInPandas(near, "ca int, sa int, na int, cb int, sb int, nb int")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    pairs = parts.select("*", numbers("na").alias("pa")).select("*", numbers("nb").alias("pb")).filter("ca <> cb or sa <> sb or pa <= pb")
+    return pairs.select("ca", "sa", "pa", "cb", "sb", "pb", F.expr("ca = cb and sa = sb and pa = pb").alias("same"), F.monotonically_increasing_id().alias("pair"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Vectors of one direction (the same unit vector to the last bit) are made one first, their number is kept, so that a vector that many rows share is a single one from
-    there on. The rest is dealt to the nearest of a bounded number of centres, the upper levels of a cover tree over a bounded sample; cells are cut into blocks
-    of bounded size, each block's cover tree is built once, and each pair of blocks whose cells' covering radii let them hold a link is
+    there on. The rest is dealt to the nearest of a bounded number of centres, the upper levels of a cover tree over a bounded sample; a cell of more than a block is cut again, by the upper nets of
+    a tree of its own; parts are cut into blocks of bounded size, each block's cover tree is built once, and each pair of blocks whose parts' covering radii let them hold a link is
     joined in a task by dual traversal of their trees. A task gives counts and a spanning forest of what it linked, not all pairs. Vectors of different lengths of array never
     link. Exact joins of vectors that lie apart in all directions can exclude few pairs of blocks; then the work is that of all of them, and pruning happens inside the trees.
 
@@ -449,18 +514,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, column: str = "e
 
     placed = stored(distinct.select("unit", "rep", "copies").mapInPandas(place, "unit binary, rep long, copies long, cell int, far double"), "placed-units")
     total = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-    # blocks of a cell by hash: bounded, and a cell of any size is spread over tasks
-    cells = stored(total.select("cell", "radius", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
-    dealt = placed.join(cells.select("cell", "blocks"), "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"), "unit", "rep", "copies")
-    trees = stored(dealt.groupBy("cell", "part").applyInPandas(block_tree, "cell int, part int, tree binary, rep binary, copies binary"), "trees")
-    known = [(r["cell"], r["radius"], r["blocks"]) for r in cells.filter("cell >= 0").orderBy("cell").collect()]  # no more than centres
-    met = spark.createDataFrame(cell_pairs(known, centres, cosine), "ca int, cb int, na int, nb int")
-    met = met.unionAll(cells.filter("cell < 0").select("cell", "cell", "blocks", "blocks"))
-    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    pairs = met.select("*", numbers("na").alias("pa")).select("*", numbers("nb").alias("pb")).filter("ca <> cb or pa <= pb")
-    pairs = stored(pairs.select("ca", "pa", "cb", "pb", F.expr("ca = cb and pa = pb").alias("same"), F.monotonically_increasing_id().alias("pair")), "block-pairs")
-    left = pairs.select(F.col("ca").alias("cell"), F.col("pa").alias("part"), "pair").join(trees, ["cell", "part"]).select("pair", F.lit(cosine).alias("cosine"), "tree", "rep", "copies")
-    right = pairs.filter("not same").select(F.col("cb").alias("cell"), F.col("pb").alias("part"), "pair").join(trees, ["cell", "part"])
+    cells = stored(total.select("cell", "n", "radius", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
+    wide = cells.filter(F.col("n") > BLOCK)
+    nets = stored(cell_nets(placed.join(wide.select("cell", "n"), "cell")), "nets")
+    placed, subs = subdivided(placed, wide, nets, stored(spark.createDataFrame([(k, bytearray(v)) for k, v in enumerate(centres)], "cell int, centre binary"), "centres"))
+    dealt = placed.join(subs.select("cell", "sub", "blocks"), ["cell", "sub"])
+    dealt = dealt.select("cell", "sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"), "unit", "rep", "copies")
+    trees = stored(dealt.groupBy("cell", "sub", "part").applyInPandas(block_tree, "cell int, sub int, part int, tree binary, rep binary, copies binary"), "trees")
+    known = [(r["cell"], r["radius"]) for r in cells.filter("cell >= 0").orderBy("cell").collect()]  # no more than centres
+    met = spark.createDataFrame(cell_pairs(known, centres, cosine), "ca int, cb int")
+    met = met.unionAll(cells.filter("cell < 0").select("cell", "cell"))
+    pairs = stored(block_pairs(met, subs, cosine), "block-pairs")
+    block = ["cell", "sub", "part"]
+    left = pairs.select(F.col("ca").alias("cell"), F.col("sa").alias("sub"), F.col("pa").alias("part"), "pair").join(trees, block).select("pair", F.lit(cosine).alias("cosine"), "tree", "rep", "copies")
+    right = pairs.filter("not same").select(F.col("cb").alias("cell"), F.col("sb").alias("sub"), F.col("pb").alias("part"), "pair").join(trees, block)
     right = right.select(F.col("pair").alias("pair2"), F.col("tree").alias("tree2"), F.col("rep").alias("rep2"), F.col("copies").alias("copies2"))
     linked = left.groupBy("pair").cogroup(right.groupBy("pair2")).applyInPandas(block_links, "a long, b long, n long")
     found = stored(linked, "links")

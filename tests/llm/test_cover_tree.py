@@ -151,6 +151,23 @@ def test_pairs_in_far_or_close_nodes_are_never_compared():
     assert found.tested < 0.6 * every and found.taken
 
 
+def test_wide_cells_are_cut_by_their_own_nets(spark, monkeypatch):
+    """One cell that holds several crowds and near copies across the cuts: few of its blocks meet, and no link is lost."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 30)
+    monkeypatch.setattr(cover_tree, "CENTRES", 1)
+    met = []
+    monkeypatch.setattr(cover_tree, "block_pairs", lambda *a, of=cover_tree.block_pairs: met.append(of(*a)) or met[0])
+    rng = np.random.default_rng(12)
+    crowds = np.eye(16)[:10] + 0.1 * rng.normal(size=(10, 16))
+    v = [(crowds[k % 10] + rng.normal(size=16) * 0.08).tolist() for k in range(400)] + [[1.0, float(k)] for k in range(40)]
+    got = cover_tree.near_duplicates(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == brute(v)
+    blocks = {(r[c], r[s], r[p]) for r in met[0].collect() for c, s, p in (("ca", "sa", "pa"), ("cb", "sb", "pb"))}
+    pairs = {(r.ca, r.sa, r.pa, r.cb, r.sb, r.pb) for r in met[0].collect()}
+    assert len(blocks) > 14 and len(pairs) == met[0].count()
+    assert len(pairs) < 0.6 * len(blocks) * (len(blocks) + 1) / 2
+
+
 def test_null_and_repeated_ids(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(None, v), (4, v), (4, v), (7, [1.0, 2.0, 3.1]), (None, None), (None, [9.0, -1.0, 0.0]), (8, [0.0, 0.0])]
