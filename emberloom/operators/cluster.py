@@ -79,14 +79,19 @@ def cell_key(size_m: float) -> list[Column]:
     return [F.floor(x / size_m).cast("long").alias(f"k{n}") for n, x in enumerate((*centre_distances(F.col("lat"), F.col("lon")), seconds(F.col("t")) * size_m / (2 * WINDOW_S)))]
 
 
-def crowded(early: DataFrame, late: DataFrame, dense: int) -> DataFrame | None:
-    """The reports of late beside whose cells, as wide as the least radius needs, more than `dense` of early stand; None where there is no such cell."""
+def crowding(reports: DataFrame, most: int) -> tuple[int, int]:
+    """(how many reports have one place, time and radius at most, how many stand in a cell as wide as the least radius needs at most, `most` of those alike counted): two numbers, pre-aggregated."""
+    alike = reports.dropna(subset=["lat", "lon", "t"]).groupBy("lat", "lon", "t", "reach").agg(F.count("*").alias("n"))
+    cells = alike.select("n", *cell_key(2 * LEAST_RADIUS_M)).groupBy("k0", "k1", "k2", "k3").agg(F.max("n").alias("alike"), F.sum(F.least("n", F.lit(most))).alias("n"))
+    top = cells.agg(F.max("alike").alias("alike"), F.max("n").alias("n")).first()
+    return top["alike"] or 0, top["n"] or 0
+
+
+def crowded(early: DataFrame, late: DataFrame, dense: int) -> DataFrame:
+    """The reports of late beside whose cells, as wide as the least radius needs, more than `dense` of early stand."""
     size = 2 * LEAST_RADIUS_M
     keys = ["k0", "k1", "k2", "k3"]
     full = early.select(*cell_key(size)).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*keys)
-    full = checkpoint(full)
-    if not full.limit(1).count():
-        return None
     around = late.select("*", *cell_key(size))
     for k in keys:
         around = around.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
@@ -129,12 +134,14 @@ def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | Non
     """
     radii = [LEAST_RADIUS_M, *[float(r) for r in RADIUS_M.values() if r > LEAST_RADIUS_M]]
     alike = Window.partitionBy("lat", "lon", "t", "reach").orderBy("arrived")
-    early = narrow(events, radii).withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k")
+    early = narrow(events, radii)
     late = narrow(events if later is None else later, radii)
     near_all = None
-    many = crowded(early, late, dense)
-    if many is not None:
-        early, many = checkpoint(early), checkpoint(many)
+    most_alike, top = crowding(early, most)
+    if most_alike > most:  # else there is none to leave out
+        early = checkpoint(early.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k"))
+    if top > dense:
+        many = checkpoint(crowded(early, late, dense))
         near_all, rest = nearest_in_crowds(early, many, most, dense)
         late = late.join(many.select("id"), "id", "left_anti").unionByName(rest)
     own = F.col("cell")
