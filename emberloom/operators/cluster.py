@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.geo import centre_distances, near_pairs, seconds
 from ..functions.text import none_if_empty, token_set_ratio_column
 from ..schema import COMPATIBLE, OTHER_TIER, RADIUS_M, SOURCE_TIER
+from .crowds import nearest_in_cells
 from .normalize import lookup
 
 WINDOW_S, LEAST_RADIUS_M, CANDIDATES, TEXT_OVER = 6 * 3600, 10_000.0, 50, 55.0
-#: A cell with more reports than this is searched ring by ring.
-DENSE = 2_000
+#: Where a cell has more reports than this, cells are searched as groups, and where it has more places than that, ring by ring.
+CROWD, DENSE = 500, 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +37,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df read back from a Parquet table in the shared folder: for many rows, as a checkpoint works the last stage out twice."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    path = f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def groups_of(category: Column) -> Column:
     table = {c: [k for k, g in enumerate(COMPATIBLE) if c in g] for g in COMPATIBLE for c in g}
     found = F.array().cast("array<int>")
@@ -71,7 +83,8 @@ def narrow(events: DataFrame, radii: list[float]) -> DataFrame:
     cell = F.lit(radii[-1])
     for r in sorted(radii, reverse=True):
         cell = F.when(F.col("reach") <= r, F.lit(r)).otherwise(cell)
-    return events.select("id", "lat", "lon", F.col("occurred_at").alias("t"), reach.alias("reach"), arrived(events).alias("arrived")).withColumn("cell", cell)
+    told = [c for c in ("kind", "mask", "actors", "told") if c in events.columns]
+    return events.select("id", "lat", "lon", F.col("occurred_at").alias("t"), reach.alias("reach"), arrived(events).alias("arrived"), *told).withColumn("cell", cell)
 
 
 def cell_key(size_m: float) -> list[Column]:
@@ -79,71 +92,75 @@ def cell_key(size_m: float) -> list[Column]:
     return [F.floor(x / size_m).cast("long").alias(f"k{n}") for n, x in enumerate((*centre_distances(F.col("lat"), F.col("lon")), seconds(F.col("t")) * size_m / (2 * WINDOW_S)))]
 
 
-def crowding(reports: DataFrame, most: int) -> tuple[int, int]:
-    """(how many reports have one place, time and radius at most, how many stand in a cell as wide as the least radius needs at most, `most` of those alike counted): two numbers, pre-aggregated."""
-    alike = reports.dropna(subset=["lat", "lon", "t"]).groupBy("lat", "lon", "t", "reach").agg(F.count("*").alias("n"))
-    cells = alike.select("n", *cell_key(2 * LEAST_RADIUS_M)).groupBy("k0", "k1", "k2", "k3").agg(F.max("n").alias("alike"), F.sum(F.least("n", F.lit(most))).alias("n"))
-    top = cells.agg(F.max("alike").alias("alike"), F.max("n").alias("n")).first()
-    return top["alike"] or 0, top["n"] or 0
+def crowding(reports: DataFrame, most: int) -> tuple[int, int, int, float]:
+    """(how many reports have one place, time and radius at most, how many stand in a cell as wide as the least radius needs at most, `most` of those alike counted, at how many places there, the widest cell that
+    any of them needs): four numbers, pre-aggregated."""
+    alike = reports.dropna(subset=["lat", "lon", "t"]).groupBy("lat", "lon", "t", "reach").agg(F.count("*").alias("n"), F.max("cell").alias("cell"))
+    places = alike.select("n", "cell", "lat", "lon", *cell_key(2 * LEAST_RADIUS_M)).groupBy("k0", "k1", "k2", "k3", "lat", "lon").agg(F.max("n").alias("alike"), F.sum(F.least("n", F.lit(most))).alias("n"), F.max("cell").alias("cell"))
+    cells = places.groupBy("k0", "k1", "k2", "k3").agg(F.max("alike").alias("alike"), F.sum("n").alias("n"), F.count("*").alias("places"), F.max("cell").alias("cell"))
+    top = cells.agg(*[F.max(c).alias(c) for c in ("alike", "n", "places", "cell")]).first()
+    return top["alike"] or 0, top["n"] or 0, top["places"] or 0, top["cell"] or LEAST_RADIUS_M
 
 
-def crowded(early: DataFrame, late: DataFrame, dense: int) -> DataFrame:
-    """The reports of late beside whose cells, as wide as the least radius needs, more than `dense` of early stand."""
-    size = 2 * LEAST_RADIUS_M
+def crowded(early: DataFrame, late: DataFrame, dense: int, places: bool = False, radius: float = LEAST_RADIUS_M) -> DataFrame:
+    """The reports of late beside whose cells, as wide as a radius needs, more than `dense` of early stand, or early ones at so many places."""
+    size = 2 * radius
     keys = ["k0", "k1", "k2", "k3"]
-    full = early.select(*cell_key(size)).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*keys)
-    around = late.select("*", *cell_key(size))
+    stand = early.select("lat", "lon", *cell_key(size))
+    full = (stand.distinct() if places else stand).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*keys)
+    cells = late.select(*cell_key(size)).distinct()
     for k in keys:
-        around = around.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-    return late.join(around.join(full, keys, "left_semi").select("id").distinct(), "id", "left_semi")
+        cells = cells.withColumn(f"n{k}", F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+    beside = cells.join(full.select(*[F.col(k).alias(f"n{k}") for k in keys]), [f"n{k}" for k in keys], "left_semi").select(*keys).distinct()
+    return late.select("*", *cell_key(size)).join(beside, keys, "left_semi").drop(*keys)
 
 
 def nearest_in_crowds(early: DataFrame, late: DataFrame, most: int, dense: int) -> tuple[DataFrame, DataFrame]:
-    """(id, cand_id, distance_m, arrived) of those reports of late that have `most` candidates within a radius below the least, the nearest ones, and the others of late.
+    """(id, cand_id, distance_m, rn) of those reports of late that have `most` candidates within a radius below the least, the nearest ones, and the others of late.
 
-    Radii are halved until no cell of their width holds more than `dense`; then each report looks for its candidates in ever wider rings, from the smallest radius on, and leaves as soon as it has enough: whatever lies
+    Radii are halved until no cell of their width holds more than `dense` places; then each report looks for its candidates in ever wider rings, from the smallest radius on, and leaves as soon as it has enough: whatever lies
     farther can't be among the nearest. A report meets what is near it, not its whole city, and what has few candidates is rare in a crowd.
     """
     ladder, r = [], LEAST_RADIUS_M / 2
     while r > 0.01:
         ladder.append(r)
-        top = early.select(*cell_key(2 * r)).groupBy("k0", "k1", "k2", "k3").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        top = early.select("lat", "lon", *cell_key(2 * r)).distinct().groupBy("k0", "k1", "k2", "k3").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if top <= dense:
             break
         r /= 2
     found, rest = None, late
     for r in reversed(ladder):
-        met = near_pairs(rest, early, "c_", r, [r], WINDOW_S, WINDOW_S, also=F.col("arrived") > F.col("c_arrived"))
-        met = met.select("id", F.col("c_id").alias("cand_id"), F.round("distance_m", 3).alias("distance_m"), F.col("c_arrived").alias("arrived")).filter(F.col("distance_m") < r - 0.001)
-        ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("distance_m", "arrived"))).filter(F.col("rn") <= most)
-        ranked = checkpoint(ranked)
+        ranked = nearest_in_cells(early.withColumn("reach", F.lit(r)), rest.withColumn("reach", F.lit(r)), most, r, WINDOW_S, stored).drop("same")
+        ranked = stored(ranked.filter(F.col("distance_m") < r - 0.001))
         done = ranked.filter(F.col("rn") == most).select("id")
-        enough = ranked.join(done, "id", "left_semi").drop("rn")
+        enough = ranked.join(done, "id", "left_semi")
         found = enough if found is None else found.unionByName(enough)
-        rest = checkpoint(rest.join(done, "id", "left_anti"))
+        rest = stored(rest.join(done, "id", "left_anti"))
     return found, rest
 
 
-def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | None = None, dense: int = DENSE) -> DataFrame:
-    """(id, cand_id, distance_m, rn): of each report (of later, where given, a part of events) the nearest that arrived earlier within 6 hours and the larger of 10 km and both radii.
-
-    A pair is met once, from the side with the larger radius, on cells of that radius. The cap comes before any text is
-    compared. Equal distances, to the millimetre, are ordered by arrival. Of reports with one place, time and radius, as many as the cap can be somebody's candidates, the first to arrive:
-    the others are left out before the join, so a city that a feed puts on one instant of a day doesn't meet itself pair by pair. Nor does one whose reports lie side by side: where a cell holds more than `dense`,
-    rings around each report are searched first (nearest_in_crowds), and only who finds too few there goes on to the whole radius.
-    """
+def candidate_parts(events: DataFrame, most: int, later: DataFrame | None, dense: int, crowd: int, rule: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of candidates in two tables, each with all rows of its reports: those that joins find, and those of reports in crowds, of which only what `rule` needs is kept (see nearest_in_cells). Either may be None."""
     radii = [LEAST_RADIUS_M, *[float(r) for r in RADIUS_M.values() if r > LEAST_RADIUS_M]]
     alike = Window.partitionBy("lat", "lon", "t", "reach").orderBy("arrived")
     early = narrow(events, radii)
     late = narrow(events if later is None else later, radii)
-    near_all = None
-    most_alike, top = crowding(early, most)
+    near_all, in_cells = None, None
+    most_alike, top, places, largest = crowding(early, most)
     if most_alike > most:  # else there is none to leave out
-        early = checkpoint(early.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k"))
-    if top > dense:
-        many = checkpoint(crowded(early, late, dense))
+        early = stored(early.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k"))
+    if places > dense:
+        many = stored(crowded(early, late, dense, True))
         near_all, rest = nearest_in_crowds(early, many, most, dense)
         late = late.join(many.select("id"), "id", "left_anti").unionByName(rest)
+    if top > crowd:
+        late = stored(late)
+        many = stored(crowded(early, late, crowd // 10, radius=largest))  # who is left must not meet a crowd's edge
+        reach = F.least("reach", "cell")
+        in_cells = nearest_in_cells(early.withColumn("reach", reach), many.withColumn("reach", reach), most, largest, WINDOW_S, stored, rule)
+        late = stored(late.join(many.select("id"), "id", "left_anti"))
+        if late.isEmpty():
+            return near_all, in_cells
     own = F.col("cell")
     ahead = near_pairs(late, early, "c_", own, radii, WINDOW_S, WINDOW_S, own, (F.col("reach") >= F.col("c_reach")) & (F.col("arrived") > F.col("c_arrived")))
     wide = early.filter(F.col("reach") > LEAST_RADIUS_M)
@@ -152,37 +169,63 @@ def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | Non
     pairs = ahead.filter(near).select("id", F.col("c_id").alias("cand_id"), "distance_m", F.col("c_arrived").alias("arrived"))
     pairs = pairs.unionAll(behind.filter(near).select(F.col("c_id").alias("id"), F.col("id").alias("cand_id"), "distance_m", "arrived"))
     pairs = pairs.withColumn("distance_m", F.round("distance_m", 3))
-    if near_all is not None:
-        pairs = pairs.unionByName(near_all)
     order = Window.partitionBy("id").orderBy("distance_m", "arrived")
-    return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("arrived")
+    ranked = pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("arrived")
+    return ranked if near_all is None else ranked.unionByName(near_all), in_cells
+
+
+def candidates(events: DataFrame, most: int = CANDIDATES, later: DataFrame | None = None, dense: int = DENSE, crowd: int = CROWD) -> DataFrame:
+    """(id, cand_id, distance_m, rn): of each report (of later, where given, a part of events) the nearest that arrived earlier within 6 hours and the larger of 10 km and both radii.
+
+    A pair is met once, from the side with the larger radius, on cells of that radius. The cap comes before any text is
+    compared. Equal distances, to the millimetre, are ordered by arrival. Of reports with one place, time and radius, as many as the cap can be somebody's candidates, the first to arrive:
+    the others are left out before the join, so a city that a feed puts on one instant of a day doesn't meet itself pair by pair. Nor does one with many reports: beside cells with more than `crowd`, a cell is one
+    group, in which places are compared (nearest_in_cells); and where reports lie side by side, at more than `dense` places in a cell, rings around each report are searched first (nearest_in_crowds), and only who
+    finds too few there goes on to the whole radius.
+    """
+    plain, in_cells = candidate_parts(events, most, later, dense, crowd)
+    if in_cells is None:
+        return plain
+    return in_cells.drop("same") if plain is None else plain.unionByName(in_cells.drop("same"))
 
 
-def parents(events: DataFrame, text_rule: bool = True, most: int = CANDIDATES, later: DataFrame | None = None) -> DataFrame:
+def parents(events: DataFrame, text_rule: bool = True, most: int = CANDIDATES, later: DataFrame | None = None, dense: int = DENSE, crowd: int = CROWD) -> DataFrame:
     """(id, parent): the first candidate that matches, of all reports or of those in later. Match: compatible categories, and the same actors or texts that are similar enough.
 
-    The cheap terms come first; the similarity is computed for what they leave open only.
+    The cheap terms come first; the similarity is computed for what they leave open only. In crowds they are looked at where candidates are found, so only what may be a parent leaves a cell.
     """
     about = events.select("id", "category", actor_set(events).alias("actors"), event_text(events).alias("text"))
     other = about.select(*[F.col(c).alias(f"c_{c}") for c in about.columns])
-    met = candidates(events, most, later).join(about, "id").join(other, F.col("cand_id") == F.col("c_id")).filter(compatible(F.col("category"), F.col("c_category")))
-    same = F.coalesce(F.col("actors") == F.col("c_actors"), F.lit(False))
+    kind = {"kind": F.col("category"), "mask": F.aggregate(groups_of(F.col("category")), F.lit(0).cast("long"), lambda m, k: m + F.pow(F.lit(2.0), k).cast("long")), "actors": F.to_json(actor_set(events)), "told": event_text(events) != ""}
+    rows = events.withColumns(kind)
+    plain, in_cells = candidate_parts(rows, most, None if later is None else later.withColumns(kind), dense, crowd, "text" if text_rule else "same")
+    found = []
+    if plain is not None:
+        met = plain.join(about, "id").join(other, F.col("cand_id") == F.col("c_id")).filter(compatible(F.col("category"), F.col("c_category")))
+        met = met.withColumn("same", F.coalesce(F.col("actors") == F.col("c_actors"), F.lit(False)))
+        found.append(met.select("id", "cand_id", "rn", "same", "text", "c_text") if text_rule else met.filter("same").select("id", "cand_id", "rn"))
+    if in_cells is not None:
+        if text_rule:
+            in_cells = stored(in_cells.select("id", "cand_id", "rn", "same"))
+            in_cells = in_cells.join(about.select("id", "text"), "id").join(other.select("c_id", "c_text"), F.col("cand_id") == F.col("c_id"))
+            found.append(in_cells.select("id", "cand_id", "rn", "same", "text", "c_text"))
+        else:
+            found.append(in_cells.select("id", "cand_id", "rn"))
+    met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     if text_rule:
-        open_ = ~same & (F.col("text") != "") & (F.col("c_text") != "")
-        met = met.withColumn("same", same).withColumn("score", F.when(open_, token_set_ratio_column(F.when(open_, F.col("text")), F.when(open_, F.col("c_text")))))
+        open_ = ~F.col("same") & (F.col("text") != "") & (F.col("c_text") != "")
+        met = met.withColumn("score", F.when(open_, token_set_ratio_column(F.when(open_, F.col("text")), F.when(open_, F.col("c_text")))))
         met = met.filter(F.col("same") | (F.col("score") > TEXT_OVER))
-    else:
-        met = met.filter(same)
     return met.groupBy("id").agg(F.min_by("cand_id", "rn").alias("parent"))
 
 
 def roots(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, root) of the linked ids, parents included: pointers double until none moves."""
     p = links.select("id", F.col("parent").alias("up"))
-    p = checkpoint(p)
+    p = stored(p)
     for _ in range(rounds):
         above = p.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        p = checkpoint(p.select("id", "up").join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
+        p = stored(p.select("id", "up").join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
         if p.filter("moved").isEmpty():
             return p.select("id", F.col("up").alias("root"))
     raise RuntimeError(f"roots: no end after {rounds} rounds")

@@ -191,3 +191,18 @@ def test_crowds_are_searched_ring_by_ring(spark):
     batch = df.filter("id >= 1200")  # a batch after what is stored
     got = {(r.id, r.cand_id) for r in cluster.candidates(df, 10, later=batch, dense=40).collect()}
     assert got == {(i, j) for i, j in want if i >= 1200}
+
+
+def test_reports_in_crowds_are_searched_by_cells(spark):
+    """Cells as groups find what joins find, and of the candidates of a crowd no more leave a cell than can be parents."""
+    rows = [r | {"lat": 10 + round(r["lat"] - 10, 2), "lon": 20 + round(r["lon"] - 20, 1)} for r in reports(random.Random(5), 260)]
+    df = frame(spark, rows)
+    kept = lambda d: sorted((r.id, r.cand_id, r.rn, r.distance_m) for r in d.collect())
+    want = kept(cluster.candidates(df, 10, crowd=10**9))
+    plain, in_cells = cluster.candidate_parts(df, 10, None, 10**9, 20)
+    assert in_cells.count() > 1000 and kept(cluster.candidates(df, 10, crowd=20)) == want
+    for rule in (True, False):
+        found = lambda crowd: {r.id: r.parent for r in cluster.parents(df, rule, 10, crowd=crowd).collect()}  # noqa: B023, E731
+        assert found(20) == found(10**9) and len(found(20)) > 100
+    _, one = cluster.candidate_parts(df.withColumns({"kind": F.col("category"), "mask": F.lit(0).cast("long"), "actors": F.col("actor_a"), "told": F.lit(False)}), 10, None, 10**9, 20, "same")
+    assert one.count() == one.select("id").distinct().count() < in_cells.count()
