@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import near_any, seconds
+from ..functions.geo import celled, haversine_m, seconds
 from ..functions.text import root_domain
 from ..schema import BASE_SCORE, CONSISTENCY, DOMAIN_CAP, DOMAIN_STEP, KINETIC, OTHER_SCORE, PRECISION_BONUS, PRECISIONS, THERMAL_BONUS
 from .normalize import lookup
@@ -14,13 +14,24 @@ HOTSPOT_RADIUS_M, HOURS = 5_000.0, 3600
 
 
 def corroborated(events: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """Distinct cluster_id of kinetic events with a hotspot within 5 km and 6 hours; an event stamped midnight stands for its whole day and 6 hours around it."""
+    """Distinct cluster_id of kinetic events with a hotspot within 5 km and 6 hours; an event stamped midnight stands for its whole day and 6 hours around it.
+
+    What is compared is each place and time of reports once, with the places of hotspots; these carry their times of a bucket. Cells are one hash on both sides, as the distance and the times tell apart what falls together.
+    """
     t = F.col("occurred_at")
     midnight = t == F.date_trunc("day", t).cast("timestamp_ntz")
-    e = events.filter(F.col("category").isin(*KINETIC)).select("cluster_id", "lat", "lon", t.alias("t"), F.when(midnight, 30 * HOURS).otherwise(6 * HOURS).alias("until")).distinct()
-    h = hotspots.select("lat", "lon", F.col("acquired_at").alias("t")).distinct()
-    in_time = seconds(F.col("h_t")) - seconds(F.col("t")) <= F.col("until")
-    return near_any(e, h, "h_", HOTSPOT_RADIUS_M, 6 * HOURS, 30 * HOURS, in_time).select("cluster_id").distinct()
+    e = events.filter(F.col("category").isin(*KINETIC)).select("cluster_id", "lat", "lon", t.alias("t"), F.when(midnight, 30 * HOURS).otherwise(6 * HOURS).alias("until"))
+    at = ["lat", "lon", "t", "until"]
+    p, b, _, _ = celled(e.select(*at).distinct(), hotspots.select("lat", "lon", F.col("acquired_at").alias("t")), "h_", HOTSPOT_RADIUS_M, [HOTSPOT_RADIUS_M], 6 * HOURS, 30 * HOURS)
+    p = p.select(*at, F.xxhash64("_x", "_y", "_z", "_t").alias("cell"))
+    b = b.groupBy(F.xxhash64("_bx", "_by", "_bz", "_bt").alias("h_cell"), "h_lat", "h_lon").agg(F.collect_set("_qs").alias("times"))
+    close = haversine_m(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon")) <= HOTSPOT_RADIUS_M
+    in_time = F.exists("times", lambda s: (s - seconds(F.col("t"))).between(F.lit(-6 * HOURS), F.col("until")))
+    # the work is in the comparisons, not in the bytes, so partitions aren't put together
+    parts = max(8 * events.sparkSession.sparkContext.defaultParallelism, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    p, b = p.repartition(parts, "cell"), b.repartition(parts, "h_cell")
+    hit = p.join(b, (F.col("cell") == F.col("h_cell")) & close & in_time, "left_semi").select(*at).distinct()
+    return e.join(hit, at, "left_semi").select("cluster_id").distinct()
 
 
 def mark_thermal(clusters: DataFrame, matched: DataFrame) -> DataFrame:

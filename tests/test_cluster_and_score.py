@@ -206,3 +206,14 @@ def test_reports_in_crowds_are_searched_by_cells(spark):
         assert found(20) == found(10**9) and len(found(20)) > 100
     _, one = cluster.candidate_parts(df.withColumns({"kind": F.col("category"), "mask": F.lit(0).cast("long"), "actors": F.col("actor_a"), "told": F.lit(False)}), 10, None, 10**9, 20, "same")
     assert one.count() == one.select("id").distinct().count() < in_cells.count()
+
+
+def test_corroboration_compares_places_once(spark):
+    """Hotspots of one place and reports of one place and time are one row each where they meet."""
+    rows = [event(k, hours=(0, 5)[k % 2], lat=10.0 + k % 3) for k in range(60)]
+    e = frame(spark, rows).withColumn("cluster_id", F.col("id"))
+    h = spark.createDataFrame([(T0 + timedelta(hours=20, minutes=k), 10.0, 20.01) for k in range(50)] + [(T0 + timedelta(hours=11, minutes=-k), 11.0, 20.01) for k in range(50)], "acquired_at timestamp_ntz, lat double, lon double")
+    found = score.corroborated(e, h)
+    assert {r.cluster_id for r in found.collect()} == {k for k in range(60) if k % 3 == 0 and k % 2 == 0 or k % 3 == 1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan
