@@ -102,7 +102,7 @@ def canonicalize(events: DataFrame, least: float = FUZZY_LEAST, vocabulary: Data
     """events with actor_a_canonical and actor_b_canonical: curated feeds keep their names, others get the canonical one, by a vocabulary (name) or that of the events themselves."""
     vocabulary = actor_vocabulary(events) if vocabulary is None else vocabulary
     names = events.select(F.col("actor_a").alias("name")).unionAll(events.select("actor_b"))
-    known = canonical_actors(names, vocabulary, least)
+    known = checkpoint(canonical_actors(names, vocabulary, least))  # a row a name, read for each side
     curated = F.col("source").isin("acled", "ucdp")
     out = events
     for side in ("actor_a", "actor_b"):

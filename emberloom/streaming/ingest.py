@@ -30,7 +30,7 @@ def ids_of(events: DataFrame) -> DataFrame:
 def heat_of(store: Store, events: DataFrame) -> DataFrame | None:
     """cluster_id of the given reports that a stored hotspot corroborates."""
     hot = store.hotspots(days_of(events.select(F.col("occurred_at").alias("t")), 6 * HOUR, 30 * HOUR))
-    return None if hot is None else score.corroborated(events, hot)
+    return None if hot is None else cluster.checkpoint(score.corroborated(events, hot))
 
 
 def clusters_after(store: Store, changed: DataFrame, touched: DataFrame, heat: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -74,17 +74,19 @@ def merge_batch(
         if known is not None:
             again = cluster.checkpoint(known.join(positioned.select(*EVENT_KEY), list(EVENT_KEY), "left_semi").select(*EVENT_KEY, F.col("day").alias("old_day")))
         new = ids_of(merge.inserted(again if again is not None else positioned.limit(0), positioned))
-        new = new.withColumn("arrival", F.struct(F.lit(version).cast("long").alias("batch"), F.col("batch_pos").alias("place"))).drop("batch_pos")
+        # what the next step looks at from many sides is worked out once: plans over it stay small, and so does the driver that makes them
+        new = cluster.checkpoint(new.withColumn("arrival", F.struct(F.lit(version).cast("long").alias("batch"), F.col("batch_pos").alias("place"))).drop("batch_pos"))
         names, own = store.vocabulary(), enrich.actor_vocabulary(new)
-        new = enrich.infer_origin(enrich.canonicalize(new, vocabulary=own if names is None else names.unionByName(own)))
+        new = cluster.checkpoint(enrich.infer_origin(enrich.canonicalize(new, vocabulary=own if names is None else names.unionByName(own))))
         near = store.events(days_of(positioned.select(F.col("occurred_at").alias("t")), cluster.WINDOW_S, cluster.WINDOW_S))
-        new = cluster.assign_clusters(new, text_rule) if near is None else cluster.assign_batch(near, new, text_rule)
-        new = cluster.checkpoint(new)
+        if near is not None:
+            near = cluster.checkpoint(near.select("cluster_id", "cluster_day", *[c for c in new.columns if c in near.columns]))
         # a cluster stays with the day of the report that it began with
         own_day = new.select(F.col("id").alias("cluster_id"), day_of(F.col("occurred_at")).alias("cluster_day"))
         began = own_day if near is None else near.select("cluster_id", "cluster_day").union(own_day)
+        new = cluster.assign_clusters(new, text_rule) if near is None else cluster.assign_batch(near, new, text_rule)
         new = new.join(began.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day")), "cluster_id", "left")
-        new = new.withColumns({"day": day_of(F.col("occurred_at")), "gone": F.lit(False), "reliability": F.lit(None).cast("double"), "source_count": F.lit(None).cast("long")})
+        new = cluster.checkpoint(new.withColumns({"day": day_of(F.col("occurred_at")), "gone": F.lit(False), "reliability": F.lit(None).cast("double"), "source_count": F.lit(None).cast("long")}))
         changed, moved = new, None
         if again is not None:
             days = sorted(str(r[0]) for r in again.select("old_day").distinct().collect())
@@ -94,15 +96,15 @@ def merge_batch(
                 revised = merge.upsert(old, positioned.join(old.select(*EVENT_KEY), list(EVENT_KEY), "left_semi")).withColumns({"day": day_of(F.col("occurred_at")), "gone": F.lit(False)})
                 revised = cluster.checkpoint(revised.join(again, list(EVENT_KEY)))
                 moved = revised.filter("day <> old_day")
-                changed = new.unionByName(revised.drop("old_day"), allowMissingColumns=True)
-        changed = cluster.checkpoint(changed)
+                changed = cluster.checkpoint(new.unionByName(revised.drop("old_day"), allowMissingColumns=True))
         touched = cluster.checkpoint(changed.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day")))
         clusters, members = clusters_after(store, changed, touched, heat_of(store, changed))
         told = cluster.checkpoint(cluster.write_back(members, clusters))
         rows = told.join(changed.select("id"), "id", "left_semi").unionByName(speakers(told, members).join(changed.select("id"), "id", "left_anti"))
         if moved is not None:
             rows = rows.unionByName(moved.withColumns({"day": F.col("old_day"), "gone": F.lit(True)}).drop("old_day"), allowMissingColumns=True)
-        weapons = cluster.checkpoint(enrich.extract_weapons(new).join(new.select(F.col("id").alias("event_id"), "day"), "event_id"))
+        weapons = enrich.extract_weapons(new).join(new.select(F.col("id").alias("event_id"), "day"), "event_id")
+        weapons = cluster.checkpoint(weapons) if publish else weapons
         store.write("weapons", weapons, feed, batch, version)
         store.write("events", rows.withColumn("gone", F.coalesce("gone", F.lit(False))), feed, batch, version)
         keys = new if moved is None else new.select(*EVENT_KEY, "day").unionByName(moved.select(*EVENT_KEY, "day"))

@@ -92,6 +92,25 @@ def test_a_batch_reads_its_days_and_not_the_history(spark, tmp_path):
     assert max(read[1:]) - min(read[1:]) < 600
 
 
+class Seen(Exception):
+    pass
+
+
+def test_clustering_gets_reports_that_are_worked_out(spark, tmp_path, monkeypatch):
+    """Clustering looks at both tables from many sides, so a plan behind them would be in its own many times, and the driver holds that."""
+    store = ingest.Store(spark, str(tmp_path / "s"))
+    ingest.merge_batch(store, reports(spark, EVENTS[:1]), 0, feed="acled")
+
+    def look(near, new, *rest):
+        plans = [df._jdf.queryExecution().analyzed().toString() for df in (near, new)]
+        raise Seen([len(p.splitlines()) for p in plans])
+
+    monkeypatch.setattr(ingest.cluster, "assign_batch", look)
+    with pytest.raises(Seen) as seen:
+        ingest.merge_batch(store, reports(spark, EVENTS[1:3]), 1, feed="acled")
+    assert max(seen.value.args[0]) <= 3, seen.value
+
+
 def test_a_revision_that_moves_a_report_and_compaction(spark, tmp_path):
     store = ingest.Store(spark, str(tmp_path / "s"))
     ingest.merge_batch(store, reports(spark, EVENTS[:2]), 0, feed="acled")
