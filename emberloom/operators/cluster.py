@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import centre_distances, near_pairs, seconds
@@ -225,8 +225,10 @@ def roots(links: DataFrame, rounds: int = 64) -> DataFrame:
     p = stored(p)
     for _ in range(rounds):
         above = p.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        p = stored(p.select("id", "up").join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
-        if p.filter("moved").isEmpty():
+        seen = Observation()  # told by the pass that stores them, so none is read for it
+        p = p.select("id", "up").join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"))
+        p = stored(p.observe(seen, F.count_if("moved").alias("n")).select("id", "up"))
+        if not seen.get["n"]:
             return p.select("id", F.col("up").alias("root"))
     raise RuntimeError(f"roots: no end after {rounds} rounds")
 
@@ -250,7 +252,7 @@ def assign_batch(stored: DataFrame, batch: DataFrame, text_rule: bool = True, mo
     place = lambda df, k: F.struct(F.lit(k).alias("k"), (F.col("arrival") if "arrival" in df.columns else F.lit(None).cast("struct<batch:bigint,place:bigint>")).alias("a")).alias("arrival")
     near = stored.filter(F.col("occurred_at").between(F.lit(span["a"] - gap).cast("timestamp_ntz"), F.lit(span["b"] + gap).cast("timestamp_ntz")))
     own = batch.select(*columns, place(batch, 1))
-    links = checkpoint(parents(near.select(*columns, place(stored, 0)).unionByName(own), text_rule, most, own))
+    links = parents(near.select(*columns, place(stored, 0)).unionByName(own), text_rule, most, own)
     known = stored.select(F.col("id").alias("root"), F.col("cluster_id").alias("known"))
     out = roots(links).join(known, "root", "left").select("id", F.coalesce("known", "root").alias("cluster_id"))
     return batch.drop("cluster_id").join(out, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id"))

@@ -85,8 +85,10 @@ def canonical_actors(names: DataFrame, vocabulary: DataFrame, least: float = FUZ
     joined = F.array_join(words, " ")
     letters = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda k: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), k, 2)))))
     pairs = lambda df: df.select("name", F.length(joined).alias("m"), F.explode(letters).alias("pair"))
-    left = checkpoint(pairs(told.filter("alias is null").select("name")))
     right = checkpoint(pairs(vocabulary.select("name").filter("name is not null").distinct()))
+    if right.isEmpty():  # no name that another could be like
+        return told.select("name", F.col("alias").alias("canonical"))
+    left = checkpoint(pairs(told.filter("alias is null").select("name")))
     often = left.select("pair").unionAll(right.select("pair")).groupBy("pair").agg(F.count("*").alias("often"))
     share = least / 100
     place = F.row_number().over(Window.partitionBy("name").orderBy("often", "pair"))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import cluster, enrich, merge, normalize, score, serve
 from ..schema import EVENT, EVENT_KEY, HOTSPOT_KEY
 from ..sources import readers
-from .store import BY, MOST_FOLDERS, Store, bucket_of, day_of, days_of
+from .store import BY, MOST_FOLDERS, Store, bucket_of, day_of, days_of, spans_of
 
 #: How often feeds are read, in seconds.
 CADENCE_S = {"acled": 21_600, "gdelt": 900, "firms": 10_800, "ucdp": 604_800}
@@ -27,32 +27,34 @@ def ids_of(events: DataFrame) -> DataFrame:
     return events.withColumn("id", F.xxhash64(*EVENT_KEY))
 
 
-def heat_of(store: Store, events: DataFrame) -> DataFrame | None:
-    """cluster_id of the given reports that a stored hotspot corroborates."""
-    hot = store.hotspots(days_of(events.select(F.col("occurred_at").alias("t")), 6 * HOUR, 30 * HOUR))
+def heat_of(store: Store, events: DataFrame, days: list[str]) -> DataFrame | None:
+    """cluster_id of the given reports that a hotspot stored on one of these days corroborates."""
+    hot = store.hotspots(days)
     return None if hot is None else cluster.checkpoint(score.corroborated(events, hot))
 
 
 def clusters_after(store: Store, changed: DataFrame, touched: DataFrame, heat: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members): the clusters of touched (cluster_id, cluster_day), scored over all their members as they are with changed rows in place, and those members.
+    """(clusters, members): the clusters of touched (cluster_id, cluster_day), scored over all their members as they are with changed rows in place, and those members; changed ones have _changed.
 
-    A cluster says when it was first and last seen, so its members are read from those days. heat (cluster_id) marks some; marks stay.
+    A cluster says when it was first and last seen, so its members are read from those days. heat (cluster_id), of clusters in touched, marks some; marks stay.
     """
-    before = store.clusters(sorted(str(r[0]) for r in touched.select("cluster_day").distinct().collect()))
-    members = changed.join(touched.select("cluster_id"), "cluster_id", "left_semi")
-    old = None
+    before = store.clusters(sorted(str(r[0]) for r in touched.select("cluster_day").distinct().collect())) if store.begun("clusters") else None
+    members = changed.join(touched.select("cluster_id"), "cluster_id", "left_semi").withColumn("_changed", F.lit(True))
+    # what is known of a cluster besides its members is put together by one shuffle: the day, and the marks
+    marked = lambda df, mark: df.select("cluster_id", F.lit(None).cast("date").alias("cluster_day"), mark.alias("thermal_corroborated"))
+    known = touched.select("cluster_id", "cluster_day", F.lit(False).alias("thermal_corroborated"))
     if before is not None:
         before = before.join(touched.select("cluster_id"), "cluster_id", "left_semi")
-        old = before.select("cluster_id", "thermal_corroborated")
+        known = known.unionByName(marked(before, F.col("thermal_corroborated")))
         spans = before.select(F.explode(F.sequence(day_of(F.col("first_seen")), day_of(F.col("last_seen")))).alias("d")).distinct()
         stored = store.events(sorted(str(r[0]) for r in spans.collect()))
         if stored is not None:
             rest = stored.join(touched.select("cluster_id"), "cluster_id", "left_semi").join(changed.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")
-            members = rest.unionByName(members, allowMissingColumns=True)
+            members = rest.withColumn("_changed", F.lit(False)).unionByName(members, allowMissingColumns=True)
     members = cluster.checkpoint(members)
-    out = cluster.cluster_stats(members).join(touched, "cluster_id")
-    out = out.join(old, "cluster_id", "left") if old is not None else out.withColumn("thermal_corroborated", F.lit(False))
-    out = score.mark_thermal(out, heat) if heat is not None else out.withColumn("thermal_corroborated", F.coalesce("thermal_corroborated", F.lit(False)))
+    known = known if heat is None else known.unionByName(marked(heat, F.lit(True)))
+    known = known.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day"), F.max("thermal_corroborated").alias("thermal_corroborated"))
+    out = cluster.cluster_stats(members).join(known, "cluster_id")
     return cluster.checkpoint(score.score_clusters(members, out).withColumnRenamed("cluster_day", "day")), members
 
 
@@ -68,8 +70,11 @@ def merge_batch(
     with store.lock:
         version = store.begin(feed, batch)
         positioned = cluster.checkpoint(normalized.withColumns({"batch_pos": F.monotonically_increasing_id(), "bucket": bucket_of(store.buckets)}))
-        known = store.latest("keys", [r[0] for r in positioned.select("bucket").distinct().collect()])
+        known = store.latest("keys", [r[0] for r in positioned.select("bucket").distinct().collect()]) if store.begun("keys") else None
         positioned = positioned.drop("bucket")
+        near_days, hot_days = [], []
+        if store.begun("events") or store.begun("hotspots"):
+            near_days, hot_days = spans_of(positioned.select(F.col("occurred_at").alias("t")), (cluster.WINDOW_S, cluster.WINDOW_S), (6 * HOUR, 30 * HOUR))
         again = None
         if known is not None:
             again = cluster.checkpoint(known.join(positioned.select(*EVENT_KEY), list(EVENT_KEY), "left_semi").select(*EVENT_KEY, F.col("day").alias("old_day")))
@@ -78,7 +83,7 @@ def merge_batch(
         new = cluster.checkpoint(new.withColumn("arrival", F.struct(F.lit(version).cast("long").alias("batch"), F.col("batch_pos").alias("place"))).drop("batch_pos"))
         names, own = store.vocabulary(), enrich.actor_vocabulary(new)
         new = cluster.checkpoint(enrich.infer_origin(enrich.canonicalize(new, vocabulary=own if names is None else names.unionByName(own))))
-        near = store.events(days_of(positioned.select(F.col("occurred_at").alias("t")), cluster.WINDOW_S, cluster.WINDOW_S))
+        near = store.events(near_days)
         if near is not None:
             near = cluster.checkpoint(near.select("cluster_id", "cluster_day", *[c for c in new.columns if c in near.columns]))
         # a cluster stays with the day of the report that it began with
@@ -98,9 +103,9 @@ def merge_batch(
                 moved = revised.filter("day <> old_day")
                 changed = cluster.checkpoint(new.unionByName(revised.drop("old_day"), allowMissingColumns=True))
         touched = cluster.checkpoint(changed.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day")))
-        clusters, members = clusters_after(store, changed, touched, heat_of(store, changed))
-        told = cluster.checkpoint(cluster.write_back(members, clusters))
-        rows = told.join(changed.select("id"), "id", "left_semi").unionByName(speakers(told, members).join(changed.select("id"), "id", "left_anti"))
+        clusters, members = clusters_after(store, changed, touched, heat_of(store, changed, hot_days))
+        told = cluster.checkpoint(told_anew(members, clusters))
+        rows, told = told.filter("_changed or _told").drop("_changed", "_told"), told.drop("_changed", "_told")
         if moved is not None:
             rows = rows.unionByName(moved.withColumns({"day": F.col("old_day"), "gone": F.lit(True)}).drop("old_day"), allowMissingColumns=True)
         weapons = enrich.extract_weapons(new).join(new.select(F.col("id").alias("event_id"), "day"), "event_id")
@@ -113,22 +118,23 @@ def merge_batch(
         store.write("names", own if names is None else own.join(names, "name", "left_anti"), feed, batch, version)
         if rejects is not None:
             store.write("rejects", rejects, feed, batch, version)
-        write_run(store, feed, batch, version, fetched, positioned.agg(F.count("*").alias("normalized")).join(new.agg(F.count("*").alias("new_records"))))  # one row each
+        write_run(store, feed, batch, version, fetched, positioned, new)
     if publish:
         payload = serve.event_payload(told, clusters.drop("day"), weapons.drop("day"), new.select(F.col("id").alias("event_id")))
         payload = payload.drop("day", "gone", "cluster_day", "arrival")
         deliver(publish, payload.select("id", F.to_json(F.struct("*")).alias("value")), batch)
 
 
-def speakers(told: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows on which a score or count is another now."""
-    before = members.select("id", F.col("reliability").alias("_r"), F.col("source_count").alias("_n"))
-    return told.join(before, "id").filter(~(F.col("reliability").eqNullSafe(F.col("_r")) & F.col("source_count").eqNullSafe(F.col("_n")))).drop("_r", "_n")
+def told_anew(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """members with what their clusters say written back, and _told where a score or count is another now."""
+    told = cluster.write_back(members.withColumns({"_r": F.col("reliability"), "_n": F.col("source_count")}), clusters)
+    return told.withColumn("_told", ~(F.col("reliability").eqNullSafe(F.col("_r")) & F.col("source_count").eqNullSafe(F.col("_n")))).drop("_r", "_n")
 
 
-def write_run(store: Store, feed: str, batch: int, version: int, fetched: Callable[[], int | None] | None, counts: DataFrame) -> None:
-    """A run's counts (normalized, new_records), what was fetched beside them, as observed in the pass that normalized it."""
+def write_run(store: Store, feed: str, batch: int, version: int, fetched: Callable[[], int | None] | None, normalized: DataFrame, new: DataFrame) -> None:
+    """A run's counts (normalized, new_records) in one aggregation, what was fetched beside them, as observed in the pass that normalized it."""
     n = fetched() if fetched else None
+    counts = normalized.select(F.lit(False).alias("new")).unionAll(new.select(F.lit(True).alias("new"))).agg(F.count_if(~F.col("new")).alias("normalized"), F.count_if("new").alias("new_records"))
     out = counts.select(F.lit(feed).alias("source"), F.lit(n).cast("long").alias("fetched"), "normalized", (F.lit(n).cast("long") - F.col("normalized")).alias("dropped"), "new_records")
     store.write("runs", out.withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")}), feed, batch, version)
 
@@ -149,20 +155,20 @@ def merge_hotspots(store: Store, hotspots: DataFrame, batch: int, feed: str = "f
         version = store.begin(feed, batch)
         positioned = cluster.checkpoint(hotspots.withColumn("batch_pos", F.monotonically_increasing_id()))
         at = positioned.select(F.col("acquired_at").alias("t"))
-        stored = store.hotspots(days_of(at))
+        stored = store.hotspots(days_of(at)) if store.begun("hotspots") else None
         new = merge.insert_hotspots(stored if stored is not None else positioned.limit(0), positioned).drop("batch_pos")
         new = cluster.checkpoint(new.withColumns({"day": day_of(F.col("acquired_at")), "id": F.xxhash64(*HOTSPOT_KEY)}))
         store.write("hotspots", new, feed, batch, version)
-        events = store.events(days_of(new.select(F.col("acquired_at").alias("t")), 30 * HOUR, 6 * HOUR))
+        events = store.events(days_of(new.select(F.col("acquired_at").alias("t")), 30 * HOUR, 6 * HOUR)) if store.begun("events") else None
         if events is not None:
             heat = score.corroborated(events, new)
             days = events.groupBy("cluster_id").agg(F.min("cluster_day").alias("cluster_day"))
             heat = cluster.checkpoint(heat.join(days, "cluster_id"))
             clusters, members = clusters_after(store, events.limit(0), heat, heat)
-            told = cluster.write_back(members, clusters)
             store.write("clusters", clusters, feed, batch, version)
-            store.write("events", speakers(told, members).withColumn("gone", F.lit(False)), feed, batch, version)
-        write_run(store, feed, batch, version, fetched, positioned.agg(F.count("*").alias("normalized")).join(new.agg(F.count("*").alias("new_records"))))
+            rows = told_anew(members, clusters).filter("_told").drop("_changed", "_told")
+            store.write("events", rows.withColumn("gone", F.lit(False)), feed, batch, version)
+        write_run(store, feed, batch, version, fetched, positioned, new)
 
 
 def observed(raw: DataFrame) -> tuple[DataFrame, Callable[[], int | None]]:

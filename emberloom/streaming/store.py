@@ -35,6 +35,16 @@ def days_of(times: DataFrame, before_s: float = 0, after_s: float = 0) -> list[s
     return sorted(str(r[0]) for r in times.filter("t is not null").select(F.explode(days)).distinct().collect())
 
 
+def spans_of(times: DataFrame, *spans: tuple[float, float]) -> list[list[str]]:
+    """days_of for several (before_s, after_s), found in one pass."""
+    t = F.col("t").cast("timestamp")
+    days = lambda a, b: F.sequence((t - F.make_dt_interval(secs=F.lit(a))).cast("date"), (t + F.make_dt_interval(secs=F.lit(b))).cast("date"))
+    told = lambda k: lambda d: F.struct(F.lit(k).alias("k"), d.alias("d"))
+    each = F.explode(F.flatten(F.array(*[F.transform(days(a, b), told(k)) for k, (a, b) in enumerate(spans)])))
+    found = [r["x"] for r in times.filter("t is not null").select(each.alias("x")).distinct().collect()]
+    return [sorted(str(x["d"]) for x in found if x["k"] == k) for k in range(len(spans))]
+
+
 def bucket_of(n: int) -> Column:
     return F.pmod(F.xxhash64(*EVENT_KEY), F.lit(n)).cast("int")
 
@@ -100,6 +110,11 @@ class Store:
             row = self.spark.range(1).select(F.lit(feed).alias("source"), *[v.alias(c) for c, v in nothing.items()], F.lit(False).alias("ok"), F.lit(error).alias("error"))
             self.write("runs", row, feed, -version, version)
 
+    def begun(self, table: str) -> bool:
+        """Whether a table has any folder: where it has none, what a batch would read of it needn't be found out."""
+        fs, p = self.found(self.folder(table))
+        return fs.exists(p)
+
     def last_version(self) -> int:
         runs = self.rows("runs")
         return 0 if runs is None else runs.agg(F.max("version")).first()[0] or 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from emberloom.operators import serve
 from emberloom.schema import EVENT
 from emberloom.streaming import ingest
+from emberloom.streaming.store import days_of, spans_of
 from tests.test_sources_and_streaming import rows_of
 
 HOT = "satellite string, acquired_at timestamp_ntz, lat double, lon double, brightness double, frp double, confidence string"
@@ -135,3 +136,25 @@ def test_a_run_that_broke_off_leaves_nothing(spark, tmp_path):
     ingest.merge_batch(store, rows_of(spark, [2])[0], 1)
     assert sorted(r.source_event_id for r in store.events().collect()) == ["1", "2"]
     assert ingest.Store(spark, store.path).begin("gdelt", 2) == version + 2
+
+
+def test_a_batch_is_few_jobs_over_small_plans(spark, tmp_path):
+    """Each stage and each broadcast takes a buffer of megabytes in the driver, whatever it brings, so a batch that meets stored reports and hotspots has no more of them than it needs."""
+    store = ingest.Store(spark, str(tmp_path / "s"))
+    ingest.merge_hotspots(store, spots(spark, HEAT), 0)
+    ingest.merge_batch(store, rows_of(spark, [1, 2, 3])[0], 0)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    spark.sparkContext.setJobGroup("batch", "batch")
+    try:
+        ingest.merge_batch(store, rows_of(spark, [3, 4, 5])[0], 1)
+        jobs = tracker.getJobIdsForGroup("batch")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert len(store.events().collect()) == 5 and len(jobs) <= 128, len(jobs)
+
+
+def test_days_of_several_spans_are_those_of_each(spark):
+    times = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-05 01:00:00' AS t UNION ALL SELECT TIMESTAMP_NTZ '2024-03-09 20:00:00' UNION ALL SELECT NULL")
+    spans = [(6 * 3600, 6 * 3600), (6 * 3600, 30 * 3600), (0, 0)]
+    assert spans_of(times, *spans) == [days_of(times, *s) for s in spans] and spans_of(times.limit(0), *spans) == [[], [], []]
