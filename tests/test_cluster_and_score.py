@@ -217,3 +217,24 @@ def test_corroboration_compares_places_once(spark):
     assert {r.cluster_id for r in found.collect()} == {k for k in range(60) if k % 3 == 0 and k % 2 == 0 or k % 3 == 1}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" in plan
+
+
+def test_heat_beside_a_report_is_one_lookup(spark):
+    """Reports and hotspots side by side aren't compared; at random, with times on the edges of windows and buckets, the result is that of comparing all."""
+    rng = random.Random(8)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    hot = lambda rows: spark.createDataFrame(rows, "acquired_at timestamp_ntz, lat double, lon double")
+    at = lambda h, us=0: T0 + timedelta(hours=h, microseconds=us)
+    e = frame(spark, [event(k, hours=1 + k % 5) for k in range(40)]).withColumn("cluster_id", F.col("id"))
+    found = score.corroborated(e, hot([(at(3, k), 10.0, 20.0) for k in range(30)]))
+    assert found.count() == 40 and "ASIN" not in plan(found).upper()
+    rows = [event(k, hours=rng.choice([0, 5, 6, 7.5, 18, 24, 30, 36, 48, 59.999999]), lat=10.0 + rng.choice([0, 0.02, 0.04, 0.3]), lon=20.0 + rng.choice([0, 0.01, 0.06]), category=rng.choice(["airstrike", "protest", "ied"])) for k in range(150)]
+    places = [(at(rng.choice([-7, -6, 0, 5, 12, 17, 24, 29, 30, 42, 54, 66]), rng.choice([-1, 0, 1])), 10.0 + rng.choice([0, 0.03, 0.05]), 20.0 + rng.choice([0, 0.05])) for _ in range(25)]
+    want = set()
+    for r in rows:
+        until = 30 if r["occurred_at"].time() == datetime.min.time() else 6
+        if r["category"] != "protest" and any(-6 * 3600 <= (t - r["occurred_at"]).total_seconds() <= until * 3600 and metres(r, {"lat": lat, "lon": lon}) <= 5000 for t, lat, lon in places):
+            want.add(r["id"])
+    odd = frame(spark, [event(900, lat=float("nan")), event(901, lat=None), event(902, hours=1000)])
+    got = score.corroborated(frame(spark, rows).unionByName(odd).withColumn("cluster_id", F.col("id")), hot([*places, (T0, float("nan"), 20.0), (None, 10.0, 20.0)]))
+    assert {r.cluster_id for r in got.collect()} == want and 20 < len(want) < 120
