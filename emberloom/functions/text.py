@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,11 +63,20 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return best
 
 
+#: Pairs of texts of so many characters together are remembered, and so many of them.
+SHORT, REMEMBERED = 400, 1 << 16
+
+
+@functools.lru_cache(REMEMBERED)
+def seen_ratio(a: str, b: str) -> float:
+    return token_set_ratio(a, b)
+
+
 def token_set_ratio_column(a: Column, b: Column) -> Column:
-    """The ratio of two columns, in Arrow batches; the one place where Python looks at rows."""
+    """The ratio of two columns, in Arrow batches; the one place where Python looks at rows. Short texts, which come again and again, are remembered."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([0.0 if p is None or q is None else (seen_ratio if len(p) + len(q) <= SHORT else token_set_ratio)(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
     return ratio(a, b)

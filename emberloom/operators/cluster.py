@@ -19,6 +19,8 @@ from .normalize import lookup
 WINDOW_S, LEAST_RADIUS_M, CANDIDATES, TEXT_OVER = 6 * 3600, 10_000.0, 50, 55.0
 #: Where a cell has more reports than this, cells are searched as groups, and where it has more places than that, ring by ring.
 CROWD, DENSE = 500, 2_000
+#: As many comparisons joins may make, as the cells of all radii tell; where they would make more, cells are searched as groups too.
+COMPARED = 20_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -92,14 +94,20 @@ def cell_key(size_m: float) -> list[Column]:
     return [F.floor(x / size_m).cast("long").alias(f"k{n}") for n, x in enumerate((*centre_distances(F.col("lat"), F.col("lon")), seconds(F.col("t")) * size_m / (2 * WINDOW_S)))]
 
 
-def crowding(reports: DataFrame, most: int) -> tuple[int, int, int, float]:
+def crowding(reports: DataFrame, most: int, radii: list[float]) -> tuple[int, int, int, float, int]:
     """(how many reports have one place, time and radius at most, how many stand in a cell as wide as the least radius needs at most, `most` of those alike counted, at how many places there, the widest cell that
-    any of them needs): four numbers, pre-aggregated."""
+    any of them needs, how many a join would compare: those that need a radius with all in a cell of it, summed up): five numbers, pre-aggregated."""
+    keys = ["k0", "k1", "k2", "k3"]
     alike = reports.dropna(subset=["lat", "lon", "t"]).groupBy("lat", "lon", "t", "reach").agg(F.count("*").alias("n"), F.max("cell").alias("cell"))
-    places = alike.select("n", "cell", "lat", "lon", *cell_key(2 * LEAST_RADIUS_M)).groupBy("k0", "k1", "k2", "k3", "lat", "lon").agg(F.max("n").alias("alike"), F.sum(F.least("n", F.lit(most))).alias("n"), F.max("cell").alias("cell"))
-    cells = places.groupBy("k0", "k1", "k2", "k3").agg(F.max("alike").alias("alike"), F.sum("n").alias("n"), F.count("*").alias("places"), F.max("cell").alias("cell"))
-    top = cells.agg(*[F.max(c).alias(c) for c in ("alike", "n", "places", "cell")]).first()
-    return top["alike"] or 0, top["n"] or 0, top["places"] or 0, top["cell"] or LEAST_RADIUS_M
+    own = [F.sum(F.when(F.col("cell") == r, F.least("n", F.lit(most))).otherwise(0)).alias(f"n{k}") for k, r in enumerate(radii)]
+    places = alike.select("n", "cell", "lat", "lon", *cell_key(2 * LEAST_RADIUS_M)).groupBy(*keys, "lat", "lon").agg(F.max("n").alias("alike"), F.sum(F.least("n", F.lit(most))).alias("n"), F.max("cell").alias("cell"), *own)
+    cells = places.groupBy(*keys).agg(F.max("alike").alias("alike"), F.sum("n").alias("n"), F.count("*").alias("places"), F.max("cell").alias("cell"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(radii))])
+    # small cells lie in the wide ones
+    wide = [F.struct(F.lit(r).alias("radius"), F.col(f"n{k}").alias("own"), *[F.floor(F.col(c) * (LEAST_RADIUS_M / r)).alias(f"w{c}") for c in keys[:3]]) for k, r in enumerate(radii)]
+    each = cells.select("k3", "alike", "n", "places", "cell", F.inline(F.array(*wide))).groupBy("radius", "wk0", "wk1", "wk2", "k3")
+    met = each.agg((F.sum("own").cast("double") * F.sum("n")).alias("met"), *[F.max(c).alias(c) for c in ("alike", "n", "places", "cell")])
+    top = met.agg(F.sum("met").alias("met"), *[F.max(c).alias(c) for c in ("alike", "n", "places", "cell")]).first()
+    return top["alike"] or 0, top["n"] or 0, top["places"] or 0, top["cell"] or LEAST_RADIUS_M, int(top["met"] or 0)
 
 
 def crowded(early: DataFrame, late: DataFrame, dense: int, places: bool = False, radius: float = LEAST_RADIUS_M) -> DataFrame:
@@ -139,22 +147,25 @@ def nearest_in_crowds(early: DataFrame, late: DataFrame, most: int, dense: int)
     return found, rest
 
 
-def candidate_parts(events: DataFrame, most: int, later: DataFrame | None, dense: int, crowd: int, rule: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+def candidate_parts(events: DataFrame, most: int, later: DataFrame | None, dense: int, crowd: int, rule: str | None = None, compared: int = COMPARED) -> tuple[DataFrame | None, DataFrame | None]:
     """The rows of candidates in two tables, each with all rows of its reports: those that joins find, and those of reports in crowds, of which only what `rule` needs is kept (see nearest_in_cells). Either may be None."""
     radii = [LEAST_RADIUS_M, *[float(r) for r in RADIUS_M.values() if r > LEAST_RADIUS_M]]
     alike = Window.partitionBy("lat", "lon", "t", "reach").orderBy("arrived")
     early = narrow(events, radii)
     late = narrow(events if later is None else later, radii)
     near_all, in_cells = None, None
-    most_alike, top, places, largest = crowding(early, most)
+    most_alike, top, places, largest, met = crowding(early, most, radii)
+    if top > crowd or met > compared:
+        late = stored(late)  # looked at from many sides
+        early = late if later is None else early
     if most_alike > most:  # else there is none to leave out
         early = stored(early.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= most).drop("_k"))
     if places > dense:
         many = stored(crowded(early, late, dense, True))
         near_all, rest = nearest_in_crowds(early, many, most, dense)
         late = late.join(many.select("id"), "id", "left_anti").unionByName(rest)
-    if top > crowd:
-        late = stored(late)
+    if top > crowd or met > compared:
+        late = stored(late) if places > dense else late
         many = stored(crowded(early, late, crowd // 10, radius=largest))  # who is left must not meet a crowd's edge
         reach = F.least("reach", "cell")
         in_cells = nearest_in_cells(early.withColumn("reach", reach), many.withColumn("reach", reach), most, largest, WINDOW_S, stored, rule)
@@ -196,7 +207,8 @@ def parents(events: DataFrame, text_rule: bool = True, most: int = CANDIDATES, l
     """
     about = events.select("id", "category", actor_set(events).alias("actors"), event_text(events).alias("text"))
     other = about.select(*[F.col(c).alias(f"c_{c}") for c in about.columns])
-    kind = {"kind": F.col("category"), "mask": F.aggregate(groups_of(F.col("category")), F.lit(0).cast("long"), lambda m, k: m + F.pow(F.lit(2.0), k).cast("long")), "actors": F.to_json(actor_set(events)), "told": event_text(events) != ""}
+    hashed = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
+    kind = {"kind": hashed(F.col("category")), "mask": F.aggregate(groups_of(F.col("category")), F.lit(0).cast("long"), lambda m, k: m + F.pow(F.lit(2.0), k).cast("long")), "actors": hashed(actor_set(events)), "told": event_text(events) != ""}
     rows = events.withColumns(kind)
     plain, in_cells = candidate_parts(rows, most, None if later is None else later.withColumns(kind), dense, crowd, "text" if text_rule else "same")
     found = []
@@ -214,6 +226,7 @@ def parents(events: DataFrame, text_rule: bool = True, most: int = CANDIDATES, l
     met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     if text_rule:
         open_ = ~F.col("same") & (F.col("text") != "") & (F.col("c_text") != "")
+        met = met.filter(F.col("same") | open_)
         met = met.withColumn("score", F.when(open_, token_set_ratio_column(F.when(open_, F.col("text")), F.when(open_, F.col("c_text")))))
         met = met.filter(F.col("same") | (F.col("score") > TEXT_OVER))
     return met.groupBy("id").agg(F.min_by("cand_id", "rn").alias("parent"))

@@ -83,14 +83,19 @@ class Cell:
 
     def nearest(self, rows: np.ndarray, there: np.ndarray, d: np.ndarray, told: np.ndarray, most: int, out: list) -> None:
         """Walks outwards over `there` by ever longer parts; who has enough leaves."""
-        found = np.zeros(len(rows), np.int64)
+        found = np.zeros(len(rows), np.int32)
+        far, ranks, times = d[self.place[there]], self.rank[there], self.t[there]
+        reached = far <= self.reach[there]
         left, start, step = np.arange(len(rows)), 0, 4 * most
         while len(left) and start < len(there):
-            part = there[start : start + max(min(step, AT_ONCE // len(left)), most)]
+            cut = slice(start, start + max(min(step, AT_ONCE // len(left)), most))
+            part, late = there[cut], rows[left][:, None]
             start, step = start + len(part), 2 * step
-            late = rows[left][:, None]
-            hit = (self.rank[part] < self.rank[late]) & (np.abs(self.t[part] - self.t[late]) <= self.window_us) & (d[self.place[part]] <= np.maximum(self.reach[late], self.reach[part]))
-            n = np.cumsum(hit, axis=1) + found[left][:, None]
+            hit = ranks[cut] < self.rank[late]
+            hit &= times[cut] >= self.t[late] - self.window_us
+            hit &= times[cut] <= self.t[late] + self.window_us
+            hit &= (far[cut] <= self.reach[late]) | reached[cut]
+            n = np.cumsum(hit, axis=1, dtype=np.int32) + found[left][:, None]
             r, c = np.nonzero(hit & (n <= most))
             rn, a, b = n[r, c], rows[left[r]], part[c]
             found[left] = n[:, -1]

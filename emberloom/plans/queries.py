@@ -44,18 +44,18 @@ def plain(df: DataFrame) -> DataFrame:
 def cluster_and_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: cluster, corroborate, score, list."""
     e = cluster.assign_clusters(fx.events(spark, sf_dir).drop("reliability"), text_rule=False)
-    e = cluster.checkpoint(e)
+    e = cluster.stored(e)
     c = score.mark_thermal(cluster.cluster_stats(e), score.corroborated(e, fx.hotspots(spark, sf_dir)))
-    c = cluster.checkpoint(score.score_clusters(e, c))  # a row a cluster, read twice
+    c = cluster.stored(score.score_clusters(e, c))  # a row a cluster, read twice
     return serve.list_events(cluster.write_back(e, c), c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
 
 
 @query
 def cluster_and_list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the whole match rule, texts as well."""
-    e = cluster.checkpoint(cluster.assign_clusters(fx.events(spark, sf_dir).drop("reliability")))
+    e = cluster.stored(cluster.assign_clusters(fx.events(spark, sf_dir).drop("reliability")))
     c = score.mark_thermal(cluster.cluster_stats(e), score.corroborated(e, fx.hotspots(spark, sf_dir)))
-    c = cluster.checkpoint(score.score_clusters(e, c))  # a row a cluster, read twice
+    c = cluster.stored(score.score_clusters(e, c))  # a row a cluster, read twice
     return serve.list_events(cluster.write_back(e, c), c, serve.EventQuery(NOW, since=SINCE, limit=10_000))
 
 

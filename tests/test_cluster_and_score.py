@@ -238,3 +238,26 @@ def test_heat_beside_a_report_is_one_lookup(spark):
     odd = frame(spark, [event(900, lat=float("nan")), event(901, lat=None), event(902, hours=1000)])
     got = score.corroborated(frame(spark, rows).unionByName(odd).withColumn("cluster_id", F.col("id")), hot([*places, (T0, float("nan"), 20.0), (None, 10.0, 20.0)]))
     assert {r.cluster_id for r in got.collect()} == want and 20 < len(want) < 120
+
+
+def test_wide_radii_are_searched_by_cells_where_joins_compare_much(spark):
+    """Places a degree apart, each with a few reports of a country's radius: no narrow cell is a crowd, yet a join would meet them all."""
+    rng = random.Random(4)
+    rows = [event(k, hours=rng.choice([0, 0, 5, 24]), lat=float(10 + k % 5), lon=float(20 + k % 3), category=rng.choice(["airstrike", "protest"]), a=f"Force {rng.randrange(9)}", geo_radius_m=rng.choice([5000, 60_000, 250_000, 250_000])) for k in range(240)]
+    df = frame(spark, rows)
+    assert cluster.crowding(cluster.narrow(df, [10_000.0, 25_000.0, 60_000.0, 250_000.0]), 10, [10_000.0, 25_000.0, 60_000.0, 250_000.0])[-1] > 5000
+    kept = lambda d: sorted((r.id, r.cand_id, r.rn, r.distance_m) for r in d.collect())
+    plain, none = cluster.candidate_parts(df, 10, None, 10**9, 10**9, compared=10**9)
+    rest, in_cells = cluster.candidate_parts(df, 10, None, 10**9, 40, compared=100)
+    assert none is None and in_cells.count() > 1000
+    assert kept(in_cells.drop("same") if rest is None else rest.unionByName(in_cells.drop("same"))) == kept(plain)
+
+
+def test_texts_that_come_again_are_remembered(spark):
+    from emberloom.functions import text
+
+    text.seen_ratio.cache_clear()
+    assert text.seen_ratio("a b", "a c") == text.seen_ratio("a b", "a c") == token_set_ratio("a b", "a c") and text.seen_ratio.cache_info().hits == 1
+    long = "word " * 200
+    df = spark.createDataFrame([("a b", "a c"), ("a b", None), (long, "a b"), ("a b", "a c")], "a string, b string")
+    assert [r.s for r in df.select(text.token_set_ratio_column(F.col("a"), F.col("b")).alias("s")).collect()] == [token_set_ratio(a, b) for a, b in [("a b", "a c"), ("a b", None), (long, "a b"), ("a b", "a c")]]
