@@ -15,6 +15,8 @@ from .cluster import checkpoint
 
 EVIDENCE, GAZETTEER_CONFIDENCE, FUZZY_LEAST = 60, 0.85, 88.0
 ORIGIN_CONFIDENCE = 0.5
+#: So many names are sent to all tasks; more are joined by a shuffle.
+NAMES_SENT = 50_000
 
 
 # What stands beside a name, and how an actor's name says whose forces it is.
@@ -105,6 +107,8 @@ def canonicalize(events: DataFrame, least: float = FUZZY_LEAST, vocabulary: Data
     vocabulary = actor_vocabulary(events) if vocabulary is None else vocabulary
     names = events.select(F.col("actor_a").alias("name")).unionAll(events.select("actor_b"))
     known = checkpoint(canonical_actors(names, vocabulary, least))  # a row a name, read for each side
+    # where a few names are those of all reports, a shuffle by name would leave a few tasks with everything
+    known = F.broadcast(known) if known.count() <= NAMES_SENT else known
     curated = F.col("source").isin("acled", "ucdp")
     out = events
     for side in ("actor_a", "actor_b"):

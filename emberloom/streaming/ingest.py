@@ -27,6 +27,26 @@ def ids_of(events: DataFrame) -> DataFrame:
     return events.withColumn("id", F.xxhash64(*EVENT_KEY))
 
 
+#: Where a row was read, if it was in a file.
+READ_AT = ("_file", "_block")
+
+
+def told_place(rows: DataFrame) -> DataFrame:
+    """rows of a stream's batch, narrowly derived, with the file and block that each was read from."""
+    return rows.withColumns({"_file": F.input_file_name(), "_block": F.input_file_block_start()})
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows whose batch_pos, which counts on from task to task, follows the names of files, their blocks and lines where there are several files: tasks take these by size."""
+    if "_file" not in rows.columns:
+        return rows
+    blocks = sorted(tuple(r) for r in rows.select(*READ_AT).distinct().collect())  # as many as the files' blocks, so the driver may hold them
+    if len({f for f, _ in blocks}) > 1:
+        place = F.create_map(*[x for k, (f, b) in enumerate(blocks) for x in (F.xxhash64(F.lit(f), F.lit(b).cast("long")), F.lit(k << 33))])
+        rows = rows.withColumn("batch_pos", F.element_at(place, F.xxhash64(*READ_AT)) + F.col("batch_pos").bitwiseAND(F.lit((1 << 33) - 1)))
+    return rows.drop(*READ_AT)
+
+
 def heat_of(store: Store, events: DataFrame, days: list[str]) -> DataFrame | None:
     """cluster_id of the given reports that a hotspot stored on one of these days corroborates."""
     hot = store.hotspots(days)
@@ -69,7 +89,7 @@ def merge_batch(
     """
     with store.lock:
         version = store.begin(feed, batch)
-        positioned = cluster.checkpoint(normalized.withColumns({"batch_pos": F.monotonically_increasing_id(), "bucket": bucket_of(store.buckets)}))
+        positioned = in_order(cluster.checkpoint(normalized.withColumns({"batch_pos": F.monotonically_increasing_id(), "bucket": bucket_of(store.buckets)})))
         known = store.latest("keys", [r[0] for r in positioned.select("bucket").distinct().collect()]) if store.begun("keys") else None
         positioned = positioned.drop("bucket")
         near_days, hot_days = [], []
@@ -153,7 +173,7 @@ def merge_hotspots(store: Store, hotspots: DataFrame, batch: int, feed: str = "f
     """
     with store.lock:
         version = store.begin(feed, batch)
-        positioned = cluster.checkpoint(hotspots.withColumn("batch_pos", F.monotonically_increasing_id()))
+        positioned = in_order(cluster.checkpoint(hotspots.withColumn("batch_pos", F.monotonically_increasing_id())))
         at = positioned.select(F.col("acquired_at").alias("t"))
         stored = store.hotspots(days_of(at)) if store.begun("hotspots") else None
         new = merge.insert_hotspots(stored if stored is not None else positioned.limit(0), positioned).drop("batch_pos")
@@ -195,7 +215,7 @@ def stream_events(
 
     def one(df: DataFrame, n: int) -> None:
         counted, fetched = observed(df)
-        merge_batch(store, normalizer(counted)[0], n, publish, text_rule, feed, normalizer(df)[1], fetched)
+        merge_batch(store, told_place(normalizer(counted)[0]), n, publish, text_rule, feed, normalizer(df)[1], fetched)
         tidy(store, n)
 
     return trigger(raw.writeStream.queryName(f"{feed} into {store.path}").option("checkpointLocation", checkpoint).foreachBatch(one), every).start()
@@ -206,7 +226,7 @@ def stream_hotspots(raw: DataFrame, store: Store, checkpoint: str, every: str |
 
     def one(df: DataFrame, n: int) -> None:
         counted, fetched = observed(df)
-        merge_hotspots(store, normalize.firms(counted), n, feed, fetched)
+        merge_hotspots(store, told_place(normalize.firms(counted)), n, feed, fetched)
         tidy(store, n)
 
     return trigger(raw.writeStream.queryName(f"{feed} into {store.path}").option("checkpointLocation", checkpoint).foreachBatch(one), every).start()
@@ -240,19 +260,21 @@ def feed_marks(store: Store, marks: DataFrame, at: str, watermarks: DataFrame |
 
 
 def replay_store(raw: DataFrame, hotspots: DataFrame | None = None, parts: int = 2, path: str | None = None, text_rule: bool = True) -> Store:
-    """The store after raw hotspot rows, if any, and then raw export rows, landed as files, were streamed, the latter in so many batches."""
+    """The store after raw hotspot rows, if any, and then raw export rows, landed as files, were streamed, the latter in so many batches. A batch lands as as many files as raw has partitions, each written by a task."""
     spark = raw.sparkSession
     path = path or f"{cluster.shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
     store = Store(spark, f"{path}/store")
     if hotspots is not None:
-        hotspots.select(*readers.FIRMS_COLUMNS).coalesce(1).write.option("header", True).csv(f"{path}/hot")
+        hotspots.select(*readers.FIRMS_COLUMNS).write.option("header", True).csv(f"{path}/hot")
         stream_hotspots(readers.stream_firms(spark, f"{path}/hot"), store, f"{path}/hot-offsets").awaitTermination()
     at = F.col("c0").try_cast("long")
     cuts = raw.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()["cuts"] or [] if parts > 1 else []
-    for a, b in zip([None, *cuts], [*cuts, None], strict=True):  # one file after another, each in the order of its ids
+    files = raw.rdd.getNumPartitions()
+    for a, b in zip([None, *cuts], [*cuts, None], strict=True):  # one batch after another, each in the order of its ids
         part = raw.filter((at > a if a is not None else F.lit(True)) & (at <= b if b is not None else F.lit(True)))
-        part.coalesce(1).sortWithinPartitions(at).write.mode("append").option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{path}/landed")
-    stream_events(readers.stream_gdelt(spark, f"{path}/landed", files=1), normalize.gdelt, store, f"{path}/offsets", text_rule=text_rule).awaitTermination()
+        part = part.repartitionByRange(files, at) if files > 1 else part
+        part.sortWithinPartitions(at).write.mode("append").option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{path}/landed")
+        stream_events(readers.stream_gdelt(spark, f"{path}/landed"), normalize.gdelt, store, f"{path}/offsets", text_rule=text_rule).awaitTermination()
     return store
 
 

@@ -190,3 +190,25 @@ def test_the_queue_of_a_stream_is_that_of_all_its_events(spark, tmp_path):
     single = [i for i in {r[0] for r in rows} if sum(r[0] == i for r in rows) == 1]
     best = {r.id: r.priority for r in live.live_queue(spark.createDataFrame(rows, schema), at, 90).collect()}
     assert all(abs(best[r.id] - r.priority) < 1e-9 for r in head if r.id in single) and min(r.priority for r in head) >= sorted((best[i] for i in single), reverse=True)[10 - 1] - 1e-9
+
+
+def test_a_batch_of_several_files_is_in_the_order_of_their_names(spark, tmp_path):
+    """Tasks take files by size; the place of a row in its batch follows the files' names and their lines."""
+    from emberloom.operators import cluster
+
+    sizes = (3, 40, 11)
+    for k, n in enumerate(sizes):
+        (tmp_path / f"part-{k}.csv").write_text("".join(f"{100 * k + j},{'x' * n}\n" for j in range(n)))
+    rows = spark.read.schema("c0 long, c1 string").csv(str(tmp_path))
+    got = ingest.in_order(cluster.checkpoint(ingest.told_place(rows).withColumn("batch_pos", F.monotonically_increasing_id())))
+    assert got.columns == ["c0", "c1", "batch_pos"]
+    assert [r.c0 for r in got.orderBy("batch_pos").collect()] == [100 * k + j for k, n in enumerate(sizes) for j in range(n)]
+
+
+def test_a_few_names_leave_no_few_tasks(spark):
+    """Names of all reports meet what is known of them where the reports are."""
+    from emberloom.operators import enrich
+
+    e = spark.range(40).repartition(5).select(F.lit("gdelt").alias("source"), F.lit("MILITARY").alias("actor_a"), F.lit(None).cast("string").alias("actor_b"))
+    out = enrich.canonicalize(e)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 40
